@@ -180,7 +180,7 @@ def compiled_rules(spark: SparkSession, checks: list[Check]) -> DataFrame:
     """The compiled-rules table (replaces a JSON expression cache)."""
     schema = T.StructType([
         T.StructField("check_order", T.IntegerType(), False),
-        T.StructField("check", T.StringType(), False),
+        T.StructField("check_name", T.StringType(), False),
         T.StructField("kind", T.StringType(), False),
         T.StructField("column_name", T.StringType(), True),
         T.StructField("data_type", T.StringType(), True),

@@ -38,12 +38,12 @@ def summary_from_counts(counts: DataFrame, checks: list[Check]) -> DataFrame:
     checks = active(checks)
     if not checks:
         return counts.sparkSession.createDataFrame(
-            [], "check string, failed_records bigint, failure_rate_pct double")
+            [], "check_name string, failed_records bigint, failure_rate_pct double")
     order = F.create_map(*[x for i, c in enumerate(checks) for x in (F.lit(c.name), F.lit(i))])
-    long = counts.unpivot("total_records", [c.name for c in checks], "check", "failed_records")
+    long = counts.unpivot("total_records", [c.name for c in checks], "check_name", "failed_records")
     return (long.where((F.col("total_records") > 0) & (F.col("failed_records") > 0))
-            .orderBy(order[F.col("check")])
-            .select("check", F.col("failed_records").cast("long").alias("failed_records"),
+            .orderBy(order[F.col("check_name")])
+            .select("check_name", F.col("failed_records").cast("long").alias("failed_records"),
                     F.round(F.col("failed_records") / F.col("total_records") * 100, 2)
                     .cast("double").alias("failure_rate_pct")))
 

@@ -78,8 +78,9 @@ def unique_flag(df: DataFrame, column: str, flag: str, *,
                         .otherwise(F.lit(0)).cast("long")))
     right = dups.select(
         F.col("__rg_k").alias("__rg_rk"),
-        F.explode(F.sequence(F.lit(0), F.when(F.col("__rg_n") > per_salt, salts).otherwise(F.lit(1)) - 1))
-        .cast("long").alias("__rg_rsalt"),
+        F.explode(F.sequence(F.lit(0).cast("long"),
+                             (F.when(F.col("__rg_n") > per_salt, salts).otherwise(F.lit(1)) - 1).cast("long")))
+        .alias("__rg_rsalt"),
         F.lit(False).alias("__rg_dup"))
     joined = left.join(right, (key == F.col("__rg_rk")) & (F.col("__rg_salt") == F.col("__rg_rsalt")), "left")
     return joined.select(*out_cols, F.coalesce(F.col("__rg_dup"), F.lit(True)).alias(flag))

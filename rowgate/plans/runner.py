@@ -62,7 +62,7 @@ def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt
         obs = Observation("rowgate_valid")
         write_frame(prepared.observe(obs, F.count(F.lit(1)).alias("rows")), valid_path, fmt)
         write_frame(prepared.limit(0), invalid_path, fmt)
-        summary = spark.createDataFrame([], "check string, failed_records bigint, failure_rate_pct double")
+        summary = spark.createDataFrame([], "check_name string, failed_records bigint, failure_rate_pct double")
         return ValidationResult(checks, summary, int(obs.get["rows"]), 0, valid_path, invalid_path)
 
     checked = apply_checks(prepared, usable, **unique_options)
