@@ -66,6 +66,8 @@ _SIGN = re.compile(r"^(non[-\s]?negative|non[-\s]?positive|positive|negative|zer
 _OPS: list[tuple[str, str]] = [
     (r"(?:greater|more|larger|bigger|higher)\s+than\s+or\s+equal\s+to", ">="),
     (r"(?:less|smaller|lower|fewer)\s+than\s+or\s+equal\s+to", "<="),
+    (r"not\s+(?:exceed|be\s+(?:greater|more|larger|higher)\s+than|be\s+above)", "<="),
+    (r"not\s+(?:be\s+)?(?:less|smaller|lower|fewer)\s+than|not\s+be\s+below", ">="),
     (r"at\s+least|no\s+(?:less|fewer)\s+than|not\s+less\s+than|minimum(?:\s+of)?|min", ">="),
     (r"at\s+most|no\s+more\s+than|not\s+more\s+than|maximum(?:\s+of)?|max|up\s+to", "<="),
     (r"(?:greater|more|larger|bigger|higher)\s+than|above|over|exceeds?|after", ">"),
