@@ -3,7 +3,9 @@ split counts (F7)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from decimal import ROUND_HALF_UP, Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import ERROR_MESSAGE
@@ -48,6 +50,24 @@ def summary_from_counts(counts: DataFrame, checks: list[Check]) -> DataFrame:
                     .cast("double").alias("failure_rate_pct")))
 
 
+SUMMARY_SCHEMA = "check_name string, failed_records bigint, failure_rate_pct double"
+
+
+def rate_pct(failed: int, total: int) -> float:
+    """``round(failed / total * 100, 2)`` with Spark's HALF_UP rounding of the
+    double's shortest decimal form (Python's ``round`` is half-even)."""
+    x = failed / total * 100
+    return float(Decimal(repr(x)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+
+
+def summary_from_totals(spark: SparkSession, checks: list[Check], total: int, failed: list[int]) -> DataFrame:
+    """F4 from counts already on the driver (one number per check, e.g.
+    observed during a write): a local relation, no extra job."""
+    rows = [(c.name, int(f), rate_pct(int(f), total)) for c, f in zip(active(checks), failed)
+            if total > 0 and f > 0]
+    return spark.createDataFrame(rows, SUMMARY_SCHEMA)
+
+
 def failure_summary(checked: DataFrame, checks: list[Check]) -> DataFrame:
     """F4 over an already-checked frame."""
     return summary_from_counts(failure_counts(checked, checks), checks)

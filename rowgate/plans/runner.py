@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from ..functions.sql import quote_ident
 from ..operators.checks import Check, Translator, active, apply_checks, compile_rules
 from ..operators.prepare import prepare
-from ..operators.report import summary_from_counts
+from ..operators.report import SUMMARY_SCHEMA, summary_from_totals
 from ..operators.split import invalid_split, valid_split
 from ..sources.tables import write_frame
 
@@ -62,7 +62,7 @@ def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt
         obs = Observation("rowgate_valid")
         write_frame(prepared.observe(obs, F.count(F.lit(1)).alias("rows")), valid_path, fmt)
         write_frame(prepared.limit(0), invalid_path, fmt)
-        summary = spark.createDataFrame([], "check_name string, failed_records bigint, failure_rate_pct double")
+        summary = spark.createDataFrame([], SUMMARY_SCHEMA)
         return ValidationResult(checks, summary, int(obs.get["rows"]), 0, valid_path, invalid_path)
 
     checked = apply_checks(prepared, usable, **unique_options)
@@ -76,7 +76,6 @@ def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt
     write_frame(invalid, invalid_path, fmt)
     v, inv = obs_valid.get, obs_invalid.get
     total = int(v["rows"]) + int(inv["rows"])
-    row = [total] + [int(inv[f"f{i}"]) for i in range(len(usable))]
-    counts = spark.createDataFrame([tuple(row)], ["total_records"] + [c.name for c in usable])
-    return ValidationResult(checks, summary_from_counts(counts, usable), int(v["rows"]), int(inv["rows"]),
-                            valid_path, invalid_path)
+    failed = [int(inv[f"f{i}"]) for i in range(len(usable))]
+    return ValidationResult(checks, summary_from_totals(spark, usable, total, failed), int(v["rows"]),
+                            int(inv["rows"]), valid_path, invalid_path)

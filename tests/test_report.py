@@ -68,3 +68,11 @@ def test_empty_table_has_empty_summary(spark):
     checks = compile_rules([("id", "int", "Not Null")], df)
     assert failure_summary(apply_checks(df, checks), checks).count() == 0
     assert F is not None
+
+
+def test_driver_rate_matches_spark_round(spark):
+    from rowgate.operators.report import rate_pct
+    cases = [(1, 3), (2, 3), (116, 1500), (1, 8), (1, 16), (5, 7), (1005, 100000), (12345, 1000000)]
+    df = spark.createDataFrame(cases, "f long, t long")
+    got = [r.r for r in df.select(F.round(F.col("f") / F.col("t") * 100, 2).alias("r")).collect()]
+    assert got == [rate_pct(f, t) for f, t in cases]
