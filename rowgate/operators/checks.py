@@ -10,7 +10,7 @@ from __future__ import annotations
 import logging
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -72,13 +72,24 @@ def unique_check_sql(column: str) -> str:
 def _analyze(df: DataFrame, sql: str) -> str | None:
     """Resolve ``sql`` against ``df`` without running a job; the error text
     when it does not parse, resolve, or is not boolean."""
+    return _analyze_all(df, [sql])[0]
+
+
+def _analyze_all(df: DataFrame, sqls: list[str]) -> list[str | None]:
+    """Analyse all expressions in one projection; only when that fails are
+    they analysed one by one to find the bad ones (analysis only, no job)."""
+    if not sqls:
+        return []
     try:
-        dt = df.select(F.expr(sql).alias("__rg_check")).schema["__rg_check"].dataType
+        schema = df.select(*[F.expr(q).alias(f"__rg_{i}") for i, q in enumerate(sqls)]).schema
+        types = [schema[f"__rg_{i}"].dataType for i in range(len(sqls))]
     except PySparkException as e:  # parse and analysis errors
-        return str(e).split("\n", 1)[0]
-    if not isinstance(dt, (T.BooleanType, T.NullType)):
-        return f"expression is {dt.simpleString()}, not boolean"
-    return None
+        if len(sqls) == 1:
+            lines = [ln.strip() for ln in str(e).splitlines() if ln.strip()]
+            return [lines[0] if lines else type(e).__name__]
+        return [x for q in sqls for x in _analyze_all(df, [q])]
+    return [None if isinstance(dt, (T.BooleanType, T.NullType)) else f"expression is {dt.simpleString()}, not boolean"
+            for dt in types]
 
 
 def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
@@ -120,9 +131,8 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
         if type_checks and (column, data_type) not in seen_types:
             seen_types.add((column, data_type))
             sql = type_check_sql(column, data_type)
-            err = _analyze(df, sql)
             type_checks_out.append(Check(unique_name(f"{_sanitize(column)}{TYPE_CHECK_SUFFIX}"), "type",
-                                         column, data_type, None, sql, err, i))
+                                         column, data_type, None, sql, None, i))
 
         name = unique_name(f"{_sanitize(column)}_{_sanitize(text or '')[:RULE_NAME_PREFIX_LENGTH]}_{i}{RULE_CHECK_SUFFIX}")
         kind, sql, err = "rule", None, None
@@ -142,15 +152,16 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
                     err = f"translator failed: {te}"
             else:
                 err = str(e)
-        if sql is not None and err is None and kind == "rule":
-            err = _analyze(df, sql)
-        if err:
-            if on_error == "raise":
-                raise ValueError(f"rule {i} ({column!r}, {text!r}): {err}")
-            log.warning("rule %d (%r, %r) skipped: %s", i, column, text, err)
         rule_checks.append(Check(name, kind, column, data_type, text, sql, err, i))
 
     out = type_checks_out + rule_checks
+    pending = [k for k, c in enumerate(out) if c.error is None and c.kind != "unique" and c.expression]
+    for k, err in zip(pending, _analyze_all(df, [out[k].expression for k in pending])):
+        if err:
+            out[k] = replace(out[k], error=err)
+    for c in out:
+        if c.error:
+            log.warning("check %s (%r, %r) skipped: %s", c.name, c.column_name, c.rule, c.error)
     if on_error == "raise":
         bad = [c for c in out if c.error]
         if bad:
