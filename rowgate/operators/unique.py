@@ -4,10 +4,11 @@ A row passes when its key is NULL or occurs once. The plan never gathers a
 key's rows in one task:
 
 1. ``groupBy(key).count()`` with map-side partial aggregation; only keys seen
-   more than once are kept (``dups``) and checkpointed to the shared dir, so
-   their exact number and size are known before any join is planned.
-2. If ``dups`` is small (row and byte bound checked on the checkpoint), it is
-   broadcast and joined in the scan stage: no shuffle of the source rows.
+   more than once are kept (``dups``) and written once as a parquet table in
+   the shared checkpoint folder. Their exact number and size are observed
+   during that write, before any join is planned.
+2. If ``dups`` is small (row and byte bound checked), it is broadcast and
+   joined in the scan stage: no shuffle of the source rows.
 3. Otherwise a shuffle join on ``(key, salt)``: a hot key (more than
    ``rows_per_salt`` rows) is spread over ``ceil(n / rows_per_salt)`` salts on
    the left, and its ``dups`` row is replicated once per salt on the right.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.sql import quote_ident
-from ..plans.shared import cut_lineage
+from ..plans.shared import materialize
 
 BROADCAST_MAX_KEYS = 2_000_000
 BROADCAST_MAX_BYTES = 256 << 20
@@ -45,11 +46,12 @@ def unique_flag(df: DataFrame, column: str, flag: str, *,
                 max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """``df`` plus a boolean column ``flag``: true when ``column`` is NULL or
     unique. Column order of ``df`` is kept, ``flag`` is appended."""
-    dups = cut_lineage(duplicated_keys(df, column))
-    stats = dups.agg(
+    dups, stats = materialize(
+        duplicated_keys(df, column), "dupkeys",
         F.count(F.lit(1)).alias("keys"),
         F.coalesce(F.sum(F.octet_length(F.col("__rg_k").cast("string")) + 16), F.lit(0)).alias("bytes"),
-    ).first()
+        F.coalesce(F.max("__rg_n"), F.lit(0)).alias("max_n"),
+    )
     out_cols = [F.col(quote_ident(c)) for c in df.columns]
     key = F.col(quote_ident(column))
     if stats["keys"] == 0:
@@ -62,7 +64,7 @@ def unique_flag(df: DataFrame, column: str, flag: str, *,
 
     # Shuffle path with salted hot keys.
     per_salt = rows_per_salt
-    hot_n = dups.where(F.col("__rg_n") > per_salt).count()
+    hot_n = dups.where(F.col("__rg_n") > per_salt).count() if stats["max_n"] > per_salt else 0
     if hot_n > max_hot_keys:
         # The (max_hot_keys+1)-th largest count: strictly fewer keys exceed it.
         per_salt = (dups.select("__rg_n").orderBy(F.desc("__rg_n")).limit(max_hot_keys + 1)

@@ -18,6 +18,7 @@ from ..operators.split import invalid_rows, invalid_split, valid_split
 from ..operators.synth import sample_rows
 from ..operators.unique import unique_flag
 from ..sources.rules_io import rule_stats, rules_frame
+from ..sources.tables import preview
 from .fixtures import DIRTY_RULES, dirty_customers
 from .runner import checked_frame, run_validation
 from .shared import scratch_path
@@ -164,6 +165,14 @@ def q_split_invalid(spark, sf):
     return invalid_split(checked, checks)
 
 
+def q_preview_invalid(spark, sf):
+    """The first 10 invalid rows in a total order (top-n is the feature)."""
+    checked, checks = _dirty_checked(spark, sf)
+    inv = invalid_split(checked, checks)
+    order = [F.col(c).asc_nulls_last() for c in ["id", "email", "status", "age", "signup", "balance", "segment"]]
+    return preview(inv, 10, order_by=order)
+
+
 def q_split_counts(spark, sf):
     checked, checks = _dirty_checked(spark, sf)
     return split_counts(checked, checks)
@@ -290,6 +299,7 @@ QUERIES: dict[str, Query] = {
     "split_valid": q_split_valid,
     "split_invalid": q_split_invalid,
     "split_counts": q_split_counts,
+    "preview_invalid": q_preview_invalid,
     "run_validation": q_run_validation,
     "run_validation_outputs": q_run_validation_outputs,
     "trim_strings": q_trim_strings,

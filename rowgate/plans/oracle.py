@@ -349,6 +349,9 @@ ORACLE: dict[str, str] = {
     "invalid_rows": INVALID_ROWS,
     "split_valid": f"SELECT {DIRTY_COLS} FROM ({CHECKED}) c WHERE NOT ({ANY_FALSE})",
     "split_invalid": f"SELECT * FROM ({CHECKED}) c WHERE {ANY_FALSE}",
+    "preview_invalid": f"SELECT * FROM ({CHECKED}) c WHERE {ANY_FALSE} ORDER BY id ASC NULLS LAST, "
+                       "email ASC NULLS LAST, status ASC NULLS LAST, age ASC NULLS LAST, signup ASC NULLS LAST, "
+                       "balance ASC NULLS LAST, segment ASC NULLS LAST LIMIT 10",
     "split_counts": f"SELECT CASE WHEN {ANY_FALSE} THEN 'invalid' ELSE 'valid' END AS split, count(*) AS records "
                     f"FROM ({CHECKED}) c GROUP BY 1",
     "run_validation_outputs": f"SELECT CASE WHEN {ANY_FALSE} THEN 'invalid' ELSE 'valid' END AS split, "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +40,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back: the lineage is cut, a lost executor recomputes nothing
+    upstream, and ``metrics`` (aggregate columns) are observed during that
+    single write, so sizes are known without another pass."""
+    path = scratch_path(df.sparkSession, name)
+    obs = Observation(f"rowgate_{name}_{uuid.uuid4().hex[:8]}")
+    target = df.observe(obs, *metrics) if metrics else df
+    target.write.mode("overwrite").parquet(path)
+    values = obs.get if metrics else {}
+    return df.sparkSession.read.schema(df.schema).parquet(path), values

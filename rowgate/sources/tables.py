@@ -37,3 +37,11 @@ def write_frame(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     for k, v in options.items():
         w = w.option(k, v)
     w.save(path)
+
+
+def preview(df: DataFrame, n: int = 10, order_by=None) -> DataFrame:
+    """The first ``n`` rows of a stage (a deterministic top-n when
+    ``order_by`` is given); a limit is the feature here."""
+    if order_by is not None:
+        df = df.orderBy(*([order_by] if isinstance(order_by, str) else order_by))
+    return df.limit(n)
