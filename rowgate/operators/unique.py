@@ -24,11 +24,20 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.sql import quote_ident
 from ..plans.shared import materialize
 
+# Defaults; each can be set per session, e.g. spark.rowgate.unique.broadcastMaxKeys.
 BROADCAST_MAX_KEYS = 2_000_000
-BROADCAST_MAX_BYTES = 256 << 20
+BROADCAST_MAX_BYTES = 128 << 20
 ROWS_PER_SALT = 1_000_000
 MAX_HOT_KEYS = 100_000
 NULL_SPREAD = 1 << 30
+_CONF = "spark.rowgate.unique."
+
+
+def _setting(df: DataFrame, name: str, given, default: int) -> int:
+    if given is not None:
+        return int(given)
+    value = df.sparkSession.conf.get(_CONF + name, None)
+    return int(value) if value is not None else default
 
 
 def duplicated_keys(df: DataFrame, column: str) -> DataFrame:
@@ -40,12 +49,16 @@ def duplicated_keys(df: DataFrame, column: str) -> DataFrame:
 
 
 def unique_flag(df: DataFrame, column: str, flag: str, *,
-                broadcast_max_keys: int = BROADCAST_MAX_KEYS,
-                broadcast_max_bytes: int = BROADCAST_MAX_BYTES,
-                rows_per_salt: int = ROWS_PER_SALT,
-                max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+                broadcast_max_keys: int | None = None,
+                broadcast_max_bytes: int | None = None,
+                rows_per_salt: int | None = None,
+                max_hot_keys: int | None = None) -> DataFrame:
     """``df`` plus a boolean column ``flag``: true when ``column`` is NULL or
     unique. Column order of ``df`` is kept, ``flag`` is appended."""
+    broadcast_max_keys = _setting(df, "broadcastMaxKeys", broadcast_max_keys, BROADCAST_MAX_KEYS)
+    broadcast_max_bytes = _setting(df, "broadcastMaxBytes", broadcast_max_bytes, BROADCAST_MAX_BYTES)
+    rows_per_salt = _setting(df, "rowsPerSalt", rows_per_salt, ROWS_PER_SALT)
+    max_hot_keys = _setting(df, "maxHotKeys", max_hot_keys, MAX_HOT_KEYS)
     dups, stats = materialize(
         duplicated_keys(df, column), "dupkeys",
         F.count(F.lit(1)).alias("keys"),
@@ -72,11 +85,14 @@ def unique_flag(df: DataFrame, column: str, flag: str, *,
     salts = F.ceil(F.col("__rg_n") / F.lit(per_salt)).cast("int")
     hot = F.broadcast(dups.where(F.col("__rg_n") > per_salt)
                       .select(F.col("__rg_k").alias("__rg_hk"), salts.alias("__rg_salts")))
-    row_hash = F.xxhash64(*out_cols)
+    # Row ids are consecutive within a partition and stable for a file scan,
+    # so ``pmod`` deals a hot key's rows round-robin over its salts (equal
+    # rows included, which a hash of the row would keep together).
+    row_id = F.monotonically_increasing_id()
     left = (df.join(hot, key == F.col("__rg_hk"), "left")
             .withColumn("__rg_salt",
-                        F.when(key.isNull(), F.pmod(row_hash, F.lit(NULL_SPREAD)))
-                        .when(F.col("__rg_salts").isNotNull(), F.pmod(row_hash, F.col("__rg_salts")))
+                        F.when(key.isNull(), F.pmod(row_id, F.lit(NULL_SPREAD)))
+                        .when(F.col("__rg_salts").isNotNull(), F.pmod(row_id, F.col("__rg_salts")))
                         .otherwise(F.lit(0)).cast("long")))
     right = dups.select(
         F.col("__rg_k").alias("__rg_rk"),

@@ -41,3 +41,26 @@ def test_broadcast_path_has_no_shuffle_of_rows(spark):
     expected = (df.groupBy("l_orderkey").count().where("count > 1")
                 .agg(F.sum("count")).first()[0])
     assert n_bad == expected
+
+
+def test_hot_key_is_split_across_salts(spark):
+    # 300 identical rows of one key plus unique keys: the salted path must
+    # spread the hot key over several join partitions and stay exact.
+    rows = [(1,)] * 300 + [(k,) for k in range(2, 200)]
+    df = spark.createDataFrame(rows, "k bigint").repartition(4)
+    out = unique_flag(df, "k", "ok", broadcast_max_keys=0, rows_per_salt=50)
+    got = {r.k: r.ok for r in out.collect()}
+    assert got[1] is False and all(got[k] for k in range(2, 200))
+    assert out.count() == len(rows)
+
+
+def test_thresholds_from_session_conf(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,)], "k bigint")
+    spark.conf.set("spark.rowgate.unique.broadcastMaxKeys", "0")
+    try:
+        out = unique_flag(df, "k", "ok")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "__rg_salt" in plan  # salted path taken (Spark may still broadcast a tiny side itself)
+        assert sorted((r.k, r.ok) for r in out.collect()) == [(1, False), (1, False), (2, True)]
+    finally:
+        spark.conf.unset("spark.rowgate.unique.broadcastMaxKeys")
