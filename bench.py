@@ -24,7 +24,7 @@ from rowgate.operators.report import failure_summary  # noqa: E402
 from rowgate.operators.review import review_sources  # noqa: E402
 from rowgate.operators.unique import unique_flag  # noqa: E402
 from rowgate.plans.fixtures import DIRTY_RULES, dirty_customers  # noqa: E402
-from rowgate.plans.runner import checked_frame, run_validation  # noqa: E402
+from rowgate.plans.runner import checked_frame, run_validation, run_validation_single_pass  # noqa: E402
 from rowgate.plans.shared import ensure_checkpoint_dir, scratch_path  # noqa: E402
 
 WARMUP_DIR = "/root/testdata/sf0.001"
@@ -59,6 +59,10 @@ def main() -> None:
         res = run_validation(t("lineitem"), LINEITEM_RULES, f"{base}/valid", f"{base}/invalid")
         return res.summary.collect()
 
+    def q_validate_lineitem_single_pass(t):
+        base = scratch_path(spark, "bench")
+        return run_validation_single_pass(t("lineitem"), LINEITEM_RULES, f"{base}/out").summary.collect()
+
     def q_validate_dirty(t):
         base = scratch_path(spark, "bench")
         res = run_validation(dirty_customers(t("customer")), DIRTY_RULES, f"{base}/valid", f"{base}/invalid")
@@ -84,6 +88,7 @@ def main() -> None:
 
     queries = {
         "validate_lineitem": q_validate_lineitem,
+        "validate_lineitem_single_pass": q_validate_lineitem_single_pass,
         "validate_dirty": q_validate_dirty,
         "failure_summary_lineitem": q_failure_summary_lineitem,
         "unique_lineitem_orderkey": q_unique_lineitem_orderkey,

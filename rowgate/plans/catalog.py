@@ -20,7 +20,7 @@ from ..operators.unique import unique_flag
 from ..sources.rules_io import rule_stats, rules_frame
 from ..sources.tables import preview
 from .fixtures import DIRTY_RULES, dirty_customers
-from .runner import checked_frame, run_validation
+from .runner import checked_frame, run_validation, run_validation_single_pass
 from .shared import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +184,11 @@ def q_run_validation(spark, sf):
     return res.summary
 
 
+def q_run_validation_single_pass(spark, sf):
+    base = scratch_path(spark, "run1")
+    return run_validation_single_pass(dirty(spark, sf), DIRTY_RULES, f"{base}/out").summary
+
+
 def q_run_validation_outputs(spark, sf):
     """Rows per written output, read back from storage."""
     base = scratch_path(spark, "run")
@@ -301,6 +306,7 @@ QUERIES: dict[str, Query] = {
     "split_counts": q_split_counts,
     "preview_invalid": q_preview_invalid,
     "run_validation": q_run_validation,
+    "run_validation_single_pass": q_run_validation_single_pass,
     "run_validation_outputs": q_run_validation_outputs,
     "trim_strings": q_trim_strings,
     "strip_names": q_strip_names,

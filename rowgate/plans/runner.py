@@ -4,6 +4,8 @@ F9 reads the source twice at most: once per output write. The failure
 summary needs no pass of its own: every failure sits in the invalid split,
 so per-check failure counts are observed (``Observation``) on the invalid
 write and the total is the sum of both observed row counts.
+``run_validation_single_pass`` reads it once, writing one table partitioned
+by ``split``.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from ..functions.sql import quote_ident
 from ..operators.checks import Check, Translator, active, apply_checks, compile_rules
 from ..operators.prepare import prepare
-from ..operators.report import SUMMARY_SCHEMA, summary_from_totals
+from ..operators.report import SUMMARY_SCHEMA, is_invalid, summary_from_totals
 from ..operators.split import invalid_split, valid_split
 from ..sources.tables import write_frame
 
@@ -42,6 +44,32 @@ def checked_frame(df: DataFrame, rules, translator: Translator | None = None, st
     return apply_checks(prepared, checks, **unique_options), checks
 
 
+def run_validation_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
+                               translator: Translator | None = None, strip: bool = True, trim: bool = True,
+                               **unique_options) -> ValidationResult:
+    """F9 in one scan and one write job: every row is written once under
+    ``output_path/split=valid`` or ``output_path/split=invalid`` (original
+    columns plus all check columns; on valid rows the checks are true or
+    NULL and compress to almost nothing). Counts and per-check failures are
+    observed during that write."""
+    prepared = prepare(df, strip=strip, trim=trim)
+    checks = compile_rules(rules, prepared, translator=translator)
+    usable = active(checks)
+    spark = df.sparkSession
+    checked = apply_checks(prepared, usable, **unique_options)
+    split = F.when(is_invalid(usable), F.lit("invalid")).otherwise(F.lit("valid")).alias("split")
+    obs = Observation("rowgate_split")
+    out = checked.select("*", split).observe(
+        obs, F.count_if(F.col("split") == "valid").alias("valid"), F.count_if(F.col("split") == "invalid").alias("invalid"),
+        *[F.count_if(c.column == F.lit(False)).alias(f"f{i}") for i, c in enumerate(usable)])
+    write_frame(out, output_path, fmt, partition_by="split")
+    m = obs.get
+    valid_n, invalid_n = int(m["valid"]), int(m["invalid"])
+    failed = [int(m[f"f{i}"]) for i in range(len(usable))]
+    return ValidationResult(checks, summary_from_totals(spark, usable, valid_n + invalid_n, failed), valid_n, invalid_n,
+                            f"{output_path}/split=valid", f"{output_path}/split=invalid")
+
+
 def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt: str = "parquet",
                    translator: Translator | None = None, strip: bool = True, trim: bool = True,
                    **unique_options) -> ValidationResult:

@@ -32,3 +32,23 @@ def test_clean_run_overwrites_old_invalid_output(spark, tmp_path):
     run_validation(good, rules, str(tmp_path / "v"), str(tmp_path / "i"))
     assert spark.read.parquet(str(tmp_path / "i")).count() == 0
     assert os.path.exists(tmp_path / "v")
+
+
+def test_single_pass_layout(spark, tmp_path):
+    from rowgate.plans.runner import run_validation_single_pass
+    df = dirty_customers(spark.read.parquet("/root/testdata/sf0.01/customer.parquet"))
+    res = run_validation_single_pass(df, DIRTY_RULES, str(tmp_path / "out"))
+    assert (res.valid_count, res.invalid_count) == (691, 809)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.split: r["count"] for r in out.groupBy("split").count().collect()} == {"valid": 691, "invalid": 809}
+    assert {r.check_name: r.failed_records for r in res.summary.collect()}["age_type_ok"] == 116
+    assert spark.read.parquet(res.invalid_path).count() == 809
+
+
+def test_read_sample_null_tokens(spark, tmp_path):
+    from rowgate.sources.rules_io import read_sample
+    p = tmp_path / "s.csv"
+    p.write_text("id,name,score\n1,a,1.5\n2,NA,\n3,null,2\n")
+    df = read_sample(spark, str(p), null_tokens=["NA", "null"])
+    assert [r.name for r in df.orderBy("id").collect()] == ["a", None, None]
+    assert dict(df.dtypes)["id"] == "int"
