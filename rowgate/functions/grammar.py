@@ -47,6 +47,12 @@ _NOT_NULL = re.compile(
     r"|(?:is\s+)?required|mandatory|(?:must|should)\s+(?:be\s+)?(?:present|populated|provided))$",
     _I,
 )
+_IS_NULL = re.compile(r"^(?:null|empty\s+\(null\)|missing|absent)$", _I)
+_ALLOWED = re.compile(r"^(?:allowed|valid|accepted|permitted|possible)\s+values?\s*(?:are|is|:)?\s*(.+)$", _I)
+_VALID_TYPE = re.compile(r"^(?:an?\s+)?(?:valid|proper|parsable|parseable)\s+"
+                         r"(date|timestamp|datetime|integer|int|bigint|long|double|float|decimal|boolean|bool)"
+                         r"(?:\s+value)?$", _I)
+_FORMAT = re.compile(r"^(?:in\s+)?(?:the\s+)?(?:(date|timestamp|datetime)\s+)?format\s*:?\s*(.+)$", _I)
 _UNIQUE = re.compile(r"^(?:unique|distinct|no\s+duplicates?)(?:\s+values?)?$", _I)
 _EMAIL = re.compile(r"\be-?mail\b", _I)
 _NUMBER = re.compile(r"^(?:an?\s+)?(?:valid\s+)?(?:number|numeric(?:\s+value)?|numerical)$", _I)
@@ -179,8 +185,10 @@ def _parse_atom(text: str) -> Spec:
     if _NOT_NULL.match(raw):
         return Spec("not_null")
     core = _FILLER.sub("", raw, count=1).strip()
-    if _NOT_NULL.match(core) or _NOT_NULL.match("not " + core if core.lower().startswith("null") else "-"):
+    if _NOT_NULL.match(core):
         return Spec("not_null")
+    if _IS_NULL.match(core):
+        return Spec("is_null")
     if _UNIQUE.match(core):
         return Spec("unique")
     m = _IN_LIST.match(core)
@@ -189,8 +197,21 @@ def _parse_atom(text: str) -> Spec:
         if not values:
             raise RuleSyntaxError(f"empty value list in {text!r}")
         return Spec("in", values=values)
+    m = _ALLOWED.match(core)
+    if m:
+        body = m.group(1).strip()
+        values = parse_list(body if body[:1] in "[({" else f"[{body}]")
+        if not values:
+            raise RuleSyntaxError(f"empty value list in {text!r}")
+        return Spec("in", values=values)
     if _NUMBER.match(core):
         return Spec("number")
+    m = _VALID_TYPE.match(core)
+    if m:
+        return Spec("castable", text=normalize_type(m.group(1)))
+    m = _FORMAT.match(core)
+    if m:
+        return Spec("format", text=_unquote(m.group(2).strip()))
     if _NOT_EMPTY.match(core):
         return Spec("not_empty")
     m = _REGEX.match(core)
@@ -312,6 +333,15 @@ def to_sql(spec: Spec, col_sql: str, data_type: str, col_type: str | None = None
     if k in ("starts", "ends", "contains"):
         fn = {"starts": "startswith", "ends": "endswith", "contains": "contains"}[k]
         return _guard(col_sql, f"{fn}({_as_string(col_sql, col_type)}, {quote_str(spec.text)})")
+    if k == "is_null":
+        return f"{col_sql} IS NULL"
+    if k == "castable":
+        target = spec.text
+        if normalize_type(data_type) == target or (col_type is not None and normalize_type(col_type) == target):
+            return "true"
+        return _guard(col_sql, f"TRY_CAST({col_sql} AS {target.upper()}) IS NOT NULL")
+    if k == "format":
+        return _guard(col_sql, f"try_to_timestamp({_as_string(col_sql, col_type)}, {quote_str(spec.text)}) IS NOT NULL")
     if k == "number":
         if is_numeric_type(data_type):
             return "true"

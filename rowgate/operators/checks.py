@@ -54,6 +54,24 @@ class Check:
         return F.col(quote_ident(self.name))
 
 
+class _SchemaLookup(dict):
+    """Column name -> type, resolved like Spark does (case-insensitive unless
+    ``spark.sql.caseSensitive``)."""
+
+    def __init__(self, schema: T.StructType, case_sensitive: bool):
+        super().__init__((f.name if case_sensitive else f.name.lower(), f.dataType) for f in schema.fields)
+        self.case_sensitive = case_sensitive
+
+    def _k(self, name):
+        return name if self.case_sensitive else str(name).lower()
+
+    def __contains__(self, name):
+        return super().__contains__(self._k(name))
+
+    def __getitem__(self, name):
+        return super().__getitem__(self._k(name))
+
+
 def _sanitize(text: str) -> str:
     return re.sub(NAME_SANITIZE_PATTERN, "_", text).lower()
 
@@ -101,7 +119,8 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
     and contributes no column; ``on_error="raise"`` raises instead.
     """
     rows = collect_rules(rules)
-    schema = {f.name: f.dataType for f in df.schema.fields}
+    case_sensitive = str(df.sparkSession.conf.get("spark.sql.caseSensitive", "false")).lower() == "true"
+    schema = _SchemaLookup(df.schema, case_sensitive)
     taken = set(df.columns)
     type_checks_out: list[Check] = []
     rule_checks: list[Check] = []

@@ -7,11 +7,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+def _context_dir(spark: SparkSession) -> str | None:
+    try:
+        return spark.sparkContext.getCheckpointDir()
+    except Exception:  # no SparkContext on the client (Spark Connect)
+        return None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (or the context's
     checkpoint dir). Raises when neither is set: a machine-local temp folder
     would not survive the loss of an executor."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if not path:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS/...)")
     return path.rstrip("/")
@@ -19,12 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     """For tests and local runs only: use ``fallback`` when nothing is set."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
         return current
-    spark.sparkContext.setCheckpointDir(fallback)
+    try:
+        spark.sparkContext.setCheckpointDir(fallback)
+    except Exception:  # Spark Connect: no context on the client
+        spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 
 
@@ -33,15 +41,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rowgate-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared dir, recomputation-free after
-    executor loss). Never ``localCheckpoint``."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
     """Write ``df`` once as parquet under the shared checkpoint folder and
     read it back: the lineage is cut, a lost executor recomputes nothing

@@ -110,3 +110,13 @@ def test_unknown_text_raises():
         parse_rule("should look nice")
     with pytest.raises(RuleSyntaxError):
         parse_rule("")
+
+
+def test_null_and_castable_and_format_rules():
+    assert sql("must be null") == "`c` IS NULL"
+    assert sql("allowed values: A, B, 'C D'") == "(`c` IS NULL) OR (`c` IN ('A', 'B', 'C D'))"
+    assert sql("valid date", "d", "string") == "(`d` IS NULL) OR (TRY_CAST(`d` AS DATE) IS NOT NULL)"
+    assert sql("valid date", "d", "date") == "true"
+    assert sql("must be a valid integer", "n", "string") == "(`n` IS NULL) OR (TRY_CAST(`n` AS INT) IS NOT NULL)"
+    assert sql("date format 'yyyy-MM-dd'", "d") == \
+        "(`d` IS NULL) OR (try_to_timestamp(`d`, 'yyyy-MM-dd') IS NOT NULL)"
