@@ -1,14 +1,17 @@
 """Profiling and rule suggestion.
 
-At most three column-pruned passes, each a plain aggregation (map-side
-partial aggregation, one tiny row per column reaches the driver):
+Two column-pruned passes, each a plain aggregation (map-side partial
+aggregation, one tiny row per column reaches the driver):
 
 1. one wide ``agg``: row count, non-null counts, email matches, integral
    min/max and ``approx_count_distinct`` for every column;
 2. exact ``count_distinct`` only for columns that can still be unique or
-   low-cardinality (survivors of pass 1);
-3. ``collect_set`` only for string columns whose *exact* distinct count is in
-   2..10, so every collected set is bounded by construction.
+   low-cardinality (survivors of pass 1), and for the low-cardinality ones an
+   ``approx_top_k`` frequent-items sketch of fixed size (64 tracked items):
+   it holds every value exactly whenever the exact distinct count is at most
+   10, which is the only case that is used. Memory is bounded either way.
+   Should a sketch ever come back with fewer values than the exact count, a
+   third pass collects that column's values (at most 10, exact).
 
 Pass 1 prunes with proofs where it can: an integral column with more
 non-null values than ``max - min + 1`` cannot be unique; a column whose
@@ -43,6 +46,8 @@ from .prepare import prepare
 
 RSD = 0.05
 LOWCARD_SKETCH_LIMIT = 2 * IN_LIST_MAX_DISTINCT
+TOP_K = IN_LIST_MAX_DISTINCT + 1
+TOP_K_TRACKED = 64
 
 _SIMPLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -100,17 +105,25 @@ def _profile(df: DataFrame, rsd: float = RSD) -> list[dict]:
 
     exact = [s for s in stats if s["unique_cand"] or s["low_cand"]]
     if exact:
-        row = df.agg(*[F.count_distinct(F.col(quote_ident(s["name"]))).alias(f"d{s['position']}")
-                       for s in exact]).first()
+        aggs = [F.count_distinct(F.col(quote_ident(s["name"]))).alias(f"d{s['position']}") for s in exact]
+        # Frequent-items sketch with a fixed map size: exact whenever the
+        # column has at most TOP_K items (NULL counts as one), bounded always.
+        aggs += [F.expr(f"approx_top_k({quote_ident(s['name'])}, {TOP_K}, {TOP_K_TRACKED})").alias(f"t{s['position']}")
+                 for s in exact if s["low_cand"]]
+        row = df.agg(*aggs).first()
         for s in exact:
             d = int(row[f"d{s['position']}"])
             if s["unique_cand"]:
                 s["unique"] = d == s["non_null"]
             if isinstance(s["dtype"], T.StringType) and d <= IN_LIST_MAX_DISTINCT:
                 s["distinct"] = d
-    small = [s for s in stats if s["distinct"] is not None
+            if s["low_cand"] and IN_LIST_MIN_DISTINCT <= d <= IN_LIST_MAX_DISTINCT:
+                items = sorted(t["item"] for t in (row[f"t{s['position']}"] or []) if t["item"] is not None)
+                if len(items) == d:
+                    s["values"] = items
+    small = [s for s in stats if s["distinct"] is not None and s["values"] is None
              and IN_LIST_MIN_DISTINCT <= s["distinct"] <= IN_LIST_MAX_DISTINCT]
-    if small:
+    if small:  # only if a sketch ever came back incomplete: exact and still bounded (<= 10 values)
         row = df.agg(*[F.array_sort(F.collect_set(F.col(quote_ident(s["name"])))).alias(f"v{s['position']}")
                        for s in small]).first()
         for s in small:

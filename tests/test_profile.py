@@ -59,3 +59,10 @@ def test_profile_columns(spark):
     assert p["o_orderkey"].is_unique and not p["o_custkey"].is_unique
     assert p["o_orderstatus"].small_distinct == 3 and p["o_orderstatus"]["values"] == ["F", "O", "P"]
     assert all(r.null_count == 0 for r in p.values())
+
+
+def test_in_list_with_nulls_keeps_all_ten_values(spark):
+    rows = [(f"v{i}",) for i in range(10)] * 30 + [(None,)] * 500
+    df = spark.createDataFrame(rows, "e string").repartition(6)
+    got = [r[2] for r in rules_of(df) if r[2].startswith("Should be one of")]
+    assert got == ["Should be one of [" + ", ".join(f"'v{i}'" for i in range(10)) + "]"]
