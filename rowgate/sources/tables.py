@@ -45,3 +45,16 @@ def preview(df: DataFrame, n: int = 10, order_by=None) -> DataFrame:
     if order_by is not None:
         df = df.orderBy(*([order_by] if isinstance(order_by, str) else order_by))
     return df.limit(n)
+
+
+def load_source_files(spark: SparkSession, path: str, pattern: str = "*.py", recursive: bool = True) -> DataFrame:
+    """Files under ``path`` as a ``(path, text)`` table, one row per file (read
+    whole), ready for ``review_sources``."""
+    from pyspark.sql import functions as F
+
+    reader = spark.read.option("pathGlobFilter", pattern)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True)
+    # ``text()`` has its own ``wholetext`` argument that overrides options.
+    return (reader.text(path, wholetext=True)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))

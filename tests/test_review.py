@@ -47,3 +47,17 @@ def test_secret_lines_on_documents(spark):
     found = secret_lines(docs, path="doc_id")
     assert found.count() == 12
     assert all('token = "' in r.line for r in found.collect())
+
+
+def test_review_files_from_a_folder(spark, tmp_path):
+    from rowgate.sources.tables import load_source_files
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "bad.py").write_text(BAD)
+    (tmp_path / "good.py").write_text(GOOD)
+    (tmp_path / "notes.txt").write_text("token = 'x1234'\n")
+    files = load_source_files(spark, str(tmp_path))
+    assert files.count() == 2
+    got = {(r.path.rsplit("/", 1)[-1], r.standard): r for r in review_sources(files).collect()}
+    assert got[("bad.py", "secrets")].first_line == 2
+    assert got[("bad.py", "performance")].first_line == 3
+    assert got[("good.py", "secrets")].verdict == "PASS"
