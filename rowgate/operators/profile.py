@@ -4,14 +4,16 @@ Two column-pruned passes, each a plain aggregation (map-side partial
 aggregation, one tiny row per column reaches the driver):
 
 1. one wide ``agg``: row count, non-null counts, email matches, integral
-   min/max and ``approx_count_distinct`` for every column;
+   min/max and ``approx_count_distinct`` for every column, and for string
+   columns an ``approx_top_k`` frequent-items sketch of fixed size (64
+   tracked items, so memory is bounded for any cardinality). A sketch that
+   never saw more than 48 distinct values never purges and holds every value
+   exactly;
 2. exact ``count_distinct`` only for columns that can still be unique or
-   low-cardinality (survivors of pass 1), and for the low-cardinality ones an
-   ``approx_top_k`` frequent-items sketch of fixed size (64 tracked items):
-   it holds every value exactly whenever the exact distinct count is at most
-   10, which is the only case that is used. Memory is bounded either way.
-   Should a sketch ever come back with fewer values than the exact count, a
-   third pass collects that column's values (at most 10, exact).
+   low-cardinality (survivors of pass 1). Sketch values are used only when
+   this exact count is 2..10 (so the sketch cannot have purged) and equals
+   the number of values returned; otherwise a third pass would collect that
+   column's values (at most 10, exact).
 
 Pass 1 prunes with proofs where it can: an integral column with more
 non-null values than ``max - min + 1`` cannot be unique; a column whose
@@ -75,6 +77,7 @@ def _profile(df: DataFrame, rsd: float = RSD) -> list[dict]:
             aggs.append(F.approx_count_distinct(c, rsd).alias(f"ad{i}"))
         if isinstance(f.dataType, T.StringType):
             aggs.append(F.count_if(c.rlike(EMAIL_REGEX)).alias(f"em{i}"))
+            aggs.append(F.expr(f"approx_top_k({quote_ident(f.name)}, {TOP_K}, {TOP_K_TRACKED})").alias(f"tk{i}"))
         if isinstance(f.dataType, _INTEGRAL):
             aggs += [F.min(c).cast("decimal(38,0)").alias(f"mn{i}"), F.max(c).cast("decimal(38,0)").alias(f"mx{i}")]
     wide = df.agg(*aggs).first()
@@ -101,15 +104,13 @@ def _profile(df: DataFrame, rsd: float = RSD) -> list[dict]:
                 st["unique_cand"] = True
             if isinstance(f.dataType, T.StringType) and nn >= IN_LIST_MIN_DISTINCT and approx <= LOWCARD_SKETCH_LIMIT:
                 st["low_cand"] = True
+        if isinstance(f.dataType, T.StringType):
+            st["top"] = [t["item"] for t in (wide[f"tk{i}"] or []) if t["item"] is not None]
         stats.append(st)
 
     exact = [s for s in stats if s["unique_cand"] or s["low_cand"]]
     if exact:
         aggs = [F.count_distinct(F.col(quote_ident(s["name"]))).alias(f"d{s['position']}") for s in exact]
-        # Frequent-items sketch with a fixed map size: exact whenever the
-        # column has at most TOP_K items (NULL counts as one), bounded always.
-        aggs += [F.expr(f"approx_top_k({quote_ident(s['name'])}, {TOP_K}, {TOP_K_TRACKED})").alias(f"t{s['position']}")
-                 for s in exact if s["low_cand"]]
         row = df.agg(*aggs).first()
         for s in exact:
             d = int(row[f"d{s['position']}"])
@@ -117,10 +118,8 @@ def _profile(df: DataFrame, rsd: float = RSD) -> list[dict]:
                 s["unique"] = d == s["non_null"]
             if isinstance(s["dtype"], T.StringType) and d <= IN_LIST_MAX_DISTINCT:
                 s["distinct"] = d
-            if s["low_cand"] and IN_LIST_MIN_DISTINCT <= d <= IN_LIST_MAX_DISTINCT:
-                items = sorted(t["item"] for t in (row[f"t{s['position']}"] or []) if t["item"] is not None)
-                if len(items) == d:
-                    s["values"] = items
+            if s["low_cand"] and IN_LIST_MIN_DISTINCT <= d <= IN_LIST_MAX_DISTINCT and len(s["top"]) == d:
+                s["values"] = sorted(s["top"])
     small = [s for s in stats if s["distinct"] is not None and s["values"] is None
              and IN_LIST_MIN_DISTINCT <= s["distinct"] <= IN_LIST_MAX_DISTINCT]
     if small:  # only if a sketch ever came back incomplete: exact and still bounded (<= 10 values)

@@ -72,13 +72,17 @@ def run_validation_single_pass(df: DataFrame, rules, output_path: str, fmt: str
 
 def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt: str = "parquet",
                    translator: Translator | None = None, strip: bool = True, trim: bool = True,
-                   **unique_options) -> ValidationResult:
+                   rebalance_invalid: bool = True, **unique_options) -> ValidationResult:
     """prepare, check, summarise, split and write.
 
     Valid rows are written with the original (stripped) columns; invalid rows
     with the original columns plus every check column. Both outputs are
     always overwritten, also when empty. With no usable check every row is
     valid and the invalid output is written empty (A8).
+
+    Invalid rows are usually a small fraction spread over every input split;
+    ``rebalance_invalid`` shuffles just those rows (AQE sizes the partitions)
+    so the invalid output is a few well-sized files, not one per split.
     """
     prepared = prepare(df, strip=strip, trim=trim)
     checks = compile_rules(rules, prepared, translator=translator)
@@ -97,7 +101,10 @@ def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt
     obs_valid = Observation("rowgate_valid")
     obs_invalid = Observation("rowgate_invalid")
     valid = valid_split(checked, usable).select(*orig).observe(obs_valid, F.count(F.lit(1)).alias("rows"))
-    invalid = (invalid_split(checked, usable).select(*orig, *[c.column for c in usable])
+    invalid = invalid_split(checked, usable).select(*orig, *[c.column for c in usable])
+    if rebalance_invalid:
+        invalid = invalid.hint("rebalance")
+    invalid = (invalid
                .observe(obs_invalid, F.count(F.lit(1)).alias("rows"),
                         *[F.count_if(c.column == F.lit(False)).alias(f"f{i}") for i, c in enumerate(usable)]))
     write_frame(valid, valid_path, fmt)

@@ -47,6 +47,9 @@ def collect_rules(rules) -> list[dict]:
     if isinstance(rules, DataFrame):
         require_rule_columns(rules.columns)
         return [r.asDict() for r in rules.select(*RULE_COLUMNS).collect()]
+    if isinstance(rules, str):  # a rules CSV path
+        spark = SparkSession.getActiveSession()
+        return collect_rules(load_rules(spark, rules))
     if hasattr(rules, "to_dict") and hasattr(rules, "columns"):  # pandas
         require_rule_columns(rules.columns)
         return [{c: rec.get(c) for c in RULE_COLUMNS} for rec in rules.to_dict("records")]

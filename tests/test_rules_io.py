@@ -30,3 +30,12 @@ def test_rule_stats(spark):
     rules = rules_frame(spark, [("a", "int", "x"), ("b", "int", "y"), ("c", "string", "z")])
     got = [(r.data_type, r.rule_count) for r in rule_stats(rules).collect()]
     assert got == [(None, 3), ("int", 2), ("string", 1)]
+
+
+def test_invalid_rows_from_rules_path(spark, tmp_path):
+    from rowgate.operators.split import invalid_rows
+    p = tmp_path / "rules.csv"
+    p.write_text("column_name,data_type,rule\nid,int,Not Null\nemail,string,Should be a valid email address\n")
+    df = spark.createDataFrame([(None, "x"), (1, "a@b.co")], "id int, email string")
+    rows = invalid_rows(df, str(p)).collect()
+    assert len(rows) == 1 and len(rows[0].validation_errors) == 2
