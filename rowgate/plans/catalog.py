@@ -284,6 +284,15 @@ def q_stream_split_counts(spark, sf):
     return v.unionByName(i).groupBy("split").agg(F.count(F.lit(1)).alias("records"))
 
 
+def q_stream_failure_summary(spark, sf):
+    from ..streaming.stream import stream_failure_summary
+    rules = [("o_orderstatus", "string", "Should be one of ['F', 'O']"),
+             ("o_totalprice", "double", "value must be greater than 1000"),
+             ("o_orderpriority", "string", "sql: o_orderpriority <> '5-LOW'")]
+    src = f"{sf.rstrip('/')}/orders.parquet"
+    return stream_failure_summary(spark, src, table(spark, sf, "orders").schema, rules)
+
+
 QUERIES: dict[str, Query] = {
     "failure_summary": q_failure_summary,
     "checked_rows": q_checked_rows,
@@ -325,4 +334,5 @@ QUERIES: dict[str, Query] = {
     "review_sources": q_review_sources,
     "review_conversations": q_review_conversations,
     "stream_split_counts": q_stream_split_counts,
+    "stream_failure_summary": q_stream_failure_summary,
 }

@@ -379,6 +379,17 @@ UNION ALL SELECT NULL, NULL, NULL, NULL, NULL
     "review_secrets": secrets_sql(),
     "review_sources": review_sql("doc_id", "text", "documents"),
     "review_conversations": review_sql("conv_id * 1000 + turn", "text", "conversations"),
+    "stream_failure_summary": _summary(
+        "SELECT (o_orderstatus IS NULL) OR (o_orderstatus IN ('F', 'O')) AS "
+        + rn("o_orderstatus", "Should be one of ['F', 'O']", 0)
+        + ", (o_totalprice IS NULL) OR (o_totalprice > 1000) AS "
+        + rn("o_totalprice", "value must be greater than 1000", 1)
+        + ", o_orderpriority <> '5-LOW' AS " + rn("o_orderpriority", "sql: o_orderpriority <> '5-LOW'", 2)
+        + " FROM (SELECT trim(o_orderstatus) AS o_orderstatus, o_totalprice, trim(o_orderpriority) AS o_orderpriority"
+        " FROM orders) o",
+        [rn("o_orderstatus", "Should be one of ['F', 'O']", 0),
+         rn("o_totalprice", "value must be greater than 1000", 1),
+         rn("o_orderpriority", "sql: o_orderpriority <> '5-LOW'", 2)]),
     "stream_split_counts": """
 SELECT CASE WHEN COALESCE(NOT (o_orderstatus IN ('F', 'O')), false) OR COALESCE(NOT (o_totalprice > 1000), false)
             THEN 'invalid' ELSE 'valid' END AS split, count(*) AS records

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.sql import quote_ident
 from ..operators.checks import Check, active, apply_checks, compile_rules
 from ..operators.prepare import prepare
-from ..operators.report import any_failed, is_invalid
+from ..operators.report import any_failed, is_invalid, summary_from_counts
 
 BATCH_COLUMN = "_batch_id"
 
@@ -92,3 +92,20 @@ def validate_stream_files(spark: SparkSession, path: str, schema: T.StructType,
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+
+
+def stream_failure_summary(spark: SparkSession, path: str, schema: T.StructType, rules,
+                           query_name: str | None = None) -> DataFrame:
+    """Run a file stream to completion with a running failure count
+    (complete mode, one aggregate row kept by the memory sink) and return the
+    failure summary of everything read so far."""
+    import uuid
+
+    checked, checks = stream_checks(read_file_stream(spark, path, schema), rules)
+    name = query_name or f"rowgate_counts_{uuid.uuid4().hex[:8]}"
+    q = (running_failure_counts(checked, checks).writeStream.outputMode("complete").format("memory")
+         .queryName(name).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return summary_from_counts(spark.table(name), checks)

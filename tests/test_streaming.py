@@ -18,3 +18,17 @@ def test_unique_rejected_on_streams(spark):
     stream = read_file_stream(spark, src, spark.read.parquet(src).schema)
     with pytest.raises(ValueError):
         stream_checks(stream, [("o_orderkey", "bigint", "Must be unique")])
+
+
+def test_stream_failure_summary_matches_batch(spark):
+    from rowgate.operators.report import failure_summary
+    from rowgate.plans.runner import checked_frame
+    from rowgate.streaming.stream import stream_failure_summary
+    src = "/root/testdata/sf0.001/orders.parquet"
+    batch = spark.read.parquet(src)
+    rules = [("o_orderstatus", "string", "Should be one of ['F', 'O']"),
+             ("o_totalprice", "double", "value must be greater than 1000")]
+    got = [tuple(r) for r in stream_failure_summary(spark, src, batch.schema, rules).collect()]
+    checked, checks = checked_frame(batch, rules)
+    assert got == [tuple(r) for r in failure_summary(checked, checks).collect()]
+    assert len(got) >= 1
