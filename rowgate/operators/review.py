@@ -14,6 +14,17 @@ from pyspark.sql import DataFrame, functions as F
 # --- fixed values: the five coding standards, in their documented order ----
 STANDARDS = ("secrets", "parameters", "documentation", "performance", "error_handling")
 
+# Explanation per standard: (when failing, when passing).
+EXPLANATIONS = {
+    "secrets": ("hard-coded secret at line {line}; read it with dbutils.secrets.get", "no hard-coded secret"),
+    "parameters": ("literal storage path at line {line}; take it from dbutils.widgets.get",
+                   "no literal storage path"),
+    "documentation": ("needs # MAGIC %md cells and # comments", "markdown cells and comments present"),
+    "performance": ("collect/display/toPandas on a full frame at line {line}; add .limit(n)",
+                    "no unbounded collect or display"),
+    "error_handling": ("read or write at line {line} outside try/except", "reads and writes are guarded"),
+}
+
 # Patterns (Java regex and RE2 agree on all of them).
 SECRET_RE = r"(?i)(password|passwd|pwd|secret|token|api_?key|access_?key)\s*[:=]\s*[\"'][^\"']+"
 LITERAL_PATH_RE = r"[\"'](/(dbfs|mnt|Volumes|tmp|data|user|home)/|dbfs:/|s3a?://|abfss?://|gs://|wasbs?://|file:/)"
@@ -89,7 +100,7 @@ def file_stats(files: DataFrame, path: str = "path", text: str = "text") -> Data
 
 
 def review_sources(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """``(path, standard, verdict, hits, first_line, evidence)``.
+    """``(path, standard, verdict, hits, first_line, evidence, explanation)``.
 
     secrets         FAIL when a line assigns a quoted literal to a password/token/key name
     parameters      FAIL when a line holds a literal storage path (use widgets instead)
@@ -101,10 +112,15 @@ def review_sources(files: DataFrame, path: str = "path", text: str = "text") ->
     n = lambda f: F.col(f"n_{f}")
 
     def row(std, fail, hits, first_line, evidence):
+        fail_text, pass_text = EXPLANATIONS[std]
+        line = F.coalesce(first_line.cast("string"), F.lit("?"))
+        head, _, tail = fail_text.partition("{line}")
+        explanation = F.when(fail, F.concat(F.lit(head), line, F.lit(tail)) if "{line}" in fail_text
+                             else F.lit(fail_text)).otherwise(F.lit(pass_text))
         return F.struct(F.lit(std).alias("standard"),
                         F.when(fail, F.lit("FAIL")).otherwise(F.lit("PASS")).alias("verdict"),
                         hits.cast("long").alias("hits"), first_line.cast("int").alias("first_line"),
-                        evidence.cast("string").alias("evidence"))
+                        evidence.cast("string").alias("evidence"), explanation.alias("explanation"))
 
     io_fail = (n("is_io") > 0) & ((n("is_try") == 0) | (n("is_unguarded_io") > 0))
     io_line = F.coalesce(F.col("l_is_unguarded_io"), F.col("l_is_io"))

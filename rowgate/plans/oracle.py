@@ -12,6 +12,7 @@ import re
 
 from ..functions.fixed import EMAIL_REGEX
 from ..operators.review import (
+    EXPLANATIONS,
     ACTION_RE,
     COMMENT_RE,
     IO_RE,
@@ -249,6 +250,14 @@ FROM {source}
 """
 
 
+def _explain(standard: str, fail_sql: str, line_sql: str) -> str:
+    fail_text, pass_text = EXPLANATIONS[standard]
+    head, _, tail = fail_text.partition("{line}")
+    fail_expr = (f"{s(head)} || coalesce(CAST({line_sql} AS VARCHAR), '?') || {s(tail)}"
+                 if "{line}" in fail_text else s(fail_text))
+    return f"CASE WHEN {fail_sql} THEN {fail_expr} ELSE {s(pass_text)} END"
+
+
 def review_sql(path: str, text: str, source: str) -> str:
     lines = LINES.format(path=path, text=text, source=source)
     flags = {
@@ -271,17 +280,22 @@ WITH l AS ({lines}), f AS (SELECT path, line_no, line, {fl} FROM l),
 st AS (SELECT path, {aggs} FROM f GROUP BY path),
 io AS (SELECT *, (n_io > 0 AND (n_try = 0 OR n_unguarded_io > 0)) AS io_fail FROM st)
 SELECT path, 'secrets' AS standard, CASE WHEN n_secret > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict,
-       n_secret AS hits, l_secret AS first_line, e_secret AS evidence FROM io
+       n_secret AS hits, l_secret AS first_line, e_secret AS evidence,
+       {_explain("secrets", "n_secret > 0", "l_secret")} AS explanation FROM io
 UNION ALL SELECT path, 'parameters', CASE WHEN n_literal_path > 0 THEN 'FAIL' ELSE 'PASS' END,
-       n_literal_path, l_literal_path, e_literal_path FROM io
+       n_literal_path, l_literal_path, e_literal_path,
+       {_explain("parameters", "n_literal_path > 0", "l_literal_path")} FROM io
 UNION ALL SELECT path, 'documentation', CASE WHEN n_markdown > 0 AND n_comment > 0 THEN 'PASS' ELSE 'FAIL' END,
-       n_markdown + n_comment, NULL, NULL FROM io
+       n_markdown + n_comment, NULL, NULL,
+       {_explain("documentation", "NOT (n_markdown > 0 AND n_comment > 0)", "NULL")} FROM io
 UNION ALL SELECT path, 'performance', CASE WHEN n_full_action > 0 THEN 'FAIL' ELSE 'PASS' END,
-       n_full_action, l_full_action, e_full_action FROM io
+       n_full_action, l_full_action, e_full_action,
+       {_explain("performance", "n_full_action > 0", "l_full_action")} FROM io
 UNION ALL SELECT path, 'error_handling', CASE WHEN io_fail THEN 'FAIL' ELSE 'PASS' END,
        CASE WHEN io_fail THEN n_io ELSE 0 END,
        CASE WHEN io_fail THEN coalesce(l_unguarded_io, l_io) END,
-       CASE WHEN io_fail THEN coalesce(e_unguarded_io, e_io) END FROM io
+       CASE WHEN io_fail THEN coalesce(e_unguarded_io, e_io) END,
+       {_explain("error_handling", "io_fail", "coalesce(l_unguarded_io, l_io)")} FROM io
 """
 
 
