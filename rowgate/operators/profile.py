@@ -50,6 +50,7 @@ RSD = 0.05
 LOWCARD_SKETCH_LIMIT = 2 * IN_LIST_MAX_DISTINCT
 TOP_K = IN_LIST_MAX_DISTINCT + 1
 TOP_K_TRACKED = 64
+BATCH_COLUMNS = 48
 
 _SIMPLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -67,8 +68,20 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
-def _profile(df: DataFrame, rsd: float = RSD) -> list[dict]:
+def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS) -> list[dict]:
+    """Column statistics. Wide tables are profiled ``batch_columns`` columns
+    at a time: with a columnar source each batch reads only its own columns,
+    so every column is still read once, and each aggregation stays small
+    enough for whole-stage code generation."""
     fields = df.schema.fields
+    if len(fields) > batch_columns:
+        out = []
+        for start in range(0, len(fields), batch_columns):
+            names = [quote_ident(f.name) for f in fields[start:start + batch_columns]]
+            for st in _profile(df.select(*names), rsd, batch_columns):
+                st["position"] += start
+                out.append(st)
+        return out
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         c = F.col(quote_ident(f.name))
@@ -134,12 +147,13 @@ def _profile(df: DataFrame, rsd: float = RSD) -> list[dict]:
     return stats
 
 
-def profile_columns(df: DataFrame, rsd: float = RSD, prepared: bool = False) -> DataFrame:
+def profile_columns(df: DataFrame, rsd: float = RSD, prepared: bool = False,
+                    batch_columns: int = BATCH_COLUMNS) -> DataFrame:
     """D2-D5 per column: nulls, exact uniqueness, exact distinct count of
     string columns with at most 10 values, share of email-shaped values."""
     if not prepared:
         df = prepare(df)
-    stats = _profile(df, rsd)
+    stats = _profile(df, rsd, batch_columns)
     rows = [(s["position"], s["name"], s["type"], s["rows"], s["nulls"], s["unique"], s["distinct"],
              s["email_share"], s["values"]) for s in stats]
     return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
@@ -167,7 +181,8 @@ def suggestions_from_stats(stats: list[dict]) -> list[tuple[str, str, str]]:
     return unique_rows
 
 
-def suggest_rules(df: DataFrame, fraction: float | None = None, seed: int = 42, rsd: float = RSD) -> DataFrame:
+def suggest_rules(df: DataFrame, fraction: float | None = None, seed: int = 42, rsd: float = RSD,
+                  batch_columns: int = BATCH_COLUMNS) -> DataFrame:
     """Rules proposed from a table (or a ``fraction`` sample of it), in
     column order; per column: not null, unique, in-list, email.
 
@@ -176,5 +191,5 @@ def suggest_rules(df: DataFrame, fraction: float | None = None, seed: int = 42,
     """
     if fraction is not None:
         df = df.sample(fraction=fraction, seed=seed)
-    stats = _profile(prepare(df), rsd)
+    stats = _profile(prepare(df), rsd, batch_columns)
     return df.sparkSession.createDataFrame(suggestions_from_stats(stats), RULES_SCHEMA)

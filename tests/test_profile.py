@@ -66,3 +66,13 @@ def test_in_list_with_nulls_keeps_all_ten_values(spark):
     df = spark.createDataFrame(rows, "e string").repartition(6)
     got = [r[2] for r in rules_of(df) if r[2].startswith("Should be one of")]
     assert got == ["Should be one of [" + ", ".join(f"'v{i}'" for i in range(10)) + "]"]
+
+
+def test_column_batches_give_same_result(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    one = [tuple(r) for r in suggest_rules(df).collect()]
+    batched = [tuple(r) for r in suggest_rules(df, batch_columns=3).collect()]
+    assert one == batched
+    p1 = [tuple(r) for r in profile_columns(df).collect()]
+    p3 = [tuple(r) for r in profile_columns(df, batch_columns=4).collect()]
+    assert p1 == p3
