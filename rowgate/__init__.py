@@ -1,6 +1,6 @@
 """rowgate: rule-driven data quality on Spark DataFrames."""
 
-from .operators.checks import Check, active, apply_checks, compile_rules, compiled_rules
+from .operators.checks import Check, active, apply_checks, compile_rules, compiled_rules, expression_cache
 from .operators.prepare import prepare, strip_column_names, trim_strings
 from .operators.profile import profile_columns, suggest_rules
 from .operators.report import error_array, failure_counts, failure_summary, split_counts
@@ -14,7 +14,7 @@ from .sources.tables import load_table, preview, write_frame
 
 __all__ = [
     "Check", "ValidationResult", "active", "apply_checks", "checked_frame", "compile_rules", "compiled_rules",
-    "error_array", "export_rules", "failure_counts", "failure_summary", "invalid_rows", "invalid_split",
+    "error_array", "expression_cache", "export_rules", "failure_counts", "failure_summary", "invalid_rows", "invalid_split",
     "load_rules", "load_table", "prepare", "preview", "profile_columns", "read_sample", "review_sources",
     "rule_stats", "rules_frame", "run_validation", "run_validation_single_pass", "sample_rows", "secret_lines", "source_lines", "split_counts",
     "split_rows", "strip_column_names", "suggest_rules", "trim_strings", "unique_flag", "valid_split",

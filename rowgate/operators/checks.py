@@ -221,3 +221,21 @@ def compiled_rules(spark: SparkSession, checks: list[Check]) -> DataFrame:
     rows = [(i, c.name, c.kind, c.column_name, c.data_type, c.rule, c.expression, c.error)
             for i, c in enumerate(checks)]
     return spark.createDataFrame(rows, schema)
+
+
+def expression_cache(compiled: DataFrame) -> Translator:
+    """A translator backed by a compiled-rules table (B3), e.g. one saved with
+    ``compiled_rules(...).write`` and completed by hand for rule texts the
+    grammar does not know: ``(column, type, rule) -> expression``. The table
+    holds one row per rule, so it is collected once."""
+    rows = (compiled.where(F.col("expression").isNotNull() & F.col("error").isNull() & (F.col("kind") == "rule"))
+            .select("column_name", "data_type", "rule", "expression").collect())
+    table = {(r.column_name, normalize_type(r.data_type), r.rule): r.expression for r in rows}
+
+    def translate(column: str, data_type: str, rule: str) -> str:
+        key = (column, normalize_type(data_type), rule)
+        if key not in table:
+            raise RuleSyntaxError(f"no cached expression for {key}")
+        return table[key]
+
+    return translate

@@ -76,3 +76,18 @@ def test_single_projection(spark):
     checks = compile_rules([("age", "int", "Not Null"), ("email", "string", "Not Null")], df)
     plan = apply_checks(df, checks)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Project") == 1
+
+
+def test_compiled_table_works_as_expression_cache(spark, tmp_path):
+    from rowgate.operators.checks import expression_cache
+    df = frame(spark)
+    rules = [("status", "string", "looks like a status")]
+    first = compile_rules(rules, df)
+    assert first[-1].error is not None
+    table = compiled_rules(spark, first).toPandas()
+    table.loc[table.check_name == first[-1].name, ["expression", "error"]] = ["`status` RLIKE '^[A-Z]{2,}$'", None]
+    path = str(tmp_path / "compiled")
+    spark.createDataFrame(table, compiled_rules(spark, first).schema).write.parquet(path)
+    cached = compile_rules(rules, df, translator=expression_cache(spark.read.parquet(path)))
+    assert all(c.ok for c in cached)
+    assert apply_checks(df, cached).where(f"NOT {cached[-1].name}").count() == 1  # 'X' passes, NULL -> NULL
