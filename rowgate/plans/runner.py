@@ -20,6 +20,7 @@ from ..operators.prepare import prepare
 from ..operators.report import SUMMARY_SCHEMA, is_invalid, summary_from_totals
 from ..operators.split import invalid_split, valid_split
 from ..sources.tables import write_frame
+from .shared import scratch_scope
 
 
 @dataclass
@@ -44,7 +45,7 @@ def checked_frame(df: DataFrame, rules, translator: Translator | None = None, st
     return apply_checks(prepared, checks, **unique_options), checks
 
 
-def run_validation_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
+def _run_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
                                translator: Translator | None = None, strip: bool = True, trim: bool = True,
                                **unique_options) -> ValidationResult:
     """F9 in one scan and one write job: every row is written once under
@@ -70,7 +71,7 @@ def run_validation_single_pass(df: DataFrame, rules, output_path: str, fmt: str
                             f"{output_path}/split=valid", f"{output_path}/split=invalid")
 
 
-def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt: str = "parquet",
+def _run_two_outputs(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt: str = "parquet",
                    translator: Translator | None = None, strip: bool = True, trim: bool = True,
                    rebalance_invalid: bool = True, **unique_options) -> ValidationResult:
     """prepare, check, summarise, split and write.
@@ -114,3 +115,22 @@ def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt
     failed = [int(inv[f"f{i}"]) for i in range(len(usable))]
     return ValidationResult(checks, summary_from_totals(spark, usable, total, failed), int(v["rows"]),
                             int(inv["rows"]), valid_path, invalid_path)
+
+
+def run_validation_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
+                               translator: Translator | None = None, strip: bool = True, trim: bool = True,
+                               **unique_options) -> ValidationResult:
+    with scratch_scope(df.sparkSession):
+        return _run_single_pass(df, rules, output_path, fmt, translator, strip, trim, **unique_options)
+
+
+def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt: str = "parquet",
+                   translator: Translator | None = None, strip: bool = True, trim: bool = True,
+                   rebalance_invalid: bool = True, **unique_options) -> ValidationResult:
+    with scratch_scope(df.sparkSession):
+        return _run_two_outputs(df, rules, valid_path, invalid_path, fmt, translator, strip, trim,
+                                rebalance_invalid, **unique_options)
+
+
+run_validation_single_pass.__doc__ = _run_single_pass.__doc__
+run_validation.__doc__ = _run_two_outputs.__doc__

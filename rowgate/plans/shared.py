@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+_SCOPE: contextvars.ContextVar[list | None] = contextvars.ContextVar("rowgate_scratch", default=None)
+
 
 def _context_dir(spark: SparkSession) -> str | None:
     try:
@@ -47,8 +51,37 @@ def materialize(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame,
     upstream, and ``metrics`` (aggregate columns) are observed during that
     single write, so sizes are known without another pass."""
     path = scratch_path(df.sparkSession, name)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     obs = Observation(f"rowgate_{name}_{uuid.uuid4().hex[:8]}")
     target = df.observe(obs, *metrics) if metrics else df
     target.write.mode("overwrite").parquet(path)
     values = obs.get if metrics else {}
     return df.sparkSession.read.schema(df.schema).parquet(path), values
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Recursively delete ``path`` through the Hadoop FileSystem of the
+    session (works for HDFS, S3A, ABFS, local). False when not possible."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(hpath.getFileSystem(conf).delete(hpath, True))
+    except Exception:  # e.g. Spark Connect: no JVM on the client
+        return False
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables materialized inside the block are deleted when it ends (use it
+    around work that is fully finished by then, e.g. writes)."""
+    created: list[str] = []
+    token = _SCOPE.set(created)
+    try:
+        yield created
+    finally:
+        _SCOPE.reset(token)
+        for path in created:
+            delete_path(spark, path)

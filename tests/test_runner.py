@@ -52,3 +52,14 @@ def test_read_sample_null_tokens(spark, tmp_path):
     df = read_sample(spark, str(p), null_tokens=["NA", "null"])
     assert [r.name for r in df.orderBy("id").collect()] == ["a", None, None]
     assert dict(df.dtypes)["id"] == "int"
+
+
+def test_scratch_tables_are_removed_after_a_run(spark, tmp_path):
+    import glob
+    from rowgate.plans.shared import shared_dir
+    base = shared_dir(spark).replace("file:", "")
+    before = set(glob.glob(f"{base}/rowgate-dupkeys-*"))
+    df = spark.createDataFrame([(1,), (1,), (2,)], "id int")
+    res = run_validation(df, [("id", "int", "Must be unique")], str(tmp_path / "v"), str(tmp_path / "i"))
+    assert res.invalid_count == 2
+    assert set(glob.glob(f"{base}/rowgate-dupkeys-*")) == before
