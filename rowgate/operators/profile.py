@@ -89,7 +89,8 @@ def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS
         if isinstance(f.dataType, _SIMPLE):
             aggs.append(F.approx_count_distinct(c, rsd).alias(f"ad{i}"))
         if isinstance(f.dataType, T.StringType):
-            aggs.append(F.count_if(c.rlike(EMAIL_REGEX)).alias(f"em{i}"))
+            # the pattern needs an "@": a cheap contains() spares most rows the regex
+            aggs.append(F.count_if(c.contains("@") & c.rlike(EMAIL_REGEX)).alias(f"em{i}"))
             aggs.append(F.expr(f"approx_top_k({quote_ident(f.name)}, {TOP_K}, {TOP_K_TRACKED})").alias(f"tk{i}"))
         if isinstance(f.dataType, _INTEGRAL):
             aggs += [F.min(c).cast("decimal(38,0)").alias(f"mn{i}"), F.max(c).cast("decimal(38,0)").alias(f"mx{i}")]

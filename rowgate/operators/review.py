@@ -68,7 +68,7 @@ def flag_lines(lines: DataFrame) -> DataFrame:
     quoted_path = (line.contains('"') | line.contains("'")) & line.contains("/")
     return lines.select(
         "path", "line_no", "line",
-        (_any(low, SECRET_WORDS) & (line.contains("=") | line.contains(":")) & line.rlike(SECRET_RE))
+        ((line.contains("=") | line.contains(":")) & _any(low, SECRET_WORDS) & line.rlike(SECRET_RE))
         .alias("is_secret"),
         (quoted_path & line.rlike(LITERAL_PATH_RE)).alias("is_literal_path"),
         line.contains("dbutils.widgets.get").alias("is_widget"),
