@@ -197,12 +197,14 @@ def apply_checks(df: DataFrame, checks: list[Check], **unique_options) -> DataFr
     built by a single projection (uniqueness flags first come from joins)."""
     checks = active(checks)
     out = df
+    flag_of: dict[str, str] = {}  # one uniqueness computation per column
     for c in checks:
-        if c.kind == "unique":
+        if c.kind == "unique" and c.column_name not in flag_of:
+            flag_of[c.column_name] = c.name
             out = unique_flag(out, c.column_name, c.name, **unique_options)
     cols = [F.col(quote_ident(c)) for c in df.columns]
-    cols += [F.col(quote_ident(c.name)) if c.kind == "unique" else F.expr(c.expression).alias(c.name)
-             for c in checks]
+    cols += [F.col(quote_ident(flag_of[c.column_name])).alias(c.name) if c.kind == "unique"
+             else F.expr(c.expression).alias(c.name) for c in checks]
     return out.select(*cols)
 
 

@@ -112,6 +112,19 @@ def q_rule_text(spark, sf):
     ], ["p_partkey"])
 
 
+def q_rule_documents(spark, sf):
+    """Rules over whole texts of ``documents``."""
+    d = table(spark, sf, "documents")
+    return _rule_columns(d, [
+        ("text", "string", "sql: length(text) = n_chars"),
+        ("text", "string", "length at most 20000"),
+        ("lang", "string", "Should be one of ['de', 'en', 'fr']"),
+        ("text", "string", "sql: NOT (text RLIKE '[0-9]{3}-[0-9]{4}')"),
+        ("doc_id", "bigint", "Must be unique"),
+        ("doc_id", "bigint", "unique"),
+    ], ["doc_id"])
+
+
 def q_rule_unique(spark, sf):
     d = trim_strings(dirty(spark, sf))
     return _rule_columns(d, [("id", "bigint", "Must be unique")], ["id", "email"])
@@ -306,6 +319,7 @@ QUERIES: dict[str, Query] = {
     "rule_sql": q_rule_sql,
     "rule_text": q_rule_text,
     "rule_unique": q_rule_unique,
+    "rule_documents": q_rule_documents,
     "unique_orderkey": q_unique_orderkey,
     "unique_orderkey_salted": q_unique_orderkey_salted,
     "unique_custkey_orders": q_unique_custkey_orders,

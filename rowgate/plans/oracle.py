@@ -353,6 +353,13 @@ ORACLE: dict[str, str] = {
         ("p_size", "positive", "(p_size IS NULL) OR (p_size > 0)"),
         ("p_retailprice", "in range 950 to 1800", "(p_retailprice IS NULL) OR (p_retailprice BETWEEN 950 AND 1800)"),
         ("p_name", "not empty", "(p_name IS NULL) OR (trim(p_name) <> '')")], "part"),
+    "rule_documents": _rules_sql("doc_id", [
+        ("text", "sql: length(text) = n_chars", "length(text) = n_chars"),
+        ("text", "length at most 20000", "(text IS NULL) OR (length(text) <= 20000)"),
+        ("lang", "Should be one of ['de', 'en', 'fr']", "(lang IS NULL) OR (lang IN ('de', 'en', 'fr'))"),
+        ("text", "sql: NOT (text RLIKE '[0-9]{3}-[0-9]{4}')", "NOT regexp_matches(text, '[0-9]{3}-[0-9]{4}')"),
+        ("doc_id", "Must be unique", "(doc_id IS NULL) OR (COUNT(*) OVER (PARTITION BY doc_id) = 1)"),
+        ("doc_id", "unique", "(doc_id IS NULL) OR (COUNT(*) OVER (PARTITION BY doc_id) = 1)")], "documents"),
     "rule_unique": _rules_sql("id, email", [
         ("id", "Must be unique", "(id IS NULL) OR (COUNT(*) OVER (PARTITION BY id) = 1)")], DT),
     "unique_orderkey": "SELECT l_orderkey, l_linenumber, (l_orderkey IS NULL) OR "
