@@ -219,8 +219,8 @@ def q_trim_strings(spark, sf):
 
 
 def q_strip_names(spark, sf):
-    n = table(spark, sf, "nation")
-    padded = n.toDF(*[f"  {c} " for c in n.columns])
+    o = table(spark, sf, "orders")
+    padded = o.toDF(*[f"  {c} " for c in o.columns])
     return strip_column_names(padded)
 
 

@@ -379,7 +379,7 @@ ORACLE: dict[str, str] = {
     "run_validation_outputs": f"SELECT CASE WHEN {ANY_FALSE} THEN 'invalid' ELSE 'valid' END AS split, "
                               f"count(*) AS records, count(id) AS ids FROM ({CHECKED}) c GROUP BY 1",
     "trim_strings": f"SELECT * FROM ({DIRTY_TRIMMED}) t",
-    "strip_names": "SELECT * FROM nation",
+    "strip_names": "SELECT * FROM orders",
     "suggest_rules": suggest_sql("customer"),
     "suggest_rules_orders": suggest_sql("orders"),
     "suggest_rules_lineitem": suggest_sql("lineitem"),
