@@ -91,3 +91,20 @@ def test_compiled_table_works_as_expression_cache(spark, tmp_path):
     cached = compile_rules(rules, df, translator=expression_cache(spark.read.parquet(path)))
     assert all(c.ok for c in cached)
     assert apply_checks(df, cached).where(f"NOT {cached[-1].name}").count() == 1  # 'X' passes, NULL -> NULL
+
+
+def test_decimal_and_date_rules(spark):
+    df = spark.createDataFrame([("12.345", "2024-02-01"), ("abc", "2023-12-31"), ("999999999.5", "not a date")],
+                               "amount string, d string")
+    rules = [("amount", "decimal(10,2)", "at most 1000"), ("d", "date", "after '2024-01-01'"),
+             ("d", "date", "valid date")]
+    checks = compile_rules(rules, df)
+    assert all(c.ok for c in checks), [c.error for c in checks]
+    rows = {r.amount: r for r in apply_checks(df, checks).collect()}
+    assert rows["12.345"]["amount_type_ok"] is True and rows["abc"]["amount_type_ok"] is False
+    assert rows["999999999.5"]["amount_type_ok"] is False  # does not fit decimal(10,2)
+    assert rows["12.345"]["amount_at_most_1000_0_ok"] is True
+    assert rows["12.345"]["d_after__2024_01_01__1_ok"] is True
+    assert rows["abc"]["d_after__2024_01_01__1_ok"] is False
+    assert rows["999999999.5"]["d_after__2024_01_01__1_ok"] is None
+    assert rows["12.345"]["d_valid_date_2_ok"] is True  # same type as declared: left to the type check
