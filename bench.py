@@ -47,7 +47,7 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("rowgate-bench")
-             .config("spark.sql.shuffle.partitions", str(int(cpus) * 2))
+             .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(int(cpus) * 2)))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
