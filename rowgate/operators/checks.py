@@ -99,7 +99,7 @@ def _analyze_all(df: DataFrame, sqls: list[str]) -> list[str | None]:
     if not sqls:
         return []
     try:
-        schema = df.select(*[F.expr(q).alias(f"__rg_{i}") for i, q in enumerate(sqls)]).schema
+        schema = df.selectExpr(*[f"({q}) AS __rg_{i}" for i, q in enumerate(sqls)]).schema
         types = [schema[f"__rg_{i}"].dataType for i in range(len(sqls))]
     except PySparkException as e:  # parse and analysis errors
         if len(sqls) == 1:
@@ -202,10 +202,10 @@ def apply_checks(df: DataFrame, checks: list[Check], **unique_options) -> DataFr
         if c.kind == "unique" and c.column_name not in flag_of:
             flag_of[c.column_name] = c.name
             out = unique_flag(out, c.column_name, c.name, **unique_options)
-    cols = [F.col(quote_ident(c)) for c in df.columns]
-    cols += [F.col(quote_ident(flag_of[c.column_name])).alias(c.name) if c.kind == "unique"
-             else F.expr(c.expression).alias(c.name) for c in checks]
-    return out.select(*cols)
+    cols = [quote_ident(c) for c in df.columns]
+    cols += [f"{quote_ident(flag_of[c.column_name])} AS {quote_ident(c.name)}" if c.kind == "unique"
+             else f"({c.expression}) AS {quote_ident(c.name)}" for c in checks]
+    return out.selectExpr(*cols)
 
 
 def compiled_rules(spark: SparkSession, checks: list[Check]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..functions.sql import quote_ident
@@ -31,13 +31,13 @@ def trim_strings(df: DataFrame) -> DataFrame:
     cols = []
     changed = False
     for f in df.schema.fields:
-        c = F.col(quote_ident(f.name))
+        c = quote_ident(f.name)
         if isinstance(f.dataType, T.StringType):
-            cols.append(F.trim(c).alias(f.name))
+            cols.append(f"trim({c}) AS {c}")
             changed = True
         else:
             cols.append(c)
-    return df.select(*cols) if changed else df
+    return df.selectExpr(*cols) if changed else df
 
 
 def prepare(df: DataFrame, strip: bool = True, trim: bool = True) -> DataFrame:

@@ -41,7 +41,7 @@ from ..functions.fixed import (
     RULE_UNIQUE,
 )
 from ..functions.grammar import format_value_list
-from ..functions.sql import quote_ident
+from ..functions.sql import quote_ident, quote_str
 from ..functions.types import type_label
 from ..sources.rules_io import RULES_SCHEMA
 from .prepare import prepare
@@ -82,19 +82,20 @@ def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS
                 st["position"] += start
                 out.append(st)
         return out
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+    # SQL text, handed over in one call (same plan as Column objects)
+    aggs = ["count(1) AS __rows"]
     for i, f in enumerate(fields):
-        c = F.col(quote_ident(f.name))
-        aggs.append(F.count(c).alias(f"nn{i}"))
+        c = quote_ident(f.name)
+        aggs.append(f"count({c}) AS nn{i}")
         if isinstance(f.dataType, _SIMPLE):
-            aggs.append(F.approx_count_distinct(c, rsd).alias(f"ad{i}"))
+            aggs.append(f"approx_count_distinct({c}, {rsd}) AS ad{i}")
         if isinstance(f.dataType, T.StringType):
             # the pattern needs an "@": a cheap contains() spares most rows the regex
-            aggs.append(F.count_if(c.contains("@") & c.rlike(EMAIL_REGEX)).alias(f"em{i}"))
-            aggs.append(F.expr(f"approx_top_k({quote_ident(f.name)}, {TOP_K}, {TOP_K_TRACKED})").alias(f"tk{i}"))
+            aggs.append(f"count_if(contains({c}, '@') AND {c} RLIKE {quote_str(EMAIL_REGEX)}) AS em{i}")
+            aggs.append(f"approx_top_k({c}, {TOP_K}, {TOP_K_TRACKED}) AS tk{i}")
         if isinstance(f.dataType, _INTEGRAL):
-            aggs += [F.min(c).cast("decimal(38,0)").alias(f"mn{i}"), F.max(c).cast("decimal(38,0)").alias(f"mx{i}")]
-    wide = df.agg(*aggs).first()
+            aggs += [f"CAST(min({c}) AS DECIMAL(38,0)) AS mn{i}", f"CAST(max({c}) AS DECIMAL(38,0)) AS mx{i}"]
+    wide = df.selectExpr(*aggs).first()
     rows = int(wide["__rows"])
 
     stats = []
@@ -124,8 +125,7 @@ def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS
 
     exact = [s for s in stats if s["unique_cand"] or s["low_cand"]]
     if exact:
-        aggs = [F.count_distinct(F.col(quote_ident(s["name"]))).alias(f"d{s['position']}") for s in exact]
-        row = df.agg(*aggs).first()
+        row = df.selectExpr(*[f"count(DISTINCT {quote_ident(s['name'])}) AS d{s['position']}" for s in exact]).first()
         for s in exact:
             d = int(row[f"d{s['position']}"])
             if s["unique_cand"]:

@@ -1,5 +1,10 @@
 """Results: per-row error arrays (F1), failure counts and summary (F3/F4),
-split counts (F7)."""
+split counts (F7).
+
+Expressions over many checks are written as Spark SQL text and handed over
+in one call (``selectExpr`` / ``F.expr``): Catalyst builds the same plan as
+with ``Column`` objects, without one Python-to-JVM round trip per column.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import ERROR_MESSAGE
+from ..functions.sql import quote_ident, quote_str
 from .checks import Check, active
 
 
+def _false(check: Check) -> str:
+    return f"({quote_ident(check.name)} = false)"
+
+
 def error_message(check: Check) -> str:
     rule = check.rule if check.kind != "type" else f"castable to {check.data_type}"
     return ERROR_MESSAGE.format(column=check.column_name, rule=rule)
@@ -20,34 +30,34 @@ def error_message(check: Check) -> str:
 def error_array(checks: list[Check]) -> Column:
     """messages of the checks that are explicitly false, in check order;
     a NULL check is not an error. Always ``array<string>``."""
-    parts = [F.when(c.column == F.lit(False), F.lit(error_message(c))) for c in active(checks)]
+    parts = [f"CASE WHEN {_false(c)} THEN {quote_str(error_message(c))} END" for c in active(checks)]
     if not parts:
         return F.array().cast(T.ArrayType(T.StringType()))
-    return F.array_compact(F.array(*parts))
+    return F.expr(f"array_compact(array({', '.join(parts)}))")
 
 
 def failure_counts(checked: DataFrame, checks: list[Check]) -> DataFrame:
     """one row, ``total_records`` plus one failure count per check (one
     aggregation pass; NULL checks are not failures)."""
-    return checked.agg(F.count(F.lit(1)).alias("total_records"),
-                       *[F.count_if(c.column == F.lit(False)).alias(c.name) for c in active(checks)])
+    return checked.selectExpr("count(1) AS total_records",
+                              *[f"count_if({_false(c)}) AS {quote_ident(c.name)}" for c in active(checks)])
 
 
 def summary_from_counts(counts: DataFrame, checks: list[Check]) -> DataFrame:
-    """Long form of F3: ``(check, failed_records, failure_rate_pct)`` for
+    """Long form of F3: ``(check_name, failed_records, failure_rate_pct)`` for
     checks with at least one failure, in check order; empty for an empty
-    table. Stays on the executors (``unpivot``), no driver loop."""
+    table. Stays on the executors: the one-row aggregate is exploded with
+    ``inline`` (its single partition keeps the array's check order, so no
+    sort is needed)."""
     checks = active(checks)
     if not checks:
-        return counts.sparkSession.createDataFrame(
-            [], "check_name string, failed_records bigint, failure_rate_pct double")
-    order = F.create_map(*[x for i, c in enumerate(checks) for x in (F.lit(c.name), F.lit(i))])
-    long = counts.unpivot("total_records", [c.name for c in checks], "check_name", "failed_records")
-    return (long.where((F.col("total_records") > 0) & (F.col("failed_records") > 0))
-            .orderBy(order[F.col("check_name")])
-            .select("check_name", F.col("failed_records").cast("long").alias("failed_records"),
-                    F.round(F.col("failed_records") / F.col("total_records") * 100, 2)
-                    .cast("double").alias("failure_rate_pct")))
+        return counts.sparkSession.createDataFrame([], SUMMARY_SCHEMA)
+    entries = ", ".join(f"named_struct('check_name', {quote_str(c.name)}, "
+                        f"'failed_records', CAST({quote_ident(c.name)} AS BIGINT))" for c in checks)
+    return (counts.selectExpr("total_records", f"inline(array({entries}))")
+            .where("total_records > 0 AND failed_records > 0")
+            .selectExpr("check_name", "failed_records",
+                        "CAST(round(failed_records / total_records * 100, 2) AS DOUBLE) AS failure_rate_pct"))
 
 
 SUMMARY_SCHEMA = "check_name string, failed_records bigint, failure_rate_pct double"
@@ -76,13 +86,10 @@ def failure_summary(checked: DataFrame, checks: list[Check]) -> DataFrame:
 def any_failed(checks: list[Check]) -> Column:
     """OR of ``check = false``: true when some check failed, NULL when none
     failed but some check was NULL, false otherwise."""
-    conds = [c.column == F.lit(False) for c in active(checks)]
+    conds = [_false(c) for c in active(checks)]
     if not conds:
         return F.lit(False)
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
+    return F.expr(" OR ".join(conds))
 
 
 def is_invalid(checks: list[Check]) -> Column:

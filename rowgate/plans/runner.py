@@ -62,7 +62,7 @@ def _run_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet
     obs = Observation("rowgate_split")
     out = checked.select("*", split).observe(
         obs, F.count_if(F.col("split") == "valid").alias("valid"), F.count_if(F.col("split") == "invalid").alias("invalid"),
-        *[F.count_if(c.column == F.lit(False)).alias(f"f{i}") for i, c in enumerate(usable)])
+        *[F.expr(f"count_if({quote_ident(c.name)} = false)").alias(f"f{i}") for i, c in enumerate(usable)])
     write_frame(out, output_path, fmt, partition_by="split")
     m = obs.get
     valid_n, invalid_n = int(m["valid"]), int(m["invalid"])
@@ -107,7 +107,8 @@ def _run_two_outputs(df: DataFrame, rules, valid_path: str, invalid_path: str, f
         invalid = invalid.hint("rebalance")
     invalid = (invalid
                .observe(obs_invalid, F.count(F.lit(1)).alias("rows"),
-                        *[F.count_if(c.column == F.lit(False)).alias(f"f{i}") for i, c in enumerate(usable)]))
+                        *[F.expr(f"count_if({quote_ident(c.name)} = false)").alias(f"f{i}")
+                          for i, c in enumerate(usable)]))
     write_frame(valid, valid_path, fmt)
     write_frame(invalid, invalid_path, fmt)
     v, inv = obs_valid.get, obs_invalid.get
