@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.sql import quote_ident, quote_str
+
 # --- fixed values: the five coding standards, in their documented order ----
 STANDARDS = ("secrets", "parameters", "documentation", "performance", "error_handling")
 
@@ -41,9 +43,9 @@ TOP_LEVEL_RE = r"^[^\s#]"
 
 def source_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """``(path, line_no, line)``: every line of every file, numbered from 1."""
-    return files.select(F.col(path).alias("path"),
-                        F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line")) \
-        .select("path", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
+    return (files.selectExpr(f"{quote_ident(path)} AS path",
+                             f"posexplode(split({quote_ident(text)}, '\\n', -1)) AS (pos, line)")
+            .selectExpr("path", "CAST(pos + 1 AS INT) AS line_no", "line"))
 
 
 # Literal substrings each pattern needs: a cheap ``contains`` test runs first
@@ -52,51 +54,64 @@ SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_k
 ACTION_WORDS = (".collect()", "display(", ".toPandas()")
 IO_WORDS = ("spark.read", ".write.", ".save(", ".saveAsTable(", "spark.table(", ".load(", ".insertInto(")
 
+FLAGS = ("secret", "literal_path", "widget", "markdown", "comment", "full_action", "io", "unguarded_io", "try")
+
+
+def _any(col: str, words) -> str:
+    return "(" + " OR ".join(f"contains({col}, {quote_str(w)})" for w in words) + ")"
+
 
-def _any(col, words) -> "F.Column":
-    out = None
-    for w in words:
-        c = col.contains(w)
-        out = c if out is None else (out | c)
-    return out
+def _rx(pattern: str) -> str:
+    return f"line RLIKE {quote_str(pattern)}"
+
+
+def flag_sql() -> dict[str, str]:
+    """Per-line flags as SQL text (one boolean expression per flag)."""
+    io = _any("line", IO_WORDS)
+    return {
+        "secret": f"(contains(line, '=') OR contains(line, ':')) AND {_any('lower(line)', SECRET_WORDS)} "
+                  f"AND {_rx(SECRET_RE)}",
+        "literal_path": f"(contains(line, '\"') OR contains(line, '\\'')) AND contains(line, '/') "
+                        f"AND {_rx(LITERAL_PATH_RE)}",
+        "widget": "contains(line, 'dbutils.widgets.get')",
+        "markdown": f"contains(line, '# MAGIC %md') AND {_rx(MARKDOWN_RE)}",
+        "comment": f"contains(line, '#') AND {_rx(COMMENT_RE)} AND NOT {_rx(NOT_COMMENT_RE)}",
+        "full_action": f"{_any('line', ACTION_WORDS)} AND {_rx(ACTION_RE)} AND NOT {_rx(LIMITED_RE)}",
+        "io": io,
+        "unguarded_io": f"{io} AND {_rx(TOP_LEVEL_RE)}",
+        "try": f"contains(line, 'try') AND {_rx(TRY_RE)}",
+    }
 
 
 def flag_lines(lines: DataFrame) -> DataFrame:
-    line = F.col("line")
-    low = F.lower(line)
-    io = _any(line, IO_WORDS)
-    quoted_path = (line.contains('"') | line.contains("'")) & line.contains("/")
-    return lines.select(
-        "path", "line_no", "line",
-        ((line.contains("=") | line.contains(":")) & _any(low, SECRET_WORDS) & line.rlike(SECRET_RE))
-        .alias("is_secret"),
-        (quoted_path & line.rlike(LITERAL_PATH_RE)).alias("is_literal_path"),
-        line.contains("dbutils.widgets.get").alias("is_widget"),
-        (line.contains("# MAGIC %md") & line.rlike(MARKDOWN_RE)).alias("is_markdown"),
-        (line.contains("#") & line.rlike(COMMENT_RE) & ~line.rlike(NOT_COMMENT_RE)).alias("is_comment"),
-        (_any(line, ACTION_WORDS) & line.rlike(ACTION_RE) & ~line.rlike(LIMITED_RE)).alias("is_full_action"),
-        io.alias("is_io"),
-        (io & line.rlike(TOP_LEVEL_RE)).alias("is_unguarded_io"),
-        (line.contains("try") & line.rlike(TRY_RE)).alias("is_try"),
-    )
+    return lines.selectExpr("path", "line_no", "line", *[f"{e} AS is_{k}" for k, e in flag_sql().items()])
 
 
 def secret_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """G2 findings: ``(path, line_no, line)`` of lines with a hard-coded secret."""
-    return source_lines(files, path, text).where(F.col("line").rlike(SECRET_RE))
-
-
-def _first(flag: str):
-    ln = F.when(F.col(flag), F.col("line_no"))
-    return [F.count_if(F.col(flag)).alias(f"n_{flag}"), F.min(ln).alias(f"l_{flag}"),
-            F.min_by(F.col("line"), ln).alias(f"e_{flag}")]
+    return source_lines(files, path, text).where(_rx(SECRET_RE))
 
 
 def file_stats(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    flags = ["is_secret", "is_literal_path", "is_widget", "is_markdown", "is_comment",
-             "is_full_action", "is_io", "is_unguarded_io", "is_try"]
-    return (flag_lines(source_lines(files, path, text)).groupBy("path")
-            .agg(*[x for f in flags for x in _first(f)]))
+    """Per file: count of flagged lines, first flagged line number and text
+    (``min_by``: one value, never a list)."""
+    aggs = [F.expr(x) for k in FLAGS for x in (
+        f"count_if(is_{k}) AS n_{k}",
+        f"min(CASE WHEN is_{k} THEN line_no END) AS l_{k}",
+        f"min_by(line, CASE WHEN is_{k} THEN line_no END) AS e_{k}")]
+    return flag_lines(source_lines(files, path, text)).groupBy("path").agg(*aggs)
+
+
+def _report_row(std: str, fail: str, hits: str, first_line: str, evidence: str) -> str:
+    fail_text, pass_text = EXPLANATIONS[std]
+    head, _, tail = fail_text.partition("{line}")
+    fail_expl = (f"concat({quote_str(head)}, coalesce(CAST({first_line} AS STRING), '?'), {quote_str(tail)})"
+                 if "{line}" in fail_text else quote_str(fail_text))
+    return (f"named_struct('standard', {quote_str(std)}, "
+            f"'verdict', CASE WHEN {fail} THEN 'FAIL' ELSE 'PASS' END, "
+            f"'hits', CAST({hits} AS BIGINT), 'first_line', CAST({first_line} AS INT), "
+            f"'evidence', CAST({evidence} AS STRING), "
+            f"'explanation', CASE WHEN {fail} THEN {fail_expl} ELSE {quote_str(pass_text)} END)")
 
 
 def review_sources(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -108,33 +123,15 @@ def review_sources(files: DataFrame, path: str = "path", text: str = "text") ->
     performance     FAIL on ``.collect()``/``display()``/``.toPandas()`` without ``.limit``/``take``/``head``
     error_handling  FAIL when reads/writes exist and no ``try:`` exists, or one sits at top level
     """
-    s = file_stats(files, path, text)
-    n = lambda f: F.col(f"n_{f}")
-
-    def row(std, fail, hits, first_line, evidence):
-        fail_text, pass_text = EXPLANATIONS[std]
-        line = F.coalesce(first_line.cast("string"), F.lit("?"))
-        head, _, tail = fail_text.partition("{line}")
-        explanation = F.when(fail, F.concat(F.lit(head), line, F.lit(tail)) if "{line}" in fail_text
-                             else F.lit(fail_text)).otherwise(F.lit(pass_text))
-        return F.struct(F.lit(std).alias("standard"),
-                        F.when(fail, F.lit("FAIL")).otherwise(F.lit("PASS")).alias("verdict"),
-                        hits.cast("long").alias("hits"), first_line.cast("int").alias("first_line"),
-                        evidence.cast("string").alias("evidence"), explanation.alias("explanation"))
-
-    io_fail = (n("is_io") > 0) & ((n("is_try") == 0) | (n("is_unguarded_io") > 0))
-    io_line = F.coalesce(F.col("l_is_unguarded_io"), F.col("l_is_io"))
-    io_evidence = F.coalesce(F.col("e_is_unguarded_io"), F.col("e_is_io"))
-    docs_ok = (n("is_markdown") > 0) & (n("is_comment") > 0)
-    rows = F.array(
-        row("secrets", n("is_secret") > 0, n("is_secret"), F.col("l_is_secret"), F.col("e_is_secret")),
-        row("parameters", n("is_literal_path") > 0, n("is_literal_path"), F.col("l_is_literal_path"),
-            F.col("e_is_literal_path")),
-        row("documentation", ~docs_ok, n("is_markdown") + n("is_comment"),
-            F.lit(None), F.lit(None)),
-        row("performance", n("is_full_action") > 0, n("is_full_action"), F.col("l_is_full_action"),
-            F.col("e_is_full_action")),
-        row("error_handling", io_fail, F.when(io_fail, n("is_io")).otherwise(F.lit(0)),
-            F.when(io_fail, io_line), F.when(io_fail, io_evidence)),
-    )
-    return s.select("path", F.inline(rows))
+    io_fail = "(n_io > 0 AND (n_try = 0 OR n_unguarded_io > 0))"
+    rows = [
+        _report_row("secrets", "n_secret > 0", "n_secret", "l_secret", "e_secret"),
+        _report_row("parameters", "n_literal_path > 0", "n_literal_path", "l_literal_path", "e_literal_path"),
+        _report_row("documentation", "NOT (n_markdown > 0 AND n_comment > 0)", "n_markdown + n_comment",
+                    "NULL", "NULL"),
+        _report_row("performance", "n_full_action > 0", "n_full_action", "l_full_action", "e_full_action"),
+        _report_row("error_handling", io_fail, f"CASE WHEN {io_fail} THEN n_io ELSE 0 END",
+                    f"CASE WHEN {io_fail} THEN coalesce(l_unguarded_io, l_io) END",
+                    f"CASE WHEN {io_fail} THEN coalesce(e_unguarded_io, e_io) END"),
+    ]
+    return file_stats(files, path, text).selectExpr("path", f"inline(array({', '.join(rows)}))")
