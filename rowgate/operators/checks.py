@@ -99,7 +99,8 @@ def _analyze_all(df: DataFrame, sqls: list[str]) -> list[str | None]:
     if not sqls:
         return []
     try:
-        schema = df.selectExpr(*[f"({q}) AS __rg_{i}" for i, q in enumerate(sqls)]).schema
+        # newline before ")": a trailing "-- comment" in user SQL cannot swallow it
+        schema = df.selectExpr(*[f"({q}\n) AS __rg_{i}" for i, q in enumerate(sqls)]).schema
         types = [schema[f"__rg_{i}"].dataType for i in range(len(sqls))]
     except PySparkException as e:  # parse and analysis errors
         if len(sqls) == 1:
@@ -204,7 +205,7 @@ def apply_checks(df: DataFrame, checks: list[Check], **unique_options) -> DataFr
             out = unique_flag(out, c.column_name, c.name, **unique_options)
     cols = [quote_ident(c) for c in df.columns]
     cols += [f"{quote_ident(flag_of[c.column_name])} AS {quote_ident(c.name)}" if c.kind == "unique"
-             else f"({c.expression}) AS {quote_ident(c.name)}" for c in checks]
+             else f"({c.expression}\n) AS {quote_ident(c.name)}" for c in checks]
     return out.selectExpr(*cols)
 
 

@@ -108,3 +108,10 @@ def test_decimal_and_date_rules(spark):
     assert rows["abc"]["d_after__2024_01_01__1_ok"] is False
     assert rows["999999999.5"]["d_after__2024_01_01__1_ok"] is None
     assert rows["12.345"]["d_valid_date_2_ok"] is True  # same type as declared: left to the type check
+
+
+def test_sql_rule_with_trailing_comment(spark):
+    df = frame(spark)
+    checks = compile_rules([("id", "int", "sql: id > 1 -- ids start at 2")], df, type_checks=False)
+    assert checks[0].ok, checks[0].error
+    assert apply_checks(df, checks).where(f"{checks[0].name} = false").count() == 1
