@@ -25,7 +25,7 @@ from rowgate.operators.review import review_sources  # noqa: E402
 from rowgate.operators.unique import unique_flag  # noqa: E402
 from rowgate.plans.fixtures import DIRTY_RULES, dirty_customers  # noqa: E402
 from rowgate.plans.runner import checked_frame, run_validation, run_validation_single_pass  # noqa: E402
-from rowgate.plans.shared import ensure_checkpoint_dir, scratch_path  # noqa: E402
+from rowgate.plans.shared import delete_path, ensure_checkpoint_dir, scratch_path, scratch_scope  # noqa: E402
 
 WARMUP_DIR = "/root/testdata/sf0.001"
 
@@ -54,17 +54,23 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="rowgate-bench-ckpt-"))
 
+    outputs: list[str] = []
+
+    def out_dir():
+        outputs.append(scratch_path(spark, "bench"))
+        return outputs[-1]
+
     def q_validate_lineitem(t):
-        base = scratch_path(spark, "bench")
+        base = out_dir()
         res = run_validation(t("lineitem"), LINEITEM_RULES, f"{base}/valid", f"{base}/invalid")
         return res.summary.collect()
 
     def q_validate_lineitem_single_pass(t):
-        base = scratch_path(spark, "bench")
+        base = out_dir()
         return run_validation_single_pass(t("lineitem"), LINEITEM_RULES, f"{base}/out").summary.collect()
 
     def q_validate_dirty(t):
-        base = scratch_path(spark, "bench")
+        base = out_dir()
         res = run_validation(dirty_customers(t("customer")), DIRTY_RULES, f"{base}/valid", f"{base}/invalid")
         return res.summary.collect()
 
@@ -99,14 +105,22 @@ def main() -> None:
     only = [a for a in sys.argv[1:] if a in queries]
     chosen = {k: v for k, v in queries.items() if not only or k in only}
     reader = lambda d: (lambda n: spark.read.parquet(f"{d}/{n}.parquet"))
+    def tidy():  # outputs and scratch tables are removed outside the timed region
+        while outputs:
+            delete_path(spark, outputs.pop())
+
     if os.environ.get("BENCH_WARMUP", "1") != "0" and os.path.isdir(WARMUP_DIR):
         for fn in chosen.values():
-            fn(reader(WARMUP_DIR))
+            with scratch_scope(spark):
+                fn(reader(WARMUP_DIR))
+            tidy()
     times = {}
     for name, fn in chosen.items():
-        t0 = time.time()
-        fn(reader(sf))
-        times[name] = round(time.time() - t0, 3)
+        with scratch_scope(spark):
+            t0 = time.time()
+            fn(reader(sf))
+            times[name] = round(time.time() - t0, 3)
+        tidy()
     sf_name = os.path.basename(sf)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf_name.replace("sf", "") if sf_name.startswith("sf") else sf_name}))

@@ -8,6 +8,7 @@ from .operators.review import review_sources, secret_lines, source_lines
 from .operators.split import invalid_rows, invalid_split, split_rows, valid_split, with_errors
 from .operators.synth import sample_rows
 from .operators.unique import unique_flag
+from .plans.shared import scratch_scope
 from .plans.runner import ValidationResult, checked_frame, run_validation, run_validation_single_pass
 from .sources.rules_io import export_rules, load_rules, read_sample, rule_stats, rules_frame
 from .sources.tables import load_table, preview, write_frame
@@ -16,7 +17,7 @@ __all__ = [
     "Check", "ValidationResult", "active", "apply_checks", "checked_frame", "compile_rules", "compiled_rules",
     "error_array", "expression_cache", "export_rules", "failure_counts", "failure_summary", "invalid_rows", "invalid_split",
     "load_rules", "load_table", "prepare", "preview", "profile_columns", "read_sample", "review_sources",
-    "rule_stats", "rules_frame", "run_validation", "run_validation_single_pass", "sample_rows", "secret_lines", "source_lines", "split_counts",
+    "rule_stats", "rules_frame", "scratch_scope", "run_validation", "run_validation_single_pass", "sample_rows", "secret_lines", "source_lines", "split_counts",
     "split_rows", "strip_column_names", "suggest_rules", "trim_strings", "unique_flag", "valid_split",
     "with_errors", "write_frame",
 ]
