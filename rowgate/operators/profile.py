@@ -68,6 +68,16 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
+def _has_top_k(spark) -> bool:
+    """``approx_top_k`` exists from Spark 4.1; without it the bounded third
+    pass collects in-list values instead."""
+    try:
+        spark.range(1).selectExpr(f"approx_top_k(id, {TOP_K}, {TOP_K_TRACKED})").schema
+        return True
+    except Exception:
+        return False
+
+
 def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS) -> list[dict]:
     """Column statistics. Wide tables are profiled ``batch_columns`` columns
     at a time: with a columnar source each batch reads only its own columns,
@@ -83,6 +93,7 @@ def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS
                 out.append(st)
         return out
     # SQL text, handed over in one call (same plan as Column objects)
+    top_k = _has_top_k(df.sparkSession)
     aggs = ["count(1) AS __rows"]
     for i, f in enumerate(fields):
         c = quote_ident(f.name)
@@ -92,7 +103,8 @@ def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS
         if isinstance(f.dataType, T.StringType):
             # the pattern needs an "@": a cheap contains() spares most rows the regex
             aggs.append(f"count_if(contains({c}, '@') AND {c} RLIKE {quote_str(EMAIL_REGEX)}) AS em{i}")
-            aggs.append(f"approx_top_k({c}, {TOP_K}, {TOP_K_TRACKED}) AS tk{i}")
+            if top_k:
+                aggs.append(f"approx_top_k({c}, {TOP_K}, {TOP_K_TRACKED}) AS tk{i}")
         if isinstance(f.dataType, _INTEGRAL):
             aggs += [f"CAST(min({c}) AS DECIMAL(38,0)) AS mn{i}", f"CAST(max({c}) AS DECIMAL(38,0)) AS mx{i}"]
     wide = df.selectExpr(*aggs).first()
@@ -120,7 +132,7 @@ def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS
             if isinstance(f.dataType, T.StringType) and nn >= IN_LIST_MIN_DISTINCT and approx <= LOWCARD_SKETCH_LIMIT:
                 st["low_cand"] = True
         if isinstance(f.dataType, T.StringType):
-            st["top"] = [t["item"] for t in (wide[f"tk{i}"] or []) if t["item"] is not None]
+            st["top"] = [t["item"] for t in (wide[f"tk{i}"] or []) if t["item"] is not None] if top_k else []
         stats.append(st)
 
     exact = [s for s in stats if s["unique_cand"] or s["low_cand"]]

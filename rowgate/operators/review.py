@@ -89,7 +89,7 @@ def flag_lines(lines: DataFrame) -> DataFrame:
 
 def secret_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """G2 findings: ``(path, line_no, line)`` of lines with a hard-coded secret."""
-    return source_lines(files, path, text).where(_rx(SECRET_RE))
+    return source_lines(files, path, text).where(flag_sql()["secret"])
 
 
 def file_stats(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

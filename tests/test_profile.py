@@ -76,3 +76,11 @@ def test_column_batches_give_same_result(spark):
     p1 = [tuple(r) for r in profile_columns(df).collect()]
     p3 = [tuple(r) for r in profile_columns(df, batch_columns=4).collect()]
     assert p1 == p3
+
+
+def test_profile_without_top_k_sketch(spark, monkeypatch):
+    import rowgate.operators.profile as P
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    with_sketch = [tuple(r) for r in suggest_rules(df).collect()]
+    monkeypatch.setattr(P, "_has_top_k", lambda spark: False)
+    assert [tuple(r) for r in suggest_rules(df).collect()] == with_sketch
