@@ -46,8 +46,8 @@ def checked_frame(df: DataFrame, rules, translator: Translator | None = None, st
 
 
 def _run_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
-                               translator: Translator | None = None, strip: bool = True, trim: bool = True,
-                               **unique_options) -> ValidationResult:
+                     translator: Translator | None = None, strip: bool = True, trim: bool = True,
+                     split_column: str = "split", **unique_options) -> ValidationResult:
     """F9 in one scan and one write job: every row is written once under
     ``output_path/split=valid`` or ``output_path/split=invalid`` (original
     columns plus all check columns; on valid rows the checks are true or
@@ -57,23 +57,26 @@ def _run_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet
     checks = compile_rules(rules, prepared, translator=translator)
     usable = active(checks)
     spark = df.sparkSession
+    if split_column in prepared.columns:
+        raise ValueError(f"the source already has a column {split_column!r}; pass another split_column")
     checked = apply_checks(prepared, usable, **unique_options)
-    split = F.when(is_invalid(usable), F.lit("invalid")).otherwise(F.lit("valid")).alias("split")
+    split = F.when(is_invalid(usable), F.lit("invalid")).otherwise(F.lit("valid")).alias(split_column)
     obs = Observation("rowgate_split")
+    part = F.col(quote_ident(split_column))
     out = checked.select("*", split).observe(
-        obs, F.count_if(F.col("split") == "valid").alias("valid"), F.count_if(F.col("split") == "invalid").alias("invalid"),
+        obs, F.count_if(part == "valid").alias("valid"), F.count_if(part == "invalid").alias("invalid"),
         *[F.expr(f"count_if({quote_ident(c.name)} = false)").alias(f"f{i}") for i, c in enumerate(usable)])
-    write_frame(out, output_path, fmt, partition_by="split")
+    write_frame(out, output_path, fmt, partition_by=split_column)
     m = obs.get
     valid_n, invalid_n = int(m["valid"]), int(m["invalid"])
     failed = [int(m[f"f{i}"]) for i in range(len(usable))]
-    return ValidationResult(checks, summary_from_totals(spark, usable, valid_n + invalid_n, failed), valid_n, invalid_n,
-                            f"{output_path}/split=valid", f"{output_path}/split=invalid")
+    return ValidationResult(checks, summary_from_totals(spark, usable, valid_n + invalid_n, failed), valid_n,
+                            invalid_n, f"{output_path}/{split_column}=valid", f"{output_path}/{split_column}=invalid")
 
 
 def _run_two_outputs(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt: str = "parquet",
-                   translator: Translator | None = None, strip: bool = True, trim: bool = True,
-                   rebalance_invalid: bool = True, **unique_options) -> ValidationResult:
+                     translator: Translator | None = None, strip: bool = True, trim: bool = True,
+                     rebalance_invalid: bool = True, **unique_options) -> ValidationResult:
     """prepare, check, summarise, split and write.
 
     Valid rows are written with the original (stripped) columns; invalid rows
@@ -120,9 +123,10 @@ def _run_two_outputs(df: DataFrame, rules, valid_path: str, invalid_path: str, f
 
 def run_validation_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
                                translator: Translator | None = None, strip: bool = True, trim: bool = True,
-                               **unique_options) -> ValidationResult:
+                               split_column: str = "split", **unique_options) -> ValidationResult:
     with scratch_scope(df.sparkSession):
-        return _run_single_pass(df, rules, output_path, fmt, translator, strip, trim, **unique_options)
+        return _run_single_pass(df, rules, output_path, fmt, translator, strip, trim, split_column,
+                                **unique_options)
 
 
 def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt: str = "parquet",
