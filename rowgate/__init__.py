@@ -1,5 +1,7 @@
 """rowgate: rule-driven data quality on Spark DataFrames."""
 
+from .api import Validator, review_notebook
+
 from .operators.checks import Check, active, apply_checks, compile_rules, compiled_rules, expression_cache
 from .operators.prepare import prepare, strip_column_names, trim_strings
 from .operators.profile import profile_columns, suggest_rules
@@ -14,7 +16,7 @@ from .sources.rules_io import export_rules, load_rules, read_sample, rule_stats,
 from .sources.tables import load_table, preview, write_frame
 
 __all__ = [
-    "Check", "ValidationResult", "active", "apply_checks", "checked_frame", "compile_rules", "compiled_rules",
+    "Check", "ValidationResult", "Validator", "review_notebook", "active", "apply_checks", "checked_frame", "compile_rules", "compiled_rules",
     "error_array", "expression_cache", "export_rules", "failure_counts", "failure_summary", "invalid_rows", "invalid_split",
     "load_rules", "load_table", "prepare", "preview", "profile_columns", "read_sample", "review_sources",
     "rule_stats", "rules_frame", "scratch_scope", "run_validation", "run_validation_single_pass", "sample_rows", "secret_lines", "source_lines", "split_counts",
