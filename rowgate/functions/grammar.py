@@ -280,12 +280,15 @@ def parse_rule(text: str) -> Spec:
 
 
 def _lit(value: tuple, data_type: str) -> str:
+    """Literal of the comparison type. A value that cannot take that type
+    becomes NULL (``TRY_CAST``), so the check is NULL for every row instead
+    of failing the query under ANSI casts."""
     kind, text = value
-    if kind == "num":
+    if is_string_type(data_type):
+        return quote_str(text)
+    if is_numeric_type(data_type) and is_number(text):
         return text
-    if is_string_type(data_type) or is_numeric_type(data_type):
-        return quote_str(text) if not (is_numeric_type(data_type) and is_number(text)) else text
-    return f"CAST({quote_str(text)} AS {normalize_type(data_type).upper()})"
+    return f"TRY_CAST({quote_str(text)} AS {normalize_type(data_type).upper()})"
 
 
 def _typed(col_sql: str, col_type: str | None, data_type: str, values: tuple) -> str:
@@ -339,13 +342,14 @@ def to_sql(spec: Spec, col_sql: str, data_type: str, col_type: str | None = None
         target = spec.text
         if normalize_type(data_type) == target or (col_type is not None and normalize_type(col_type) == target):
             return "true"
-        return _guard(col_sql, f"TRY_CAST({col_sql} AS {target.upper()}) IS NOT NULL")
+        return _guard(col_sql, f"TRY_CAST({_as_string(col_sql, col_type)} AS {target.upper()}) IS NOT NULL")
     if k == "format":
         return _guard(col_sql, f"try_to_timestamp({_as_string(col_sql, col_type)}, {quote_str(spec.text)}) IS NOT NULL")
     if k == "number":
         if is_numeric_type(data_type):
             return "true"
-        return _guard(col_sql, f"TRY_CAST({col_sql} AS DOUBLE) IS NOT NULL")
+        # via the text form: castable from any atomic type
+        return _guard(col_sql, f"TRY_CAST({_as_string(col_sql, col_type)} AS DOUBLE) IS NOT NULL")
     if k == "in":
         typed = _typed(col_sql, col_type, data_type, spec.values)
         target = "double" if typed.endswith("AS DOUBLE)") else data_type

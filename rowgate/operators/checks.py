@@ -137,7 +137,7 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
 
     for i, row in enumerate(rows):
         column = row.get("column_name")
-        column = None if column is None else str(column)
+        column = None if column is None else str(column).strip()  # data names are stripped too (C1)
         data_type = normalize_type(row.get("data_type"))
         text = row.get("rule")
         text = None if text is None else str(text)

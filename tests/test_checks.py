@@ -115,3 +115,36 @@ def test_sql_rule_with_trailing_comment(spark):
     checks = compile_rules([("id", "int", "sql: id > 1 -- ids start at 2")], df, type_checks=False)
     assert checks[0].ok, checks[0].error
     assert apply_checks(df, checks).where(f"{checks[0].name} = false").count() == 1
+
+
+def test_grammar_output_always_analyses(spark):
+    import random
+
+    from rowgate.functions.grammar import RuleSyntaxError, parse_rule, to_sql
+    from rowgate.operators.checks import _analyze_all
+
+    words = ["must", "should", "be", "not", "null", "unique", "one", "of", "['A', 'B']", "[1, 2]", "greater",
+             "less", "than", "at", "least", "most", "between", "and", "5", "-2.5", "'x'", "valid", "email",
+             "number", "length", "positive", "'2024-01-01'", "=", ">=", "allowed", "values:", "date", "format",
+             "'yyyy-MM-dd'", "starts", "with", "contains", "match", "pattern", "'^a'", "empty", "required",
+             "after", "before", "integer", "characters"]
+    df = spark.createDataFrame([], "s string, i int, d double, t date, ts timestamp, b boolean")
+    rnd = random.Random(7)
+    sqls = []
+    for _ in range(3000):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6)))
+        try:
+            spec = parse_rule(text)
+        except RuleSyntaxError:
+            continue
+        for col, dtype in (("s", "string"), ("i", "int"), ("d", "double"), ("t", "date"), ("ts", "timestamp")):
+            try:
+                q = to_sql(spec, f"`{col}`", dtype, dtype)
+            except RuleSyntaxError:
+                continue
+            if q is not None:
+                sqls.append((text, dtype, q))
+    assert len(sqls) > 100
+    errors = _analyze_all(df, [q for _, _, q in sqls])
+    bad = [(t, d, q, e) for (t, d, q), e in zip(sqls, errors) if e]
+    assert not bad, bad[:5]

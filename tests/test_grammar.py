@@ -120,3 +120,28 @@ def test_null_and_castable_and_format_rules():
     assert sql("must be a valid integer", "n", "string") == "(`n` IS NULL) OR (TRY_CAST(`n` AS INT) IS NOT NULL)"
     assert sql("date format 'yyyy-MM-dd'", "d") == \
         "(`d` IS NULL) OR (try_to_timestamp(`d`, 'yyyy-MM-dd') IS NOT NULL)"
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+WORDS = ["must", "should", "be", "not", "null", "unique", "one", "of", "['A', 'B']", "greater", "less", "than",
+         "at", "least", "most", "between", "and", "5", "-2.5", "'x'", "valid", "email", "number", "length",
+         "positive", "sql:", "x > 1", "(", ")", "[", "]", "'", "\"", "=", ">=", "allowed", "values:", "date",
+         "format", "starts", "with", "contains", "match", "pattern", "empty", "required"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(WORDS), min_size=1, max_size=8))
+def test_grammar_never_crashes(words):
+    text = " ".join(words)
+    try:
+        spec = parse_rule(text)
+    except RuleSyntaxError:
+        return
+    for dtype in ("string", "int", "double", "date"):
+        try:
+            out = to_sql(spec, "`c`", dtype, dtype)
+        except RuleSyntaxError:
+            continue
+        assert out is None or isinstance(out, str)
