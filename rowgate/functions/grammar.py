@@ -53,6 +53,9 @@ _VALID_TYPE = re.compile(r"^(?:an?\s+)?(?:valid|proper|parsable|parseable)\s+"
                          r"(date|timestamp|datetime|integer|int|bigint|long|double|float|decimal|boolean|bool)"
                          r"(?:\s+value)?$", _I)
 _FORMAT = re.compile(r"^(?:in\s+)?(?:the\s+)?(?:(date|timestamp|datetime)\s+)?format\s*:?\s*(.+)$", _I)
+_TIME = re.compile(r"^(?:(?:a\s+)?date\s+)?(?:in\s+the\s+(past|future)|not\s+in\s+the\s+(future|past))$", _I)
+_SHAPE = re.compile(r"^(?:all\s+)?(upper\s*case|lower\s*case|alpha\s*numeric|digits\s+only|only\s+digits|"
+                    r"(?:a\s+)?valid\s+url)$", _I)
 _UNIQUE = re.compile(r"^(?:unique|distinct|no\s+duplicates?)(?:\s+values?)?$", _I)
 _EMAIL = re.compile(r"\be-?mail\b", _I)
 _NUMBER = re.compile(r"^(?:an?\s+)?(?:valid\s+)?(?:number|numeric(?:\s+value)?|numerical)$", _I)
@@ -214,6 +217,16 @@ def _parse_atom(text: str) -> Spec:
         return Spec("format", text=_unquote(m.group(2).strip()))
     if _NOT_EMPTY.match(core):
         return Spec("not_empty")
+    m = _TIME.match(core)
+    if m:
+        past = (m.group(1) or "").lower() == "past" or (m.group(2) or "").lower() == "future"
+        return Spec("cmp_now", op="<=" if past else ">")
+    m = _SHAPE.match(core)
+    if m:
+        word = re.sub(r"\s+", " ", m.group(1).lower())
+        shape = ("upper" if word.startswith("upper") else "lower" if word.startswith("lower")
+                 else "alnum" if word.startswith("alpha") else "url" if word.endswith("url") else "digits")
+        return Spec("shape", text=shape)
     m = _REGEX.match(core)
     if m:
         return Spec("regex", text=_unquote(m.group(1).strip()))
@@ -345,6 +358,15 @@ def to_sql(spec: Spec, col_sql: str, data_type: str, col_type: str | None = None
         return _guard(col_sql, f"TRY_CAST({_as_string(col_sql, col_type)} AS {target.upper()}) IS NOT NULL")
     if k == "format":
         return _guard(col_sql, f"try_to_timestamp({_as_string(col_sql, col_type)}, {quote_str(spec.text)}) IS NOT NULL")
+    if k == "cmp_now":
+        ts = f"TRY_CAST({_as_string(col_sql, col_type)} AS TIMESTAMP)"
+        return _guard(col_sql, f"{ts} {spec.op} current_timestamp()")
+    if k == "shape":
+        c = _as_string(col_sql, col_type)
+        cond = {"upper": f"{c} = upper({c})", "lower": f"{c} = lower({c})",
+                "alnum": f"{c} RLIKE '^[A-Za-z0-9]*$'", "digits": f"{c} RLIKE '^[0-9]+$'",
+                "url": f"{c} RLIKE '^https?://[^\\s/$.?#][^\\s]*$'"}[spec.text]
+        return _guard(col_sql, cond)
     if k == "number":
         if is_numeric_type(data_type):
             return "true"

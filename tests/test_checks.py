@@ -148,3 +148,13 @@ def test_grammar_output_always_analyses(spark):
     errors = _analyze_all(df, [q for _, _, q in sqls])
     bad = [(t, d, q, e) for (t, d, q), e in zip(sqls, errors) if e]
     assert not bad, bad[:5]
+
+
+def test_shape_rules_run(spark):
+    df = spark.createDataFrame([("ABC", "http://x.org/a", "2020-01-01"), ("aBc", "ftp://x", "2999-01-01")],
+                               "s string, u string, d string")
+    checks = compile_rules([("s", "string", "uppercase"), ("u", "string", "valid url"),
+                            ("d", "string", "not in the future")], df, type_checks=False)
+    rows = {r.s: r for r in apply_checks(df, checks).collect()}
+    assert [rows["ABC"][c.name] for c in checks] == [True, True, True]
+    assert [rows["aBc"][c.name] for c in checks] == [False, False, False]

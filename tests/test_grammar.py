@@ -145,3 +145,15 @@ def test_grammar_never_crashes(words):
         except RuleSyntaxError:
             continue
         assert out is None or isinstance(out, str)
+
+
+def test_time_and_shape_rules():
+    assert sql("must be in the past", "d", "date", "date") == \
+        "(`d` IS NULL) OR (TRY_CAST(CAST(`d` AS STRING) AS TIMESTAMP) <= current_timestamp())"
+    assert sql("not in the future", "d", "string") == \
+        "(`d` IS NULL) OR (TRY_CAST(`d` AS TIMESTAMP) <= current_timestamp())"
+    assert sql("date in the future", "d", "string").endswith("> current_timestamp())")
+    assert sql("uppercase") == "(`c` IS NULL) OR (`c` = upper(`c`))"
+    assert sql("should be lower case") == "(`c` IS NULL) OR (`c` = lower(`c`))"
+    assert sql("digits only") == "(`c` IS NULL) OR (`c` RLIKE '^[0-9]+$')"
+    assert sql("must be a valid url").startswith("(`c` IS NULL) OR (`c` RLIKE '^https?://")
