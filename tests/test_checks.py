@@ -127,7 +127,8 @@ def test_grammar_output_always_analyses(spark):
              "less", "than", "at", "least", "most", "between", "and", "5", "-2.5", "'x'", "valid", "email",
              "number", "length", "positive", "'2024-01-01'", "=", ">=", "allowed", "values:", "date", "format",
              "'yyyy-MM-dd'", "starts", "with", "contains", "match", "pattern", "'^a'", "empty", "required",
-             "after", "before", "integer", "characters"]
+             "after", "before", "integer", "characters", "in the past", "not in the future", "uppercase",
+             "digits only", "valid url", "alphanumeric", "must be null"]
     df = spark.createDataFrame([], "s string, i int, d double, t date, ts timestamp, b boolean")
     rnd = random.Random(7)
     sqls = []
