@@ -1,5 +1,8 @@
 """Test-table derivations: a "dirty" customer table with NULLs, bad casts,
-padded strings and duplicate ids, derived row by row from ``customer``."""
+padded strings and duplicate ids, derived row by row from ``customer``.
+
+The key arithmetic only decides *which* rows carry which defect; every
+customer row is kept, so the table grows with the data."""
 
 from __future__ import annotations
 
