@@ -8,7 +8,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.sql import quote_ident
 from ..operators.checks import active, apply_checks, compile_rules, compiled_rules
 from ..operators.prepare import strip_column_names, trim_strings
 from ..operators.profile import profile_columns, suggest_rules
