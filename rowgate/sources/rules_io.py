@@ -63,11 +63,36 @@ def collect_rules(rules) -> list[dict]:
     return out
 
 
-def export_rules(rules: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A5: one CSV file with a header; quotes inside values are doubled."""
+def export_rules(rules: DataFrame, path: str, mode: str = "overwrite", single_file: bool | None = None) -> None:
+    """A5: rules as CSV with a header; quotes inside values are doubled.
+
+    A rules table has tens of rows, so it is written by one task. With a
+    target ending in ``.csv`` (or ``single_file=True``) the result is that one
+    file instead of a folder: the part file is renamed through the Hadoop
+    FileSystem of the session."""
     require_rule_columns(rules.columns)
+    single = path.lower().endswith(".csv") if single_file is None else single_file
+    target = f"{path}.parts" if single else path
     (rules.select(*RULE_COLUMNS).coalesce(1).write.mode(mode)
-     .csv(path, header=True, escape='"', quote='"'))
+     .csv(target, header=True, escape='"', quote='"'))
+    if single:
+        _promote_single_part(rules.sparkSession, target, path)
+
+
+def _promote_single_part(spark: SparkSession, folder: str, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    src_dir = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = src_dir.getFileSystem(conf)
+    parts = [st.getPath() for st in fs.listStatus(src_dir) if st.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise RuntimeError(f"expected one part file in {folder}, found {len(parts)}")
+    dst = jvm.org.apache.hadoop.fs.Path(path)
+    if fs.exists(dst):
+        fs.delete(dst, True)
+    if not fs.rename(parts[0], dst):
+        raise RuntimeError(f"could not move {parts[0]} to {path}")
+    fs.delete(src_dir, True)
 
 
 def rule_stats(rules: DataFrame) -> DataFrame:

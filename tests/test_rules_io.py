@@ -39,3 +39,14 @@ def test_invalid_rows_from_rules_path(spark, tmp_path):
     df = spark.createDataFrame([(None, "x"), (1, "a@b.co")], "id int, email string")
     rows = invalid_rows(df, str(p)).collect()
     assert len(rows) == 1 and len(rows[0].validation_errors) == 2
+
+
+def test_export_single_csv_file(spark, tmp_path):
+    import os
+    rules = rules_frame(spark, [("a", "int", "Not Null"), ("b", "string", 'say "hi", then go')])
+    target = str(tmp_path / "validation_rules.csv")
+    export_rules(rules, target)
+    assert os.path.isfile(target) and not os.path.exists(target + ".parts")
+    assert [tuple(r) for r in load_rules(spark, target).collect()] == [tuple(r) for r in rules.collect()]
+    export_rules(rules.limit(1), target)  # overwrite
+    assert load_rules(spark, target).count() == 1
