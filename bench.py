@@ -82,6 +82,12 @@ def main() -> None:
         flagged = unique_flag(t("lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "ok")
         return flagged.agg(F.count_if(~F.col("ok"))).collect()
 
+    def q_unique_lineitem_orderkey_salted(t):
+        # the skew path: every duplicated key split over salts, shuffle join on (key, salt)
+        flagged = unique_flag(t("lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "ok",
+                              broadcast_max_keys=0, rows_per_salt=2)
+        return flagged.agg(F.count_if(~F.col("ok"))).collect()
+
     def q_profile_lineitem(t):
         return suggest_rules(t("lineitem")).collect()
 
@@ -98,6 +104,7 @@ def main() -> None:
         "validate_dirty": q_validate_dirty,
         "failure_summary_lineitem": q_failure_summary_lineitem,
         "unique_lineitem_orderkey": q_unique_lineitem_orderkey,
+        "unique_lineitem_orderkey_salted": q_unique_lineitem_orderkey_salted,
         "profile_lineitem": q_profile_lineitem,
         "profile_orders": q_profile_orders,
         "review_documents": q_review_documents,
