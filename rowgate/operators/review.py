@@ -1,10 +1,13 @@
 """Source review (G2-G7): deterministic checks of notebook/source text.
 
-Input is a table of files ``(path, text)``. Lines are exploded with their
-numbers on the executors, flagged with regexes, and folded back per file by
-one ``groupBy`` (partial aggregation, so a huge file never moves as lines).
-The report has one row per file and standard with a PASS/FAIL verdict, the
-number of offending lines, and the first one as evidence.
+Input is a table of files ``(path, text)``, one row per file. Each file's
+text is split into its array of lines inside the row, flagged with cheap
+literal tests and regexes, and reduced to counts, first line number and
+first offending line with higher-order functions: a map-only job with no
+shuffle and no sort, so it scales with the number of files and never moves
+lines between tasks. The report has one row per file and standard with a
+PASS/FAIL verdict, the number of offending lines, and the first one as
+evidence.
 """
 
 from __future__ import annotations
@@ -61,25 +64,26 @@ def _any(col: str, words) -> str:
     return "(" + " OR ".join(f"contains({col}, {quote_str(w)})" for w in words) + ")"
 
 
-def _rx(pattern: str) -> str:
-    return f"line RLIKE {quote_str(pattern)}"
+def _rx(pattern: str, var: str = "line") -> str:
+    return f"{var} RLIKE {quote_str(pattern)}"
 
 
-def flag_sql() -> dict[str, str]:
-    """Per-line flags as SQL text (one boolean expression per flag)."""
-    io = _any("line", IO_WORDS)
+def flag_sql(var: str = "line") -> dict[str, str]:
+    """Per-line flags as SQL text over the line ``var`` (a column or a lambda
+    variable), one boolean expression per flag."""
+    io = _any(var, IO_WORDS)
     return {
-        "secret": f"(contains(line, '=') OR contains(line, ':')) AND {_any('lower(line)', SECRET_WORDS)} "
-                  f"AND {_rx(SECRET_RE)}",
-        "literal_path": f"(contains(line, '\"') OR contains(line, '\\'')) AND contains(line, '/') "
-                        f"AND {_rx(LITERAL_PATH_RE)}",
-        "widget": "contains(line, 'dbutils.widgets.get')",
-        "markdown": f"contains(line, '# MAGIC %md') AND {_rx(MARKDOWN_RE)}",
-        "comment": f"contains(line, '#') AND {_rx(COMMENT_RE)} AND NOT {_rx(NOT_COMMENT_RE)}",
-        "full_action": f"{_any('line', ACTION_WORDS)} AND {_rx(ACTION_RE)} AND NOT {_rx(LIMITED_RE)}",
+        "secret": f"(contains({var}, '=') OR contains({var}, ':')) AND {_any(f'lower({var})', SECRET_WORDS)} "
+                  f"AND {_rx(SECRET_RE, var)}",
+        "literal_path": f"(contains({var}, '\"') OR contains({var}, '\\'')) AND contains({var}, '/') "
+                        f"AND {_rx(LITERAL_PATH_RE, var)}",
+        "widget": f"contains({var}, 'dbutils.widgets.get')",
+        "markdown": f"contains({var}, '# MAGIC %md') AND {_rx(MARKDOWN_RE, var)}",
+        "comment": f"contains({var}, '#') AND {_rx(COMMENT_RE, var)} AND NOT {_rx(NOT_COMMENT_RE, var)}",
+        "full_action": f"{_any(var, ACTION_WORDS)} AND {_rx(ACTION_RE, var)} AND NOT {_rx(LIMITED_RE, var)}",
         "io": io,
-        "unguarded_io": f"{io} AND {_rx(TOP_LEVEL_RE)}",
-        "try": f"contains(line, 'try') AND {_rx(TRY_RE)}",
+        "unguarded_io": f"{io} AND {_rx(TOP_LEVEL_RE, var)}",
+        "try": f"contains({var}, 'try') AND {_rx(TRY_RE, var)}",
     }
 
 
@@ -93,13 +97,20 @@ def secret_lines(files: DataFrame, path: str = "path", text: str = "text") -> Da
 
 
 def file_stats(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Per file: count of flagged lines, first flagged line number and text
-    (``min_by``: one value, never a list)."""
-    aggs = [F.expr(x) for k in FLAGS for x in (
-        f"count_if(is_{k}) AS n_{k}",
-        f"min(CASE WHEN is_{k} THEN line_no END) AS l_{k}",
-        f"min_by(line, CASE WHEN is_{k} THEN line_no END) AS e_{k}")]
-    return flag_lines(source_lines(files, path, text)).groupBy("path").agg(*aggs)
+    """Per file (one row each): number of flagged lines, first flagged line
+    number and its text. Computed inside the row over its array of lines
+    (``transform`` / ``filter`` / ``array_position``): a map-only job, no
+    explode, no sort, no shuffle, however large the table."""
+    flags = flag_sql("l")
+    arrays = files.selectExpr(f"{quote_ident(path)} AS path",
+                              f"split({quote_ident(text)}, '\\n', -1) AS lines")
+    arrays = arrays.selectExpr("path", "lines", *[f"transform(lines, l -> {flags[k]}) AS f_{k}" for k in FLAGS])
+    stats = []
+    for k in FLAGS:
+        stats += [f"size(filter(f_{k}, x -> x)) AS n_{k}",
+                  f"CAST(nullif(array_position(f_{k}, true), 0) AS INT) AS l_{k}",
+                  f"element_at(lines, CAST(nullif(array_position(f_{k}, true), 0) AS INT)) AS e_{k}"]
+    return arrays.selectExpr("path", *stats)
 
 
 def _report_row(std: str, fail: str, hits: str, first_line: str, evidence: str) -> str:

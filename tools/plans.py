@@ -30,8 +30,10 @@ NOTES = {
     "uniqueness, salted path (E8)": "Hot keys (bounded list, broadcast) are salted on the data side and "
                                     "replicated per salt on the duplicate side; sort-merge join on (key, salt). "
                                     "Forced here with `broadcast_max_keys=0` and Spark's auto-broadcast off.",
-    "source review (G2-G7)": "Lines exploded in the scan stage, literal prefilters before regexes, one "
-                             "partially aggregated `groupBy(path)`.",
+    "source review (G2-G7)": "Map-only: each file's lines are flagged and reduced inside its row with "
+                             "higher-order functions (literal prefilters before regexes); no explode, sort "
+                             "or shuffle. (A line-level explode with `groupBy(path)` would need a sort-based "
+                             "aggregate, because the first offending line is a string.)",
 }
 
 
