@@ -124,6 +124,19 @@ def q_rule_documents(spark, sf):
     ], ["doc_id"])
 
 
+def q_rule_events(spark, sf):
+    """Rules over the event stream table, including JSON properties."""
+    e = table(spark, sf, "events")
+    return _rule_columns(e, [
+        ("props", "string", "sql: get_json_object(props, '$.k') IS NOT NULL"),
+        ("props", "string", "sql: CAST(get_json_object(props, '$.k') AS INT) BETWEEN 0 AND 50"),
+        ("event_type", "string", "Should be one of ['click', 'view', 'purchase']"),
+        ("value", "double", "between 0 and 400"),
+        ("ts", "timestamp_ntz", "after '2024-01-15'"),
+        ("event_id", "bigint", "Must be unique"),
+    ], ["event_id"])
+
+
 def q_rule_unique(spark, sf):
     d = trim_strings(dirty(spark, sf))
     return _rule_columns(d, [("id", "bigint", "Must be unique")], ["id", "email"])
@@ -319,6 +332,7 @@ QUERIES: dict[str, Query] = {
     "rule_text": q_rule_text,
     "rule_unique": q_rule_unique,
     "rule_documents": q_rule_documents,
+    "rule_events": q_rule_events,
     "unique_orderkey": q_unique_orderkey,
     "unique_orderkey_salted": q_unique_orderkey_salted,
     "unique_custkey_orders": q_unique_custkey_orders,

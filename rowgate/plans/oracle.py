@@ -360,6 +360,16 @@ ORACLE: dict[str, str] = {
         ("text", "sql: NOT (text RLIKE '[0-9]{3}-[0-9]{4}')", "NOT regexp_matches(text, '[0-9]{3}-[0-9]{4}')"),
         ("doc_id", "Must be unique", "(doc_id IS NULL) OR (COUNT(*) OVER (PARTITION BY doc_id) = 1)"),
         ("doc_id", "unique", "(doc_id IS NULL) OR (COUNT(*) OVER (PARTITION BY doc_id) = 1)")], "documents"),
+    "rule_events": _rules_sql("event_id", [
+        ("props", "sql: get_json_object(props, '$.k') IS NOT NULL", "json_extract(props, '$.k') IS NOT NULL"),
+        ("props", "sql: CAST(get_json_object(props, '$.k') AS INT) BETWEEN 0 AND 50",
+         "CAST(json_extract_string(props, '$.k') AS INTEGER) BETWEEN 0 AND 50"),
+        ("event_type", "Should be one of ['click', 'view', 'purchase']",
+         "(event_type IS NULL) OR (event_type IN ('click', 'view', 'purchase'))"),
+        ("value", "between 0 and 400", "(value IS NULL) OR (value BETWEEN 0 AND 400)"),
+        ("ts", "after '2024-01-15'", "(ts IS NULL) OR (ts > TIMESTAMP '2024-01-15')"),
+        ("event_id", "Must be unique", "(event_id IS NULL) OR (COUNT(*) OVER (PARTITION BY event_id) = 1)")],
+        "events"),
     "rule_unique": _rules_sql("id, email", [
         ("id", "Must be unique", "(id IS NULL) OR (COUNT(*) OVER (PARTITION BY id) = 1)")], DT),
     "unique_orderkey": "SELECT l_orderkey, l_linenumber, (l_orderkey IS NULL) OR "
