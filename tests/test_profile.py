@@ -47,7 +47,8 @@ def test_types_use_real_spark_types(spark):
 
 
 def test_round_trip_has_no_failures(spark):
-    for t in ("customer", "orders", "part"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+              "embeddings", "pages", "benchmark", "labels", "conversations"):
         df = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
         checked, checks = checked_frame(df, suggest_rules(df))
         assert {r.split: r.records for r in split_counts(checked, checks).collect()} == {"valid": df.count()}
