@@ -11,7 +11,8 @@ from .operators.split import invalid_rows, invalid_split, split_rows, valid_spli
 from .operators.synth import sample_rows
 from .operators.unique import unique_flag
 from .plans.shared import scratch_scope
-from .plans.runner import ValidationResult, checked_frame, run_validation, run_validation_single_pass
+from .plans.runner import (ValidationResult, checked_frame, run_validation, run_validation_single_pass,
+                          validation_summary)
 from .sources.rules_io import export_rules, load_rules, read_sample, rule_stats, rules_frame
 from .sources.tables import load_table, preview, write_frame
 
@@ -20,6 +21,6 @@ __all__ = [
     "error_array", "expression_cache", "export_rules", "failure_counts", "failure_summary", "invalid_rows", "invalid_split",
     "load_rules", "load_table", "prepare", "preview", "profile_columns", "read_sample", "review_sources",
     "rule_stats", "rules_frame", "scratch_scope", "run_validation", "run_validation_single_pass", "sample_rows", "secret_lines", "source_lines", "split_counts",
-    "split_rows", "strip_column_names", "suggest_rules", "trim_strings", "unique_flag", "valid_split",
+    "split_rows", "strip_column_names", "suggest_rules", "trim_strings", "unique_flag", "valid_split", "validation_summary",
     "with_errors", "write_frame",
 ]

@@ -11,7 +11,7 @@ from .operators.profile import suggest_rules
 from .operators.review import review_sources
 from .operators.split import invalid_rows
 from .operators.synth import sample_rows
-from .plans.runner import ValidationResult, run_validation, run_validation_single_pass
+from .plans.runner import ValidationResult, run_validation, run_validation_single_pass, validation_summary
 
 
 class Validator:
@@ -34,6 +34,10 @@ class Validator:
     def run_single_pass(self, df: DataFrame, rules, output_path: str, fmt: str = "parquet") -> ValidationResult:
         return run_validation_single_pass(df, rules, output_path, fmt=fmt, translator=self.translator)
 
+    def summary(self, df: DataFrame, rules) -> DataFrame:
+        """Failure summary only: nothing written, no rows shuffled."""
+        return validation_summary(df, rules, translator=self.translator)
+
     def summaries(self, df: DataFrame, rules) -> dict[str, DataFrame]:
         """``type_checks`` and ``business_rules`` tables with the expression
         (or error) generated for each, as shown before a run."""

@@ -48,6 +48,13 @@ def duplicated_keys(df: DataFrame, column: str) -> DataFrame:
             .where(F.col("__rg_n") > 1))
 
 
+def duplicated_row_count(df: DataFrame, column: str) -> int:
+    """Rows whose non-NULL key occurs more than once: the failure count of a
+    uniqueness check, from one partially aggregated pass over the key column
+    (no join back to the rows)."""
+    return int(duplicated_keys(df, column).agg(F.coalesce(F.sum("__rg_n"), F.lit(0))).first()[0])
+
+
 def unique_flag(df: DataFrame, column: str, flag: str, *,
                 broadcast_max_keys: int | None = None,
                 broadcast_max_bytes: int | None = None,

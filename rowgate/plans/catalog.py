@@ -19,7 +19,7 @@ from ..operators.unique import unique_flag
 from ..sources.rules_io import rule_stats, rules_frame
 from ..sources.tables import preview
 from .fixtures import DIRTY_RULES, dirty_customers
-from .runner import checked_frame, run_validation, run_validation_single_pass
+from .runner import checked_frame, run_validation, run_validation_single_pass, validation_summary
 from .shared import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,11 @@ def q_failure_summary(spark, sf):
     return failure_summary(checked, checks)
 
 
+def q_validation_summary(spark, sf):
+    """F4 with uniqueness counted from duplicate-key statistics (no row join)."""
+    return validation_summary(dirty(spark, sf), DIRTY_RULES)
+
+
 def q_checked_rows(spark, sf):
     checked, _ = _dirty_checked(spark, sf)
     return checked
@@ -320,6 +325,7 @@ def q_stream_failure_summary(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "failure_summary": q_failure_summary,
+    "validation_summary": q_validation_summary,
     "checked_rows": q_checked_rows,
     "type_check": q_type_check,
     "rule_not_null": q_rule_not_null,

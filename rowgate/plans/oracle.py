@@ -309,6 +309,7 @@ def secrets_sql() -> str:
 ORACLE: dict[str, str] = {
     "failure_summary": FAILURE_SUMMARY,
     "run_validation": FAILURE_SUMMARY,
+    "validation_summary": FAILURE_SUMMARY,
     "run_validation_single_pass": FAILURE_SUMMARY,
     "checked_rows": CHECKED,
     "type_check": f"SELECT {DIRTY_COLS}, " + ", ".join(f"{e} AS {n}" for n, e in DIRTY_CHECKS[:5]) + f" FROM {DT}",

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from ..functions.sql import quote_ident
 from ..operators.checks import Check, Translator, active, apply_checks, compile_rules
 from ..operators.prepare import prepare
-from ..operators.report import SUMMARY_SCHEMA, is_invalid, summary_from_totals
+from ..operators.report import SUMMARY_SCHEMA, failure_counts, is_invalid, summary_from_totals
 from ..operators.split import invalid_split, valid_split
+from ..operators.unique import duplicated_row_count
 from ..sources.tables import write_frame
 from .shared import scratch_scope
 
@@ -45,6 +46,27 @@ def checked_frame(df: DataFrame, rules, translator: Translator | None = None, st
     return apply_checks(prepared, checks, **unique_options), checks
 
 
+def validation_summary(df: DataFrame, rules, translator: Translator | None = None, strip: bool = True,
+                       trim: bool = True) -> DataFrame:
+    """F4 without writing anything and without joining rows back for
+    uniqueness: row-level checks are counted in one aggregation pass, and a
+    uniqueness check's failures are the rows of its duplicated keys, counted
+    by one partially aggregated pass over the key column. No shuffle of rows,
+    however many duplicates there are. Runs its jobs now; the result is a
+    small local table (one row per failing check)."""
+    prepared = prepare(df, strip=strip, trim=trim)
+    checks = compile_rules(rules, prepared, translator=translator)
+    usable = active(checks)
+    rows = [c for c in usable if c.kind != "unique"]
+    counts = failure_counts(apply_checks(prepared, rows), rows).first()
+    dup_rows: dict[str, int] = {}
+    for c in usable:
+        if c.kind == "unique" and c.column_name not in dup_rows:
+            dup_rows[c.column_name] = duplicated_row_count(prepared, c.column_name)
+    failed = [dup_rows[c.column_name] if c.kind == "unique" else int(counts[c.name]) for c in usable]
+    return summary_from_totals(df.sparkSession, usable, int(counts["total_records"]), failed)
+
+
 def _run_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
                      translator: Translator | None = None, strip: bool = True, trim: bool = True,
                      split_column: str = "split", **unique_options) -> ValidationResult:

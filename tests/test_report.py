@@ -76,3 +76,18 @@ def test_driver_rate_matches_spark_round(spark):
     df = spark.createDataFrame(cases, "f long, t long")
     got = [r.r for r in df.select(F.round(F.col("f") / F.col("t") * 100, 2).alias("r")).collect()]
     assert got == [rate_pct(f, t) for f, t in cases]
+
+
+def test_validation_summary_matches_joined_summary(spark):
+    from rowgate.plans.runner import validation_summary
+    df = dirty_customers(spark.read.parquet("/root/testdata/sf0.01/customer.parquet"))
+    checked, checks = checked_frame(df, DIRTY_RULES)
+    joined = [tuple(r) for r in failure_summary(checked, checks).collect()]
+    assert [tuple(r) for r in validation_summary(df, DIRTY_RULES).collect()] == joined
+
+
+def test_validation_summary_reads_keys_without_joining_rows(spark):
+    from rowgate.operators.unique import duplicated_keys
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = duplicated_keys(df, "l_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ReadSchema: struct<l_orderkey:bigint>" in plan
