@@ -43,11 +43,16 @@ class Check:
     expression: str | None
     error: str | None = None
     index: int = -1
+    run_sql: str | None = None  # what is executed, when simpler than ``expression``
 
     @property
     def ok(self) -> bool:
         return self.error is None
 
+    @property
+    def sql(self) -> str | None:
+        return self.run_sql or self.expression
+
     @property
     def column(self) -> Column:
         """The boolean column of an already-applied check."""
@@ -151,8 +156,11 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
         if type_checks and (column, data_type) not in seen_types:
             seen_types.add((column, data_type))
             sql = type_check_sql(column, data_type)
+            # a column that already has the declared type always passes: run the
+            # literal so Catalyst folds it away (the table still shows the cast)
+            run = "true" if col_type is not None and normalize_type(col_type) == data_type else None
             type_checks_out.append(Check(unique_name(f"{_sanitize(column)}{TYPE_CHECK_SUFFIX}"), "type",
-                                         column, data_type, None, sql, None, i))
+                                         column, data_type, None, sql, None, i, run))
 
         name = unique_name(f"{_sanitize(column)}_{_sanitize(text or '')[:RULE_NAME_PREFIX_LENGTH]}_{i}{RULE_CHECK_SUFFIX}")
         kind, sql, err = "rule", None, None
@@ -176,7 +184,7 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
 
     out = type_checks_out + rule_checks
     pending = [k for k, c in enumerate(out) if c.error is None and c.kind != "unique" and c.expression]
-    for k, err in zip(pending, _analyze_all(df, [out[k].expression for k in pending])):
+    for k, err in zip(pending, _analyze_all(df, [out[k].sql for k in pending])):
         if err:
             out[k] = replace(out[k], error=err)
     for c in out:
@@ -205,7 +213,7 @@ def apply_checks(df: DataFrame, checks: list[Check], **unique_options) -> DataFr
             out = unique_flag(out, c.column_name, c.name, **unique_options)
     cols = [quote_ident(c) for c in df.columns]
     cols += [f"{quote_ident(flag_of[c.column_name])} AS {quote_ident(c.name)}" if c.kind == "unique"
-             else f"({c.expression}\n) AS {quote_ident(c.name)}" for c in checks]
+             else f"({c.sql}\n) AS {quote_ident(c.name)}" for c in checks]
     return out.selectExpr(*cols)
 
 
