@@ -96,18 +96,37 @@ def secret_lines(files: DataFrame, path: str = "path", text: str = "text") -> Da
     return source_lines(files, path, text).where(flag_sql()["secret"])
 
 
+def _doc_guards(var: str) -> dict[str, str]:
+    """Per flag, literal prerequisites tested once on the whole text: when a
+    document fails its guard no line can be flagged, so the per-line pass is
+    skipped (same result, less work)."""
+    io = _any(var, IO_WORDS)
+    return {
+        "secret": f"(contains({var}, '=') OR contains({var}, ':')) AND {_any(f'lower({var})', SECRET_WORDS)}",
+        "literal_path": f"(contains({var}, '\"') OR contains({var}, '\\'')) AND contains({var}, '/')",
+        "widget": f"contains({var}, 'dbutils.widgets.get')",
+        "markdown": f"contains({var}, '# MAGIC %md')",
+        "comment": f"contains({var}, '#')",
+        "full_action": _any(var, ACTION_WORDS),
+        "io": io,
+        "unguarded_io": io,
+        "try": f"contains({var}, 'try')",
+    }
+
+
 def file_stats(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Per file (one row each): number of flagged lines, first flagged line
     number and its text. Computed inside the row over its array of lines
     (``transform`` / ``filter`` / ``array_position``): a map-only job, no
     explode, no sort, no shuffle, however large the table."""
-    flags = flag_sql("l")
-    arrays = files.selectExpr(f"{quote_ident(path)} AS path",
+    flags, guards = flag_sql("l"), _doc_guards("text")
+    arrays = files.selectExpr(f"{quote_ident(path)} AS path", f"{quote_ident(text)} AS text",
                               f"split({quote_ident(text)}, '\\n', -1) AS lines")
-    arrays = arrays.selectExpr("path", "lines", *[f"transform(lines, l -> {flags[k]}) AS f_{k}" for k in FLAGS])
+    arrays = arrays.selectExpr("path", "lines", *[f"CASE WHEN {guards[k]} THEN transform(lines, l -> {flags[k]}) "
+                                                  f"END AS f_{k}" for k in FLAGS])
     stats = []
     for k in FLAGS:
-        stats += [f"size(filter(f_{k}, x -> x)) AS n_{k}",
+        stats += [f"coalesce(size(filter(f_{k}, x -> x)), 0) AS n_{k}",
                   f"CAST(nullif(array_position(f_{k}, true), 0) AS INT) AS l_{k}",
                   f"element_at(lines, CAST(nullif(array_position(f_{k}, true), 0) AS INT)) AS e_{k}"]
     return arrays.selectExpr("path", *stats)
