@@ -25,7 +25,8 @@ from rowgate.operators.report import failure_summary  # noqa: E402
 from rowgate.operators.review import review_sources  # noqa: E402
 from rowgate.operators.unique import unique_flag  # noqa: E402
 from rowgate.plans.fixtures import DIRTY_RULES, dirty_customers  # noqa: E402
-from rowgate.plans.runner import checked_frame, run_validation, run_validation_single_pass  # noqa: E402
+from rowgate.plans.runner import (checked_frame, run_validation, run_validation_single_pass,  # noqa: E402
+                                  validation_summary)
 from rowgate.plans.shared import delete_path, ensure_checkpoint_dir, scratch_path, scratch_scope  # noqa: E402
 
 WARMUP_DIR = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.01")
@@ -79,6 +80,11 @@ def main() -> None:
         checked, checks = checked_frame(t("lineitem"), LINEITEM_RULES)
         return failure_summary(checked, checks).collect()
 
+    def q_summary_lineitem_with_unique(t):
+        # summary only, uniqueness counted from duplicate-key counts (no row join)
+        rules = LINEITEM_RULES + [("l_orderkey", "bigint", "Must be unique")]
+        return validation_summary(t("lineitem"), rules).collect()
+
     def q_unique_lineitem_orderkey(t):
         flagged = unique_flag(t("lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "ok")
         return flagged.agg(F.count_if(~F.col("ok"))).collect()
@@ -104,6 +110,7 @@ def main() -> None:
         "validate_lineitem_single_pass": q_validate_lineitem_single_pass,
         "validate_dirty": q_validate_dirty,
         "failure_summary_lineitem": q_failure_summary_lineitem,
+        "summary_lineitem_with_unique": q_summary_lineitem_with_unique,
         "unique_lineitem_orderkey": q_unique_lineitem_orderkey,
         "unique_lineitem_orderkey_salted": q_unique_lineitem_orderkey_salted,
         "profile_lineitem": q_profile_lineitem,
