@@ -6,7 +6,9 @@ key's rows in one task:
 1. ``groupBy(key).count()`` with map-side partial aggregation; only keys seen
    more than once are kept (``dups``) and written once as a parquet table in
    the shared checkpoint folder. Their exact number and size are observed
-   during that write, before any join is planned.
+   during that write, before any join is planned. For string/binary keys a
+   hash-first pass shuffles 64-bit hashes instead of the keys and groups the
+   real keys only for rows whose hash repeats.
 2. If ``dups`` is small (row and byte bound checked), it is broadcast and
    joined in the scan stage: no shuffle of the source rows.
 3. Otherwise a shuffle join on ``(key, salt)``: a hot key (more than
@@ -20,6 +22,7 @@ key's rows in one task:
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ..functions.sql import quote_ident
 from ..plans.shared import materialize
@@ -48,6 +51,46 @@ def duplicated_keys(df: DataFrame, column: str) -> DataFrame:
             .where(F.col("__rg_n") > 1))
 
 
+def _hashed_candidates(df: DataFrame, column: str, broadcast_max_keys: int) -> DataFrame | None:
+    """Hash-first pass for variable-length keys: shuffle 64-bit hashes
+    instead of the keys to find hashes seen more than once, then keep only
+    the rows whose hash is suspect (broadcast semi-join). Exact: equal keys
+    have equal hashes, and the real keys are grouped afterwards. ``None``
+    when the suspect set is too large to broadcast (direct pass instead)."""
+    k = F.col(quote_ident(column))
+    keyed = df.select(k.alias("__rg_k")).where(F.col("__rg_k").isNotNull()) \
+        .withColumn("__rg_h", F.xxhash64("__rg_k"))
+    suspects, stats = materialize(
+        keyed.groupBy("__rg_h").agg(F.count(F.lit(1)).alias("__rg_hn")).where(F.col("__rg_hn") > 1)
+        .select("__rg_h"), "duphash", F.count(F.lit(1)).alias("hashes"))
+    if stats["hashes"] > broadcast_max_keys:
+        return None
+    return keyed.join(F.broadcast(suspects), "__rg_h", "left_semi").select("__rg_k")
+
+
+def duplicate_table(df: DataFrame, column: str, hash_keys: bool | None = None,
+                    broadcast_max_keys: int = BROADCAST_MAX_KEYS) -> tuple[DataFrame, dict]:
+    """``(key, count)`` of duplicated keys, written once to the shared folder,
+    with its key count, byte size and largest count observed. String and
+    binary keys go through the hash-first pass unless ``hash_keys=False``."""
+    if hash_keys is None:
+        hash_keys = isinstance(df.schema[column].dataType, (T.StringType, T.BinaryType))
+    source = None
+    if hash_keys:
+        cand = _hashed_candidates(df, column, broadcast_max_keys)
+        if cand is not None:
+            source = (cand.groupBy("__rg_k").agg(F.count(F.lit(1)).alias("__rg_n"))
+                      .where(F.col("__rg_n") > 1))
+    if source is None:
+        source = duplicated_keys(df, column)
+    return materialize(
+        source, "dupkeys",
+        F.count(F.lit(1)).alias("keys"),
+        F.coalesce(F.sum(F.octet_length(F.col("__rg_k").cast("string")) + 16), F.lit(0)).alias("bytes"),
+        F.coalesce(F.max("__rg_n"), F.lit(0)).alias("max_n"),
+    )
+
+
 def duplicated_row_count(df: DataFrame, column: str) -> int:
     """Rows whose non-NULL key occurs more than once: the failure count of a
     uniqueness check, from one partially aggregated pass over the key column
@@ -59,19 +102,15 @@ def unique_flag(df: DataFrame, column: str, flag: str, *,
                 broadcast_max_keys: int | None = None,
                 broadcast_max_bytes: int | None = None,
                 rows_per_salt: int | None = None,
-                max_hot_keys: int | None = None) -> DataFrame:
+                max_hot_keys: int | None = None,
+                hash_keys: bool | None = None) -> DataFrame:
     """``df`` plus a boolean column ``flag``: true when ``column`` is NULL or
     unique. Column order of ``df`` is kept, ``flag`` is appended."""
     broadcast_max_keys = _setting(df, "broadcastMaxKeys", broadcast_max_keys, BROADCAST_MAX_KEYS)
     broadcast_max_bytes = _setting(df, "broadcastMaxBytes", broadcast_max_bytes, BROADCAST_MAX_BYTES)
     rows_per_salt = _setting(df, "rowsPerSalt", rows_per_salt, ROWS_PER_SALT)
     max_hot_keys = _setting(df, "maxHotKeys", max_hot_keys, MAX_HOT_KEYS)
-    dups, stats = materialize(
-        duplicated_keys(df, column), "dupkeys",
-        F.count(F.lit(1)).alias("keys"),
-        F.coalesce(F.sum(F.octet_length(F.col("__rg_k").cast("string")) + 16), F.lit(0)).alias("bytes"),
-        F.coalesce(F.max("__rg_n"), F.lit(0)).alias("max_n"),
-    )
+    dups, stats = duplicate_table(df, column, hash_keys, max(broadcast_max_keys, BROADCAST_MAX_KEYS))
     out_cols = [F.col(quote_ident(c)) for c in df.columns]
     key = F.col(quote_ident(column))
     if stats["keys"] == 0:

@@ -153,6 +153,13 @@ def q_unique_orderkey_salted(spark, sf):
     return unique_flag(li, "l_orderkey", "l_orderkey_unique", broadcast_max_keys=0, rows_per_salt=2)
 
 
+def q_unique_document_text(spark, sf):
+    """Exact copies among whole texts: the hash-first pass shuffles 64-bit
+    hashes, not the texts."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return unique_flag(d, "text", "text_unique").select("doc_id", "text_unique")
+
+
 def q_unique_custkey_orders(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     return unique_flag(o, "o_custkey", "o_custkey_unique")
@@ -342,6 +349,7 @@ QUERIES: dict[str, Query] = {
     "unique_orderkey": q_unique_orderkey,
     "unique_orderkey_salted": q_unique_orderkey_salted,
     "unique_custkey_orders": q_unique_custkey_orders,
+    "unique_document_text": q_unique_document_text,
     "invalid_rows": q_invalid_rows,
     "split_valid": q_split_valid,
     "split_invalid": q_split_invalid,

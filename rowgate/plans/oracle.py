@@ -379,6 +379,8 @@ ORACLE: dict[str, str] = {
                               "(COUNT(*) OVER (PARTITION BY l_orderkey) = 1) AS l_orderkey_unique FROM lineitem",
     "unique_custkey_orders": "SELECT o_orderkey, o_custkey, (o_custkey IS NULL) OR "
                              "(COUNT(*) OVER (PARTITION BY o_custkey) = 1) AS o_custkey_unique FROM orders",
+    "unique_document_text": "SELECT doc_id, (text IS NULL) OR (COUNT(*) OVER (PARTITION BY text) = 1) AS text_unique "
+                            "FROM documents",
     "invalid_rows": INVALID_ROWS,
     "split_valid": f"SELECT {DIRTY_COLS} FROM ({CHECKED}) c WHERE NOT ({ANY_FALSE})",
     "split_invalid": f"SELECT * FROM ({CHECKED}) c WHERE {ANY_FALSE}",

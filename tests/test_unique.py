@@ -64,3 +64,16 @@ def test_thresholds_from_session_conf(spark):
         assert sorted((r.k, r.ok) for r in out.collect()) == [(1, False), (1, False), (2, True)]
     finally:
         spark.conf.unset("spark.rowgate.unique.broadcastMaxKeys")
+
+
+
+@pytest.mark.parametrize("hash_keys", [True, False])
+def test_string_keys_hash_first_is_exact(spark, hash_keys):
+    rows = [("k7",)] * 40 + [(None,)] * 10 + [(f"u{i}",) for i in range(100)] + [(f"d{i % 7}",) for i in range(21)]
+    df = spark.createDataFrame(rows, "k string").repartition(3)
+    from collections import Counter
+    c = Counter(r[0] for r in rows if r[0] is not None)
+    for opts in ({}, {"broadcast_max_keys": 0, "rows_per_salt": 5}):
+        out = unique_flag(df, "k", "ok", hash_keys=hash_keys, **opts)
+        got = sorted(((r.k, r.ok) for r in out.collect()), key=repr)
+        assert got == sorted(((k, k is None or c[k] == 1) for (k,) in rows), key=repr)
