@@ -91,11 +91,21 @@ def duplicate_table(df: DataFrame, column: str, hash_keys: bool | None = None,
     )
 
 
-def duplicated_row_count(df: DataFrame, column: str) -> int:
+def duplicated_row_count(df: DataFrame, column: str, hash_keys: bool | None = None) -> int:
     """Rows whose non-NULL key occurs more than once: the failure count of a
-    uniqueness check, from one partially aggregated pass over the key column
-    (no join back to the rows)."""
-    return int(duplicated_keys(df, column).agg(F.coalesce(F.sum("__rg_n"), F.lit(0))).first()[0])
+    uniqueness check, from partially aggregated passes over the key column
+    (no join back to the rows; string/binary keys hash-first)."""
+    if hash_keys is None:
+        hash_keys = isinstance(df.schema[column].dataType, (T.StringType, T.BinaryType))
+    source = None
+    if hash_keys:
+        cand = _hashed_candidates(df, column, BROADCAST_MAX_KEYS)
+        if cand is not None:
+            source = (cand.groupBy("__rg_k").agg(F.count(F.lit(1)).alias("__rg_n"))
+                      .where(F.col("__rg_n") > 1))
+    if source is None:
+        source = duplicated_keys(df, column)
+    return int(source.agg(F.coalesce(F.sum("__rg_n"), F.lit(0))).first()[0])
 
 
 def unique_flag(df: DataFrame, column: str, flag: str, *,

@@ -60,9 +60,10 @@ def validation_summary(df: DataFrame, rules, translator: Translator | None = Non
     rows = [c for c in usable if c.kind != "unique"]
     counts = failure_counts(apply_checks(prepared, rows), rows).first()
     dup_rows: dict[str, int] = {}
-    for c in usable:
-        if c.kind == "unique" and c.column_name not in dup_rows:
-            dup_rows[c.column_name] = duplicated_row_count(prepared, c.column_name)
+    with scratch_scope(df.sparkSession):
+        for c in usable:
+            if c.kind == "unique" and c.column_name not in dup_rows:
+                dup_rows[c.column_name] = duplicated_row_count(prepared, c.column_name)
     failed = [dup_rows[c.column_name] if c.kind == "unique" else int(counts[c.name]) for c in usable]
     return summary_from_totals(df.sparkSession, usable, int(counts["total_records"]), failed)
 

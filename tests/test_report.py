@@ -91,3 +91,10 @@ def test_validation_summary_reads_keys_without_joining_rows(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     plan = duplicated_keys(df, "l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "ReadSchema: struct<l_orderkey:bigint>" in plan
+
+
+def test_validation_summary_with_string_key(spark):
+    from rowgate.plans.runner import validation_summary
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("c",), ("c",), ("c",)], "k string")
+    rows = {r.check_name: r.failed_records for r in validation_summary(df, [("k", "string", "unique")]).collect()}
+    assert rows == {"k_unique_0_ok": 5}
