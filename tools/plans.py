@@ -30,6 +30,10 @@ NOTES = {
     "uniqueness, salted path (E8)": "Hot keys (bounded list, broadcast) are salted on the data side and "
                                     "replicated per salt on the duplicate side; sort-merge join on (key, salt). "
                                     "Forced here with `broadcast_max_keys=0` and Spark's auto-broadcast off.",
+    "uniqueness of whole texts, hash-first (E8)": "Pass 2 of the hash-first duplicate search: only rows whose "
+                                                  "64-bit text hash repeats (the suspect hashes, written once "
+                                                  "and broadcast after a size check) are grouped by the full "
+                                                  "text; pass 1 shuffled hashes only.",
     "source review (G2-G7)": "Map-only: each file's lines are flagged and reduced inside its row with "
                              "higher-order functions (literal prefilters before regexes); no explode, sort "
                              "or shuffle. (A line-level explode with `groupBy(path)` would need a sort-based "
@@ -66,6 +70,11 @@ def main() -> None:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         frames["uniqueness, salted path (E8)"] = unique_flag(keys, "l_orderkey", "ok", broadcast_max_keys=0,
                                                             rows_per_salt=3).where(~F.col("ok"))
+        from rowgate.operators.unique import _hashed_candidates
+        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+        cand = _hashed_candidates(docs, "text", 2_000_000)
+        frames["uniqueness of whole texts, hash-first (E8)"] = (
+            cand.groupBy("__rg_k").agg(F.count(F.lit(1)).alias("__rg_n")).where(F.col("__rg_n") > 1))
         frames["source review (G2-G7)"] = review_sources(spark.read.parquet(f"{sf}/documents.parquet"),
                                                           path="doc_id")
         for title, df in frames.items():
