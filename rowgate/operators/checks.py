@@ -170,6 +170,8 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
                 kind, sql = "unique", unique_check_sql(column)
                 if column not in schema:
                     err = f"column {column!r} not found"
+                elif isinstance(schema[column], T.MapType):
+                    err = "uniqueness of a map column cannot be checked (maps are not comparable)"
             else:
                 sql = to_sql(spec, col_sql, data_type, col_type)
         except RuleSyntaxError as e:

@@ -159,3 +159,10 @@ def test_shape_rules_run(spark):
     rows = {r.s: r for r in apply_checks(df, checks).collect()}
     assert [rows["ABC"][c.name] for c in checks] == [True, True, True]
     assert [rows["aBc"][c.name] for c in checks] == [False, False, False]
+
+
+def test_unique_on_map_column_is_a_compile_error(spark):
+    df = spark.createDataFrame([({"a": 1},)], "m map<string,int>")
+    checks = compile_rules([("m", "string", "unique")], df, type_checks=False)
+    assert checks[0].error and "map" in checks[0].error
+    assert apply_checks(df, checks).count() == 1
