@@ -181,6 +181,16 @@ def q_validation_summary(spark, sf):
     return validation_summary(dirty(spark, sf), DIRTY_RULES)
 
 
+def q_summary_documents(spark, sf):
+    """Summary-only run over whole texts; text uniqueness is counted from the
+    hash-first duplicate pass."""
+    return validation_summary(table(spark, sf, "documents"), [
+        ("text", "string", "unique"),
+        ("lang", "string", "Should be one of ['de', 'en', 'fr']"),
+        ("text", "string", "length at most 20000"),
+    ])
+
+
 def q_checked_rows(spark, sf):
     checked, _ = _dirty_checked(spark, sf)
     return checked
@@ -333,6 +343,7 @@ def q_stream_failure_summary(spark, sf):
 QUERIES: dict[str, Query] = {
     "failure_summary": q_failure_summary,
     "validation_summary": q_validation_summary,
+    "summary_documents": q_summary_documents,
     "checked_rows": q_checked_rows,
     "type_check": q_type_check,
     "rule_not_null": q_rule_not_null,

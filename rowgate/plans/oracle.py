@@ -82,6 +82,18 @@ FROM l WHERE total > 0 AND failed > 0
 
 FAILURE_SUMMARY = _summary(CHECKED, [n for n, _ in DIRTY_CHECKS])
 
+_DOC_CHECKS = [
+    ("text_type_ok", "true"),
+    ("lang_type_ok", "true"),
+    (rn("text", "unique", 0), "(text IS NULL) OR (COUNT(*) OVER (PARTITION BY text) = 1)"),
+    (rn("lang", "Should be one of ['de', 'en', 'fr']", 1), "(lang IS NULL) OR (lang IN ('de', 'en', 'fr'))"),
+    (rn("text", "length at most 20000", 2), "(text IS NULL) OR (length(text) <= 20000)"),
+]
+SUMMARY_DOCUMENTS = _summary(
+    "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _DOC_CHECKS)
+    + " FROM (SELECT doc_id, trim(text) AS text, trim(lang) AS lang, trim(source) AS source, n_chars FROM documents) d",
+    [n for n, _ in _DOC_CHECKS])
+
 RAW_RULE_CHECKS = [  # validate(): no trim, no type checks
     ("id_not_null_0_ok", "id IS NOT NULL", "id", "Not Null"),
     ("email_should_be_a_valid_email_addres_1_ok", f"(email IS NULL) OR {EMAIL_OK}", "email",
@@ -310,6 +322,7 @@ ORACLE: dict[str, str] = {
     "failure_summary": FAILURE_SUMMARY,
     "run_validation": FAILURE_SUMMARY,
     "validation_summary": FAILURE_SUMMARY,
+    "summary_documents": SUMMARY_DOCUMENTS,
     "run_validation_single_pass": FAILURE_SUMMARY,
     "checked_rows": CHECKED,
     "type_check": f"SELECT {DIRTY_COLS}, " + ", ".join(f"{e} AS {n}" for n, e in DIRTY_CHECKS[:5]) + f" FROM {DT}",
