@@ -2,6 +2,7 @@
 
     validate --rules rules.csv --source TABLE_OR_PATH --valid PATH --invalid PATH
     validate --rules rules.csv --source TABLE_OR_PATH --output PATH      (one scan, split=valid|invalid)
+    validate --rules rules.csv --source TABLE_OR_PATH                    (failure summary only)
     suggest  --source TABLE_OR_PATH --out rules_dir [--fraction 0.1]
     sample   --rules rules.csv --n 4 --out PATH
     review   --source DIR [--pattern '*.py'] [--out PATH]
@@ -23,7 +24,7 @@ def main(argv: list[str] | None = None) -> int:
     from .operators.profile import suggest_rules
     from .operators.review import review_sources
     from .operators.synth import sample_rows
-    from .plans.runner import run_validation, run_validation_single_pass
+    from .plans.runner import run_validation, run_validation_single_pass, validation_summary
     from .sources.rules_io import export_rules, load_rules
     from .sources.tables import load_source_files, load_table, write_frame
 
@@ -60,8 +61,11 @@ def main(argv: list[str] | None = None) -> int:
             res = run_validation_single_pass(df, rules, a.output, fmt=a.out_format)
         elif a.valid and a.invalid:
             res = run_validation(df, rules, a.valid, a.invalid, fmt=a.out_format)
+        elif not (a.valid or a.invalid):
+            validation_summary(df, rules).show(truncate=False)  # nothing written
+            return 0
         else:
-            p.error("give --valid and --invalid, or --output")
+            p.error("give both --valid and --invalid, or --output, or neither for a summary only")
         print(f"valid={res.valid_count} invalid={res.invalid_count}")
         res.summary.show(truncate=False)
         for c in res.checks:

@@ -16,3 +16,10 @@ def test_cli_suggest_validate_review(spark, tmp_path, capsys):
     assert rep["secrets"] == "FAIL" and rep["performance"] == "PASS"
     assert main(["sample", "--rules", str(tmp_path / "rules"), "--n", "3", "--out", str(tmp_path / "s")]) == 0
     assert spark.read.parquet(str(tmp_path / "s")).count() == 4
+
+
+def test_cli_summary_only(spark, tmp_path, capsys):
+    rules = tmp_path / "r.csv"
+    rules.write_text("column_name,data_type,rule\no_orderstatus,string,\"Should be one of ['F', 'O']\"\n")
+    assert main(["validate", "--rules", str(rules), "--source", "/root/testdata/sf0.001/orders.parquet"]) == 0
+    assert "o_orderstatus_should_be_one_of" in capsys.readouterr().out
