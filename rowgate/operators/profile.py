@@ -202,6 +202,8 @@ def suggest_rules(df: DataFrame, fraction: float | None = None, seed: int = 42,
     Names are stripped and strings trimmed first, the way the checks see
     the data, so re-applying the rules to the same data finds no failures.
     """
+    if df.isStreaming:
+        raise ValueError("suggest_rules needs a batch DataFrame (profile a sample of the stream's table)")
     if fraction is not None:
         df = df.sample(fraction=fraction, seed=seed)
     stats = _profile(prepare(df), rsd, batch_columns)

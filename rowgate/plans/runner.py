@@ -21,7 +21,7 @@ from ..operators.report import SUMMARY_SCHEMA, failure_counts, is_invalid, summa
 from ..operators.split import invalid_split, valid_split
 from ..operators.unique import duplicated_row_count
 from ..sources.tables import write_frame
-from .shared import scratch_scope
+from .shared import require_batch, scratch_scope
 
 
 @dataclass
@@ -54,6 +54,7 @@ def validation_summary(df: DataFrame, rules, translator: Translator | None = Non
     by one partially aggregated pass over the key column. No shuffle of rows,
     however many duplicates there are. Runs its jobs now; the result is a
     small local table (one row per failing check)."""
+    require_batch(df, "validation_summary")
     prepared = prepare(df, strip=strip, trim=trim)
     checks = compile_rules(rules, prepared, translator=translator)
     usable = active(checks)
@@ -147,6 +148,7 @@ def _run_two_outputs(df: DataFrame, rules, valid_path: str, invalid_path: str, f
 def run_validation_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
                                translator: Translator | None = None, strip: bool = True, trim: bool = True,
                                split_column: str = "split", **unique_options) -> ValidationResult:
+    require_batch(df, "run_validation_single_pass")
     with scratch_scope(df.sparkSession):
         return _run_single_pass(df, rules, output_path, fmt, translator, strip, trim, split_column,
                                 **unique_options)
@@ -155,6 +157,7 @@ def run_validation_single_pass(df: DataFrame, rules, output_path: str, fmt: str
 def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt: str = "parquet",
                    translator: Translator | None = None, strip: bool = True, trim: bool = True,
                    rebalance_invalid: bool = True, **unique_options) -> ValidationResult:
+    require_batch(df, "run_validation")
     with scratch_scope(df.sparkSession):
         return _run_two_outputs(df, rules, valid_path, invalid_path, fmt, translator, strip, trim,
                                 rebalance_invalid, **unique_options)

@@ -85,3 +85,10 @@ def scratch_scope(spark: SparkSession):
         _SCOPE.reset(token)
         for path in created:
             delete_path(spark, path)
+
+
+def require_batch(df: DataFrame, what: str) -> None:
+    """Batch-only operators fail early and clearly on a streaming frame."""
+    if df.isStreaming:
+        raise ValueError(f"{what} needs a batch DataFrame; for streams use rowgate.streaming.stream "
+                         "(validate_stream, stream_failure_summary)")

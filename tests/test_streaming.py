@@ -48,3 +48,14 @@ def test_replayed_micro_batch_is_idempotent(spark, tmp_path):
     invalid = spark.read.parquet(str(tmp_path / "i"))
     assert valid.count() == 2 and invalid.count() == 4
     assert sorted(r._batch_id for r in valid.collect()) == [7, 8]
+
+
+def test_batch_only_operators_reject_streams(spark):
+    from rowgate import run_validation, suggest_rules, validation_summary
+    src = "/root/testdata/sf0.001/orders.parquet"
+    stream = read_file_stream(spark, src, spark.read.parquet(src).schema)
+    rules = [("o_orderkey", "bigint", "Not Null")]
+    for call in (lambda: validation_summary(stream, rules), lambda: suggest_rules(stream),
+                 lambda: run_validation(stream, rules, "/nonexistent/v", "/nonexistent/i")):
+        with pytest.raises(ValueError):
+            call()
