@@ -26,6 +26,8 @@ from ..functions.fixed import (
     SAMPLE_TIME_OF_DAY,
 )
 from ..functions.types import normalize_type
+
+ROWS_PER_PARTITION = 10_000_000
 from ..sources.rules_io import collect_rules
 
 
@@ -81,6 +83,13 @@ def sample_rows(spark: SparkSession, rules, n: int = SAMPLE_ROWS, null_row: bool
     if not cols:
         return spark.createDataFrame([], T.StructType([]))
     i = F.col("id")
+    if num_partitions is None and n > ROWS_PER_PARTITION:
+        # bounded task size for large n (range would otherwise use one slice per core)
+        try:
+            cores = spark.sparkContext.defaultParallelism
+        except Exception:  # no SparkContext on a Spark Connect client
+            cores = 1
+        num_partitions = max(cores, -(-n // ROWS_PER_PARTITION))
     body = spark.range(0, n, numPartitions=num_partitions).select(
         F.col("id").alias("__rg_row"),
         *[_value(name, t, i).cast(_spark_type(t)).alias(name) for name, t in cols])

@@ -34,3 +34,10 @@ def test_scales_with_n(spark):
     df = sample_rows(spark, [("d", "date", "x")], n=1000)
     assert df.count() == 1001
     assert df.where("d = date'2024-01-28'").count() == len([i for i in range(1000) if i % 28 == 27])
+
+
+def test_large_n_gets_bounded_partitions(spark, monkeypatch):
+    import rowgate.operators.synth as S
+    monkeypatch.setattr(S, "ROWS_PER_PARTITION", 100)
+    df = S.sample_rows(spark, [("n", "int", "x")], n=2_000, null_row=False)
+    assert df.rdd.getNumPartitions() >= 20 and df.count() == 2_000
