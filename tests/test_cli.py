@@ -23,3 +23,17 @@ def test_cli_summary_only(spark, tmp_path, capsys):
     rules.write_text("column_name,data_type,rule\no_orderstatus,string,\"Should be one of ['F', 'O']\"\n")
     assert main(["validate", "--rules", str(rules), "--source", "/root/testdata/sf0.001/orders.parquet"]) == 0
     assert "o_orderstatus_should_be_one_of" in capsys.readouterr().out
+
+
+def test_example_rules_compile_and_pass_on_orders(spark):
+    from rowgate.operators.checks import compile_rules
+    from rowgate.plans.runner import validation_summary
+    from rowgate.sources.rules_io import load_rules
+    import os
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "examples", "rules_orders.csv")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    checks = compile_rules(load_rules(spark, path), orders)
+    assert all(c.ok for c in checks), [(c.name, c.error) for c in checks if not c.ok]
+    got = {r.check_name: r.failed_records for r in validation_summary(orders, path).collect()}
+    # the data holds o_custkey = 0 rows: "positive" finds exactly those, every other rule passes
+    assert got == {"o_custkey_positive_2_ok": orders.where("o_custkey <= 0").count()}
