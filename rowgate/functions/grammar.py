@@ -47,6 +47,9 @@ _NOT_NULL = re.compile(
     r"|(?:is\s+)?required|mandatory|(?:must|should)\s+(?:be\s+)?(?:present|populated|provided))$",
     _I,
 )
+_BARE_ONE_OF = re.compile(r"^(?:one|any)\s+of\s*:?\s*([^\[\(\{].*)$", _I)
+_QUOTED = r"(?:'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\")"
+_OR_LIST = re.compile(rf"^(?:either\s+)?({_QUOTED}(?:\s*(?:,|or)\s*{_QUOTED})+)$", _I)
 _IS_NULL = re.compile(r"^(?:null|empty\s+\(null\)|missing|absent)$", _I)
 _ALLOWED = re.compile(r"^(?:allowed|valid|accepted|permitted|possible)\s+values?\s*(?:are|is|:)?\s*(.+)$", _I)
 _VALID_TYPE = re.compile(r"^(?:an?\s+)?(?:valid|proper|parsable|parseable)\s+"
@@ -66,9 +69,9 @@ _IN_LIST = re.compile(
 _REGEX = re.compile(
     r"^(?:match(?:es)?|follow(?:s)?)\s+(?:the\s+)?(?:regex|regular\s+expression|pattern)\s*:?\s*(.+)$", _I
 )
-_NOT_EMPTY = re.compile(r"^(?:not\s+(?:be\s+)?(?:empty|blank)|non[-\s]?(?:empty|blank))$", _I)
+_NOT_EMPTY = re.compile(r"^(?:not\s+(?:be\s+)?(?:empty|blank)|non[-\s]?(?:empty|blank)|cannot\s+be\s+(?:empty|blank))$", _I)
 _AFFIX = re.compile(r"^(start|begin|end)s?\s+with\s+(.+)$|^(contain)s?\s+(.+)$", _I)
-_SIGN = re.compile(r"^(non[-\s]?negative|non[-\s]?positive|positive|negative|zero\s+or\s+positive)"
+_SIGN = re.compile(r"^(?:an?\s+)?(non[-\s]?negative|non[-\s]?positive|positive|negative|zero\s+or\s+positive)"
                    r"(?:\s+(?:number|value|integer))?$", _I)
 
 # Comparison phrases, longest first.
@@ -200,6 +203,12 @@ def _parse_atom(text: str) -> Spec:
         if not values:
             raise RuleSyntaxError(f"empty value list in {text!r}")
         return Spec("in", values=values)
+    m = _BARE_ONE_OF.match(core) or _OR_LIST.match(core)
+    if m:
+        body = m.group(1).strip()
+        values = parse_list("[" + re.sub(r"\s+or\s+", ", ", body, flags=_I) + "]")
+        if values:
+            return Spec("in", values=values)
     m = _ALLOWED.match(core)
     if m:
         body = m.group(1).strip()
@@ -262,11 +271,26 @@ def _parse_atom(text: str) -> Spec:
     raise RuleSyntaxError(f"rule not understood: {text!r}")
 
 
+_SUBJECT = re.compile(r"^[A-Za-z_][\w]*\s+(?=(?:must|should|shall|cannot|can|has\s+to|needs\s+to|will|is|are)\b)", _I)
+
+
 def parse_rule(text: str) -> Spec:
-    """Rule text -> ``Spec`` tree. ``sql: <expr>`` passes an expression verbatim."""
+    """Rule text -> ``Spec`` tree. ``sql: <expr>`` passes an expression verbatim.
+    A leading subject word ("Age must be ...") is dropped when the text does
+    not parse with it."""
     if text is None or not str(text).strip():
         raise RuleSyntaxError("empty rule")
     text = str(text).strip()
+    try:
+        return _parse_rule(text)
+    except RuleSyntaxError:
+        stripped = _SUBJECT.sub("", text, count=1)
+        if stripped == text:
+            raise
+        return _parse_rule(stripped)
+
+
+def _parse_rule(text: str) -> Spec:
     m = _SQL.match(text)
     if m:
         return Spec("sql", text=m.group(1).strip())

@@ -157,3 +157,15 @@ def test_time_and_shape_rules():
     assert sql("should be lower case") == "(`c` IS NULL) OR (`c` = lower(`c`))"
     assert sql("digits only") == "(`c` IS NULL) OR (`c` RLIKE '^[0-9]+$')"
     assert sql("must be a valid url").startswith("(`c` IS NULL) OR (`c` RLIKE '^https?://")
+
+
+def test_more_phrasings():
+    assert sql("cannot be blank") == "(`c` IS NULL) OR (TRIM(`c`) <> '')"
+    assert sql("Must be one of: A, B, C") == "(`c` IS NULL) OR (`c` IN ('A', 'B', 'C'))"
+    assert sql("Must be 'Y' or 'N'") == "(`c` IS NULL) OR (`c` IN ('Y', 'N'))"
+    assert sql("Must be a positive number", "x", "int") == "(`x` IS NULL) OR (`x` > 0)"
+    assert sql("Age must be at least 18", "age", "int") == "(`age` IS NULL) OR (`age` >= 18)"
+    assert sql("Email should be valid").startswith("(`c` IS NULL) OR (`c` RLIKE")
+    assert sql("Status is required") == "`c` IS NOT NULL"
+    with pytest.raises(RuleSyntaxError):
+        parse_rule("Age must look nice")
