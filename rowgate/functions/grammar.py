@@ -245,13 +245,12 @@ def _parse_atom(text: str) -> Spec:
             kind = "starts" if m.group(1).lower() in ("start", "begin") else "ends"
             return Spec(kind, text=_unquote(m.group(2).strip()))
         return Spec("contains", text=_unquote(m.group(4).strip()))
-    for pat in (_LEN_PREFIX,):
-        m = pat.match(core)
-        if m:
-            inner = _LEN_SUFFIX.sub(r"\1", m.group(1).strip())
-            spec = _parse_cmp(inner) or (_parse_cmp("= " + inner) if is_number(inner) else None)
-            if spec:
-                return Spec("len_" + spec.kind, op=spec.op, values=spec.values)
+    m = _LEN_PREFIX.match(core)
+    if m:
+        inner = _LEN_SUFFIX.sub(r"\1", m.group(1).strip())
+        spec = _parse_cmp(inner) or (_parse_cmp("= " + inner) if is_number(inner) else None)
+        if spec:
+            return Spec("len_" + spec.kind, op=spec.op, values=spec.values)
     m = _LEN_PREFIX2.match(core)
     if m:
         op = ">=" if m.group(1).lower().startswith("min") else "<="
