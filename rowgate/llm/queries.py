@@ -6,12 +6,18 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .simhash import near_duplicates
 
 
 def op5_exact_dedup(spark, sf):
     return exact_groups(table(spark, sf, "documents"))
 
 
+def op9_simhash(spark, sf):
+    return near_duplicates(table(spark, sf, "documents"), shingle=3, radius=3)
+
+
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_simhash": op9_simhash,
 }
