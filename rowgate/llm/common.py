@@ -79,3 +79,25 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8)[offsets[0]: offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     return data, offsets - offsets[0]
+
+
+def byte_slices(offsets: np.ndarray, most: int = 4 << 20):
+    """Row ranges (lo, hi) whose texts have about ``most`` bytes together (one row at least)."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1
+        hi = min(max(hi, lo + 1), n)
+        yield lo, hi
+        lo = hi
+
+
+def sample_ids(df: DataFrame, id_col: str, class_col: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows ``(id, class, pri)`` with about as many of each
+    class: the ``n`` smallest values of (hash of id) x (rows of the class)."""
+    rows = df.select(col(id_col).alias("id"), col(class_col).alias("class")).where("id IS NOT NULL AND class IS NOT NULL")
+    sizes = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
+    if not sizes:
+        return rows.withColumn("pri", F.lit(0.0)).limit(0)
+    size = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("class")]
+    u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
+    return rows.withColumn("pri", (u * size).cast("double")).orderBy("pri", "id").limit(n)

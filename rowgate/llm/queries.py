@@ -6,9 +6,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .langid import identify_languages
 from .simhash import near_duplicates
 
 
+def op2_language_id(spark, sf):
+    return identify_languages(table(spark, sf, "documents"))
+
+
 def op5_exact_dedup(spark, sf):
     return exact_groups(table(spark, sf, "documents"))
 
@@ -18,6 +23,7 @@ def op9_simhash(spark, sf):
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_simhash": op9_simhash,
 }
