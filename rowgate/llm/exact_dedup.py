@@ -13,7 +13,8 @@ aggregation, write the keys that hold more than one row; (2) join the rows
 to those keys and write them again, cut by one digit. Only rows that are not
 yet finished carry text. A group of copies that holds a third of all rows is
 one key of the count (one partial row per task) and a skewed key of the join
-whose other side is one row, which AQE splits over tasks.
+whose other side is one row, which AQE splits over tasks. The join is always
+a merge join, so that a run costs and behaves alike at every size.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # First digit: only whether it is alone. Rows get their row id when the others are written.
         keys, _ = materialize(base.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                               .select("digit", F.monotonically_increasing_id().alias("to")), "radix-keys")
-        rows = base.join(keys, "digit", "left")
+        rows = base.join(keys.hint("merge"), "digit", "left")
         finals = []
 
         def step(rows, active, done, width):
@@ -81,7 +82,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 state.groupBy("gid", "digit", "ended")
                 .agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("doc_id", "rid")).alias("top"))
                 .where("size > 1").withColumn("to", F.monotonically_increasing_id()), "radix-keys")
-            rows = state.join(keys, ["gid", "digit", "ended"], "left")
+            rows = state.join(keys.hint("merge"), ["gid", "digit", "ended"], "left")
             same = F.col("to").isNotNull() & F.col("ended")
             done = [F.when(same, F.col("top.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
                     F.when(same, F.col("size")).otherwise(F.lit(1)).cast("long").alias("n"),
