@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .common import table
 from .exact_dedup import exact_groups
 from .langid import identify_languages
 from .simhash import near_duplicates
+from .token_output import token_output
+
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer file; it must be the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_language_id(spark, sf):
     return identify_languages(table(spark, sf, "documents"))
 
 
+def op3_token_output(spark, sf):
+    return token_output(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op5_exact_dedup(spark, sf):
     return exact_groups(table(spark, sf, "documents"))
 
@@ -24,6 +35,7 @@ def op9_simhash(spark, sf):
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_token_output": op3_token_output,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_simhash": op9_simhash,
 }
