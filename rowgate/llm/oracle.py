@@ -3,6 +3,19 @@
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op1_topk": """
+        WITH c AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+                   FROM embeddings
+                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                          CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+                   FROM c AS q JOIN c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+        SELECT * FROM (SELECT query_id,
+                              CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                              vec_id, score FROM s)
+        WHERE rank <= 5
+    """,
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {NORM} AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)

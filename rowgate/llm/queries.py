@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
 from .exact_dedup import exact_groups
 from .langid import identify_languages
 from .simhash import near_duplicates
 from .token_output import token_output
+from .topk import exact_topk
 
 
 
@@ -17,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark, sf):
+    return exact_topk(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_language_id(spark, sf):
     return identify_languages(table(spark, sf, "documents"))
 
@@ -34,6 +41,7 @@ def op9_simhash(spark, sf):
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_language_id": op2_language_id,
     "op3_token_output": op3_token_output,
     "op5_exact_dedup": op5_exact_dedup,
