@@ -10,6 +10,7 @@ from .langid import identify_languages
 from .simhash import near_duplicates
 from .token_output import token_output
 from .topk import exact_topk
+from .toxicity import score_toxicity
 
 
 
@@ -40,10 +41,15 @@ def op9_simhash(spark, sf):
     return near_duplicates(table(spark, sf, "documents"), shingle=3, radius=3)
 
 
+def op10_toxicity(spark, sf):
+    return score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_language_id": op2_language_id,
     "op3_token_output": op3_token_output,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
