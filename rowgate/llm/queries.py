@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_groups
 from .langid import identify_languages
+from .sentencepieces import encode_texts
 from .simhash import near_duplicates
 from .token_output import token_output
 from .topk import exact_topk
@@ -37,6 +38,10 @@ def op5_exact_dedup(spark, sf):
     return exact_groups(table(spark, sf, "documents"))
 
 
+def op8_sentencepiece(spark, sf):
+    return encode_texts(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op9_simhash(spark, sf):
     return near_duplicates(table(spark, sf, "documents"), shingle=3, radius=3)
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_output": op3_token_output,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
