@@ -22,4 +22,65 @@ ORACLE = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
         FROM d JOIN g USING (norm)
     """,
+    "op6_mixing": r"""
+        WITH d AS (SELECT doc_id, lang, source,
+                          CASE WHEN right(source, 1) IN ('0', '1', '2', '3', '4') THEN 'web'
+                               WHEN right(source, 1) IN ('5', '6', '7') THEN 'books' ELSE 'code' END AS domain,
+                          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+        leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
+        n_domain AS (SELECT domain, CAST(sum(tokens) * 2 AS HUGEINT) AS cap, CAST(CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 WHEN 'code' THEN 2 ELSE 1 END AS HUGEINT) AS w
+                      FROM leaf GROUP BY domain),
+        s_domain AS (SELECT n.domain, n.cap, n.w, least((SELECT CAST(sum(n_tokens) AS HUGEINT) * 6 // 10 FROM d), sum(n.cap) OVER ()) AS b FROM n_domain n),
+        o_domain AS (SELECT *, sum(w) OVER () AS all_w,
+                             coalesce(sum(w) OVER before, 0) AS w_before, coalesce(sum(cap) OVER before, 0) AS c_before
+                      FROM s_domain
+                      WINDOW before AS ( ORDER BY CAST(cap AS DOUBLE) / CAST(w AS DOUBLE), domain NULLS FIRST
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f_domain AS (SELECT *, cap = 0 OR cap * (all_w - w_before) <= w * (b - c_before) AS is_full FROM o_domain),
+        b_domain AS (SELECT domain, CASE WHEN is_full THEN cap
+                             ELSE (b - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()) * w
+                                  // (all_w - sum(CASE WHEN is_full THEN w ELSE 0 END) OVER ()) END AS budget
+                      FROM f_domain),
+        n_lang AS (SELECT domain, lang, CAST(sum(tokens) * 2 AS HUGEINT) AS cap, CAST(CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS HUGEINT) AS w
+                      FROM leaf GROUP BY domain, lang),
+        s_lang AS (SELECT n.domain, n.lang, n.cap, n.w, CAST(p.budget AS HUGEINT) AS b FROM n_lang n JOIN b_domain p ON n.domain IS NOT DISTINCT FROM p.domain),
+        o_lang AS (SELECT *, sum(w) OVER (PARTITION BY domain) AS all_w,
+                             coalesce(sum(w) OVER before, 0) AS w_before, coalesce(sum(cap) OVER before, 0) AS c_before
+                      FROM s_lang
+                      WINDOW before AS (PARTITION BY domain ORDER BY CAST(cap AS DOUBLE) / CAST(w AS DOUBLE), lang NULLS FIRST
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f_lang AS (SELECT *, cap = 0 OR cap * (all_w - w_before) <= w * (b - c_before) AS is_full FROM o_lang),
+        b_lang AS (SELECT domain, lang, CASE WHEN is_full THEN cap
+                             ELSE (b - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER (PARTITION BY domain)) * w
+                                  // (all_w - sum(CASE WHEN is_full THEN w ELSE 0 END) OVER (PARTITION BY domain)) END AS budget
+                      FROM f_lang),
+        n_source AS (SELECT domain, lang, source, CAST(sum(tokens) * 2 AS HUGEINT) AS cap, CAST(CASE source WHEN 'src0' THEN 2 ELSE 1 END AS HUGEINT) AS w
+                      FROM leaf GROUP BY domain, lang, source),
+        s_source AS (SELECT n.domain, n.lang, n.source, n.cap, n.w, CAST(p.budget AS HUGEINT) AS b FROM n_source n JOIN b_lang p ON n.domain IS NOT DISTINCT FROM p.domain AND n.lang IS NOT DISTINCT FROM p.lang),
+        o_source AS (SELECT *, sum(w) OVER (PARTITION BY domain, lang) AS all_w,
+                             coalesce(sum(w) OVER before, 0) AS w_before, coalesce(sum(cap) OVER before, 0) AS c_before
+                      FROM s_source
+                      WINDOW before AS (PARTITION BY domain, lang ORDER BY CAST(cap AS DOUBLE) / CAST(w AS DOUBLE), source NULLS FIRST
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f_source AS (SELECT *, cap = 0 OR cap * (all_w - w_before) <= w * (b - c_before) AS is_full FROM o_source),
+        b_source AS (SELECT domain, lang, source, CASE WHEN is_full THEN cap
+                             ELSE (b - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER (PARTITION BY domain, lang)) * w
+                                  // (all_w - sum(CASE WHEN is_full THEN w ELSE 0 END) OVER (PARTITION BY domain, lang)) END AS budget
+                      FROM f_source),
+        plan AS (SELECT l.*, CAST(b.budget AS BIGINT) AS budget, CAST(b.budget // l.tokens AS BIGINT) AS whole,
+                        CAST(b.budget % l.tokens AS BIGINT) AS rest
+                 FROM leaf l JOIN b_source b ON l.domain IS NOT DISTINCT FROM b.domain AND l.lang IS NOT DISTINCT FROM b.lang
+                      AND l.source IS NOT DISTINCT FROM b.source WHERE b.budget > 0),
+        e AS (SELECT d.*, p.tokens, p.budget, p.whole, p.rest,
+                     unnest(generate_series(1, p.whole + 1)) AS epoch
+              FROM d JOIN plan p ON d.domain IS NOT DISTINCT FROM p.domain AND d.lang IS NOT DISTINCT FROM p.lang
+                   AND d.source IS NOT DISTINCT FROM p.source),
+        c AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch
+                                 ORDER BY substr(md5('17:' || epoch || ':' || doc_id), 1, 15), doc_id
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e)
+        SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, n_tokens,
+               CAST(CASE WHEN epoch <= whole THEN n_tokens ELSE least(n_tokens, rest - start) END AS BIGINT) AS take_tokens,
+               CAST(tokens AS BIGINT) AS leaf_tokens, budget AS leaf_budget
+        FROM c WHERE epoch <= whole OR start < rest
+    """,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_groups
 from .langid import identify_languages
+from .mixing import mix
 from .sentencepieces import encode_texts
 from .simhash import near_duplicates
 from .token_output import token_output
@@ -38,6 +39,20 @@ def op5_exact_dedup(spark, sf):
     return exact_groups(table(spark, sf, "documents"))
 
 
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 2}, "source": {"src0": 2}}
+
+
+def domain_of(source):
+    """Domain of a source, by the last digit of its name."""
+    return (F.when(F.right(source, F.lit(1)).isin(*"01234"), "web").when(F.right(source, F.lit(1)).isin(*"567"), "books")
+            .otherwise("code"))
+
+
+def op6_mixing(spark, sf):
+    levels = {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    return mix(table(spark, sf, "documents"), levels, MIX_WEIGHTS, share=(6, 10), max_epochs=2, seed=17)
+
+
 def op8_sentencepiece(spark, sf):
     return encode_texts(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -55,6 +70,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_output": op3_token_output,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_mixing": op6_mixing,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
