@@ -8,6 +8,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .langid import identify_languages
 from .mixing import mix
+from .repeats import remove_repeats
 from .sentencepieces import encode_texts
 from .simhash import near_duplicates
 from .token_output import token_output
@@ -53,6 +54,10 @@ def op6_mixing(spark, sf):
     return mix(table(spark, sf, "documents"), levels, MIX_WEIGHTS, share=(6, 10), max_epochs=2, seed=17)
 
 
+def op7_repeats(spark, sf):
+    return remove_repeats(table(spark, sf, "documents"), length=50)
+
+
 def op8_sentencepiece(spark, sf):
     return encode_texts(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op7_repeats": op7_repeats,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
