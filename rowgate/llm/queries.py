@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, scratch_path, table
 from .exact_dedup import exact_groups
 from .langid import identify_languages
 from .mixing import mix
 from .repeats import remove_repeats
+from .rollups import TokenRollup, count_tokens
 from .sentencepieces import encode_texts
 from .simhash import near_duplicates
 from .token_output import token_output
@@ -36,6 +37,25 @@ def op3_token_output(spark, sf):
     return token_output(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_token_counts(spark, sf):
+    """Rollup of a feed over all documents: three batches of inserts, one of
+    which is sent twice; then the end-of-document id of all long documents is
+    counted too (revisions) and documents that are too short go (deletes)."""
+    docs = table(spark, sf, "documents")
+    versions = {"word_bpe_49k": tokenizer_file("word_bpe_49k.json"), "piece_32k": tokenizer_file("piece_bpe_32k.model")}
+    keep = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    counts, _ = materialize(count_tokens(docs, versions, keep), "token-counts")
+    rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    part = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(3))
+    inserts = [counts.where(F.coalesce(part, F.lit(0)) == i).withColumn("op", F.lit("insert")) for i in range(3)]
+    for i in (0, 1, 1, 2):
+        rollup.commit(f"insert-{i}", inserts[i])
+    rollup.commit("end-ids", counts.where("n_chars > 2000").select(
+        F.lit("revise").alias("op"), "doc_id", "source", "lang", "tokenizer", (F.col("n_tokens") + 1).alias("n_tokens")))
+    rollup.commit("too-short", counts.where("n_chars < 200").withColumn("op", F.lit("delete")))
+    return rollup.totals()
+
+
 def op5_exact_dedup(spark, sf):
     return exact_groups(table(spark, sf, "documents"))
 
@@ -74,6 +94,7 @@ QUERIES = {
     "op1_topk": op1_topk,
     "op2_language_id": op2_language_id,
     "op3_token_output": op3_token_output,
+    "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_repeats": op7_repeats,
