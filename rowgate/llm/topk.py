@@ -107,7 +107,7 @@ def _pack(batches):
             *[(c, pa.binary()) for c in ("ids", "rows", "x", "lists")]]), mapping={
             "block": [int(block[which[0]])], "dim": [d], "kind": [x.dtype.str], "ids": [ids[which].astype("<i8").tobytes()],
             "rows": [row[which].astype("<i8").tobytes()], "x": [x.tobytes()],
-            "lists": [np.argsort(x.reshape(-1, d), axis=0, kind="stable").astype("<i4").tobytes()]})
+            "lists": [np.argsort(x.reshape(len(which), d), axis=0, kind="stable").astype("<i4").tobytes()]})
 
 
 PACKED = "block long, dim int, kind string, ids binary, rows binary, x binary, lists binary"
