@@ -38,11 +38,6 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    """Null-safe equality of the named columns."""
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def _weight(level: str, weights: Mapping) -> Column:
     out = F.lit(int(weights.get("*", 1)))
     for value, w in weights.items():
@@ -59,38 +54,34 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str,
     named (1 if absent); a weight of 0 leaves everything below it out. Shares
     are rounded down. A null value is a child like any other.
     """
-    all_weights = [_weight(n, weights.get(n, {})) for n in levels]
+    names = [f"_level_{i}" for i in range(len(levels))]
+    all_weights = [_weight(n, weights.get(level, {})) for n, level in zip(names, levels)]
     open_ = reduce(lambda a, b: a & b, [w > 0 for w in all_weights])
-    cap = F.when(open_, F.col("tokens") * max_epochs).otherwise(0).cast("decimal(20,0)")
-    base = leaves.withColumn("cap", cap)
-    plan = None
-    for i, level in enumerate(levels):
-        nodes = base.groupBy(*levels[:i + 1]).agg(F.sum("cap").alias("cap")).withColumn("w", all_weights[i])
+    base = (leaves.select(*[col(level).alias(n) for n, level in zip(names, levels)], "tokens")
+            .withColumn("cap", F.when(open_, F.col("tokens") * max_epochs).otherwise(0).cast("decimal(20,0)")))
+    plan, zero = None, F.lit(0).cast("decimal(30,0)")
+    for i, level in enumerate(names):
+        nodes = base.groupBy(*names[:i + 1]).agg(F.sum("cap").alias("cap")).withColumn("w", all_weights[i])
         if plan is None:
             nodes = nodes.withColumn("b", F.least(F.lit(budget).cast("decimal(30,0)"),
                                                   F.sum("cap").over(Window.partitionBy(F.lit(0)))))
         else:
-            up = plan.select(*[F.col(n).alias(f"up_{n}") for n in levels[:i]], F.col("budget").alias("b"))
-            on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"up_{n}")) for n in levels[:i]])
-            nodes = nodes.join(up, on).select(*levels[:i + 1], "cap", "w", "b")
-        siblings = Window.partitionBy(*([F.col(n) for n in levels[:i]] or [F.lit(0)]))
+            up = plan.select(*[F.col(n).alias(f"up{n}") for n in names[:i]], F.col("budget").alias("b"))
+            nodes = nodes.join(up, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"up{n}")) for n in names[:i]]))
+        siblings = Window.partitionBy(*(names[:i] or [F.lit(0)]))
         ratio = F.when(F.col("w") > 0, F.col("cap").cast("double") / F.col("w").cast("double")).otherwise(F.lit(0.0))
-        ordered = siblings.orderBy("ratio", level)
-        before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-        zero = F.lit(0).cast("decimal(30,0)")
+        before = siblings.orderBy("ratio", level).rowsBetween(Window.unboundedPreceding, -1)
+        full = lambda c: F.sum(F.when(F.col("is_full"), F.col(c)).otherwise(zero)).over(siblings)
         nodes = (nodes.withColumn("ratio", ratio)
                  .withColumn("all_w", F.sum("w").over(siblings))
                  .withColumn("w_before", F.coalesce(F.sum("w").over(before), zero))
                  .withColumn("c_before", F.coalesce(F.sum("cap").over(before), zero))
                  .withColumn("is_full", (F.col("cap") == 0) | (F.col("cap") * (F.col("all_w") - F.col("w_before"))
                                                                <= F.col("w") * (F.col("b") - F.col("c_before"))))
-                 .withColumn("w_left", F.col("all_w") - F.sum(F.when(F.col("is_full"), F.col("w")).otherwise(zero))
-                             .over(siblings))
-                 .withColumn("b_left", F.col("b") - F.sum(F.when(F.col("is_full"), F.col("cap")).otherwise(zero))
-                             .over(siblings)))
+                 .withColumn("w_left", F.col("all_w") - full("w")).withColumn("b_left", F.col("b") - full("cap")))
         share = F.when(F.col("is_full"), F.col("cap").cast("long")).otherwise(F.expr("(b_left * w) div w_left"))
-        plan = nodes.select(*levels[:i + 1], share.alias("budget"))
-    on = _same(leaves, plan, levels)
+        plan = nodes.select(*names[:i + 1], share.alias("budget"))
+    on = reduce(lambda a, b: a & b, [leaves[level].eqNullSafe(plan[n]) for n, level in zip(names, levels)])
     return leaves.join(plan, on).select(leaves["*"], plan["budget"])
 
 
@@ -111,10 +102,10 @@ def mix(df: DataFrame, levels: Mapping[str, Column] | Sequence[str], weights: Ma
     """
     spark = df.sparkSession
     named = dict(levels) if isinstance(levels, Mapping) else {n: col(n) for n in levels}
-    names = list(named)
+    ids = [f"leaf_{i}" for i in range(len(named))]  # the levels, under names of our own
     count = word_count(col(text_col)) if tokens is None else tokens
     row = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(None).cast("boolean")
-    picked = df.select(col(id_col).alias("doc_id"), *[c.alias(n) for n, c in named.items()],
+    picked = df.select(col(id_col).alias("doc_id"), *[c.alias(i) for i, c in zip(ids, named.values())],
                        F.greatest(F.coalesce(count, F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"), row.alias("row"))
 
     def u(epoch: Column) -> Column:  # a place in the seeded order of an epoch: 60 bits of a hash of the id
@@ -124,18 +115,17 @@ def mix(df: DataFrame, levels: Mapping[str, Column] | Sequence[str], weights: Ma
     with freeing_shuffles(spark):
         rows, m = materialize(picked.withColumn("rid", F.monotonically_increasing_id()), "mix-rows",
                               F.sum("n_tokens").alias("tokens"))
-        leaves, k = materialize(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")),
+        leaves, k = materialize(rows.groupBy(*ids).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")),
                                 "mix-leaves", F.count(F.lit(1)).alias("leaves"))
         small = (lambda d: F.broadcast(d)) if k["leaves"] <= BROADCAST_LEAVES else (lambda d: d)
         budget = (m["tokens"] or 0) * share[0] // share[1]
-        plan = leaf_budgets(leaves, names, weights, budget, max_epochs).where("budget > 0")
+        plan = leaf_budgets(leaves, ids, {i: weights.get(n, {}) for i, n in zip(ids, named)}, budget, max_epochs).where("budget > 0")
         plan = (plan.withColumn("whole", F.expr("budget div tokens"))
                 .withColumn("rest", F.expr("budget - whole * tokens"))
                 .withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(BUCKET_ROWS)))).cast("int")))
-        plan, _ = materialize(plan.withColumnsRenamed({n: f"leaf_{i}" for i, n in enumerate(names)}), "mix-plan")
-        ids = [f"leaf_{i}" for i in range(len(names))]
-        on = lambda: reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(i)) for n, i in zip(names, ids)])
-        placed = (rows.drop("row") if carry else rows).join(small(plan), on()).withColumn("u", u(F.col("whole") + 1))
+        plan, _ = materialize(plan.withColumnsRenamed({i: f"p_{i}" for i in ids}), "mix-plan")
+        on = reduce(lambda a, b: a & b, [F.col(i).eqNullSafe(F.col(f"p_{i}")) for i in ids])
+        placed = rows.drop("row").join(small(plan), on).withColumn("u", u(F.col("whole") + 1))
         bucket = F.when(F.col("bits") == 0, F.lit(0)).otherwise(F.expr("shiftright(u, 60 - bits)")).cast("long")
         sums = (placed.where("rest > 0").withColumn("bucket", bucket).groupBy(*ids, "rest", "bucket")
                 .agg(F.sum("n_tokens").alias("t")))
@@ -143,13 +133,13 @@ def mix(df: DataFrame, levels: Mapping[str, Column] | Sequence[str], weights: Ma
         edge = (sums.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0)))
                 .where("before < rest AND before + t >= rest")
                 .select(*[F.col(i).alias(f"e_{i}") for i in ids], F.col("bucket").alias("edge"), "before"))
-        on_edge = reduce(lambda a, b: a & b, [F.col(i).eqNullSafe(F.col(f"e_{i}")) for i in ids])
+        on_edge = reduce(lambda a, b: a & b, [F.col(f"p_{i}").eqNullSafe(F.col(f"e_{i}")) for i in ids])
         plan, _ = materialize(plan.join(edge, on_edge, "left").select(*plan.columns, "edge", "before"), "mix-edges")
-    placed = rows.join(small(plan), on()).withColumn("u", u(F.col("whole") + 1)).withColumn("bucket", bucket)
+    placed = rows.join(small(plan), on).withColumn("u", u(F.col("whole") + 1)).withColumn("bucket", bucket)
     epochs = F.concat(F.when(F.col("whole") > 0, F.sequence(F.lit(1).cast("long"), F.col("whole"))).otherwise(
         F.array().cast("array<bigint>")), F.when(F.col("bucket") < F.col("edge"), F.array(F.col("whole") + 1)).otherwise(
         F.array().cast("array<bigint>")))
-    keep = ["doc_id", *names, "epoch", "n_tokens", "take_tokens", F.col("tokens").alias("leaf_tokens"),
+    keep = ["doc_id", *[F.col(i).alias(n) for i, n in zip(ids, named)], "epoch", "n_tokens", "take_tokens", F.col("tokens").alias("leaf_tokens"),
             F.col("budget").alias("leaf_budget"), *(["row"] if carry else [])]
     inside = placed.withColumn("epoch", F.explode(epochs)).withColumn("take_tokens", F.col("n_tokens")).select(*keep)
     at_end = Window.partitionBy(*ids).orderBy("u", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, -1)

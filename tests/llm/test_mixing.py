@@ -74,17 +74,17 @@ def brute_mix(rows, weights, num, den, epochs, seed):
     budgets = brute_budgets(tokens, weights, ["lang", "source"], sum(tokens.values()) * num // den, epochs)
     out = []
     for leaf, b in budgets.items():
-        for e in range(1, epochs + 2):
+        for e in range(1, epochs + 1):
+            if b <= 0:
+                break
             start = 0
             order = sorted(leaves[leaf], key=lambda r: (hashlib.md5(f"{seed}:{e}:{r[0]}".encode()).hexdigest()[:15], r[0]))
             for i, n in order:
                 take = min(n, b - start)
-                if start < b:
+                if start < b or b >= tokens[leaf] > 0:
                     out.append((i, *leaf, e, n, take, tokens[leaf], budgets[leaf]))
                 start += n
             b -= tokens[leaf]
-            if b <= 0:
-                break
     return sorted(out, key=repr)
 
 
@@ -111,6 +111,14 @@ def test_whole_rows_repeats_and_empty_tables(docs):
     assert mix(docs([None, ""]), ["lang"], {}, (1, 2)).count() == 0
 
 
+def test_levels_may_have_any_name(docs):
+    from pyspark.sql import functions as F
+
+    names = ["tokens", "budget", "n", "w"]
+    got = mix(docs([(i, "a b", "en", f"s{i % 2}", 0) for i in range(6)]), {n: F.col("source") for n in names}, {}, (1, 2))
+    assert got.columns[1:5] == names and got.agg(F.sum("take_tokens")).first()[0] == 6
+
+
 def test_native_plan(docs):
     plan = mix(docs(["a b", "c"]), ["lang", "source"], {}, (1, 1))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
