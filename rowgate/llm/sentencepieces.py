@@ -22,7 +22,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import byte_slices, col, ragged, text_buffer
 
@@ -242,7 +242,7 @@ def encode_column(df: DataFrame, model: str, keep: list[Column], text_col: str =
     schema = (plain.drop("_text").schema.add("n_tokens", "long").add("ids_crc32", "long").add("text_sha256", "string")
               .add("round_trip", "boolean"))
     if ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         import hashlib
