@@ -44,7 +44,7 @@ HEAD = 24
 BATCHES = 4
 SHARDS = 2  # shards of head hashes that are indexed one after another
 WINDOW_SHARDS = 4
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 TASK_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1  # a null id: larger than all others
 HIT, PARTIAL, INDEX = 0, 1, 2
@@ -98,28 +98,26 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     if n < length:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     head, full = rolling(data, (HEAD, length), BASES[0])
-    head = _mix(head)
     width = length - HEAD + 1
-    v = np.maximum((head >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+    v = np.maximum(((head ^ (head >> np.uint64(29))) * BASES[1] >> np.uint64(32)).astype(np.uint32), np.uint32(1))
     least = _slide(v, width, np.minimum)  # least[p]: of the string at p
     left = np.repeat(offsets[1:], np.diff(offsets))[:len(least)] - np.arange(len(least))
     least[left < length] = 0  # strings that cross the end of a text
     padded = np.concatenate((np.zeros(width - 1, np.uint32), least, np.zeros(len(v) - len(least), np.uint32)))
     at = np.nonzero(_slide(padded, width, np.maximum) == v)[0]
-    first = np.full(len(at), -1)
-    last = np.full(len(at), -1)
-    value, end = v[at], len(least) - 1
-    for j in range(width):
-        p = at - (width - 1) + j
-        own = (p >= 0) & (p <= end)
-        own[own] = least[p[own]] == value[own]
-        last[own] = p[own]
-        own &= first < 0
-        first[own] = p[own]
+    # The strings of an anchor lie in one run of equal minima; look back from the run at the anchor.
+    begin = np.nonzero(np.concatenate(([True], least[1:] != least[:-1])))[0]
+    end = np.append(begin[1:], len(least)) - 1
+    run = np.searchsorted(begin, np.minimum(at, len(least) - 1), side="right") - 1
+    value, wrong = v[at], np.arange(len(at))
+    while len(wrong):
+        wrong = wrong[least[begin[run[wrong]]] != value[wrong]]
+        run[wrong] -= 1
+    first, last = np.maximum(begin[run], at - (width - 1)), np.minimum(end[run], at)
     text = np.searchsorted(offsets, at, side="right") - 1
     shape = ((last - first) * length + (at - first)).astype(np.uint64)
     context = _mix(_mix(full[first] + BASES[1]) + full[last] * np.uint64(3) + shape * BASES[1])
-    return text, first, last, head[at], context
+    return text, first, last, _mix(head[at]), context
 
 
 def _name(head: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -134,9 +132,17 @@ def _ids(column) -> np.ndarray:
 
 
 def _first_of(*keys):
-    """(order, start of its run per sorted row) for rows sorted by all keys, runs by all but the last."""
-    order = np.lexsort(keys[::-1])
+    """(order, start of its run per sorted row, whether a run starts) for rows
+    sorted by all keys, runs by all but the last. Most first keys are alone, so
+    one plain sort and a full one of the rest is enough."""
+    order = np.argsort(keys[0])
     n = len(order)
+    s = keys[0][order]
+    tied = np.zeros(n, bool)
+    tied[1:] = s[1:] == s[:-1]
+    tied[:-1] |= tied[1:]
+    rest = order[tied]
+    order[tied] = rest[np.lexsort([k[rest] for k in keys[::-1]])]
     new = np.zeros(n, bool)
     if n:
         new[0] = True
@@ -160,12 +166,7 @@ def _records(shard: int, shards: int, length: int):
                 part = off[lo:hi + 1]
                 text, _, _, head, context = anchors(data[part[0]:part[-1]], part - part[0], length)
                 own = (head >> np.uint64(40)) % np.uint64(shards) == np.uint64(shard)
-                rows = np.stack([head[own].view(np.int64), context[own].view(np.int64), ids[lo:hi][text[own]]])
-                order, start, new = _first_of(*rows)
-                rows = rows[:, order]
-                fresh = new.copy()
-                fresh[1:] |= rows[2, 1:] != rows[2, :-1]
-                parts.append(rows[:, fresh])
+                parts.append(np.stack([head[own].view(np.int64), context[own].view(np.int64), ids[lo:hi][text[own]]]))
             if not parts:
                 continue
             h, c, d = np.concatenate(parts, axis=1)
