@@ -41,9 +41,9 @@ from .common import byte_slices, col, default_partitions, delete_path, freeing_s
 
 LENGTH = 50
 HEAD = 24
-BATCHES = 4
+BATCHES = 3
 SHARDS = 2  # shards of head hashes that are indexed one after another
-WINDOW_SHARDS = 4
+WINDOW_SHARDS = 2
 SLICE_BYTES = 1 << 20
 TASK_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1  # a null id: larger than all others
