@@ -14,7 +14,7 @@ import re
 from dataclasses import dataclass, field
 
 from .fixed import EMAIL_REGEX
-from .sql import is_number, literal, quote_str
+from .sql import is_number, quote_str
 from .types import is_numeric_type, is_string_type, normalize_type
 
 
@@ -47,7 +47,7 @@ _NOT_NULL = re.compile(
     r"|(?:is\s+)?required|mandatory|(?:must|should)\s+(?:be\s+)?(?:present|populated|provided))$",
     _I,
 )
-_BARE_ONE_OF = re.compile(r"^(?:one|any)\s+of\s*:?\s*([^\[\(\{].*)$", _I)
+_BARE_ONE_OF = re.compile(r"^(?:either\s+)?(?:one|any)\s+of\s*:?\s*([^\[\(\{].*)$", _I)
 _QUOTED = r"(?:'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\")"
 _OR_LIST = re.compile(rf"^(?:either\s+)?({_QUOTED}(?:\s*(?:,|or)\s*{_QUOTED})+)$", _I)
 _IS_NULL = re.compile(r"^(?:null|empty\s+\(null\)|missing|absent)$", _I)
@@ -60,7 +60,15 @@ _TIME = re.compile(r"^(?:(?:a\s+)?date\s+)?(?:in\s+the\s+(past|future)|not\s+in\
 _SHAPE = re.compile(r"^(?:all\s+)?(upper\s*case|lower\s*case|alpha\s*numeric|digits\s+only|only\s+digits|"
                     r"(?:a\s+)?valid\s+url)$", _I)
 _UNIQUE = re.compile(r"^(?:unique|distinct|no\s+duplicates?)(?:\s+values?)?$", _I)
-_EMAIL = re.compile(r"\be-?mail\b", _I)
+_EMAIL = re.compile(r"^(?:(?:in|have|has|of|follow|follows|match|matches|formatted\s+as|contain|contains)\s+)?(?:an?\s+|the\s+)?"
+                    r"(?:(?:valid|proper|correct|properly\s+formatted|well[-\s]?formed)\s+e-?mail(?:\s+address(?:es)?)?(?:\s+format)?"
+                    r"|e-?mail(?:\s+address)?\s+format|e-?mail\s+address(?:es)?)$", _I)
+_EMAIL_SUBJECT = re.compile(r"^(?:the\s+)?e-?mail(?:\s+address)?\s+(?:must|should|has\s+to|needs\s+to|is|shall)\s+(?:be\s+)?"
+                            r"(?:valid|well[-\s]?formed|properly\s+formatted)$", _I)
+_INTEGER = re.compile(r"^(?:an?\s+)?(?:integer|whole\s+number|int)(?:\s+(?:value|number))?$", _I)
+_BOOL = re.compile(r"^(?:equal\s+to\s+|equals\s+)?(true|false)$", _I)
+_NOT = re.compile(r"^not\s+(?:be\s+|an?\s+)?(.+)$", _I | re.S)
+_N_CHARS = re.compile(r"^(?:exactly\s+)?(\d+)\s+(?:characters?|chars?|letters?)(?:\s+(?:long|in\s+length))?$", _I)
 _NUMBER = re.compile(r"^(?:an?\s+)?(?:valid\s+)?(?:number|numeric(?:\s+value)?|numerical)$", _I)
 _IN_LIST = re.compile(
     r"^(?:(?:one|any)\s+of|in|among|within)(?:\s+the\s+(?:values|list))?\s*:?\s*([\[\(\{].*[\]\)\}])$",
@@ -93,7 +101,8 @@ _OPS: list[tuple[str, str]] = [
     (r">", ">"),
     (r"<", "<"),
 ]
-_VALUE = r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?|\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?)"
+_GROUPED = r"[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?"  # thousands separators
+_VALUE = r"(" + _GROUPED + r"(?![\d,])|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?|\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?)"
 _CMP = [(re.compile(rf"^(?:{pat})\s*{_VALUE}$", _I), op) for pat, op in _OPS]
 _BETWEEN = re.compile(rf"^(?:between|in\s+the\s+range|in\s+range|from)\s+{_VALUE}\s+(?:and|to|-)\s+{_VALUE}(?:\s+inclusive)?$", _I)
 _LEN_PREFIX = re.compile(r"^(?:(?:the\s+)?(?:string\s+)?(?:length|len|size)(?:\s+of\s+the\s+value)?)\s+(?:must\s+be\s+|should\s+be\s+|is\s+|of\s+)?(.+)$", _I)
@@ -101,15 +110,26 @@ _LEN_PREFIX2 = re.compile(r"^(min|max|minimum|maximum)\s+length\s*(?:of\s+)?(.+)
 _LEN_SUFFIX = re.compile(r"^(.+?)\s+(?:characters?|chars?|letters?)(?:\s+long)?$", _I)
 _SQL = re.compile(r"^sql\s*:\s*(.+)$", _I | re.S)
 _TRUE = re.compile(r"^(?:true|always\s+valid|any(?:thing)?|no\s+rule)$", _I)
-_TOKEN = re.compile(r"'((?:[^'\\]|\\.|'')*)'|\"((?:[^\"\\]|\\.)*)\"|([^,\s\[\]\(\)\{\}]+)")
+_QUOTED_OR_BARE = re.compile(rf"\s*(?:({_QUOTED})|([^,]*?))\s*(?:,|$)", re.S)
+_SPACES = re.compile(rf"({_QUOTED})|\s+", re.S)
+
+
+_CONTRACTED = re.compile(rf"\b(?:can't|cannot|(\w+)n't)\b|({_QUOTED})", re.I | re.S)
+
+
+def _squeeze(text: str) -> str:
+    """Runs of white space outside quotes become one space."""
+    return _SPACES.sub(lambda m: m.group(1) or " ", text.strip())
 
 
 def _unquote(token: str) -> str:
+    """The one literal codec of rule text: inside quotes a backslash takes the
+    next character as it is, and a doubled single quote is a quote.
+    ``format_value_list`` writes what this reads."""
     if len(token) >= 2 and token[0] == token[-1] and token[0] in "'\"":
         body = token[1:-1]
-        if token[0] == "'":
-            body = body.replace("''", "'")
-        return re.sub(r"\\(.)", r"\1", body)
+        pairs = r"\\(.)|''" if token[0] == "'" else r"\\(.)"
+        return re.sub(pairs, lambda m: m.group(1) if m.group(1) is not None else "'", body, flags=re.S)
     return token
 
 
@@ -117,28 +137,44 @@ def _value(token: str):
     """Literal from a matched value token: numbers stay numeric text."""
     if token[:1] in "'\"":
         return ("str", _unquote(token))
+    if re.fullmatch(_GROUPED, token):
+        return ("num", token.replace(",", ""))
     if is_number(token):
         return ("num", token)
     return ("str", token)
 
 
+def _phrase(token: str) -> str:
+    """A value given as free text: quoted whole, or without any quote."""
+    token = token.strip()
+    if re.fullmatch(_QUOTED, token, re.S):
+        return _unquote(token)
+    if token[:1] in "'\"" or re.search(rf"\s(?:and|or)\s|^{_QUOTED}\s", token, _I):
+        raise RuleSyntaxError(f"quote the value {token!r} as a whole")
+    return token
+
+
 def parse_list(text: str) -> tuple:
+    """Values of a bracketed list: quoted ones verbatim, others split at commas only."""
     inner = text.strip()[1:-1]
-    out = []
-    for m in _TOKEN.finditer(inner):
+    out, at = [], 0
+    while at < len(inner):
+        m = _QUOTED_OR_BARE.match(inner, at)
+        if not m or (m.group(1) is None and ("'" in m.group(2) or '"' in m.group(2)) and m.group(2)[:1] in "'\""):
+            raise RuleSyntaxError(f"value list not understood at {inner[at:]!r}")
         if m.group(1) is not None:
-            out.append(("str", re.sub(r"\\(.)", r"\1", m.group(1).replace("''", "'"))))
-        elif m.group(2) is not None:
-            out.append(("str", re.sub(r"\\(.)", r"\1", m.group(2))))
-        else:
-            out.append(_value(m.group(3)))
+            out.append(("str", _unquote(m.group(1))))
+        elif m.group(2):
+            out.append(_value(m.group(2)))
+        at = m.end()
     return tuple(out)
 
 
-def _split_and(text: str) -> list[str]:
-    """Split on `` and `` outside quotes/brackets, keeping ``between A and B``."""
+def _split(text: str, word: str) -> list[str]:
+    """Split at `` word `` outside quotes and brackets, keeping ``between A and
+    B``, ``... than or equal to`` and ``zero or positive`` whole."""
     parts, start, depth, quote, i = [], 0, 0, None, 0
-    low = text.lower()
+    low, gap = text.lower(), f" {word} "
     while i < len(text):
         ch = text[i]
         if quote:
@@ -147,21 +183,25 @@ def _split_and(text: str) -> list[str]:
                 continue
             if ch == quote:
                 quote = None
-        elif ch in "'\"":
+        elif ch in "'\"" and (i == 0 or not text[i - 1].isalnum()):  # an apostrophe inside a word opens nothing
             quote = ch
         elif ch in "[({":
             depth += 1
         elif ch in "])}":
             depth -= 1
-        elif depth == 0 and low.startswith(" and ", i):
-            before = text[start:i]
-            if not re.search(rf"(?:between|range|from)\s+{_VALUE}\s*$", before, _I):
+        elif depth == 0 and low.startswith(gap, i):
+            before, after = text[start:i], low[i + len(gap):]
+            held = (re.search(rf"(?:between|range|from)\s+{_VALUE}\s*$", before, _I) if word == "and" else
+                    re.match(r"equal\b", after) or (re.search(r"\bzero$", before, _I) and after.startswith("positive")))
+            if not held:
                 parts.append(before.strip())
-                start = i + 5
-                i += 5
+                start = i + len(gap)
+                i = start
                 continue
         i += 1
     parts.append(text[start:].strip())
+    if quote or depth:
+        raise RuleSyntaxError(f"open quote or bracket in {text!r}")
     return [p for p in parts if p]
 
 
@@ -183,7 +223,9 @@ def _parse_cmp(core: str) -> Spec | None:
 
 
 def _parse_atom(text: str) -> Spec:
-    raw = re.sub(r"\s+", " ", text.strip()).rstrip(".")
+    """One rule without a top-level ``and``. Every pattern is anchored at both
+    ends, so no part of the text can be left over."""
+    raw = text.strip().rstrip(".")
     if not raw:
         raise RuleSyntaxError("empty rule")
     if _TRUE.match(raw):
@@ -197,6 +239,16 @@ def _parse_atom(text: str) -> Spec:
         return Spec("is_null")
     if _UNIQUE.match(core):
         return Spec("unique")
+    m = _BOOL.match(core)
+    if m:
+        return Spec("bool", text=m.group(1).lower())
+    if _INTEGER.match(core):
+        return Spec("integer")
+    m = _N_CHARS.match(core)
+    if m:
+        return Spec("len_cmp", op="=", values=(("num", m.group(1)),))
+    if _EMAIL.match(core) or _EMAIL_SUBJECT.match(raw):
+        return Spec("email")
     m = _IN_LIST.match(core)
     if m:
         values = parse_list(m.group(1))
@@ -205,8 +257,8 @@ def _parse_atom(text: str) -> Spec:
         return Spec("in", values=values)
     m = _BARE_ONE_OF.match(core) or _OR_LIST.match(core)
     if m:
-        body = m.group(1).strip()
-        values = parse_list("[" + re.sub(r"\s+or\s+", ", ", body, flags=_I) + "]")
+        body = ", ".join(_split(m.group(1).strip(), "or"))
+        values = parse_list(f"[{body}]")
         if values:
             return Spec("in", values=values)
     m = _ALLOWED.match(core)
@@ -223,7 +275,7 @@ def _parse_atom(text: str) -> Spec:
         return Spec("castable", text=normalize_type(m.group(1)))
     m = _FORMAT.match(core)
     if m:
-        return Spec("format", text=_unquote(m.group(2).strip()))
+        return Spec("format", text=_phrase(m.group(2)))
     if _NOT_EMPTY.match(core):
         return Spec("not_empty")
     m = _TIME.match(core)
@@ -238,13 +290,13 @@ def _parse_atom(text: str) -> Spec:
         return Spec("shape", text=shape)
     m = _REGEX.match(core)
     if m:
-        return Spec("regex", text=_unquote(m.group(1).strip()))
+        return Spec("regex", text=_phrase(m.group(1)))
     m = _AFFIX.match(core)
     if m:
         if m.group(1):
             kind = "starts" if m.group(1).lower() in ("start", "begin") else "ends"
-            return Spec(kind, text=_unquote(m.group(2).strip()))
-        return Spec("contains", text=_unquote(m.group(4).strip()))
+            return Spec(kind, text=_phrase(m.group(2)))
+        return Spec("contains", text=_phrase(m.group(4)))
     m = _LEN_PREFIX.match(core)
     if m:
         inner = _LEN_SUFFIX.sub(r"\1", m.group(1).strip())
@@ -262,11 +314,15 @@ def _parse_atom(text: str) -> Spec:
         spec = _parse_cmp(m.group(1).strip())
         if spec:
             return Spec("len_" + spec.kind, op=spec.op, values=spec.values)
-    if _EMAIL.search(core) and re.search(r"\b(valid|format|address|proper|correct)\b", core, _I):
-        return Spec("email")
     spec = _parse_cmp(core)
     if spec:
         return spec
+    m = _NOT.match(core)
+    if m:
+        inner = _parse_atom(m.group(1))
+        if inner.kind in ("unique", "true"):
+            raise RuleSyntaxError(f"rule not understood: {text!r}")
+        return Spec("not", parts=(inner,))
     raise RuleSyntaxError(f"rule not understood: {text!r}")
 
 
@@ -293,22 +349,65 @@ def _parse_rule(text: str) -> Spec:
     m = _SQL.match(text)
     if m:
         return Spec("sql", text=m.group(1).strip())
+    return _parse_or(_squeeze(_CONTRACTED.sub(lambda m: m.group(2) or (m.group(1) or "can") + " not", text)))
+
+
+_MODAL = re.compile(r"^(?:the\s+)?(?:values?\s+|it\s+)?(?:must|should|shall|can|may|not|is|are|has|needs)\b", _I)
+_NEVER = re.compile(r"^(?:(?:the\s+)?(?:values?\s+|it\s+)?(?:must|should|shall|can|may)\s+)?not\s+"
+                    r"(?:be\s+(?:an?\s+)?|(?=(?:null|empty|blank|missing)$))", _I)
+_LEAD = re.compile(r"^((?:should|must|shall)\s+(?:not\s+)?be\s+(?:an?\s+)?)", _I)
+
+
+def _parse_or(text: str) -> Spec:
+    """``and`` binds tighter than ``or``; a text without ``and`` may be one rule
+    that holds an ``or`` itself ("'Y' or 'N'", "one of A, B or C")."""
+    ors = _split(text, "or")
+    if len(ors) == 1:
+        return _parse_and(text)
+    if len(_split(text, "and")) == 1:
+        try:
+            return _parse_atom(text)
+        except RuleSyntaxError:
+            pass
+    never = _NEVER.match(ors[0])
+    if never and not any(_MODAL.match(p) for p in ors[1:]):  # "must not be X or Y" is neither of them
+        return Spec("and", parts=tuple(_parse_and(p if i == 0 else never.group(0) + p) for i, p in enumerate(ors)))
     try:
-        return _parse_atom(text)
+        return Spec("or", parts=_with_lead(ors, _parse_and))
     except RuleSyntaxError:
-        parts = _split_and(text)
-        if len(parts) < 2:
+        if len(_split(text, "and")) == 1:
             raise
-    lead = re.match(r"^((?:should|must|shall)\s+(?:not\s+)?be\s+(?:an?\s+)?)", parts[0], _I)
-    specs = []
+        return _parse_and(text)  # the "or" is inside a part: "'Y' or 'N' and not null"
+
+
+def _parse_and(text: str) -> Spec:
+    parts = _split(text, "and")
+    if len(parts) == 1:
+        return _parse_atom(text)
+    return Spec("and", parts=_with_lead(parts, _parse_atom))
+
+
+def _with_lead(parts: list[str], parse) -> tuple:
+    """Parsed parts; a part that is no rule by itself shares the first one's "should be a"."""
+    lead = _LEAD.match(parts[0])
+    out = []
     for part in parts:
         try:
-            specs.append(_parse_atom(part))
+            out.append(parse(part))
         except RuleSyntaxError:
-            if not lead:
+            if not lead or part is parts[0]:
                 raise
-            specs.append(_parse_atom(lead.group(1) + part))
-    return Spec("and", parts=tuple(specs))
+            out.append(parse(lead.group(1) + part))
+    return tuple(out)
+
+
+#: Stands in an expression for the flag column of a uniqueness part.
+UNIQUE_REF = "`__rg_unique_flag`"
+
+
+def has_unique(spec: Spec) -> bool:
+    """True when the rule is, or holds, a uniqueness part."""
+    return spec.kind == "unique" or any(has_unique(p) for p in spec.parts)
 
 
 # --------------------------------------------------------------------------- #
@@ -351,9 +450,10 @@ def _guard(col_sql: str, cond: str) -> str:
     return f"({col_sql} IS NULL) OR ({cond})"
 
 
-def to_sql(spec: Spec, col_sql: str, data_type: str, col_type: str | None = None) -> str | None:
+def to_sql(spec: Spec, col_sql: str, data_type: str, col_type: str | None = None, now: str = "current_timestamp()") -> str | None:
     """SQL text of one rule. Returns ``None`` for ``unique`` (a plan-level
-    check) and ``"true"`` for rules that hold for every row."""
+    check; inside a compound it is ``UNIQUE_REF``) and ``"true"`` for rules
+    that hold for every row. ``now`` is what time rules compare with."""
     k = spec.kind
     if k == "true":
         return "true"
@@ -382,8 +482,21 @@ def to_sql(spec: Spec, col_sql: str, data_type: str, col_type: str | None = None
     if k == "format":
         return _guard(col_sql, f"try_to_timestamp({_as_string(col_sql, col_type)}, {quote_str(spec.text)}) IS NOT NULL")
     if k == "cmp_now":
-        ts = f"TRY_CAST({_as_string(col_sql, col_type)} AS TIMESTAMP)"
-        return _guard(col_sql, f"{ts} {spec.op} current_timestamp()")
+        direct = col_type is not None and normalize_type(col_type) in ("timestamp", "timestamp_ltz")
+        ts = col_sql if direct else f"TRY_CAST({_as_string(col_sql, col_type)} AS TIMESTAMP)"
+        return _guard(col_sql, f"{ts} {spec.op} {now}")
+    if k == "bool":
+        direct = col_type is not None and normalize_type(col_type) == "boolean"
+        return _guard(col_sql, f"{col_sql if direct else f'TRY_CAST({col_sql} AS BOOLEAN)'} = {spec.text}")
+    if k == "integer":
+        if (normalize_type(col_type) if col_type is not None else normalize_type(data_type)) in (
+                "tinyint", "smallint", "int", "bigint"):
+            return "true"
+        num = f"TRY_CAST({_as_string(col_sql, col_type)} AS DOUBLE)"
+        return _guard(col_sql, f"coalesce({num} = floor({num}), false)")
+    if k == "not":
+        inner = to_sql(spec.parts[0], col_sql, data_type, col_type, now)
+        return _guard(col_sql, f"NOT ({inner})")
     if k == "shape":
         c = _as_string(col_sql, col_type)
         cond = {"upper": f"{c} = upper({c})", "lower": f"{c} = lower({c})",
@@ -396,8 +509,10 @@ def to_sql(spec: Spec, col_sql: str, data_type: str, col_type: str | None = None
         # via the text form: castable from any atomic type
         return _guard(col_sql, f"TRY_CAST({_as_string(col_sql, col_type)} AS DOUBLE) IS NOT NULL")
     if k == "in":
-        typed = _typed(col_sql, col_type, data_type, spec.values)
-        target = "double" if typed.endswith("AS DOUBLE)") else data_type
+        # a string column is compared as strings, so codes such as 01 keep their zeros
+        text_values = tuple(("str", v[1]) for v in spec.values) if is_string_type(data_type) else spec.values
+        typed = _typed(col_sql, col_type, data_type, text_values)
+        target = data_type
         vals = ", ".join(_lit(v, target) for v in spec.values)
         return _guard(col_sql, f"{typed} IN ({vals})")
     if k == "cmp":
@@ -414,10 +529,11 @@ def to_sql(spec: Spec, col_sql: str, data_type: str, col_type: str | None = None
     if k == "len_between":
         lo, hi = (v[1] for v in spec.values)
         return _guard(col_sql, f"length({_as_string(col_sql, col_type)}) BETWEEN {lo} AND {hi}")
-    if k == "and":
-        texts = [to_sql(p, col_sql, data_type, col_type) for p in spec.parts]
-        if any(t is None for t in texts):
-            raise RuleSyntaxError("'unique' cannot be combined with other rules; give it its own row")
+    if k in ("and", "or"):
+        texts = [to_sql(p, col_sql, data_type, col_type, now) for p in spec.parts]
+        texts = [UNIQUE_REF if t is None else t for t in texts]
+        if k == "or":
+            return "true" if "true" in texts else " OR ".join(f"({t})" for t in texts)
         kept = [t for t in texts if t != "true"]
         if not kept:
             return "true"
@@ -428,8 +544,9 @@ def to_sql(spec: Spec, col_sql: str, data_type: str, col_type: str | None = None
 
 
 def format_value_list(values) -> str:
-    """``['A', 'B']`` text for an in-list rule; quotes doubled SQL-style."""
-    return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
+    """``['A', 'B']`` text for an in-list rule, read back by ``parse_list``:
+    quotes doubled SQL-style, backslashes escaped."""
+    return "[" + ", ".join("'" + str(v).replace("\\", "\\\\").replace("'", "''") + "'" for v in values) + "]"
 
 
-__all__ = ["Spec", "RuleSyntaxError", "parse_rule", "to_sql", "parse_list", "format_value_list", "literal"]
+__all__ = ["Spec", "RuleSyntaxError", "parse_rule", "to_sql", "has_unique", "parse_list", "format_value_list"]

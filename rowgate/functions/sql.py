@@ -21,15 +21,3 @@ _NUMBER = re.compile(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")
 
 def is_number(text: str) -> bool:
     return bool(_NUMBER.match(text.strip()))
-
-
-def literal(value) -> str:
-    """SQL literal for a parsed rule value (number kept verbatim)."""
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, (int, float)):
-        return repr(value)
-    text = str(value)
-    if is_number(text):
-        return text
-    return quote_str(text)

@@ -1,7 +1,15 @@
 import pytest
 
 from rowgate.functions.fixed import EMAIL_REGEX
-from rowgate.functions.grammar import RuleSyntaxError, format_value_list, parse_list, parse_rule, to_sql
+from rowgate.functions.grammar import (
+    UNIQUE_REF,
+    RuleSyntaxError,
+    format_value_list,
+    has_unique,
+    parse_list,
+    parse_rule,
+    to_sql,
+)
 from rowgate.functions.sql import quote_str
 
 
@@ -169,3 +177,46 @@ def test_more_phrasings():
     assert sql("Status is required") == "`c` IS NOT NULL"
     with pytest.raises(RuleSyntaxError):
         parse_rule("Age must look nice")
+
+
+ATOMS = ["not null", "must be a valid email address", "one of ['A', 'B']", "one of: A, B", "between 1 and 10", "at least 1,000",
+         "must match pattern '^[A-Z]+ and$'", "starts with 'x or y'", "contains 'a'", "must not be negative", "must be true",
+         "must be an integer", "must be 5 characters", "length between 2 and 5", "valid date", "date format 'yyyy-MM-dd'",
+         "must not be one of ['it''s']", "not empty", "positive", "zero or positive", "greater than or equal to 3", "uppercase"]
+
+
+@pytest.mark.parametrize("a", ATOMS)
+def test_each_part_of_a_compound_keeps_its_own_meaning(a):
+    """``A and B`` and ``A or B`` are what A and B are apart: nothing is lost or swallowed."""
+    for b in ATOMS:
+        left, right = sql(a), sql(b)
+        both = [t for t in (left, right) if t != "true"]
+        want = "true" if not both else both[0] if len(both) == 1 else f"({left}) AND ({right})"
+        assert sql(f"{a} and {b}") == want, (a, b)
+
+
+def test_unique_inside_compounds():
+    assert sql("Must be unique and not null") == f"({UNIQUE_REF}) AND (`c` IS NOT NULL)"
+    assert has_unique(parse_rule("must be a valid email and unique")) and not has_unique(parse_rule("not null"))
+
+
+@pytest.mark.parametrize("rule", ["must look nice and not null", "not null and", "one of ['A'", "not unique", "in ('A') in ('B')",
+                                  "starts with 'a' 'b'", "email maybe", "between 1 and", "must match pattern 'a' or else"])
+def test_left_over_text_fails_loudly(rule):
+    with pytest.raises(RuleSyntaxError):
+        parse_rule(rule)
+
+
+def test_alternatives_and_negations():
+    assert sql("greater than 5 or null", "x", "int") == "((`x` IS NULL) OR (`x` > 5)) OR (`x` IS NULL)"
+    assert sql("must not be null or empty") == "(`c` IS NOT NULL) AND ((`c` IS NULL) OR (TRIM(`c`) <> ''))"
+    assert sql("should not be a valid email address").startswith("(`c` IS NULL) OR (NOT (")
+    assert sql("can't be null") == "`c` IS NOT NULL"
+
+
+def test_list_values_are_verbatim():
+    assert parse_list("[New York, Paris]") == (("str", "New York"), ("str", "Paris"))
+    assert parse_rule("one of ['A  B', 'x']").values[0] == ("str", "A  B")
+    odd = ["a\\b", "ends\\", "O'B", "''", "\\'", "x, y", "two  spaces", "[z]", 'say "x"', ""]
+    assert [v for _, v in parse_list(format_value_list(odd))] == odd
+    assert sql("one of [01, 02]") == "(`c` IS NULL) OR (`c` IN ('01', '02'))"
