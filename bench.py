@@ -92,7 +92,7 @@ def main() -> None:
     def q_unique_lineitem_orderkey_salted(t):
         # the skew path: every duplicated key split over salts, shuffle join on (key, salt)
         flagged = unique_flag(t("lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "ok",
-                              broadcast_max_keys=0, rows_per_salt=2)
+                              broadcast_max_keys=0, rows_per_hot=2)
         return flagged.agg(F.count_if(~F.col("ok"))).collect()
 
     def q_profile_lineitem(t):

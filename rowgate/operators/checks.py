@@ -11,6 +11,7 @@ import logging
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from datetime import datetime, timezone
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,11 +23,11 @@ from ..functions.fixed import (
     RULE_NAME_PREFIX_LENGTH,
     TYPE_CHECK_SUFFIX,
 )
-from ..functions.grammar import RuleSyntaxError, parse_rule, to_sql
+from ..functions.grammar import UNIQUE_REF, RuleSyntaxError, has_unique, parse_rule, to_sql
 from ..functions.sql import quote_ident
 from ..functions.types import normalize_type
 from ..sources.rules_io import collect_rules
-from .unique import unique_flag
+from .unique import unique_flags
 
 log = logging.getLogger("rowgate")
 
@@ -44,6 +45,7 @@ class Check:
     error: str | None = None
     index: int = -1
     run_sql: str | None = None  # what is executed, when simpler than ``expression``
+    unique_part: bool = False  # the expression refers to the column's uniqueness flag
 
     @property
     def ok(self) -> bool:
@@ -67,6 +69,8 @@ class _SchemaLookup(dict):
         super().__init__((f.name if case_sensitive else f.name.lower(), f.dataType) for f in schema.fields)
         self.case_sensitive = case_sensitive
 
+        self.spelling = {self._k(f.name): f.name for f in schema.fields}
+
     def _k(self, name):
         return name if self.case_sensitive else str(name).lower()
 
@@ -92,34 +96,89 @@ def unique_check_sql(column: str) -> str:
     return f"({c} IS NULL) OR (COUNT(*) OVER (PARTITION BY {c}) = 1)"
 
 
+def _refusal(analyzed, dt: T.DataType) -> str | None:
+    """Why an expression that resolves is still no row-level check."""
+    if not isinstance(dt, (T.BooleanType, T.NullType)):
+        return f"expression is {dt.simpleString()}, not boolean"
+    if analyzed is None:
+        return None
+    text = analyzed.toString()
+    if re.search(r"^\W*Generate ", text, re.M):
+        return "expression makes rows (a generator); a check needs one value per row"
+    if re.search(r"^\W*Aggregate ", text, re.M):
+        return "expression aggregates; a check needs one value per row"
+    for m in re.finditer(r"windowspecdefinition\(", text):
+        if not _partitioned(text[m.end():]):
+            return "window without PARTITION BY (all rows in one task)"
+    out = analyzed.expressions()
+    if any(not out.apply(i).deterministic() for i in range(out.size())):
+        return "expression is not deterministic; each row must be judged alike whenever it is read"
+    return None
+
+
+def _partitioned(spec: str) -> bool:
+    """Whether the text after ``windowspecdefinition(`` starts with a partition
+    key: keys come before ``x ASC ...`` orders and the frame."""
+    depth, first = 0, ""
+    for ch in spec:
+        if depth == 0 and ch in ",)":
+            break
+        depth += (ch == "(") - (ch == ")")
+        first += ch
+    return not (first.strip().startswith("specifiedwindowframe") or re.search(r"\b(ASC|DESC) NULLS\b", first))
+
+
+def _plan(df: DataFrame):
+    """The analysed plan; None where the client has none (Spark Connect)."""
+    try:
+        return df._jdf.queryExecution().analyzed()
+    except AttributeError:
+        return None
+
+
 def _analyze(df: DataFrame, sql: str) -> str | None:
     """Resolve ``sql`` against ``df`` without running a job; the error text
-    when it does not parse, resolve, or is not boolean."""
-    return _analyze_all(df, [sql])[0]
+    when it does not parse or resolve or is no deterministic boolean per row.
+    It is analysed beside a plain source column, so an aggregate cannot pass
+    as a query of its own."""
+    beside = [f"{quote_ident(df.columns[0])} AS __rg_row"] if df.columns else []
+    try:
+        # newline before ")": a trailing "-- comment" in user SQL cannot swallow it
+        alone = df.selectExpr(*beside, f"({sql}\n) AS __rg_check")
+        if alone.columns != [*["__rg_row"][:len(beside)], "__rg_check"]:
+            return "expression gives more than one column"
+        return _refusal(_plan(alone), alone.schema["__rg_check"].dataType)
+    except PySparkException as e:  # parse and analysis errors
+        lines = [ln.strip() for ln in str(e).splitlines() if ln.strip()]
+        return lines[0] if lines else type(e).__name__
 
 
 def _analyze_all(df: DataFrame, sqls: list[str]) -> list[str | None]:
-    """Analyse all expressions in one projection; only when that fails are
-    they analysed one by one to find the bad ones (analysis only, no job)."""
+    """Analyse all expressions in one projection; only when that finds a fault
+    are they analysed one by one (analysis only, no job)."""
     if not sqls:
         return []
+    names = [f"__rg_{i}" for i in range(len(sqls))]
     try:
-        # newline before ")": a trailing "-- comment" in user SQL cannot swallow it
-        schema = df.selectExpr(*[f"({q}\n) AS __rg_{i}" for i, q in enumerate(sqls)]).schema
-        types = [schema[f"__rg_{i}"].dataType for i in range(len(sqls))]
-    except PySparkException as e:  # parse and analysis errors
-        if len(sqls) == 1:
-            lines = [ln.strip() for ln in str(e).splitlines() if ln.strip()]
-            return [lines[0] if lines else type(e).__name__]
-        return [x for q in sqls for x in _analyze_all(df, [q])]
-    return [None if isinstance(dt, (T.BooleanType, T.NullType)) else f"expression is {dt.simpleString()}, not boolean"
-            for dt in types]
+        beside = [f"{quote_ident(df.columns[0])} AS __rg_row"] if df.columns else []
+        together = df.selectExpr(*beside, *[f"({q}\n) AS {n}" for q, n in zip(sqls, names)])
+        if together.columns[len(beside):] == names:
+            plan, schema = _plan(together), together.schema
+            if not any(_refusal(plan, schema[n].dataType) for n in names):
+                return [None] * len(sqls)
+    except PySparkException:
+        pass
+    return [_analyze(df, q) for q in sqls]
 
 
 def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
-                  on_error: str = "skip", type_checks: bool = True) -> list[Check]:
+                  on_error: str = "skip", type_checks: bool = True, run_time: datetime | None = None) -> list[Check]:
     """Rule rows -> ordered checks for ``df``.
 
+    Time rules ("not in the future") compare with ``run_time``, one moment
+    bound here (now, if not given), so every job that applies the checks
+    judges a row alike. Column names take the spelling of ``df``'s schema.
+
     A rule that cannot be parsed, translated, resolved against ``df`` or that
     needs an illegal cast is kept with its ``error`` set (``on_error="skip"``)
     and contributes no column; ``on_error="raise"`` raises instead.
@@ -127,22 +186,26 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
     rows = collect_rules(rules)
     case_sensitive = str(df.sparkSession.conf.get("spark.sql.caseSensitive", "false")).lower() == "true"
     schema = _SchemaLookup(df.schema, case_sensitive)
-    taken = set(df.columns)
+    when = (run_time or datetime.now(timezone.utc)).astimezone(timezone.utc)
+    now = f"TIMESTAMP '{when:%Y-%m-%d %H:%M:%S.%f} UTC'"
+    fold = (lambda n: n) if case_sensitive else str.lower
+    taken = {fold(c) for c in df.columns}
     type_checks_out: list[Check] = []
     rule_checks: list[Check] = []
     seen_types: set[tuple[str, str]] = set()
 
     def unique_name(base: str) -> str:
         name, n = base, 2
-        while name in taken:
+        while fold(name) in taken:
             name = f"{base}_{n}"
             n += 1
-        taken.add(name)
+        taken.add(fold(name))
         return name
 
     for i, row in enumerate(rows):
         column = row.get("column_name")
         column = None if column is None else str(column).strip()  # data names are stripped too (C1)
+        column = schema.spelling.get(schema._k(column), column) if column else column
         data_type = normalize_type(row.get("data_type"))
         text = row.get("rule")
         text = None if text is None else str(text)
@@ -163,17 +226,22 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
                                          column, data_type, None, sql, None, i, run))
 
         name = unique_name(f"{_sanitize(column)}_{_sanitize(text or '')[:RULE_NAME_PREFIX_LENGTH]}_{i}{RULE_CHECK_SUFFIX}")
-        kind, sql, err = "rule", None, None
+        kind, sql, err, run, part = "rule", None, None, None, False
         try:
             spec = parse_rule(text or "")
-            if spec.kind == "unique":
-                kind, sql = "unique", unique_check_sql(column)
+            part = has_unique(spec)
+            if part:
+                if spec.kind == "unique":
+                    kind, sql = "unique", unique_check_sql(column)
+                else:
+                    run = to_sql(spec, col_sql, data_type, col_type, now)
+                    sql = run.replace(UNIQUE_REF, unique_check_sql(column))
                 if column not in schema:
                     err = f"column {column!r} not found"
                 elif isinstance(schema[column], T.MapType):
                     err = "uniqueness of a map column cannot be checked (maps are not comparable)"
             else:
-                sql = to_sql(spec, col_sql, data_type, col_type)
+                sql = to_sql(spec, col_sql, data_type, col_type, now)
         except RuleSyntaxError as e:
             if translator is not None:
                 try:
@@ -182,11 +250,11 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
                     err = f"translator failed: {te}"
             else:
                 err = str(e)
-        rule_checks.append(Check(name, kind, column, data_type, text, sql, err, i))
+        rule_checks.append(Check(name, kind, column, data_type, text, sql, err, i, run, part))
 
     out = type_checks_out + rule_checks
     pending = [k for k, c in enumerate(out) if c.error is None and c.kind != "unique" and c.expression]
-    for k, err in zip(pending, _analyze_all(df, [out[k].sql for k in pending])):
+    for k, err in zip(pending, _analyze_all(df, [out[k].sql.replace(UNIQUE_REF, "true") for k in pending])):
         if err:
             out[k] = replace(out[k], error=err)
     for c in out:
@@ -207,15 +275,16 @@ def apply_checks(df: DataFrame, checks: list[Check], **unique_options) -> DataFr
     """``df`` plus one boolean column per usable check, in check order,
     built by a single projection (uniqueness flags first come from joins)."""
     checks = active(checks)
-    out = df
     flag_of: dict[str, str] = {}  # one uniqueness computation per column
     for c in checks:
-        if c.kind == "unique" and c.column_name not in flag_of:
-            flag_of[c.column_name] = c.name
-            out = unique_flag(out, c.column_name, c.name, **unique_options)
+        if c.unique_part and c.column_name not in flag_of:
+            flag_of[c.column_name] = f"__rg_unique_{len(flag_of)}"
+    out = unique_flags(df, flag_of, **unique_options) if flag_of else df
     cols = [quote_ident(c) for c in df.columns]
-    cols += [f"{quote_ident(flag_of[c.column_name])} AS {quote_ident(c.name)}" if c.kind == "unique"
-             else f"({c.sql}\n) AS {quote_ident(c.name)}" for c in checks]
+    for c in checks:
+        flag = quote_ident(flag_of[c.column_name]) if c.unique_part else ""
+        sql = flag if c.kind == "unique" else c.sql.replace(UNIQUE_REF, flag)
+        cols.append(f"({sql}\n) AS {quote_ident(c.name)}")
     return out.selectExpr(*cols)
 
 

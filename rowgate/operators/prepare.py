@@ -11,15 +11,18 @@ from ..functions.sql import quote_ident
 def strip_column_names(df: DataFrame) -> DataFrame:
     """Remove leading/trailing whitespace from every column name.
 
-    Raises ``ValueError`` when two names become equal: later references to
-    either would be ambiguous.
+    Raises ``ValueError`` when two names become equal the way the session
+    compares names (case-insensitively unless ``spark.sql.caseSensitive``):
+    later references to either would be ambiguous.
     """
     new = [c.strip() for c in df.columns]
+    exact = str(df.sparkSession.conf.get("spark.sql.caseSensitive", "false")).lower() == "true"
     seen: dict[str, str] = {}
     for old, name in zip(df.columns, new):
-        if name in seen:
-            raise ValueError(f"columns {seen[name]!r} and {old!r} both become {name!r} after stripping")
-        seen[name] = old
+        key = name if exact else name.lower()
+        if key in seen:
+            raise ValueError(f"columns {seen[key]!r} and {old!r} both become {name!r} after stripping")
+        seen[key] = old
     if new == df.columns:
         return df
     return df.toDF(*new)

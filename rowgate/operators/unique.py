@@ -1,6 +1,6 @@
 """Uniqueness check (E8), exact and skew-safe.
 
-A row passes when its key is NULL or occurs once. The plan never gathers a
+A row passes when its key is missing (NULL or NaN) or occurs once. The plan never gathers a
 key's rows in one task:
 
 1. ``groupBy(key).count()`` with map-side partial aggregation; only keys seen
@@ -11,12 +11,14 @@ key's rows in one task:
    real keys only for rows whose hash repeats.
 2. If ``dups`` is small (row and byte bound checked), it is broadcast and
    joined in the scan stage: no shuffle of the source rows.
-3. Otherwise a shuffle join on ``(key, salt)``: a hot key (more than
-   ``rows_per_salt`` rows) is spread over ``ceil(n / rows_per_salt)`` salts on
-   the left, and its ``dups`` row is replicated once per salt on the right.
-   The hot-key list is broadcast; its length is bounded by raising
-   ``rows_per_salt`` until at most ``max_hot_keys`` keys qualify. NULL keys
-   never match, so they get a wide salt and spread over all partitions.
+3. Otherwise rows whose answer is known without a join are set apart: a NULL
+   key passes, a hot key (more than ``rows_per_hot`` rows) *is* a duplicate and
+   fails by a broadcast lookup of the hot list, which is bounded by key count
+   and bytes (the threshold rises until it fits). Only the other rows are
+   shuffled, joined on the plain key; none of their keys has more than the
+   threshold's rows, so no task gets a hot key and nothing is replicated.
+
+The key passes of several columns all read the bare source.
 """
 
 from __future__ import annotations
@@ -30,12 +32,15 @@ from ..plans.shared import materialize
 # Defaults; each can be set per session, e.g. spark.rowgate.unique.broadcastMaxKeys.
 BROADCAST_MAX_KEYS = 2_000_000
 BROADCAST_MAX_BYTES = 128 << 20
-ROWS_PER_SALT = 1_000_000
+ROWS_PER_HOT = 100_000
 MAX_HOT_KEYS = 100_000
-NULL_SPREAD = 1 << 30
 _CONF = "spark.rowgate.unique."
 
 
+def _key_bytes():
+    return F.octet_length(F.col("__rg_k").cast("string")) + 16
+
+
 def _setting(df: DataFrame, name: str, given, default: int) -> int:
     if given is not None:
         return int(given)
@@ -43,9 +48,17 @@ def _setting(df: DataFrame, name: str, given, default: int) -> int:
     return int(value) if value is not None else default
 
 
+def _key(df: DataFrame, column: str):
+    """The key column; a NaN is a missing value, like NULL (as in the profiler)."""
+    c = F.col(quote_ident(column))
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c), c)
+    return c
+
+
 def duplicated_keys(df: DataFrame, column: str) -> DataFrame:
     """Keys that occur more than once, with their count (lazy)."""
-    k = F.col(quote_ident(column))
+    k = _key(df, column)
     return (df.select(k.alias("__rg_k")).where(F.col("__rg_k").isNotNull())
             .groupBy("__rg_k").agg(F.count(F.lit(1)).alias("__rg_n"))
             .where(F.col("__rg_n") > 1))
@@ -57,7 +70,7 @@ def _hashed_candidates(df: DataFrame, column: str, broadcast_max_keys: int) -> D
     the rows whose hash is suspect (broadcast semi-join). Exact: equal keys
     have equal hashes, and the real keys are grouped afterwards. ``None``
     when the suspect set is too large to broadcast (direct pass instead)."""
-    k = F.col(quote_ident(column))
+    k = _key(df, column)
     keyed = df.select(k.alias("__rg_k")).where(F.col("__rg_k").isNotNull()) \
         .withColumn("__rg_h", F.xxhash64("__rg_k"))
     suspects, stats = materialize(
@@ -86,12 +99,13 @@ def duplicate_table(df: DataFrame, column: str, hash_keys: bool | None = None,
     return materialize(
         source, "dupkeys",
         F.count(F.lit(1)).alias("keys"),
-        F.coalesce(F.sum(F.octet_length(F.col("__rg_k").cast("string")) + 16), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(_key_bytes()), F.lit(0)).alias("bytes"),
         F.coalesce(F.max("__rg_n"), F.lit(0)).alias("max_n"),
     )
 
 
-def duplicated_row_count(df: DataFrame, column: str, hash_keys: bool | None = None) -> int:
+def duplicated_row_count(df: DataFrame, column: str, hash_keys: bool | None = None,
+                         broadcast_max_keys: int | None = None) -> int:
     """Rows whose non-NULL key occurs more than once: the failure count of a
     uniqueness check, from partially aggregated passes over the key column
     (no join back to the rows; string/binary keys hash-first)."""
@@ -99,7 +113,7 @@ def duplicated_row_count(df: DataFrame, column: str, hash_keys: bool | None = No
         hash_keys = isinstance(df.schema[column].dataType, (T.StringType, T.BinaryType))
     source = None
     if hash_keys:
-        cand = _hashed_candidates(df, column, BROADCAST_MAX_KEYS)
+        cand = _hashed_candidates(df, column, _setting(df, "broadcastMaxKeys", broadcast_max_keys, BROADCAST_MAX_KEYS))
         if cand is not None:
             source = (cand.groupBy("__rg_k").agg(F.count(F.lit(1)).alias("__rg_n"))
                       .where(F.col("__rg_n") > 1))
@@ -108,53 +122,59 @@ def duplicated_row_count(df: DataFrame, column: str, hash_keys: bool | None = No
     return int(source.agg(F.coalesce(F.sum("__rg_n"), F.lit(0))).first()[0])
 
 
-def unique_flag(df: DataFrame, column: str, flag: str, *,
-                broadcast_max_keys: int | None = None,
-                broadcast_max_bytes: int | None = None,
-                rows_per_salt: int | None = None,
-                max_hot_keys: int | None = None,
-                hash_keys: bool | None = None) -> DataFrame:
-    """``df`` plus a boolean column ``flag``: true when ``column`` is NULL or
-    unique. Column order of ``df`` is kept, ``flag`` is appended."""
-    broadcast_max_keys = _setting(df, "broadcastMaxKeys", broadcast_max_keys, BROADCAST_MAX_KEYS)
-    broadcast_max_bytes = _setting(df, "broadcastMaxBytes", broadcast_max_bytes, BROADCAST_MAX_BYTES)
-    rows_per_salt = _setting(df, "rowsPerSalt", rows_per_salt, ROWS_PER_SALT)
-    max_hot_keys = _setting(df, "maxHotKeys", max_hot_keys, MAX_HOT_KEYS)
-    dups, stats = duplicate_table(df, column, hash_keys, max(broadcast_max_keys, BROADCAST_MAX_KEYS))
+def _hot_keys(dups: DataFrame, stats: dict, rows_per_hot: int, max_keys: int, max_bytes: int) -> DataFrame | None:
+    """Keys with more rows than a threshold that starts at ``rows_per_hot`` and
+    rises until the list fits both bounds; None without any."""
+    limit = rows_per_hot
+    while stats["max_n"] > limit:
+        hot = dups.where(F.col("__rg_n") > limit)
+        size = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum(_key_bytes()).alias("bytes")).first()
+        if size["keys"] <= max_keys and size["bytes"] <= max_bytes:
+            return hot.select(F.col("__rg_k").alias("__rg_hk"), F.lit(True).alias("__rg_hot"))
+        limit *= 4
+    return None
+
+
+def _with_flag(df: DataFrame, column: str, flag: str, dups: DataFrame, stats: dict, broadcast_max_keys: int,
+               broadcast_max_bytes: int, rows_per_hot: int, max_hot_keys: int) -> DataFrame:
+    """``df`` plus the flag, from the written table of duplicated keys."""
     out_cols = [F.col(quote_ident(c)) for c in df.columns]
-    key = F.col(quote_ident(column))
+    key = _key(df, column)
     if stats["keys"] == 0:
         return df.select(*out_cols, F.lit(True).alias(flag))
-
+    right = dups.select("__rg_k", F.lit(False).alias("__rg_dup"))
+    passed = F.coalesce(F.col("__rg_dup"), F.lit(True)).alias(flag)
     if stats["keys"] <= broadcast_max_keys and stats["bytes"] <= broadcast_max_bytes:
-        right = F.broadcast(dups.select("__rg_k", F.lit(False).alias("__rg_dup")))
-        joined = df.join(right, key == F.col("__rg_k"), "left")
-        return joined.select(*out_cols, F.coalesce(F.col("__rg_dup"), F.lit(True)).alias(flag))
-
-    # Shuffle path with salted hot keys.
-    per_salt = rows_per_salt
-    hot_n = dups.where(F.col("__rg_n") > per_salt).count() if stats["max_n"] > per_salt else 0
-    if hot_n > max_hot_keys:
-        # The (max_hot_keys+1)-th largest count: strictly fewer keys exceed it.
-        per_salt = (dups.select("__rg_n").orderBy(F.desc("__rg_n")).limit(max_hot_keys + 1)
-                    .agg(F.min("__rg_n")).first()[0])
-    salts = F.ceil(F.col("__rg_n") / F.lit(per_salt)).cast("int")
-    hot = F.broadcast(dups.where(F.col("__rg_n") > per_salt)
-                      .select(F.col("__rg_k").alias("__rg_hk"), salts.alias("__rg_salts")))
-    # Row ids are consecutive within a partition and stable for a file scan,
-    # so ``pmod`` deals a hot key's rows round-robin over its salts (equal
-    # rows included, which a hash of the row would keep together).
-    row_id = F.monotonically_increasing_id()
-    left = (df.join(hot, key == F.col("__rg_hk"), "left")
-            .withColumn("__rg_salt",
-                        F.when(key.isNull(), F.pmod(row_id, F.lit(NULL_SPREAD)))
-                        .when(F.col("__rg_salts").isNotNull(), F.pmod(row_id, F.col("__rg_salts")))
-                        .otherwise(F.lit(0)).cast("long")))
-    right = dups.select(
-        F.col("__rg_k").alias("__rg_rk"),
-        F.explode(F.sequence(F.lit(0).cast("long"),
-                             (F.when(F.col("__rg_n") > per_salt, salts).otherwise(F.lit(1)) - 1).cast("long")))
-        .alias("__rg_rsalt"),
-        F.lit(False).alias("__rg_dup"))
-    joined = left.join(right, (key == F.col("__rg_rk")) & (F.col("__rg_salt") == F.col("__rg_rsalt")), "left")
-    return joined.select(*out_cols, F.coalesce(F.col("__rg_dup"), F.lit(True)).alias(flag))
+        return df.join(F.broadcast(right), key == F.col("__rg_k"), "left").select(*out_cols, passed)
+    hot = _hot_keys(dups, stats, rows_per_hot, max_hot_keys, broadcast_max_bytes)
+    rest = df.where(key.isNotNull())
+    known = df.where(key.isNull()).select(*out_cols, F.lit(True).alias(flag))
+    if hot is not None:
+        tagged = rest.join(F.broadcast(hot), key == F.col("__rg_hk"), "left")
+        known = known.unionByName(tagged.where(F.col("__rg_hot")).select(*out_cols, F.lit(False).alias(flag)))
+        rest = tagged.where(F.col("__rg_hot").isNull()).select(*out_cols)
+    return known.unionByName(rest.join(right, key == F.col("__rg_k"), "left").select(*out_cols, passed))
+
+
+def unique_flags(df: DataFrame, flags: dict[str, str], *,
+                 broadcast_max_keys: int | None = None,
+                 broadcast_max_bytes: int | None = None,
+                 rows_per_hot: int | None = None,
+                 max_hot_keys: int | None = None,
+                 hash_keys: bool | None = None) -> DataFrame:
+    """``df`` plus a boolean column per entry of ``{column: flag}``: true when
+    the column is NULL or unique. Column order of ``df`` is kept, flags are
+    appended. All key passes run over ``df`` itself, before any join."""
+    max_keys = _setting(df, "broadcastMaxKeys", broadcast_max_keys, BROADCAST_MAX_KEYS)
+    max_bytes = _setting(df, "broadcastMaxBytes", broadcast_max_bytes, BROADCAST_MAX_BYTES)
+    per_hot = _setting(df, "rowsPerHot", rows_per_hot, ROWS_PER_HOT)
+    max_hot = _setting(df, "maxHotKeys", max_hot_keys, MAX_HOT_KEYS)
+    found = {c: duplicate_table(df, c, hash_keys, max_keys) for c in flags}
+    for column, flag in flags.items():
+        df = _with_flag(df, column, flag, *found[column], max_keys, max_bytes, per_hot, max_hot)
+    return df
+
+
+def unique_flag(df: DataFrame, column: str, flag: str, **options) -> DataFrame:
+    """``unique_flags`` for one column."""
+    return unique_flags(df, {column: flag}, **options)

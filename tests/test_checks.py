@@ -166,3 +166,28 @@ def test_unique_on_map_column_is_a_compile_error(spark):
     checks = compile_rules([("m", "string", "unique")], df, type_checks=False)
     assert checks[0].error and "map" in checks[0].error
     assert apply_checks(df, checks).count() == 1
+
+
+def test_faulty_sql_is_refused_and_the_rest_still_counts(spark):
+    from rowgate.operators.checks import active, apply_checks, compile_rules
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "Id int, s string")
+    bad = ["sql: count(*) > 1", "sql: max(id) > 1", "sql: explode(array(true, false))", "sql: rand() > 0.5", "sql: nope = 1",
+           "sql: count(*) over () > 1", "sql: row_number() over (order by id) = 1", "sql: id", "sql: id = ", "sql: uuid() <> ''"]
+    good = ["sql: id > 1 -- a comment", "sql: count(*) over (partition by id) = 1", "Must be unique", "unique and not null"]
+    checks = compile_rules([("id", "int", r) for r in bad + good], df, type_checks=False)
+    assert [c.error is not None for c in checks] == [True] * len(bad) + [False] * len(good)
+    out = apply_checks(df, checks)
+    assert out.count() == 3
+    got = {c.rule: sorted(r[c.name] for r in out.select(c.column.alias(c.name)).collect()) for c in active(checks)}
+    assert got == {good[0]: [False, False, True], **{r: [False, False, True] for r in good[1:]}}
+
+
+def test_one_run_time_for_all_jobs(spark):
+    from datetime import datetime, timezone
+
+    from rowgate.operators.checks import compile_rules
+
+    df = spark.createDataFrame([("2020-01-01",)], "d string")
+    c = compile_rules([("d", "date", "in the past")], df, type_checks=False, run_time=datetime(2021, 1, 1, tzinfo=timezone.utc))[0]
+    assert "TIMESTAMP '2021-01-01 00:00:00.000000 UTC'" in c.expression and "current_timestamp" not in c.expression

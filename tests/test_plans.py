@@ -46,13 +46,13 @@ def test_uniqueness_broadcast_path_never_shuffles_rows(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
-def test_uniqueness_salted_path_joins_on_key_and_salt(spark):
+def test_uniqueness_shuffle_path_replicates_nothing(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         keys = lineitem(spark).select("l_orderkey", "l_linenumber")
-        plan = physical(unique_flag(keys, "l_orderkey", "ok", broadcast_max_keys=0, rows_per_salt=2))
-        assert "SortMergeJoin" in plan and "__rg_salt" in plan and "__rg_rsalt" in plan
-        assert "BroadcastHashJoin" in plan  # the bounded hot-key list
+        plan = physical(unique_flag(keys, "l_orderkey", "ok", broadcast_max_keys=0, rows_per_hot=2))
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan  # the rest; the bounded hot-key list
+        assert "Generate" not in plan and "monotonically_increasing_id" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

@@ -10,8 +10,8 @@ def brute(rows):
     return sorted(((k, i, k is None or c[k] == 1) for k, i in rows), key=repr)
 
 
-@pytest.mark.parametrize("opts", [{}, {"broadcast_max_keys": 0, "rows_per_salt": 3},
-                                  {"broadcast_max_keys": 0, "rows_per_salt": 1, "max_hot_keys": 2}])
+@pytest.mark.parametrize("opts", [{}, {"broadcast_max_keys": 0, "rows_per_hot": 3},
+                                  {"broadcast_max_keys": 0, "rows_per_hot": 1, "max_hot_keys": 2}])
 def test_unique_matches_brute_force_with_hot_and_null_keys(spark, opts):
     rows = [(7, i) for i in range(60)]                    # one hot key: a third of the rows
     rows += [(None, 100 + i) for i in range(50)]          # many NULL keys (pass)
@@ -48,7 +48,7 @@ def test_hot_key_is_split_across_salts(spark):
     # spread the hot key over several join partitions and stay exact.
     rows = [(1,)] * 300 + [(k,) for k in range(2, 200)]
     df = spark.createDataFrame(rows, "k bigint").repartition(4)
-    out = unique_flag(df, "k", "ok", broadcast_max_keys=0, rows_per_salt=50)
+    out = unique_flag(df, "k", "ok", broadcast_max_keys=0, rows_per_hot=50)
     got = {r.k: r.ok for r in out.collect()}
     assert got[1] is False and all(got[k] for k in range(2, 200))
     assert out.count() == len(rows)
@@ -60,7 +60,7 @@ def test_thresholds_from_session_conf(spark):
     try:
         out = unique_flag(df, "k", "ok")
         plan = out._jdf.queryExecution().executedPlan().toString()
-        assert "__rg_salt" in plan  # salted path taken (Spark may still broadcast a tiny side itself)
+        assert "Union" in plan  # shuffle path taken (Spark may still broadcast a tiny side itself)
         assert sorted((r.k, r.ok) for r in out.collect()) == [(1, False), (1, False), (2, True)]
     finally:
         spark.conf.unset("spark.rowgate.unique.broadcastMaxKeys")
@@ -73,7 +73,27 @@ def test_string_keys_hash_first_is_exact(spark, hash_keys):
     df = spark.createDataFrame(rows, "k string").repartition(3)
     from collections import Counter
     c = Counter(r[0] for r in rows if r[0] is not None)
-    for opts in ({}, {"broadcast_max_keys": 0, "rows_per_salt": 5}):
+    for opts in ({}, {"broadcast_max_keys": 0, "rows_per_hot": 5}):
         out = unique_flag(df, "k", "ok", hash_keys=hash_keys, **opts)
         got = sorted(((r.k, r.ok) for r in out.collect()), key=repr)
         assert got == sorted(((k, k is None or c[k] == 1) for (k,) in rows), key=repr)
+
+
+def test_several_columns_read_the_bare_source_and_nan_is_missing(spark):
+    from rowgate.operators.unique import unique_flags
+
+    nan = float("nan")
+    rows = [(1, 1.0, "a"), (1, 2.0, "b"), (2, nan, "b"), (None, nan, None), (3, 2.0, "c")]
+    df = spark.createDataFrame(rows, "i int, x double, s string")
+    want = [(False, True, True), (False, False, False), (True, True, False), (True, True, True), (True, False, True)]
+    for opts in ({}, {"broadcast_max_keys": 0, "rows_per_hot": 1}, {"broadcast_max_bytes": 0, "max_hot_keys": 1, "rows_per_hot": 1}):
+        out = unique_flags(df, {"i": "ui", "x": "ux", "s": "us"}, **opts)
+        assert out.columns == ["i", "x", "s", "ui", "ux", "us"]
+        assert sorted(map(repr, ((r.ui, r.ux, r.us) for r in out.collect()))) == sorted(map(repr, want))
+
+
+def test_documented_broadcast_bound_lowers_the_hash_pass_too(spark):
+    from rowgate.operators.unique import _hashed_candidates
+
+    df = spark.createDataFrame([(f"k{i % 5}",) for i in range(20)], "k string")
+    assert _hashed_candidates(df, "k", 4) is None and _hashed_candidates(df, "k", 5) is not None

@@ -69,7 +69,7 @@ def main() -> None:
         }
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         frames["uniqueness, salted path (E8)"] = unique_flag(keys, "l_orderkey", "ok", broadcast_max_keys=0,
-                                                            rows_per_salt=3).where(~F.col("ok"))
+                                                            rows_per_hot=3).where(~F.col("ok"))
         from rowgate.operators.unique import _hashed_candidates
         docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
         cand = _hashed_candidates(docs, "text", 2_000_000)
