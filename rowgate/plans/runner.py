@@ -1,15 +1,19 @@
 """End-to-end runs: ``run_validation`` (F9) and ``checked_frame``.
 
-F9 reads the source twice at most: once per output write. The failure
-summary needs no pass of its own: every failure sits in the invalid split,
-so per-check failure counts are observed (``Observation``) on the invalid
-write and the total is the sum of both observed row counts.
-``run_validation_single_pass`` reads it once, writing one table partitioned
-by ``split``.
+Every row's split is decided once. Time rules compare with one moment bound
+when the rules are compiled. A source that two jobs provably read alike (files
+through projections and filters) is read once per output write; any other
+source is checked once into a staging table partitioned by ``split``, from
+which both outputs are written. So no row can be in neither output or in both.
+The failure summary needs no pass of its own: per-check failure counts are
+observed (``Observation``) during the write.
+``run_validation_single_pass`` always reads the source once, writing one table
+partitioned by ``split``.
 """
 
 from __future__ import annotations
 
+import contextlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, functions as F
@@ -21,7 +25,7 @@ from ..operators.report import SUMMARY_SCHEMA, failure_counts, is_invalid, summa
 from ..operators.split import invalid_split, valid_split
 from ..operators.unique import duplicated_row_count
 from ..sources.tables import write_frame
-from .shared import require_batch, scratch_scope
+from .shared import delete_path, materialize, require_batch, scratch_path, scratch_scope
 
 
 @dataclass
@@ -69,6 +73,44 @@ def validation_summary(df: DataFrame, rules, translator: Translator | None = Non
     return summary_from_totals(df.sparkSession, usable, int(counts["total_records"]), failed)
 
 
+@contextlib.contextmanager
+def _open_writers(spark):
+    """Two open files per task instead of a sort of all rows by ``split``."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    if int(before or 0) >= 2:
+        yield
+        return
+    spark.conf.set(key, "4")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+_PLAIN_NODES = {"Project", "Filter", "SubqueryAlias", "View", "LocalRelation", "Range"}
+
+
+def reads_alike(df: DataFrame) -> bool:
+    """True when two jobs over ``df`` provably see the same rows: deterministic
+    projections and filters over files listed once, literals or a range."""
+    def stable(node) -> bool:
+        name, expressions = node.nodeName(), node.expressions()
+        if name == "LogicalRelation":
+            return node.relation().getClass().getSimpleName() == "HadoopFsRelation"
+        if name not in _PLAIN_NODES or not all(expressions.apply(i).deterministic() for i in range(expressions.size())):
+            return False
+        children = node.children()
+        return all(stable(children.apply(i)) for i in range(children.size()))
+    try:
+        return stable(df._jdf.queryExecution().analyzed())
+    except Exception:  # Spark Connect: no plan on the client
+        return False
+
+
 def _run_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
                      translator: Translator | None = None, strip: bool = True, trim: bool = True,
                      split_column: str = "split", **unique_options) -> ValidationResult:
@@ -90,7 +132,8 @@ def _run_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet
     out = checked.select("*", split).observe(
         obs, F.count_if(part == "valid").alias("valid"), F.count_if(part == "invalid").alias("invalid"),
         *[F.expr(f"count_if({quote_ident(c.name)} = false)").alias(f"f{i}") for i, c in enumerate(usable)])
-    write_frame(out, output_path, fmt, partition_by=split_column)
+    with _open_writers(spark):
+        write_frame(out, output_path, fmt, partition_by=split_column)
     m = obs.get
     valid_n, invalid_n = int(m["valid"]), int(m["invalid"])
     failed = [int(m[f"f{i}"]) for i in range(len(usable))]
@@ -101,7 +144,8 @@ def _run_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet
 def _run_two_outputs(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt: str = "parquet",
                      translator: Translator | None = None, strip: bool = True, trim: bool = True,
                      rebalance_invalid: bool = True, **unique_options) -> ValidationResult:
-    """prepare, check, summarise, split and write.
+    """prepare, check, summarise, split and write; each row goes to exactly
+    one output (see the module's first lines).
 
     Valid rows are written with the original (stripped) columns; invalid rows
     with the original columns plus every check column. Both outputs are
@@ -125,6 +169,8 @@ def _run_two_outputs(df: DataFrame, rules, valid_path: str, invalid_path: str, f
         summary = spark.createDataFrame([], SUMMARY_SCHEMA)
         return ValidationResult(checks, summary, int(obs.get["rows"]), 0, valid_path, invalid_path)
 
+    if not reads_alike(prepared):
+        return _run_staged(prepared, checks, valid_path, invalid_path, fmt, rebalance_invalid, **unique_options)
     checked = apply_checks(prepared, usable, **unique_options)
     obs_valid = Observation("rowgate_valid")
     obs_invalid = Observation("rowgate_invalid")
@@ -145,6 +191,35 @@ def _run_two_outputs(df: DataFrame, rules, valid_path: str, invalid_path: str, f
                             int(inv["rows"]), valid_path, invalid_path)
 
 
+def _run_staged(prepared: DataFrame, checks: list[Check], valid_path: str, invalid_path: str, fmt: str,
+                rebalance_invalid: bool, **unique_options) -> ValidationResult:
+    """F9 over a source that may give other rows when read again: rows are
+    checked and split in one job, into a staging table in the shared folder."""
+    usable, spark = active(checks), prepared.sparkSession
+    base, _ = materialize(prepared, "source") if any(c.unique_part for c in usable) else (prepared, {})
+    checked = apply_checks(base, usable, **unique_options)
+    names = [f"c{i}" for i in range(len(checked.columns))]
+    obs, path = Observation("rowgate_staged"), scratch_path(spark, "staged")
+    staged = (checked.toDF(*names).withColumn("split", F.when(
+        F.coalesce(F.expr(" OR ".join(f"c{len(prepared.columns) + i} = false" for i in range(len(usable)))), F.lit(False)),
+        F.lit("invalid")).otherwise(F.lit("valid")))
+        .observe(obs, F.count_if(F.col("split") == "valid").alias("valid"),
+                 F.count_if(F.col("split") == "invalid").alias("invalid"),
+                 *[F.expr(f"count_if(c{len(prepared.columns) + i} = false)").alias(f"f{i}") for i in range(len(usable))]))
+    with _open_writers(spark):
+        staged.write.partitionBy("split").parquet(path)
+    read = spark.read.schema(staged.schema).parquet(path)
+    back = [F.col(n).alias(c) for n, c in zip(names, checked.columns)]
+    write_frame(read.where("split = 'valid'").select(*back[:len(prepared.columns)]), valid_path, fmt)
+    invalid = read.where("split = 'invalid'").select(*back)
+    write_frame(invalid.hint("rebalance") if rebalance_invalid else invalid, invalid_path, fmt)
+    delete_path(spark, path)
+    m = obs.get
+    valid_n, invalid_n = int(m["valid"]), int(m["invalid"])
+    summary = summary_from_totals(spark, usable, valid_n + invalid_n, [int(m[f"f{i}"]) for i in range(len(usable))])
+    return ValidationResult(checks, summary, valid_n, invalid_n, valid_path, invalid_path)
+
+
 def run_validation_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
                                translator: Translator | None = None, strip: bool = True, trim: bool = True,
                                split_column: str = "split", **unique_options) -> ValidationResult:

@@ -63,3 +63,30 @@ def test_scratch_tables_are_removed_after_a_run(spark, tmp_path):
     res = run_validation(df, [("id", "int", "Must be unique")], str(tmp_path / "v"), str(tmp_path / "i"))
     assert res.invalid_count == 2
     assert set(glob.glob(f"{base}/rowgate-dupkeys-*")) == before
+
+
+def test_time_rules_lose_no_row(spark, tmp_path):
+    """Timestamps spread over the time the run takes: each row is in exactly one output."""
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    start = datetime.now()
+    df = spark.range(4000).select("id", (F.lit(start) + F.make_dt_interval(secs=F.col("id") / 400)).alias("ts"))
+    res = run_validation(df, [("ts", "timestamp", "not in the future")], f"{tmp_path}/v", f"{tmp_path}/i")
+    v, i = spark.read.parquet(f"{tmp_path}/v").count(), spark.read.parquet(f"{tmp_path}/i").count()
+    assert v + i == 4000 == res.total and v == res.valid_count and i == res.invalid_count
+    assert start - timedelta(days=1) < start
+
+
+def test_source_that_changes_between_reads_is_decided_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from rowgate.plans.runner import reads_alike
+
+    df = spark.range(3000).select("id", (F.rand() * 10).alias("x"))
+    assert not reads_alike(df) and reads_alike(spark.range(5).select("id"))
+    res = run_validation(df, [("x", "double", "at least 5"), ("id", "bigint", "unique and not null")], f"{tmp_path}/v", f"{tmp_path}/i")
+    v, i = spark.read.parquet(f"{tmp_path}/v"), spark.read.parquet(f"{tmp_path}/i")
+    assert v.columns == ["id", "x"] and v.where("x < 5").count() == 0 and i.where("x >= 5").count() == 0
+    assert v.count() + i.count() == 3000 == res.total and v.select("id").union(i.select("id")).distinct().count() == 3000
