@@ -1,28 +1,20 @@
 """Profiling and rule suggestion.
 
-Two column-pruned passes, each a plain aggregation (map-side partial
-aggregation, one tiny row per column reaches the driver):
-
-1. one wide ``agg``: row count, non-null counts, email matches, integral
-   min/max and ``approx_count_distinct`` for every column, and for string
-   columns an ``approx_top_k`` frequent-items sketch of fixed size (64
-   tracked items, so memory is bounded for any cardinality). A sketch that
-   never saw more than 48 distinct values never purges and holds every value
-   exactly;
-2. exact ``count_distinct`` only for columns that can still be unique or
-   low-cardinality (survivors of pass 1). Sketch values are used only when
-   this exact count is 2..10 (so the sketch cannot have purged) and equals
-   the number of values returned; otherwise a third pass would collect that
-   column's values (at most 10, exact).
-
-Pass 1 prunes with proofs where it can: an integral column with more
-non-null values than ``max - min + 1`` cannot be unique; a column whose
-sketch estimate is at most half its non-null count is treated as not unique
-(a 50 % error is 10 standard errors at ``rsd = 0.05``; finer sketches
-make the single wide aggregation an order of magnitude slower). An HLL sketch never
-reports more distinct values than there are occupied registers, so every
-column with at most 10 distinct values survives the ``<= 20`` low-cardinality
-cut.
+Column-pruned passes, each a plain aggregation with map-side combine:
+
+1. one wide ``agg``: row count, non-missing counts, email matches, integral
+   min/max, and ``approx_count_distinct`` of string columns (an HLL sketch
+   never reports more distinct values than there are occupied registers, so
+   every column with at most 10 values survives the ``<= 20`` cut);
+2. proofs that a column is not unique: more values than ``max - min + 1``, or
+   a value that repeats within a bounded number of rows;
+3. low-cardinality columns: one pass of (column, value) counts, which leaves a
+   handful of rows per task;
+4. columns that may still be unique: one pass of (column, 64-bit hash) counts,
+   16 bytes a value however long the values are. No repeated hash proves a
+   column unique; for repeated ones the real values with those hashes decide.
+
+A NaN is a missing value, like NULL.
 """
 
 from __future__ import annotations
@@ -43,13 +35,14 @@ from ..functions.fixed import (
 from ..functions.grammar import format_value_list
 from ..functions.sql import quote_ident, quote_str
 from ..functions.types import type_label
+from ..plans.shared import materialize, scratch_scope
 from ..sources.rules_io import RULES_SCHEMA
 from .prepare import prepare
 
 RSD = 0.05
 LOWCARD_SKETCH_LIMIT = 2 * IN_LIST_MAX_DISTINCT
-TOP_K = IN_LIST_MAX_DISTINCT + 1
-TOP_K_TRACKED = 64
+PROOF_ROWS = 20_000  # rows in which a repeated value is looked for before whole columns are
+PROOF_HASHES = 100  # repeated hashes whose real values are looked at first
 BATCH_COLUMNS = 48
 
 _SIMPLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -68,14 +61,48 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
-def _has_top_k(spark) -> bool:
-    """``approx_top_k`` exists from Spark 4.1; without it the bounded third
-    pass collects in-list values instead."""
-    try:
-        spark.range(1).selectExpr(f"approx_top_k(id, {TOP_K}, {TOP_K_TRACKED})").schema
-        return True
-    except Exception:
-        return False
+def _present(f: T.StructField) -> str:
+    """The column with NaN as NULL."""
+    c = quote_ident(f.name)
+    if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        return f"nullif({c}, CAST('NaN' AS {f.dataType.simpleString().upper()}))"
+    return c
+
+
+def _pairs(df: DataFrame, cols: list[dict], value: str) -> DataFrame:
+    """``(pos, v)`` of all non-missing values of the columns, one scan."""
+    parts = ", ".join(f"named_struct('pos', {s['position']}, 'v', {value.format(c=s['sql'])}, 'nn', {s['sql']} IS NOT NULL)"
+                      for s in cols)
+    return df.selectExpr(f"inline(array({parts}))").where("nn").select("pos", "v")
+
+
+def _surely_repeated(df: DataFrame, cols: list[dict], rows: int = PROOF_ROWS) -> set[int]:
+    """Columns in which a value repeats within some ``rows`` rows."""
+    sample = df.selectExpr(*[f"md5(CAST(CAST({s['sql']} AS STRING) AS BINARY)) AS c{s['position']}" for s in cols]).limit(rows)
+    lists = [f"collect_list(c{s['position']})" for s in cols]
+    row = sample.selectExpr(*[f"size({x}) > size(array_distinct({x})) AS r{s['position']}" for x, s in zip(lists, cols)]).first()
+    return {s["position"] for s in cols if row[f"r{s['position']}"]}
+
+
+def _unique_columns(df: DataFrame, cols: list[dict]) -> set[int]:
+    """Positions of the columns without a repeated value, exactly."""
+    with scratch_scope(df.sparkSession):
+        hashes = _pairs(df, cols, "xxhash64({c})").groupBy("pos", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        twice, _ = materialize(hashes.select("pos", "v"), "profile-hashes")
+        found = {r["pos"]: r["n"] for r in twice.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).collect()}
+        out = {s["position"] for s in cols} - set(found)
+        for s in cols:
+            if s["position"] not in found:
+                continue
+            own = twice.where(F.col("pos") == s["position"]).select("v")
+            rows = df.selectExpr(f"{s['sql']} AS k", f"xxhash64({s['sql']}) AS v").where("k IS NOT NULL")
+            few = [r["v"] for r in own.limit(PROOF_HASHES).collect()]
+            steps = [rows.where(F.col("v").isin(few))]
+            if found[s["position"]] > PROOF_HASHES:
+                steps.append(rows.join(own, "v", "left_semi"))
+            if not any(x.groupBy("k").count().where("count > 1").limit(1).count() for x in steps):
+                out.add(s["position"])  # all were collisions of the hash
+    return out
 
 
 def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS) -> list[dict]:
@@ -93,18 +120,14 @@ def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS
                 out.append(st)
         return out
     # SQL text, handed over in one call (same plan as Column objects)
-    top_k = _has_top_k(df.sparkSession)
     aggs = ["count(1) AS __rows"]
     for i, f in enumerate(fields):
-        c = quote_ident(f.name)
+        c = _present(f)
         aggs.append(f"count({c}) AS nn{i}")
-        if isinstance(f.dataType, _SIMPLE):
-            aggs.append(f"approx_count_distinct({c}, {rsd}) AS ad{i}")
         if isinstance(f.dataType, T.StringType):
+            aggs.append(f"approx_count_distinct({c}, {rsd}) AS ad{i}")
             # the pattern needs an "@": a cheap contains() spares most rows the regex
             aggs.append(f"count_if(contains({c}, '@') AND {c} RLIKE {quote_str(EMAIL_REGEX)}) AS em{i}")
-            if top_k:
-                aggs.append(f"approx_top_k({c}, {TOP_K}, {TOP_K_TRACKED}) AS tk{i}")
         if isinstance(f.dataType, _INTEGRAL):
             aggs += [f"CAST(min({c}) AS DECIMAL(38,0)) AS mn{i}", f"CAST(max({c}) AS DECIMAL(38,0)) AS mx{i}"]
     wide = df.selectExpr(*aggs).first()
@@ -113,50 +136,44 @@ def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS
     stats = []
     for i, f in enumerate(fields):
         nn = int(wide[f"nn{i}"])
-        st = {"position": i, "name": f.name, "type": type_label(f.dataType), "dtype": f.dataType,
-              "rows": rows, "nulls": rows - nn, "non_null": nn, "unique": False, "distinct": None,
-              "email_share": None, "values": None, "unique_cand": False, "low_cand": False}
+        st = {"position": i, "name": f.name, "sql": _present(f), "type": type_label(f.dataType), "dtype": f.dataType,
+              "rows": rows, "nulls": rows - nn, "non_null": nn, "unique": nn == 1 and isinstance(f.dataType, _SIMPLE),
+              "distinct": None, "email_share": None, "values": None}
+        st["unique_cand"] = isinstance(f.dataType, _SIMPLE) and nn > 1
+        if isinstance(f.dataType, _INTEGRAL) and nn > 1:
+            st["unique_cand"] = nn <= int(wide[f"mx{i}"]) - int(wide[f"mn{i}"]) + 1
+        elif isinstance(f.dataType, T.BooleanType):
+            st["unique_cand"] = nn == 2
+        st["low_cand"] = False
         if isinstance(f.dataType, T.StringType):
             st["email_share"] = (int(wide[f"em{i}"]) / nn) if nn > 0 else None
-        if isinstance(f.dataType, _SIMPLE) and nn > 0:
-            approx = int(wide[f"ad{i}"])
-            possible = True
-            if isinstance(f.dataType, _INTEGRAL):
-                possible = nn <= int(wide[f"mx{i}"]) - int(wide[f"mn{i}"]) + 1
-            elif isinstance(f.dataType, T.BooleanType):
-                possible = nn <= 2
-            if nn == 1:
-                st["unique"] = True
-            elif possible and approx * 2 > nn:
-                st["unique_cand"] = True
-            if isinstance(f.dataType, T.StringType) and nn >= IN_LIST_MIN_DISTINCT and approx <= LOWCARD_SKETCH_LIMIT:
-                st["low_cand"] = True
-        if isinstance(f.dataType, T.StringType):
-            st["top"] = [t["item"] for t in (wide[f"tk{i}"] or []) if t["item"] is not None] if top_k else []
+            st["low_cand"] = nn >= IN_LIST_MIN_DISTINCT and int(wide[f"ad{i}"]) <= LOWCARD_SKETCH_LIMIT
+            st["distinct"] = nn if nn <= 1 else None
         stats.append(st)
 
-    exact = [s for s in stats if s["unique_cand"] or s["low_cand"]]
-    if exact:
-        row = df.selectExpr(*[f"count(DISTINCT {quote_ident(s['name'])}) AS d{s['position']}" for s in exact]).first()
-        for s in exact:
-            d = int(row[f"d{s['position']}"])
-            if s["unique_cand"]:
-                s["unique"] = d == s["non_null"]
-            if isinstance(s["dtype"], T.StringType) and d <= IN_LIST_MAX_DISTINCT:
-                s["distinct"] = d
-            if s["low_cand"] and IN_LIST_MIN_DISTINCT <= d <= IN_LIST_MAX_DISTINCT and len(s["top"]) == d:
-                s["values"] = sorted(s["top"])
-    small = [s for s in stats if s["distinct"] is not None and s["values"] is None
-             and IN_LIST_MIN_DISTINCT <= s["distinct"] <= IN_LIST_MAX_DISTINCT]
-    if small:  # only if a sketch ever came back incomplete: exact and still bounded (<= 10 values)
-        row = df.agg(*[F.array_sort(F.collect_set(F.col(quote_ident(s["name"])))).alias(f"v{s['position']}")
-                       for s in small]).first()
-        for s in small:
-            s["values"] = list(row[f"v{s['position']}"])
-    # String columns with 0 or 1 non-null values skip the exact pass.
-    for s in stats:
-        if isinstance(s["dtype"], T.StringType) and s["distinct"] is None and s["non_null"] <= 1:
-            s["distinct"] = s["non_null"]
+    low = [s for s in stats if s["low_cand"]]
+    if low:
+        counted = _pairs(df, low, "{c}").groupBy("pos", "v").agg(F.count(F.lit(1)).alias("n"))
+        # at most 11 values a column reach the driver: 10, or proof that there are more
+        few = counted.groupBy("pos").agg(F.count(F.lit(1)).alias("d"), F.max("n").alias("most"),
+                                         F.slice(F.array_sort(F.collect_list("v")), 1, IN_LIST_MAX_DISTINCT + 1).alias("vs"))
+        for r in few.collect():
+            s = next(x for x in low if x["position"] == r["pos"])
+            s["unique"], s["unique_cand"] = r["most"] == 1, False
+            if r["d"] <= IN_LIST_MAX_DISTINCT:
+                s["distinct"] = r["d"]
+                if r["d"] >= IN_LIST_MIN_DISTINCT:
+                    s["values"] = sorted(r["vs"])
+    cand = [s for s in stats if s["unique_cand"]]
+    if cand:
+        repeated = _surely_repeated(df, cand)
+        cand = [s for s in cand if s["position"] not in repeated]
+    if cand:
+        unique = _unique_columns(df, cand)
+        for s in cand:
+            s["unique"] = s["position"] in unique
+            if s["unique"] and isinstance(s["dtype"], T.StringType) and s["non_null"] <= IN_LIST_MAX_DISTINCT:
+                s["distinct"] = s["non_null"]
     return stats
 
 

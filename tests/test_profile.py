@@ -79,9 +79,25 @@ def test_column_batches_give_same_result(spark):
     assert p1 == p3
 
 
-def test_profile_without_top_k_sketch(spark, monkeypatch):
-    import rowgate.operators.profile as P
-    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
-    with_sketch = [tuple(r) for r in suggest_rules(df).collect()]
-    monkeypatch.setattr(P, "_has_top_k", lambda spark: False)
-    assert [tuple(r) for r in suggest_rules(df).collect()] == with_sketch
+def test_unique_pass_counts_hashes_not_values(spark):
+    from rowgate.operators.profile import _pairs, _profile, _surely_repeated, _unique_columns
+    from pyspark.sql import types as T
+    df = spark.createDataFrame([(i, f"text {i}" * 50, i % 7, float(i % 3)) for i in range(500)] + [(None, None, None, None)],
+                               "a long, t string, low int, x double")
+    cols = [{"position": i, "name": c, "sql": f"`{c}`", "dtype": T.StringType()} for i, c in enumerate(df.columns)]
+    assert _surely_repeated(df, cols) == {2, 3}
+    assert _unique_columns(df, cols) == {0, 1}  # exact also without the first proof
+    plan = _pairs(df, cols, "xxhash64({c})").groupBy("pos", "v").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "hashpartitioning(pos" in plan
+    assert [s["unique"] for s in _profile(df)] == [True, True, False, False]
+
+
+def test_nan_is_missing_and_hard_values_survive_the_round_trip(spark):
+    nan = float("nan")
+    odd = ["a\\b", "ends\\", "O'B", "two  spaces", "x, y", "01", 'say "x"', "['z']"]
+    df = spark.createDataFrame([(v, nan if i == 2 else float(i)) for i, v in enumerate(odd * 2)], "v string, x double")
+    rules = rules_of(df)
+    assert ("x", "double", "Not Null") not in rules
+    assert any(r[0] == "v" and r[2].startswith("Should be one of") for r in rules)
+    checked, checks = checked_frame(df, rules)
+    assert {r.split: r.records for r in split_counts(checked, checks).collect()} == {"valid": 16}
