@@ -20,6 +20,13 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("rowgate").getOrCreate()
 
 
+def _print_all(df) -> None:
+    """All rows, whole cells: a summary, a rule table or a report has few."""
+    print(" | ".join(df.columns))
+    for r in df.toLocalIterator():
+        print(" | ".join("" if v is None else str(v) for v in r))
+
+
 def main(argv: list[str] | None = None) -> int:
     from .operators.profile import suggest_rules
     from .operators.review import review_sources
@@ -62,19 +69,19 @@ def main(argv: list[str] | None = None) -> int:
         elif a.valid and a.invalid:
             res = run_validation(df, rules, a.valid, a.invalid, fmt=a.out_format)
         elif not (a.valid or a.invalid):
-            validation_summary(df, rules).show(truncate=False)  # nothing written
+            _print_all(validation_summary(df, rules))  # nothing written
             return 0
         else:
             p.error("give both --valid and --invalid, or --output, or neither for a summary only")
         print(f"valid={res.valid_count} invalid={res.invalid_count}")
-        res.summary.show(truncate=False)
+        _print_all(res.summary)
         for c in res.checks:
             if c.error:
                 print(f"skipped {c.name}: {c.error}", file=sys.stderr)
     elif a.cmd == "suggest":
         rules = suggest_rules(load_table(spark, a.source, a.format), fraction=a.fraction)
         export_rules(rules, a.out)
-        rules.show(truncate=False)
+        _print_all(rules)
     elif a.cmd == "sample":
         write_frame(sample_rows(spark, load_rules(spark, a.rules), n=a.n), a.out)
     elif a.cmd == "review":
@@ -82,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.out:
             write_frame(report, a.out)
         else:
-            report.orderBy("path", "standard").show(1000, truncate=80)
+            _print_all(report.orderBy("path", "standard"))
     return 0
 
 

@@ -28,9 +28,6 @@ RULE_NAME_PREFIX_LENGTH = 30
 TYPE_CHECK_SUFFIX = "_type_ok"
 RULE_CHECK_SUFFIX = "_ok"
 
-# Rule types offered by the rule editor.
-EDITOR_TYPES = ("string", "int", "bigint", "double", "date", "timestamp")
-
 # Sample-row generator: 4 semi-valid rows and one all-null row.
 SAMPLE_ROWS = 4
 SAMPLE_INVALID_EMAIL = "invalid-email"

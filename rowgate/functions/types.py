@@ -55,8 +55,3 @@ def type_label(dt: T.DataType) -> str:
     if isinstance(dt, T.StringType):
         return "string"
     return dt.simpleString()
-
-
-def same_type(dt: T.DataType, data_type: str) -> bool:
-    """True when a column of Spark type ``dt`` already has the rule type."""
-    return normalize_type(dt.simpleString()) == normalize_type(data_type)

@@ -6,8 +6,8 @@ literal tests and regexes, and reduced to counts, first line number and
 first offending line with higher-order functions: a map-only job with no
 shuffle and no sort, so it scales with the number of files and never moves
 lines between tasks. The report has one row per file and standard with a
-PASS/FAIL verdict, the number of offending lines, and the first one as
-evidence.
+PASS/FAIL verdict, the number of offending lines, and all of them as
+evidence (``array<struct<line_no, line>>``).
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ EXPLANATIONS = {
 # Patterns (Java regex and RE2 agree on all of them).
 SECRET_RE = r"(?i)(password|passwd|pwd|secret|token|api_?key|access_?key)\s*[:=]\s*[\"'][^\"']+"
 LITERAL_PATH_RE = r"[\"'](/(dbfs|mnt|Volumes|tmp|data|user|home)/|dbfs:/|s3a?://|abfss?://|gs://|wasbs?://|file:/)"
-WIDGET_RE = r"dbutils\.widgets\.get"
 MARKDOWN_RE = r"^\s*# MAGIC %md"
 COMMENT_RE = r"^\s*#"
 NOT_COMMENT_RE = r"^\s*# (MAGIC|COMMAND|Databricks notebook source)"
@@ -57,7 +56,7 @@ SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_k
 ACTION_WORDS = (".collect()", "display(", ".toPandas()")
 IO_WORDS = ("spark.read", ".write.", ".save(", ".saveAsTable(", "spark.table(", ".load(", ".insertInto(")
 
-FLAGS = ("secret", "literal_path", "widget", "markdown", "comment", "full_action", "io", "unguarded_io", "try")
+FLAGS = ("secret", "literal_path", "markdown", "comment", "full_action", "io", "unguarded_io", "try")
 
 
 def _any(col: str, words) -> str:
@@ -77,7 +76,6 @@ def flag_sql(var: str = "line") -> dict[str, str]:
                   f"AND {_rx(SECRET_RE, var)}",
         "literal_path": f"(contains({var}, '\"') OR contains({var}, '\\'')) AND contains({var}, '/') "
                         f"AND {_rx(LITERAL_PATH_RE, var)}",
-        "widget": f"contains({var}, 'dbutils.widgets.get')",
         "markdown": f"contains({var}, '# MAGIC %md') AND {_rx(MARKDOWN_RE, var)}",
         "comment": f"contains({var}, '#') AND {_rx(COMMENT_RE, var)} AND NOT {_rx(NOT_COMMENT_RE, var)}",
         "full_action": f"{_any(var, ACTION_WORDS)} AND {_rx(ACTION_RE, var)} AND NOT {_rx(LIMITED_RE, var)}",
@@ -104,7 +102,6 @@ def _doc_guards(var: str) -> dict[str, str]:
     return {
         "secret": f"(contains({var}, '=') OR contains({var}, ':')) AND {_any(f'lower({var})', SECRET_WORDS)}",
         "literal_path": f"(contains({var}, '\"') OR contains({var}, '\\'')) AND contains({var}, '/')",
-        "widget": f"contains({var}, 'dbutils.widgets.get')",
         "markdown": f"contains({var}, '# MAGIC %md')",
         "comment": f"contains({var}, '#')",
         "full_action": _any(var, ACTION_WORDS),
@@ -114,9 +111,12 @@ def _doc_guards(var: str) -> dict[str, str]:
     }
 
 
+NO_EVIDENCE = "CAST(array() AS ARRAY<STRUCT<line_no: INT, line: STRING>>)"
+
+
 def file_stats(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Per file (one row each): number of flagged lines, first flagged line
-    number and its text. Computed inside the row over its array of lines
+    number and all flagged lines (bounded by the file). Computed inside the row over its array of lines
     (``transform`` / ``filter`` / ``array_position``): a map-only job, no
     explode, no sort, no shuffle, however large the table."""
     flags, guards = flag_sql("l"), _doc_guards("text")
@@ -128,7 +128,8 @@ def file_stats(files: DataFrame, path: str = "path", text: str = "text") -> Data
     for k in FLAGS:
         stats += [f"coalesce(size(filter(f_{k}, x -> x)), 0) AS n_{k}",
                   f"CAST(nullif(array_position(f_{k}, true), 0) AS INT) AS l_{k}",
-                  f"element_at(lines, CAST(nullif(array_position(f_{k}, true), 0) AS INT)) AS e_{k}"]
+                  f"coalesce(filter(transform(lines, (l, i) -> IF(f_{k}[i], named_struct('line_no', i + 1, 'line', l), NULL)), "
+                  f"x -> x IS NOT NULL), {NO_EVIDENCE}) AS e_{k}"]
     return arrays.selectExpr("path", *stats)
 
 
@@ -140,7 +141,7 @@ def _report_row(std: str, fail: str, hits: str, first_line: str, evidence: str)
     return (f"named_struct('standard', {quote_str(std)}, "
             f"'verdict', CASE WHEN {fail} THEN 'FAIL' ELSE 'PASS' END, "
             f"'hits', CAST({hits} AS BIGINT), 'first_line', CAST({first_line} AS INT), "
-            f"'evidence', CAST({evidence} AS STRING), "
+            f"'evidence', {evidence}, "
             f"'explanation', CASE WHEN {fail} THEN {fail_expl} ELSE {quote_str(pass_text)} END)")
 
 
@@ -158,10 +159,10 @@ def review_sources(files: DataFrame, path: str = "path", text: str = "text") ->
         _report_row("secrets", "n_secret > 0", "n_secret", "l_secret", "e_secret"),
         _report_row("parameters", "n_literal_path > 0", "n_literal_path", "l_literal_path", "e_literal_path"),
         _report_row("documentation", "NOT (n_markdown > 0 AND n_comment > 0)", "n_markdown + n_comment",
-                    "NULL", "NULL"),
+                    "NULL", NO_EVIDENCE),
         _report_row("performance", "n_full_action > 0", "n_full_action", "l_full_action", "e_full_action"),
         _report_row("error_handling", io_fail, f"CASE WHEN {io_fail} THEN n_io ELSE 0 END",
                     f"CASE WHEN {io_fail} THEN coalesce(l_unguarded_io, l_io) END",
-                    f"CASE WHEN {io_fail} THEN coalesce(e_unguarded_io, e_io) END"),
+                    f"CASE WHEN NOT {io_fail} THEN {NO_EVIDENCE} WHEN size(e_unguarded_io) > 0 THEN e_unguarded_io ELSE e_io END"),
     ]
     return file_stats(files, path, text).selectExpr("path", f"inline(array({', '.join(rows)}))")

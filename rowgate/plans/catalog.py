@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.checks import active, apply_checks, compile_rules, compiled_rules
 from ..operators.prepare import strip_column_names, trim_strings
 from ..operators.profile import profile_columns, suggest_rules
-from ..operators.report import failure_summary, split_counts
+from ..operators.report import failure_counts, failure_summary, split_counts
 from ..operators.review import review_sources, secret_lines
 from ..operators.split import invalid_rows, invalid_split, valid_split
 from ..operators.synth import sample_rows
-from ..operators.unique import unique_flag
-from ..sources.rules_io import rule_stats, rules_frame
-from ..sources.tables import preview
+from ..operators.unique import unique_flag, unique_flags
+from ..sources.rules_io import export_rules, load_rules, read_sample, rule_stats, rules_frame
+from ..sources.tables import load_table, preview
 from .fixtures import DIRTY_RULES, dirty_customers
 from .runner import checked_frame, run_validation, run_validation_single_pass, validation_summary
 from .shared import scratch_path
@@ -91,6 +91,68 @@ def q_rule_compound(spark, sf):
                          ["id", "age", "balance"])
 
 
+COMPOUND_TEXTS = [
+    ("email", "string", "Should be a valid email address and not null"),
+    ("email", "string", "Not null and must be a valid email address"),
+    ("email", "string", "should not be a valid email address"),
+    ("email", "string", "must not contain 'user1' and must not be null"),
+    ("email", "string", "must match pattern '^user' and not null"),
+    ("email", "string", "must be a valid email or null"),
+    ("id", "bigint", "Must be unique and not null"),
+    ("id", "bigint", "greater than 1,000 or unique"),
+    ("status", "string", "Should be one of ['ACTIVE','INACTIVE'] and not null"),
+    ("status", "string", "one of: ACTIVE, PENDING and not null"),
+    ("status", "string", "in ('ACTIVE') and in ('PENDING')"),
+    ("status", "string", "must not be one of ['PENDING']"),
+    ("status", "string", "must be 6 characters"),
+    ("status", "string", "must not be null or empty"),
+    ("age", "string", "must be an integer"),
+    ("age", "int", "greater than 50 or null"),
+    ("balance", "double", "must not be negative"),
+]
+
+
+def q_rule_compound_texts(spark, sf):
+    """Compound, negated and alternative rules; a unique part inside a compound."""
+    d = trim_strings(dirty(spark, sf))
+    checks = active(compile_rules(COMPOUND_TEXTS, d, type_checks=False))
+    names = {c.name: f"r{c.index}" for c in checks}
+    return apply_checks(d, checks).select("id", "email", "status", "age", "balance",
+                                          *[c.column.alias(names[c.name]) for c in checks])
+
+
+FAULTY_RULES = [
+    ("O_ORDERKEY", "bigint", "Must be unique"),
+    ("o_totalprice", "double", "sql: count(*) > 1"),
+    ("o_totalprice", "double", "sql: max(o_totalprice) > 5"),
+    ("o_orderstatus", "string", "sql: explode(array(true, false))"),
+    ("o_orderkey", "bigint", "sql: rand() > 0.5"),
+    ("o_orderkey", "bigint", "sql: count(*) over () > 1"),
+    ("o_orderkey", "bigint", "sql: no_such_column = 1"),
+    ("o_orderstatus", "string", "sql: o_orderstatus"),
+    ("o_orderstatus", "string", "must look nice"),
+    ("o_orderdate", "timestamp_ntz", "sql: CAST(o_orderdate AS INT) > 1"),
+    ("o_totalprice", "double", "greater than 100000"),
+    ("o_orderstatus", "string", "sql: o_orderstatus <> 'F' -- a comment"),
+]
+
+
+def q_compiled_rules_errors(spark, sf):
+    """Faulty free SQL is refused rule by rule; the others keep their counts."""
+    o = table(spark, sf, "orders")
+    checks = compile_rules(FAULTY_RULES, o, type_checks=False)
+    counts = failure_counts(apply_checks(o, checks), checks)
+    rows = [F.struct(F.lit(c.index).alias("rule_index"), F.lit(c.error is not None).alias("refused"),
+                     (F.lit(None) if c.error else c.column).cast("long").alias("failed_records")) for c in checks]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def q_unique_two_columns(spark, sf):
+    """Two unique columns: both key passes read the bare source."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return unique_flags(o, {"o_orderkey": "key_unique", "o_custkey": "cust_unique"}, broadcast_max_keys=0, rows_per_hot=5)
+
+
 def q_rule_sql(spark, sf):
     o = table(spark, sf, "orders")
     return _rule_columns(o, [
@@ -150,7 +212,7 @@ def q_unique_orderkey(spark, sf):
 def q_unique_orderkey_salted(spark, sf):
     """Same result through the salted shuffle path (hot keys split)."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return unique_flag(li, "l_orderkey", "l_orderkey_unique", broadcast_max_keys=0, rows_per_salt=2)
+    return unique_flag(li, "l_orderkey", "l_orderkey_unique", broadcast_max_keys=0, rows_per_hot=2)
 
 
 def q_unique_document_text(spark, sf):
@@ -246,6 +308,80 @@ def q_run_validation_outputs(spark, sf):
                                                  F.count("id").alias("ids"))
 
 
+def q_run_validation_time_rule(spark, sf):
+    """F9 with a rule against the run time: valid + invalid = total."""
+    base = scratch_path(spark, "run-time")
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit("2999-01-01 00:00:00"))
+                                          .otherwise(F.col("ts").cast("string")).cast("timestamp").alias("ts"))
+    res = run_validation(e, [("ts", "timestamp", "not in the future"), ("ts", "timestamp", "sql: ts <= now()")],
+                         f"{base}/valid", f"{base}/invalid")
+    v, i = spark.read.parquet(f"{base}/valid"), spark.read.parquet(f"{base}/invalid")
+    return v.agg(F.count("event_id").alias("valid")).crossJoin(i.agg(F.count("event_id").alias("invalid"))).withColumn(
+        "total", F.lit(res.total).cast("long"))
+
+
+def _written(spark, base):
+    v = spark.read.parquet(f"{base}/valid")
+    i = spark.read.parquet(f"{base}/invalid")
+    flags = [c for c in i.columns if c not in v.columns]
+    return (v.select(F.lit("valid").alias("split"), "*", *[F.lit(None).cast("boolean").alias(c) for c in flags])
+            .unionByName(i.select(F.lit("invalid").alias("split"), "*")))
+
+
+def q_run_validation_written(spark, sf):
+    """All written columns of both outputs (valid rows have no check columns)."""
+    base = scratch_path(spark, "run-written")
+    run_validation(dirty(spark, sf), DIRTY_RULES, f"{base}/valid", f"{base}/invalid")
+    return _written(spark, base)
+
+
+def q_run_validation_staged(spark, sf):
+    """The same for a source that two jobs might read differently (a shuffle is in it)."""
+    base = scratch_path(spark, "run-staged")
+    run_validation(dirty(spark, sf).repartition(5), DIRTY_RULES, f"{base}/valid", f"{base}/invalid")
+    return _written(spark, base)
+
+
+def q_run_no_rules(spark, sf):
+    """Without a usable check every row is valid and the invalid output is empty."""
+    base = scratch_path(spark, "run-none")
+    run_validation(table(spark, sf, "orders"), [], f"{base}/valid", f"{base}/invalid")
+    v, i = spark.read.parquet(f"{base}/valid"), spark.read.parquet(f"{base}/invalid")
+    return v.withColumn("split", F.lit("valid")).unionByName(i.withColumn("split", F.lit("invalid")))
+
+
+# --- reading and writing (A1-A5) ----------------------------------------------
+
+def q_rules_csv_roundtrip(spark, sf):
+    """A5 -> A1/A2: suggested rules and rules with commas, quotes and
+    backslashes, written as CSV and read again."""
+    path = scratch_path(spark, "rules-csv")
+    extra = rules_frame(spark, [("a,b", "string", "one of ['x, y', 'O''B']"), ("c", "string", 'contains "q,"'),
+                                ("d", "string", "must match pattern '^\\d+$'")])
+    export_rules(suggest_rules(table(spark, sf, "orders")).unionByName(extra), path)
+    return load_rules(spark, path)
+
+
+def q_read_sample(spark, sf):
+    """A3: orders as CSV, read with inferred types and null tokens."""
+    path = scratch_path(spark, "sample-csv")
+    (table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 4 == 0, "NA")
+                                       .otherwise(F.col("o_orderstatus")).alias("status"))
+     .write.csv(path, header=True))
+    return read_sample(spark, path, null_tokens=["NA"]).select(
+        F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("o_totalprice"), "status")
+
+
+def q_load_table(spark, sf):
+    """A4: a path in its own format, and a catalog name."""
+    path = scratch_path(spark, "load-table") + ".orc"
+    c = load_table(spark, f"{sf.rstrip('/')}/customer.parquet")
+    c.write.orc(path)
+    name = "rowgate_load_table"
+    load_table(spark, path).createOrReplaceTempView(name)
+    return load_table(spark, name)
+
+
 # --- preparation (C1/C2) ----------------------------------------------------
 
 def q_trim_strings(spark, sf):
@@ -295,6 +431,32 @@ def q_suggested_rules_recheck(spark, sf):
     return split_counts(checked, checks)
 
 
+def odd_values(spark, sf):
+    """Customers with values that are hard to quote, NaN and leading zeros."""
+    k = F.col("c_custkey")
+    odd = ["a\\b", "O'B", "two  spaces", 'say "x"', "x, y", "ends\\"]
+    pick = F.element_at(F.array(*[F.lit(v) for v in odd]), (F.pmod(k, F.lit(len(odd))) + 1).cast("int"))
+    return table(spark, sf, "customer").select(
+        k.alias("id"), pick.alias("odd"), F.concat(F.lit("0"), F.pmod(k, F.lit(3)).cast("string")).alias("code"),
+        F.when(k % 5 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal")).alias("balance"),
+        F.when(k % 10 == 0, F.lit("no mail")).otherwise(F.concat(F.lit("u"), k.cast("string"), F.lit("@example.com"))).alias("mail"))
+
+
+def q_suggest_rules_odd_values(spark, sf):
+    """D4/D5 with values that need quoting, a column of 90 % emails, NaN as missing."""
+    return suggest_rules(odd_values(spark, sf))
+
+
+def q_recheck_tables(spark, sf):
+    """Suggested rules find no failures, over five tables."""
+    frames = {n: table(spark, sf, n) for n in ("customer", "part", "events", "documents")} | {"odd": odd_values(spark, sf).drop("mail")}
+    out = None
+    for name, df in frames.items():
+        part = split_counts(*checked_frame(df, suggest_rules(df))).select(F.lit(name).alias("source"), "split", "records")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- generation and review (G1-G7) ------------------------------------------
 
 def q_sample_rows(spark, sf):
@@ -306,14 +468,46 @@ def q_review_secrets(spark, sf):
     return secret_lines(table(spark, sf, "documents"), path="doc_id")
 
 
+def _flat_evidence(report):
+    return report.withColumn("evidence", F.array_join(F.transform(
+        "evidence", lambda x: F.concat(x["line_no"].cast("string"), F.lit(":"), x["line"])), "\n"))
+
+
 def q_review_sources(spark, sf):
-    return review_sources(table(spark, sf, "documents"), path="doc_id")
+    return _flat_evidence(review_sources(table(spark, sf, "documents"), path="doc_id"))
+
+
+#: (modulus, remainder, lines) of the cells that are put in front of a document.
+NOTEBOOK_CELLS = [
+    (2, 0, "# MAGIC %md title\n# a comment\n"),
+    (3, 0, "df = spark.read.parquet('/mnt/data/x')\n"),
+    (5, 0, "try:\n    df.write.save(out)\nexcept Exception:\n    raise\n"),
+    (7, 0, "rows = df.collect()\nmore = df.toPandas()\n"),
+    (7, 1, "rows = df.limit(5).collect()\n"),
+    (11, 0, "password = 'x1'\n"),
+]
+
+
+def q_review_notebooks(spark, sf):
+    """Both verdicts of every standard: documents with notebook cells in front."""
+    cells = [F.when(F.col("doc_id") % m == r, F.lit(t)).otherwise(F.lit("")) for m, r, t in NOTEBOOK_CELLS]
+    files = table(spark, sf, "documents").select("doc_id", F.concat(*cells, "text").alias("text"))
+    return _flat_evidence(review_sources(files, path="doc_id"))
+
+
+def q_sample_rows_types(spark, sf):
+    """G1 for every kind of type; as many rows as orders."""
+    rules = [("mail_email", "string", "Should be a valid email address"), ("status", "string", "Not Null"), ("first_name", "string", "x"),
+             ("other", "string", "x"), ("n", "int", "x"), ("big", "bigint", "x"), ("d", "double", "x"), ("day", "date", "x"),
+             ("at", "timestamp", "x"), ("flag", "boolean", "x")]
+    out = sample_rows(spark, rules_frame(spark, rules), n=table(spark, sf, "orders").count())
+    return out.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss")).withColumn("day", F.col("day").cast("string"))
 
 
 def q_review_conversations(spark, sf):
     conv = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("path"), "text")
-    return review_sources(conv)
+    return _flat_evidence(review_sources(conv))
 
 
 # --- streaming extension -----------------------------------------------------
@@ -385,6 +579,21 @@ QUERIES: dict[str, Query] = {
     "review_secrets": q_review_secrets,
     "review_sources": q_review_sources,
     "review_conversations": q_review_conversations,
+    "rule_compound_texts": q_rule_compound_texts,
+    "compiled_rules_errors": q_compiled_rules_errors,
+    "unique_two_columns": q_unique_two_columns,
+    "run_validation_time_rule": q_run_validation_time_rule,
+    "run_validation_written": q_run_validation_written,
+    "run_validation_staged": q_run_validation_staged,
+    "run_no_rules": q_run_no_rules,
+    "rules_csv_roundtrip": q_rules_csv_roundtrip,
+    "read_sample": q_read_sample,
+    "load_table": q_load_table,
+    "suggest_rules_documents": _suggest("documents"),
+    "suggest_rules_odd_values": q_suggest_rules_odd_values,
+    "recheck_tables": q_recheck_tables,
+    "review_notebooks": q_review_notebooks,
+    "sample_rows_types": q_sample_rows_types,
     "stream_split_counts": q_stream_split_counts,
     "stream_failure_summary": q_stream_failure_summary,
 }

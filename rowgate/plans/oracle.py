@@ -11,23 +11,29 @@ from __future__ import annotations
 import re
 
 from ..functions.fixed import EMAIL_REGEX
-from ..operators.review import (
-    EXPLANATIONS,
-    ACTION_RE,
-    COMMENT_RE,
-    IO_RE,
-    LIMITED_RE,
-    LITERAL_PATH_RE,
-    MARKDOWN_RE,
-    NOT_COMMENT_RE,
-    SECRET_RE,
-    TOP_LEVEL_RE,
-    TRY_RE,
-    WIDGET_RE,
-)
 from .fixtures import DIRTY_SQL
 
 
+# The review's standards, restated here from their description: the oracle
+# shares no pattern or text with the code it checks.
+EXPLANATIONS = {
+    "secrets": ("hard-coded secret at line {line}; read it with dbutils.secrets.get", "no hard-coded secret"),
+    "parameters": ("literal storage path at line {line}; take it from dbutils.widgets.get", "no literal storage path"),
+    "documentation": ("needs # MAGIC %md cells and # comments", "markdown cells and comments present"),
+    "performance": ("collect/display/toPandas on a full frame at line {line}; add .limit(n)", "no unbounded collect or display"),
+    "error_handling": ("read or write at line {line} outside try/except", "reads and writes are guarded"),
+}
+SECRET_NAMES = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "accesskey", "access_key"]
+BLANK = r"[ \t\n\f\r]*"
+SECRET_RE = "(?i)(" + "|".join(SECRET_NAMES) + ")" + BLANK + "[:=]" + BLANK + "['\"][^'\"]+"
+LOCAL_ROOTS = ["dbfs", "mnt", "Volumes", "tmp", "data", "user", "home"]
+STORES = ["dbfs:/", "s3://", "s3a://", "abfs://", "abfss://", "gs://", "wasb://", "wasbs://", "file:/"]
+LITERAL_PATH_RE = "['\"](/(" + "|".join(LOCAL_ROOTS) + ")/|" + "|".join(STORES) + ")"
+ACTIONS = [r"\.collect\(\)", r"(^|[^A-Za-z0-9_.])display\(", r"\.toPandas\(\)"]
+LIMITS = [r"\.limit\(", r"\.take\(", r"\.head\("]
+IO_CALLS = ["spark.read", ".write.", ".save(", ".saveAsTable(", "spark.table(", ".load(", ".insertInto("]
+
+
 def rn(column: str, rule: str, i: int) -> str:
     """Check-column name of rule ``i`` (same naming contract as the checks)."""
     def san(t: str) -> str:
@@ -138,6 +144,7 @@ TABLES = {
              ("p_size", "int"), ("p_retailprice", "double")],
     "events": [("event_id", "bigint"), ("ts", "timestamp"), ("user_id", "bigint"), ("event_type", "string"),
                ("value", "double"), ("props", "string")],
+    "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")],
 }
 
 
@@ -153,7 +160,7 @@ def _stats_ctes(table: str) -> tuple[str, list]:
     for c, t in cols:
         if t == "string":
             ctes.append(
-                f"v_{c} AS (SELECT string_agg('''' || replace(v, '''', '''''') || '''', ', ' ORDER BY v) AS lst, "
+                rf"v_{c} AS (SELECT string_agg('''' || replace(replace(v, '\', '\\'), '''', '''''') || '''', ', ' ORDER BY v) AS lst, "
                 f"string_agg(v, '|' ORDER BY v) AS plain, "
                 rf"string_agg('''' || replace(replace(v, '\', '\\'), '''', '\''') || '''', ', ' ORDER BY v) AS spark_lst "
                 f"FROM (SELECT DISTINCT {c} AS v FROM src WHERE {c} IS NOT NULL) x)")
@@ -272,21 +279,24 @@ def _explain(standard: str, fail_sql: str, line_sql: str) -> str:
 
 def review_sql(path: str, text: str, source: str) -> str:
     lines = LINES.format(path=path, text=text, source=source)
+    io = "(" + " OR ".join(f"contains(line, {s(c)})" for c in IO_CALLS) + ")"
+    hit = lambda patterns: "(" + " OR ".join(f"regexp_matches(line, {s(p)})" for p in patterns) + ")"
+    stripped = "ltrim(line, ' ' || chr(9) || chr(10) || chr(12) || chr(13))"
     flags = {
-        "secret": f"regexp_matches(line, {s(SECRET_RE)})",
-        "literal_path": f"regexp_matches(line, {s(LITERAL_PATH_RE)})",
-        "markdown": f"regexp_matches(line, {s(MARKDOWN_RE)})",
-        "comment": f"(regexp_matches(line, {s(COMMENT_RE)}) AND NOT regexp_matches(line, {s(NOT_COMMENT_RE)}))",
-        "full_action": f"(regexp_matches(line, {s(ACTION_RE)}) AND NOT regexp_matches(line, {s(LIMITED_RE)}))",
-        "io": f"regexp_matches(line, {s(IO_RE)})",
-        "unguarded_io": f"(regexp_matches(line, {s(IO_RE)}) AND regexp_matches(line, {s(TOP_LEVEL_RE)}))",
-        "try": f"regexp_matches(line, {s(TRY_RE)})",
-        "widget": f"regexp_matches(line, {s(WIDGET_RE)})",
+        "secret": hit([SECRET_RE]),
+        "literal_path": hit([LITERAL_PATH_RE]),
+        "markdown": f"starts_with({stripped}, '# MAGIC %md')",
+        "comment": f"(starts_with({stripped}, '#') AND NOT starts_with({stripped}, '# MAGIC') AND NOT starts_with({stripped}, "
+                   f"'# COMMAND') AND NOT starts_with({stripped}, '# Databricks notebook source'))",
+        "full_action": f"({hit(ACTIONS)} AND NOT {hit(LIMITS)})",
+        "io": io,
+        "unguarded_io": f"({io} AND line <> '' AND left(line, 1) NOT IN (' ', '#', chr(9), chr(10), chr(12), chr(13)))",
+        "try": hit(["^" + BLANK + "try" + BLANK + ":"]),
     }
     fl = ", ".join(f"{e} AS f_{k}" for k, e in flags.items())
     aggs = ", ".join(
         f"count_if(f_{k}) AS n_{k}, min(line_no) FILTER (WHERE f_{k}) AS l_{k}, "
-        f"arg_min(line, line_no) FILTER (WHERE f_{k}) AS e_{k}" for k in flags)
+        f"coalesce(string_agg(line_no || ':' || line, chr(10) ORDER BY line_no) FILTER (WHERE f_{k}), '') AS e_{k}" for k in flags)
     return f"""
 WITH l AS ({lines}), f AS (SELECT path, line_no, line, {fl} FROM l),
 st AS (SELECT path, {aggs} FROM f GROUP BY path),
@@ -298,7 +308,7 @@ UNION ALL SELECT path, 'parameters', CASE WHEN n_literal_path > 0 THEN 'FAIL' EL
        n_literal_path, l_literal_path, e_literal_path,
        {_explain("parameters", "n_literal_path > 0", "l_literal_path")} FROM io
 UNION ALL SELECT path, 'documentation', CASE WHEN n_markdown > 0 AND n_comment > 0 THEN 'PASS' ELSE 'FAIL' END,
-       n_markdown + n_comment, NULL, NULL,
+       n_markdown + n_comment, NULL, '',
        {_explain("documentation", "NOT (n_markdown > 0 AND n_comment > 0)", "NULL")} FROM io
 UNION ALL SELECT path, 'performance', CASE WHEN n_full_action > 0 THEN 'FAIL' ELSE 'PASS' END,
        n_full_action, l_full_action, e_full_action,
@@ -306,7 +316,7 @@ UNION ALL SELECT path, 'performance', CASE WHEN n_full_action > 0 THEN 'FAIL' EL
 UNION ALL SELECT path, 'error_handling', CASE WHEN io_fail THEN 'FAIL' ELSE 'PASS' END,
        CASE WHEN io_fail THEN n_io ELSE 0 END,
        CASE WHEN io_fail THEN coalesce(l_unguarded_io, l_io) END,
-       CASE WHEN io_fail THEN coalesce(e_unguarded_io, e_io) END,
+       CASE WHEN NOT io_fail THEN '' WHEN n_unguarded_io > 0 THEN e_unguarded_io ELSE e_io END,
        {_explain("error_handling", "io_fail", "coalesce(l_unguarded_io, l_io)")} FROM io
 """
 
@@ -444,5 +454,99 @@ FROM (SELECT trim(o_orderstatus) AS o_orderstatus, o_totalprice FROM orders) o G
 """,
 }
 
+# --------------------------------------------------------------------------- #
+# compound rules, end-to-end outputs, round trips
+
+_EMAIL = f"regexp_matches(email, {s(EMAIL_REGEX)})"
+_UNIQ = "(id IS NULL OR count(*) OVER (PARTITION BY id) = 1)"
+_ST = "status IN ('ACTIVE', 'INACTIVE')"
+COMPOUND = [
+    f"(email IS NULL OR {_EMAIL}) AND email IS NOT NULL",
+    f"email IS NOT NULL AND (email IS NULL OR {_EMAIL})",
+    f"email IS NULL OR NOT {_EMAIL}",
+    "(email IS NULL OR NOT contains(email, 'user1')) AND email IS NOT NULL",
+    "(email IS NULL OR starts_with(email, 'user')) AND email IS NOT NULL",
+    f"email IS NULL OR {_EMAIL}",
+    f"{_UNIQ} AND id IS NOT NULL",
+    f"id IS NULL OR id > 1000 OR {_UNIQ}",
+    f"(status IS NULL OR {_ST}) AND status IS NOT NULL",
+    "(status IS NULL OR status IN ('ACTIVE', 'PENDING')) AND status IS NOT NULL",
+    "(status IS NULL OR status = 'ACTIVE') AND (status IS NULL OR status = 'PENDING')",
+    "status IS NULL OR status <> 'PENDING'",
+    "status IS NULL OR length(status) = 6",
+    "status IS NOT NULL AND (status IS NULL OR trim(status) <> '')",
+    "age IS NULL OR coalesce(TRY_CAST(age AS DOUBLE) = floor(TRY_CAST(age AS DOUBLE)), false)",
+    "age IS NULL OR TRY_CAST(age AS INTEGER) > 50",
+    "balance IS NULL OR NOT balance < 0",
+]
+
+WRITTEN = (
+    f"SELECT 'valid' AS split, {DIRTY_COLS}, " + ", ".join(f"CAST(NULL AS BOOLEAN) AS {n}" for n, _ in DIRTY_CHECKS)
+    + f" FROM ({CHECKED}) c WHERE NOT ({ANY_FALSE}) UNION ALL SELECT 'invalid', {DIRTY_COLS}, "
+    + ", ".join(n for n, _ in DIRTY_CHECKS) + f" FROM ({CHECKED}) c WHERE {ANY_FALSE}")
+
+SUGGEST_ODD = r"""
+SELECT * FROM (VALUES
+  ('id', 'bigint', 'Not Null'), ('id', 'bigint', 'Must be unique'),
+  ('odd', 'string', 'Not Null'),
+  ('odd', 'string', 'Should be one of [''O''''B'', ''a\\b'', ''ends\\'', ''say "x"'', ''two  spaces'', ''x, y'']'),
+  ('code', 'string', 'Not Null'), ('code', 'string', 'Should be one of [''00'', ''01'', ''02'']'),
+  ('mail', 'string', 'Not Null'), ('mail', 'string', 'Should be a valid email address')) t(column_name, data_type, rule)
+UNION ALL
+SELECT 'balance', 'double', 'Must be unique' FROM customer
+HAVING count(DISTINCT CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END) = count(CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END)
+"""
+
+NOTEBOOKS = """
+(SELECT doc_id,
+   CASE WHEN doc_id % 2 = 0 THEN '# MAGIC %md title' || chr(10) || '# a comment' || chr(10) ELSE '' END
+   || CASE WHEN doc_id % 3 = 0 THEN 'df = spark.read.parquet(''/mnt/data/x'')' || chr(10) ELSE '' END
+   || CASE WHEN doc_id % 5 = 0 THEN 'try:' || chr(10) || '    df.write.save(out)' || chr(10) || 'except Exception:' || chr(10)
+           || '    raise' || chr(10) ELSE '' END
+   || CASE WHEN doc_id % 7 = 0 THEN 'rows = df.collect()' || chr(10) || 'more = df.toPandas()' || chr(10) ELSE '' END
+   || CASE WHEN doc_id % 7 = 1 THEN 'rows = df.limit(5).collect()' || chr(10) ELSE '' END
+   || CASE WHEN doc_id % 11 = 0 THEN 'password = ''x1''' || chr(10) ELSE '' END || text AS text FROM documents)
+"""
+
+ORACLE |= {
+    "rule_compound_texts": "SELECT id, email, status, age, balance, " + ", ".join(
+        f"{e} AS r{i}" for i, e in enumerate(COMPOUND)) + f" FROM {DT}",
+    "compiled_rules_errors": """
+SELECT CAST(i AS INTEGER) AS rule_index, i NOT IN (0, 10, 11) AS refused,
+       CASE i WHEN 0 THEN (SELECT count(*) FROM orders WHERE o_orderkey IN
+                           (SELECT o_orderkey FROM orders GROUP BY o_orderkey HAVING count(*) > 1))
+              WHEN 10 THEN (SELECT count(*) FROM orders WHERE o_totalprice <= 100000)
+              WHEN 11 THEN (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') END AS failed_records
+FROM range(12) t(i)
+""",
+    "unique_two_columns": "SELECT o_orderkey, o_custkey, o_orderkey IS NULL OR count(*) OVER (PARTITION BY o_orderkey) = 1 "
+                          "AS key_unique, o_custkey IS NULL OR count(*) OVER (PARTITION BY o_custkey) = 1 AS cust_unique FROM orders",
+    "run_validation_time_rule": "SELECT count_if(event_id % 3 <> 0) AS valid, count_if(event_id % 3 = 0) AS invalid, "
+                                "count(*) AS total FROM events",
+    "run_validation_written": WRITTEN,
+    "run_validation_staged": WRITTEN,
+    "run_no_rules": "SELECT *, 'valid' AS split FROM orders",
+    "rules_csv_roundtrip": f"SELECT * FROM ({suggest_sql('orders')}) r UNION ALL " + r"""
+SELECT * FROM (VALUES ('a,b', 'string', 'one of [''x, y'', ''O''''B'']'), ('c', 'string', 'contains "q,"'),
+                      ('d', 'string', 'must match pattern ''^\d+$''')) t""",
+    "read_sample": "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS status "
+                   "FROM orders",
+    "load_table": "SELECT * FROM customer",
+    "suggest_rules_documents": suggest_sql("documents"),
+    "suggest_rules_odd_values": SUGGEST_ODD,
+    "recheck_tables": " UNION ALL ".join(f"SELECT '{n}' AS source, 'valid' AS split, count(*) AS records FROM {t}" for n, t in (
+        ("customer", "customer"), ("part", "part"), ("events", "events"), ("documents", "documents"), ("odd", "customer"))),
+    "review_notebooks": review_sql("doc_id", "text", NOTEBOOKS),
+    "sample_rows_types": """
+SELECT CASE WHEN i > 0 THEN 'user' || i || '@example.com' ELSE 'invalid-email' END AS mail_email,
+       CASE WHEN i % 2 = 0 THEN 'ACTIVE' ELSE 'INACTIVE' END AS status, 'FirstName' || i AS first_name, 'value_' || i AS other,
+       CAST((i + 1) * 10 AS INTEGER) AS n, CAST((i + 1) * 10 AS BIGINT) AS big, CAST(i + 1 AS DOUBLE) * CAST(1.1 AS DOUBLE) AS d,
+       CAST(DATE '2024-01-01' + CAST(i % 28 AS INTEGER) AS VARCHAR) AS day,
+       CAST(DATE '2024-01-01' + CAST(i % 28 AS INTEGER) AS VARCHAR) || ' 12:00:00' AS at, i % 2 = 0 AS flag
+FROM range((SELECT count(*) FROM orders)) t(i)
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+""",
+}
+
 # Sanity: every oracle is plain text without Python formatting leftovers.
 assert all("{" not in re.sub(r"\{\d+,?\d*\}", "", q) for q in ORACLE.values())

@@ -73,6 +73,16 @@ def delete_path(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is one file, by the Hadoop FileSystem of the session."""
+    try:
+        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.getFileStatus(hpath).isFile())
+    except Exception:  # no such path, or Spark Connect: no JVM on the client
+        return False
+
+
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession):
     """Tables materialized inside the block are deleted when it ends (use it

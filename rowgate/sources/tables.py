@@ -23,10 +23,6 @@ def _format_of(path: str) -> str:
     return ext if ext in ("parquet", "csv", "json", "orc", "avro", "text") else "parquet"
 
 
-def load_tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
-
-
 def write_frame(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by=None, **options) -> None:
     """A6/A7/A8 sink: always overwrites, also with zero rows, so an older

@@ -6,17 +6,17 @@ Uniqueness needs the whole table and is rejected on streams.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..functions.sql import quote_ident
 from ..operators.checks import Check, active, apply_checks, compile_rules
 from ..operators.prepare import prepare
-from ..operators.report import any_failed, is_invalid, summary_from_counts
+from ..operators.report import is_invalid, summary_from_counts
+from ..plans.shared import delete_path, is_file, scratch_path
 
 BATCH_COLUMN = "_batch_id"
+FILES_PER_TRIGGER = 1000  # bounds the first micro-batch over a backlog
 
 
 def stream_checks(stream: DataFrame, rules, translator=None, strip: bool = True,
@@ -24,7 +24,7 @@ def stream_checks(stream: DataFrame, rules, translator=None, strip: bool = True,
     """Checked streaming frame. Raises on rules that need the whole table."""
     prepared = prepare(stream, strip=strip, trim=trim)
     checks = compile_rules(rules, prepared, translator=translator)
-    if any(c.kind == "unique" for c in active(checks)):
+    if any(c.unique_part for c in active(checks)):
         raise ValueError("uniqueness rules need the whole table; run them in batch")
     return apply_checks(prepared, checks), checks
 
@@ -44,16 +44,22 @@ def split_writer(valid_path: str, invalid_path: str, columns: list[str], checks:
     orig = [F.col(quote_ident(c)) for c in columns]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            tagged = batch.withColumn(BATCH_COLUMN, F.lit(batch_id).cast("long"))
-            valid = tagged.where(~is_invalid(usable)).select(*orig, BATCH_COLUMN)
-            invalid = tagged.where(any_failed(usable)).select(*orig, *[c.column for c in usable], BATCH_COLUMN)
-            for df, path in ((valid, valid_path), (invalid, invalid_path)):
-                (df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy(BATCH_COLUMN).save(path))
-        finally:
-            batch.unpersist()
+        # One job decides every row of the micro-batch; both outputs are copied from what it wrote.
+        spark = batch.sparkSession
+        names = [f"c{i}" for i in range(len(batch.columns))]
+        split = F.when(is_invalid(usable), F.lit("invalid")).otherwise(F.lit("valid"))
+        path = scratch_path(spark, "stream-batch")
+        staged = batch.withColumn("__rg_split", split).toDF(*names, "split")
+        staged.write.partitionBy("split").parquet(path)
+        read = spark.read.schema(staged.schema).parquet(path)
+        back = [F.col(n).alias(c) for n, c in zip(names, batch.columns)]
+        tag = F.lit(batch_id).cast("long").alias(BATCH_COLUMN)
+        valid = read.where("split = 'valid'").select(*back).select(*orig, tag)
+        invalid = read.where("split = 'invalid'").select(*back).select(*orig, *[c.column for c in usable], tag)
+        for df, target in ((valid, valid_path), (invalid, invalid_path)):
+            (df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(BATCH_COLUMN).save(target))
+        delete_path(spark, path)
 
     return write
 
@@ -73,21 +79,23 @@ def validate_stream(stream: DataFrame, rules, valid_path: str, invalid_path: str
 
 
 def read_file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-                     max_files_per_trigger: int | None = None) -> DataFrame:
+                     max_files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
     """File stream over a folder, or over one file via a glob filter."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if os.path.isfile(path):
-        folder, name = os.path.split(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if is_file(spark, path) and folder:
         return reader.option("pathGlobFilter", name).load(folder)
     return reader.load(path)
 
 
 def validate_stream_files(spark: SparkSession, path: str, schema: T.StructType, rules, valid_path: str,
-                          invalid_path: str, checkpoint_location: str, fmt: str = "parquet") -> None:
-    """Run a file-source validation stream to completion (``availableNow``)."""
-    q = validate_stream(read_file_stream(spark, path, schema), rules, valid_path, invalid_path,
+                          invalid_path: str, checkpoint_location: str, fmt: str = "parquet",
+                          max_files_per_trigger: int | None = FILES_PER_TRIGGER) -> None:
+    """Run a file-source validation stream to completion (``availableNow``),
+    at most ``max_files_per_trigger`` files a micro-batch."""
+    q = validate_stream(read_file_stream(spark, path, schema, max_files_per_trigger=max_files_per_trigger), rules, valid_path, invalid_path,
                         checkpoint_location, fmt=fmt)
     q.awaitTermination()
     if q.exception() is not None:
@@ -97,14 +105,15 @@ def validate_stream_files(spark: SparkSession, path: str, schema: T.StructType,
 def stream_failure_summary(spark: SparkSession, path: str, schema: T.StructType, rules,
                            query_name: str | None = None) -> DataFrame:
     """Run a file stream to completion with a running failure count
-    (complete mode, one aggregate row kept by the memory sink) and return the
-    failure summary of everything read so far."""
+    (complete mode, one aggregate row kept by the memory sink; its state is
+    checkpointed in the shared folder) and return the failure summary of
+    everything read so far."""
     import uuid
 
     checked, checks = stream_checks(read_file_stream(spark, path, schema), rules)
     name = query_name or f"rowgate_counts_{uuid.uuid4().hex[:8]}"
     q = (running_failure_counts(checked, checks).writeStream.outputMode("complete").format("memory")
-         .queryName(name).trigger(availableNow=True).start())
+         .option("checkpointLocation", scratch_path(spark, "stream-state")).queryName(name).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

@@ -31,7 +31,8 @@ def test_review_verdicts(spark):
         assert got[("bad.py", std)].verdict == "FAIL", std
     assert got[("bad.py", "secrets")].first_line == 2
     assert got[("bad.py", "parameters")].hits == 2
-    assert got[("bad.py", "performance")].evidence == "rows = df.collect()"
+    assert [tuple(e) for e in got[("bad.py", "performance")].evidence] == [(3, "rows = df.collect()"), (4, "display(df)")]
+    assert got[("good.py", "performance")].evidence == [] and got[("bad.py", "documentation")].evidence == []
     assert got[("bad.py", "error_handling")].first_line == 1
 
 
