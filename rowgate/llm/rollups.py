@@ -151,7 +151,7 @@ def count_tokens(df: DataFrame, tokenizers: dict[str, str], keep: list, text_col
                 if name not in pieces and name not in words:
                     words[name] = WordTokenizer(path)
                 count = np.zeros(b.num_rows, np.int64)
-                for lo, hi in byte_slices(off, 16 << 20):
+                for lo, hi in byte_slices(off, 8 << 20):
                     part = off[lo:hi + 1]
                     raw = data[part[0]:part[-1]], part - part[0]
                     count[lo:hi] = (encode_pieces(pieces[name], *raw) if name in pieces else words[name].encode(*raw))[1]

@@ -147,7 +147,7 @@ def encode(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np
 
     n = len(offsets) - 1
     cps = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-    head = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    head = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))[offsets].astype(np.int64)
     if head[-1] != len(cps):  # bytes that are not UTF-8: text by text
         parts = [data[s:e].tobytes().decode("utf-8", "replace").encode("utf-32-le") for s, e in zip(offsets, offsets[1:])]
         cps = np.frombuffer(b"".join(parts), "<u4")
@@ -165,7 +165,7 @@ def encode(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     start[head[:-1][full]] = True
     first = np.nonzero(start)[0]
     cut = np.append(first, len(cps)).astype(np.int64)
-    before = np.concatenate(([0], np.cumsum(start)))[head]
+    before = np.concatenate(([0], np.cumsum(start, dtype=np.int32)))[head]
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [
         None, pa.py_buffer(cut * 4), pa.py_buffer(np.ascontiguousarray(cps))]).dictionary_encode()
     words = coded.dictionary
@@ -228,7 +228,7 @@ def decode(vocab: Vocabulary, ids: np.ndarray, count: np.ndarray) -> tuple[np.nd
 
 
 def encode_column(df: DataFrame, model: str, keep: list[Column], text_col: str = "text", ids: bool = False,
-                  slice_bytes: int = 16 << 20) -> DataFrame:
+                  slice_bytes: int = 4 << 20) -> DataFrame:
     """``keep`` (aliased by the caller) plus ``n_tokens, ids_crc32, text_sha256,
     round_trip`` and, on request, ``ids``.
 

@@ -52,11 +52,11 @@ def pieces(data: np.ndarray, offsets: np.ndarray):
         start[offsets[:-1][offsets[:-1] < n]] = True
         start &= cls != 0
     solid = cls != 0
-    place = np.cumsum(solid)  # bytes kept up to and including each byte
+    place = np.cumsum(solid, dtype=np.int32)  # bytes kept up to and including each byte
     first = np.nonzero(start)[0]
     cut = np.append(place[first] - 1, place[-1] if n else 0)
-    count = np.concatenate(([0], np.cumsum(start)))
-    return _lower()[data[solid]], cut.astype(np.int64), count[offsets]
+    count = np.concatenate(([0], np.cumsum(start, dtype=np.int32)))
+    return _lower()[data[solid]], cut.astype(np.int64), count[offsets].astype(np.int64)
 
 
 class WordTokenizer:
