@@ -66,7 +66,7 @@ class LanguageModel:
     table: np.ndarray  # one column of logits per bucket and language; the last row is zero
     bias: np.ndarray
     temperature: float
-    margin: float  # texts whose two best logits are closer are rejected
+    margin: float  # texts whose best logit stands out less from the mean are rejected
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n, k = len(offsets) - 1, len(self.langs)
@@ -87,9 +87,13 @@ class LanguageModel:
         z = self.logits(data, offsets)
         best = z.argmax(axis=1)
         p = _softmax(z / self.temperature)
-        order = np.sort(z, axis=1)
-        gap = order[:, -1] - order[:, -2] if z.shape[1] > 1 else np.full(len(z), np.inf)
-        return best, p[np.arange(len(z)), best], gap < self.margin
+        return best, p[np.arange(len(z)), best], _clarity(z) < self.margin
+
+
+def _clarity(z: np.ndarray) -> np.ndarray:
+    """How far the best logit stands out from the mean. Texts of no known
+    language have logits near zero; a text in two known languages is clear."""
+    return z.max(axis=1) - z.mean(axis=1) if z.shape[1] > 1 else np.full(len(z), np.inf)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -160,16 +164,15 @@ def fit(rows: list[tuple[str, bytes, bytes]], epochs: int = 12, rate: float = 40
     z = np.concatenate([dense(check[i:i + 256]) @ table[:BUCKETS] + bias for i in range(0, len(check), 256)])
     grid = np.geomspace(0.05, 5, 60)
     loss = [-np.log(_softmax(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in grid]
-    top = np.sort(z, axis=1)
     right = z.argmax(axis=1) == y[check]
-    gaps = (top[:, -1] - top[:, -2])[right] if len(langs) > 1 else np.zeros(0)
     # Texts of unknown scripts hit buckets at random: reject what is no clearer than such noise, but
-    # never more than half the margin that all but a share ``reject`` of known texts have.
+    # never more than half the clarity that all but a share ``reject`` of known texts have.
     noise = []
     for i in check:
-        z0 = rows[i][2] @ table[rng.integers(0, BUCKETS, len(rows[i][1]))] / rows[i][2].sum() + bias
-        noise.append(np.ptp(np.partition(z0, -2)[-2:]) if len(langs) > 1 else 0.0)
-    margin = min(0.5 * float(np.quantile(gaps, reject)) if len(gaps) else 0.0, float(np.quantile(noise, 0.99)))
+        noise.append(rows[i][2] @ table[rng.integers(0, BUCKETS, len(rows[i][1]))] / rows[i][2].sum() + bias)
+    margin = 0.0
+    if len(langs) > 1 and right.any():
+        margin = min(0.5 * float(np.quantile(_clarity(z[right]), reject)), float(np.quantile(_clarity(np.array(noise)), 0.99)))
     return LanguageModel(langs, np.asfortranarray(table), bias.astype(np.float64), float(grid[int(np.argmin(loss))]), margin)
 
 
