@@ -32,18 +32,21 @@ def lower_ascii(text: Column) -> Column:
 
 @contextlib.contextmanager
 def freeing_shuffles(spark: SparkSession):
-    """Shuffle files of the jobs inside the block are removed when each job
-    ends: their results are in written tables, so nothing reads them again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    """For blocks whose jobs all write tables: the shuffle files of a job are
+    removed when it ends (its result is written, nothing reads them again),
+    and scratch tables, which may carry whole texts, are written with zstd."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def default_partitions(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from .common import col, freeing_shuffles, lower_ascii, materialize, scratch_path
+from .common import col, delete_path, freeing_shuffles, lower_ascii, materialize, scratch_path
 
 FIRST_DIGIT = 64
 GROWTH = 8
@@ -71,11 +71,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             schema = out.drop("active").schema
             read = spark.read.schema(schema.add("active", "boolean")).parquet(path)
             finals.append(read.where(~F.col("active")).select("doc_id", "row", "sha", "keep_id", "n", "kept"))
-            return read.where("active"), int(obs.get["left"])
+            return read.where("active"), int(obs.get["left"]), f"{path}/active=true"
 
         alone = [F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept")]
         width *= growth
-        state, left = step(rows.withColumn("rid", F.monotonically_increasing_id()), F.col("to").isNotNull(), alone,
+        state, left, used = step(rows.withColumn("rid", F.monotonically_increasing_id()), F.col("to").isNotNull(), alone,
                            width)
         while left:
             keys, _ = materialize(
@@ -88,7 +88,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     F.when(same, F.col("size")).otherwise(F.lit(1)).cast("long").alias("n"),
                     F.when(same, F.col("rid") == F.col("top.rid")).otherwise(F.lit(True)).alias("kept")]
             width *= growth
-            state, left = step(rows, F.col("to").isNotNull() & ~F.col("ended"), done, width)
+            spent = used
+            state, left, used = step(rows, F.col("to").isNotNull() & ~F.col("ended"), done, width)
+            delete_path(spark, spent)  # its rows are in the next round's table
     out = finals[0]
     for f in finals[1:]:
         out = out.unionByName(f)
