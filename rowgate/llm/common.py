@@ -103,4 +103,5 @@ def sample_ids(df: DataFrame, id_col: str, class_col: str, n: int, seed: int) ->
         return rows.withColumn("pri", F.lit(0.0)).limit(0)
     size = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("class")]
     u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
-    return rows.withColumn("pri", (u * size).cast("double")).orderBy("pri", "id").limit(n)
+    # as doubles: the whole product leaves a bigint when a class has more than 2^23 rows
+    return rows.withColumn("pri", u.cast("double") * size).orderBy("pri", "id").limit(n)

@@ -2,7 +2,9 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from rowgate.llm.common import sample_ids
 from rowgate.llm.langid import add_language, identify_languages, keep_identified, subwords, train_language_model
 
 SYLLABLES = {"en": ["th", "in", "er", "ou", "ing", "sh"], "de": ["sch", "ung", "ein", "ich", "ö", "keit"],
@@ -69,6 +71,15 @@ def test_no_training_rows(docs):
     assert [(r.lang_pred, r.score, r.rejected) for r in got] == [("und", 0.0, True)]
 
 
+def test_sample_of_a_class_above_two_to_the_23_rows(spark):
+    n = (1 << 23) + (1 << 20)
+    df = spark.range(n + 300).select("id", F.when(F.col("id") < n, "en").otherwise("de").alias("lang"))
+    got = sample_ids(df, "id", "lang", 200, 7).collect()
+    assert all(r.pri >= 0 for r in got)
+    # about as many of each class, though one is 30,000 times the other
+    assert len(got) == 200 and 70 <= sum(r["class"] == "de" for r in got) <= 130
+
+
 def test_subwords_do_not_cross_texts():
     data = np.frombuffer("abcd".encode() + "efgh".encode(), np.uint8)
     both = [h.tolist() for h in subwords(data, np.array([0, 4, 8]))]
