@@ -44,7 +44,7 @@ def op4_token_counts(spark, sf):
     docs = table(spark, sf, "documents")
     versions = {"word_bpe_49k": tokenizer_file("word_bpe_49k.json"), "piece_32k": tokenizer_file("piece_bpe_32k.model")}
     keep = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
-    counts, _ = materialize(count_tokens(docs, versions, keep), "token-counts")
+    counts, _ = materialize(count_tokens(docs, versions, keep, library=True), "token-counts")
     rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
     part = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(3))
     inserts = [counts.where(F.coalesce(part, F.lit(0)) == i).withColumn("op", F.lit("insert")) for i in range(3)]

@@ -132,30 +132,47 @@ class TokenRollup:
             self._log(last, None, last)
 
 
-def count_tokens(df: DataFrame, tokenizers: dict[str, str], keep: list, text_col: str = "text") -> DataFrame:
+def count_tokens(df: DataFrame, tokenizers: dict[str, str], keep: list, text_col: str = "text",
+                 library: bool = False) -> DataFrame:
     """``keep`` (aliased by the caller) plus ``tokenizer, n_tokens``: one row
     per row and tokenizer version, counted on whole texts (null: empty).
     ``tokenizers`` maps versions to files: ``.json`` for the tokenizers library
-    (see ``wordtokens``), ``.model`` for SentencePiece pieces."""
+    (see ``wordtokens``), ``.model`` for SentencePiece pieces: the model's own
+    encoding with ``library``, else the best-scoring one of ``sentencepieces``
+    (not the same for a BPE model)."""
     plain = df.select(*keep, col(text_col).alias("_text"))
     schema = plain.drop("_text").schema.add("tokenizer", "string").add("n_tokens", "long")
-    pieces = {name: load_vocabulary(path) for name, path in tokenizers.items() if path.endswith(".model")}
+    pieces = {name: _model_bytes(path) if library else load_vocabulary(path)
+              for name, path in tokenizers.items() if path.endswith(".model")}
 
     def run(batches):
         import pyarrow as pa
 
-        words = {}
+        words, models = {}, {}
         for b in batches:
             data, off = text_buffer(b.column(b.num_columns - 1))
             for name, path in tokenizers.items():
                 if name not in pieces and name not in words:
                     words[name] = WordTokenizer(path)
+                if library and name in pieces and name not in models:
+                    import sentencepiece
+
+                    models[name] = sentencepiece.SentencePieceProcessor(model_proto=pieces[name])
                 count = np.zeros(b.num_rows, np.int64)
-                for lo, hi in byte_slices(off, 8 << 20):
+                for lo, hi in byte_slices(off, (1 if name in models else 8) << 20):
                     part = off[lo:hi + 1]
+                    if name in models:
+                        texts = [data[s:e].tobytes() for s, e in zip(part.tolist(), part[1:].tolist())]
+                        count[lo:hi] = [len(ids) for ids in models[name].encode(texts, num_threads=1)]
+                        continue
                     raw = data[part[0]:part[-1]], part - part[0]
                     count[lo:hi] = (encode_pieces(pieces[name], *raw) if name in pieces else words[name].encode(*raw))[1]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([name] * b.num_rows, pa.string()),
                                                   pa.array(count)], names=schema.names)
 
     return plain.mapInArrow(run, schema)
+
+
+def _model_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()

@@ -14,6 +14,7 @@ from rowgate.llm.wordtokens import WordTokenizer
 
 from .conftest import prose
 
+SF001 = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 HARD = ["", "   ", "It's A <|endoftext|> b", "x'.s don't WE'LL 'sabc ''s .'s", "á ≠ x≠y Å Å İİ", "tab\tnew\nline\x0b\x0c\r z",
@@ -83,6 +84,33 @@ def test_counts_of_both_tokenizers(docs, library, tricky_texts):
         assert got[i, "p"] == int(encode(vocab, *batch([t or ""]))[1][0])
 
 
+def test_piece_counts_of_the_query_are_those_of_the_model(spark):
+    import sentencepiece
+
+    from rowgate.llm.queries import op4_token_counts
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{SF001}/documents.parquet").select("source", "lang", "text", "n_chars").collect():
+        if r.n_chars >= 200:
+            want[r.source, r.lang][0] += 1
+            want[r.source, r.lang][1] += len(sp.encode(r.text or "")) + (r.n_chars > 2000)
+    got = {(r.source, r.lang): [r.documents, r.tokens]
+           for r in op4_token_counts(spark, SF001).where("tokenizer = 'piece_32k'").collect()}
+    assert got == dict(want)
+
+
+def test_library_counts_of_odd_texts(docs, tricky_texts):
+    import sentencepiece
+    from pyspark.sql import functions as F
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = [*tricky_texts, *HARD]
+    got = count_tokens(docs(list(enumerate(texts))), {"p": model}, [F.col("doc_id")], library=True).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(sp.encode(t or "")) for i, t in enumerate(texts)}
+
+
 CHANGE = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long, at long, seq string"
 
 
