@@ -5,10 +5,12 @@
    least ``blocks - radius`` of ``blocks`` bit blocks, so equal values of a
    choice of blocks bring every link together, whatever the data. ``blocks``
    follows from the number of distinct fingerprints, so that evenly spread
-   fingerprints fill a bucket with about ``BUCKET`` rows at any size. A
-   bucket that is still larger (a dense cluster) is cut into tiles by hash
-   and every pair of tiles is compared: no link is lost, no task gets an
-   unbounded bucket.
+   fingerprints fill a bucket with about ``BUCKET`` rows at any size. The
+   fingerprints of buckets that are still larger (a dense cluster) are keyed
+   again with more blocks; a bucket that is too large with the most blocks is
+   cut into tiles by hash and every pair of tiles is compared. No link is
+   lost; partitions follow from the rows after tiling, and a task compares
+   some buckets at a time.
 3. Bit-sliced comparison: 64 fingerprints of a bucket form a block that is
    stored as 64 vertical bit planes, one word a plane. One pass over the
    planes updates the 64 distances of a block by carry-save counters; a block
@@ -20,6 +22,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,6 +33,8 @@ from .components import components
 BITS = 64
 BUCKET = 1024  # distinct fingerprints of a bucket that are compared in one task
 TASK_ROWS = 200_000
+CHUNK_ROWS = 1 << 16  # rows that a task compares at a time
+BROADCAST_ROWS = 1_000_000  # large buckets whose list is broadcast
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -192,27 +197,48 @@ class Forest:
                 self.root = up
 
 
-def _forest_of_buckets(radius: int):
-    """Task function: rows (fp, choice, bits, x, y) of whole buckets -> links (u, v)."""
-    def run(batches):
+def _forest_of_buckets(radius: int, rows: int = CHUNK_ROWS):
+    """Task function: rows (fp, choice, bits, x, y), sorted by all but fp ->
+    links (u, v). Whole buckets (tiles) of about ``rows`` rows together are
+    compared at a time, so a task never holds its partition."""
+    def links(t):
         import pyarrow as pa
 
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
         fp, choice, bits, x, y = (t.column(i).to_numpy() for i in range(5))
-        order = np.lexsort((fp, y, x, bits, choice))
-        fp, key = fp[order], np.stack([choice[order], bits[order], x[order], y[order]])
-        new = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        group = np.cumsum(new)
+        new = np.ones(len(fp), bool)
+        new[1:] = False
+        for k in (choice, bits, x, y):
+            new[1:] |= k[1:] != k[:-1]
         values, place = np.unique(fp, return_inverse=True)
         forest = Forest(len(values))
-        for i, j in close_pairs(fp.view(np.uint64), group, radius):
+        for i, j in close_pairs(fp.view(np.uint64), np.cumsum(new), radius):
             forest.join(place[i], place[j])
         linked = np.nonzero(forest.root != np.arange(len(values)))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(values[linked]), pa.array(values[forest.root[linked]])],
-                                         names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(values[linked]), pa.array(values[forest.root[linked]])],
+                                          names=["u", "v"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n < rows:
+                continue
+            t = pa.Table.from_batches(held)
+            same = np.ones(n, bool)  # rows of the last bucket, which may go on in the next batch
+            for i in range(1, 5):
+                c = t.column(i).to_numpy()
+                same &= c == c[-1]
+            done = n - int(same.sum())
+            if done:
+                yield links(t.slice(0, done))
+            held, n = t.slice(done).to_batches(), n - done
+        if n:
+            yield links(pa.Table.from_batches(held))
     return run
 
 
@@ -223,19 +249,32 @@ def fingerprint_links(fps: DataFrame, distinct: int, radius: int = 3, bucket: in
     spark = fps.sparkSession
     blocks = blocks or blocks_for(distinct, radius, bucket)
     keyed = fps.select("fp", F.explode(bucket_keys("fp", blocks, radius)).alias("k")).select("fp", "k.choice", "k.bits")
+    tiles = F.ceil(F.col("n") * 2 / F.lit(bucket))
     sizes, m = materialize(keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(f"n > {bucket}"),
-                           "simhash-large", F.count(F.lit(1)).alias("n"))
+                           "simhash-large", F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows"),
+                           F.sum(F.col("n") * tiles).alias("tiled"))
     x = y = F.lit(0)
+    sent, finer = distinct * comb(blocks, radius), None
     if m["n"]:
-        keyed = keyed.join(sizes, ["choice", "bits"], "left")
-        tiles = F.ceil(F.col("n") * 2 / F.lit(bucket)).cast("int")
-        mine = F.pmod(F.xxhash64("fp"), tiles).cast("int")
-        keyed = keyed.withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn(
-            "other", F.explode(F.sequence(F.lit(0), F.coalesce(tiles, F.lit(1)) - 1)))
-        x, y = F.least("mine", "other"), F.greatest("mine", "other")
-    parts = max(default_partitions(spark), -(-distinct * len(list(combinations(range(blocks), radius))) // TASK_ROWS))
-    keyed = keyed.select("fp", "choice", "bits", x.alias("x"), y.alias("y"))
-    return keyed.repartition(parts, "choice", "bits", "x", "y").mapInArrow(_forest_of_buckets(radius), "u long, v long")
+        sent -= m["rows"]
+        sizes = F.broadcast(sizes) if m["n"] <= BROADCAST_ROWS else sizes
+        if blocks < radius + 5:
+            # both ends of a link inside a large bucket are in such buckets: finer blocks find it among those alone
+            dense, d = materialize(keyed.join(sizes, ["choice", "bits"], "left_semi").select("fp").distinct(),
+                                   "simhash-dense", F.count(F.lit(1)).alias("n"))
+            finer = fingerprint_links(dense, d["n"], radius, bucket, min(blocks + 2, radius + 5))
+            keyed = keyed.join(sizes, ["choice", "bits"], "left_anti")
+        else:
+            sent += m["tiled"]
+            keyed = keyed.join(sizes, ["choice", "bits"], "left")
+            mine = F.pmod(F.xxhash64("fp"), tiles).cast("int")
+            keyed = keyed.withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn(
+                "other", F.explode(F.sequence(F.lit(0), F.coalesce(tiles.cast("int"), F.lit(1)) - 1)))
+            x, y = F.least("mine", "other"), F.greatest("mine", "other")
+    parts = max(default_partitions(spark), -(-sent // TASK_ROWS))
+    keyed = keyed.select("fp", "choice", "bits", x.alias("x"), y.alias("y")).repartition(parts, "choice", "bits", "x", "y")
+    links = keyed.sortWithinPartitions("choice", "bits", "x", "y").mapInArrow(_forest_of_buckets(radius), "u long, v long")
+    return links if finer is None else links.unionByName(finer)
 
 
 def _prepared(df: DataFrame, text_col: str, keep: list[Column], shingle: int, radius: int):

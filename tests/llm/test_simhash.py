@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from rowgate.llm import simhash
 from rowgate.llm.components import components
 from rowgate.llm.simhash import blocks_for, close_pairs, drop_near_duplicates, fingerprint, fingerprint_links, near_duplicates
 
@@ -89,6 +90,44 @@ def test_buckets_and_tiles_lose_no_link(spark, bucket, blocks):
         {frozenset(n for n in signed if want[n] == r) for r in set(want.values())}
 
 
+def test_dense_bucket_is_not_sent_once_a_tile(spark, monkeypatch):
+    """Fingerprints that share 16 bits: rows sent to the tasks stay in proportion to them."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    fps = [int(f) for f in np.unique(rng.integers(0, 2 ** 47, n) << 16)]
+
+    def counting(radius):
+        def run(batches):
+            import pyarrow as pa
+
+            rows = sum(b.num_rows for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([rows])], names=["u", "v"])
+        return run
+    monkeypatch.setattr(simhash, "_forest_of_buckets", counting)
+    sent = sum(r.u for r in fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), n, 3, 16).collect())
+    assert sent <= 100 * n
+
+
+def test_task_compares_some_buckets_at_a_time():
+    import pyarrow as pa
+
+    fps = np.arange(64, dtype=np.int64)
+    taken = []
+
+    def batches():
+        for k in range(50):  # two batches a bucket
+            taken.append(k)
+            keys = [pa.array(np.full(32, v)) for v in (0, k // 2, 0, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(fps[k % 2 * 32:][:32] + 1024 * (k // 2)), *keys],
+                                             names=["fp", "choice", "bits", "x", "y"])
+    first, got = None, []
+    for out in simhash._forest_of_buckets(1, 200)(batches()):
+        first = first or len(taken)
+        got += list(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+    assert first <= 10
+    assert len(got) == 25 * 63 and all(u // 1024 == v // 1024 for u, v in got)
+
+
 def test_blocks_follow_the_input():
     assert blocks_for(1000, 3) == 4 and blocks_for(10 ** 10, 3) > 4
 
