@@ -45,6 +45,7 @@ BATCHES = 3
 SHARDS = 2  # shards of head hashes that are indexed one after another
 WINDOW_SHARDS = 2
 SLICE_BYTES = 1 << 20
+CUT_CONTEXTS = 1 << 14  # partly repeated contexts whose strings are laid out at once
 TASK_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1  # a null id: larger than all others
 HIT, PARTIAL, INDEX = 0, 1, 2
@@ -399,14 +400,20 @@ def _cut(length: int, with_text: bool):
                     rows = np.repeat(np.arange(hi - lo), np.diff(f_off[lo:hi + 1]))
                     at, _ = _member(rows, names[f_off[lo]:f_off[hi]], text, _name(head, context))
                     found = at >= 0
-                    first, count = first[found], (last - first + 1)[found]
+                    first, last = first[found], last[found]
                     mask = masks[f_off[lo]:f_off[hi]][at[found]]
-                    string = ragged(first, count)
-                    place = string - np.repeat(first, count)
-                    string = string[(np.repeat(mask, count) >> place) & 1 == 1]
                     edge = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(edge, string, 1)
-                    np.add.at(edge, string + length, -1)
+                    whole = mask == -1  # all strings of a context: one run of bytes
+                    np.add.at(edge, first[whole], 1)
+                    np.add.at(edge, last[whole] + length, -1)
+                    first, last, mask = first[~whole], last[~whole], mask[~whole]
+                    for at in range(0, len(first), CUT_CONTEXTS):
+                        f, m = first[at:at + CUT_CONTEXTS], mask[at:at + CUT_CONTEXTS]
+                        count = last[at:at + CUT_CONTEXTS] - f + 1
+                        string = ragged(f, count)
+                        string = string[(np.repeat(m, count) >> (string - np.repeat(f, count))) & 1 == 1]
+                        np.add.at(edge, string, 1)
+                        np.add.at(edge, string + length, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                 total = np.concatenate(([0], np.cumsum(gone)))[cuts]
                 head_of_run = gone.copy()

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from rowgate.llm.repeats import HEAD, LENGTH, anchors, remove_repeats, rolling
+from rowgate.llm.repeats import HEAD, LENGTH, _cut, _name, anchors, remove_repeats, rolling
 
 from .conftest import prose
 
@@ -69,6 +69,33 @@ def test_hot_passage_and_kept_bytes(docs):
     assert hot.encode() in kept[1] and hot.encode() not in kept[2]
 
 
+def test_long_run_of_one_byte_in_two_documents(docs):
+    n = 3 << 20
+    rows = [(0, "-" * n), (1, "one" + "-" * n + "two"), (2, "-" * 40)]
+    got = {r.doc_id: r for r in remove_repeats(docs(rows), with_text=True).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in range(3)] == [(0, 0), (n, 1), (0, 0)]
+    assert bytes(got[1].kept) == b"onetwo"
+
+
+@pytest.mark.parametrize("mask", [-1, (1 << 27) - 1])
+def test_memory_of_the_cut_in_a_long_run(mask):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = b"-" * (1 << 20)
+    _, _, _, head, context = anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    names = np.unique(_name(head, context))
+    b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text]), pa.array([names.tolist()]),
+                                    pa.array([[mask] * len(names)])], names=["doc_id", "id", "text", "names", "masks"])
+    tracemalloc.start()
+    out = list(_cut(LENGTH, False)(iter([b])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("peak", peak)
+    assert out[0].column(2).to_pylist() == [len(text)] and peak < 300 << 20
+
+
 def test_empty_table_and_length_bounds(docs):
     assert remove_repeats(docs([])).count() == 0
     assert [tuple(r)[1:4] for r in remove_repeats(docs([None, "", "x"])).orderBy("doc_id").collect()] == [(0, 0, 0), (0, 0, 0),
