@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_path, table
+from .collocations import collocations
 from .exact_dedup import exact_groups
+from .hard_negatives import mine_hard_negatives
 from .langid import identify_languages
 from .mixing import mix
 from .repeats import remove_repeats
+from .repetition import repetition_rules
 from .rollups import TokenRollup, count_tokens
 from .sentencepieces import encode_texts
 from .simhash import near_duplicates
@@ -90,6 +93,20 @@ def op10_toxicity(spark, sf):
     return score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op11_repetition(spark, sf):
+    return repetition_rules(table(spark, sf, "documents"))
+
+
+def op12_hard_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10,
+                               low_percent=30, high_percent=90)
+
+
+def op13_collocations(spark, sf):
+    return collocations(table(spark, sf, "documents"), max_words=5, min_count=100, top=2000, longer_percent=100)
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_language_id": op2_language_id,
@@ -101,4 +118,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_repetition": op11_repetition,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
