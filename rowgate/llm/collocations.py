@@ -9,12 +9,13 @@
    shuffle.
 2. Count. Phrases are counted inside the distinct chunks, weighted with their
    frequencies. A phrase belongs to the chunk in which it starts before the
-   overlap, so overlaps count once. Lengths are counted one after another. A
-   pass counts the phrases of n words exactly, keyed by their text, and hashes
-   the phrases of n + 1 words into a table of counters; the next pass only looks
-   at phrases whose counter and whose two shorter phrases reach the minimum.
-   These filters only spare rows that cannot reach it: whatever falls into one
-   counter is counted exactly afterwards. Their size is bounded (``FILTER``).
+   overlap, so overlaps count once. Three passes count words, pairs and all
+   longer phrases exactly, keyed by their text. The first two also hash the
+   phrases that are one word longer into a table of counters, and the next pass
+   only looks at phrases whose counter and whose two shorter phrases reach the
+   minimum. These filters only spare rows that cannot reach it: whatever falls
+   into one counter is counted exactly afterwards. Their size is bounded
+   (``FILTER``).
 3. Score, in SQL with exact decimals: cuts joined with the counts of their
    parts, the worst cut per phrase, phrases that are part of one as frequent
    longer phrase dropped, best phrases per language.
@@ -25,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import byte_slices, col, default_partitions, freeing_shuffles, lower_ascii, materialize, ragged, text_buffer
+from .common import byte_slices, col, freeing_shuffles, lower_ascii, materialize, ragged, text_buffer
 
 MAX_WORDS = 5
 MIN_COUNT = 100
@@ -34,7 +35,7 @@ TRIGGER = 32  # one window in so many is a trigger
 LONGEST_CHUNK = 1024  # words; a stretch without any trigger is cut here
 FILTER = (1 << 16, 1 << 25)  # least and most counters of a filter (32 MB of counts, 4 MB of bits)
 SLICES = 64  # parts in which counters travel and are added up
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: floor(1000 a n / (l r)) in exact decimals of 38 digits: counts may have 17 digits.
 SCORE = ("(CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(17,0)) * CAST(n AS DECIMAL(17,0))) div "
          "(CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))")
@@ -46,19 +47,24 @@ _GAP[list(b" \t")] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_ids(data: np.ndarray, ends: np.ndarray):
-    """Exact ids of the words of ``data``, each with the one byte that follows
-    it, and per id: 64-bit hash of the word, whether a break follows it."""
-    import pyarrow as pa
-    import xxhash
+_FACTORS = np.random.default_rng(13).integers(0, 2 ** 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
+def _word_hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``data``; each ends one byte before its
+    end, where a blank or a break is. They choose triggers and counters, no
+    count depends on them."""
     if not len(ends):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), []
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [
-        None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
-    values = words.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(v[:-1]) for v in values), np.uint64, len(values))
-    return words.indices.to_numpy().astype(np.int64), hashes, np.fromiter((v[-1] == 0x0A for v in values), bool, len(values)), values
+        return np.zeros(0, np.uint64)
+    starts = np.concatenate(([0], ends[:-1]))
+    size = ends - starts
+    at = np.arange(len(data), dtype=np.int32) - np.repeat(starts, size).astype(np.int32)
+    terms = _FACTORS[at & 4095]
+    terms *= data + np.uint64(1)
+    terms[ends - 1] = 0
+    h = np.add.reduceat(terms, starts) ^ size.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * _ODD
+    return h ^ (h >> np.uint64(29))
 
 
 def _phrase_hash(h: np.ndarray, n: int) -> np.ndarray:
@@ -90,12 +96,12 @@ def parse_chunks(data: np.ndarray, offsets: np.ndarray, overlap: int, trigger: i
     text[ends] = np.where(stop, 0x0A, 0x20)
     text = text[keep]
     size = np.cumsum(ends - starts + 1)  # end of each word and its byte in ``text``
-    ids, hashes, _, _ = _word_ids(text, size)
+    hashes = _word_hashes(text, size)
     first = np.searchsorted(starts, offsets[:-1])  # first word of each document
     last = np.append(first[1:], m)
     doc = np.repeat(np.arange(len(first)), last - first)
     doc_end = np.repeat(last, last - first)
-    window = _phrase_hash(hashes[ids], overlap) if overlap else hashes[ids]
+    window = _phrase_hash(hashes, overlap) if overlap else hashes
     at = np.arange(m)
     is_start = (window % np.uint64(trigger) == 0) & (at + overlap <= doc_end)
     is_start[first[first < last]] = True
@@ -142,110 +148,112 @@ def _bits(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _count(n: int, longest: int, filters, counters: int, min_count: int):
-    """Task function: chunks -> exact counts of phrases of n words (kind 0) and
-    slices of the counters of phrases of n + 1 words (kind 1). ``filters`` is a
-    broadcast list of bitmaps of the lengths 2 .. n."""
+def _count(lengths, hashed: int | None, filters, counters: int, min_count: int):
+    """Task function: chunks -> exact counts of the phrases of ``lengths``
+    words (kind 0) and slices of the counters of phrases of ``hashed`` words
+    (kind 1). ``filters`` is a broadcast list of bitmaps of the lengths 2, 3, ..."""
+    longest = max(*lengths, hashed or 0)
+
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         bitmaps = [np.frombuffer(x, np.uint8) for x in filters.value]
-        table = np.zeros(counters if n < longest else 0, np.uint32)
+        table, room = np.zeros(counters if hashed else 0, np.uint32), [2 ** 31]
 
         def work(langs, data, ends_of, counted, freq):
             ends = np.nonzero((data == 0x20) | (data == 0x0A))[0] + 1
-            ids, hashes, brk, values = _word_ids(data, ends)
-            m = len(ids)
+            begins = np.concatenate(([0], ends[:-1]))
+            m = len(ends)
             last = np.searchsorted(ends, ends_of, side="right")  # words up to each chunk's end
             first = np.concatenate(([0], last[:-1]))
             per = last - first
             chunk = np.repeat(np.arange(len(per)), per)
             eligible = np.arange(m) - first[chunk] < counted[chunk]
-            salt = langs.dictionary.to_pylist()
-            import xxhash
-            salts = np.fromiter((xxhash.xxh64_intdigest(s.encode(), 1) for s in salt), np.uint64, len(salt))
+            names = langs.dictionary.to_pylist()
+            salts = np.fromiter((xxhash.xxh64_intdigest(s.encode(), 1) for s in names), np.uint64, len(names))
             lang = langs.indices.to_numpy().astype(np.int64)[chunk]
-            h, brk, freq = hashes[ids] ^ salts[lang], brk[ids], freq[chunk]
-            brk[last[per > 0] - 1] = True  # a chunk's last word ends its piece or its overlap
+            h, freq = _word_hashes(data, ends) ^ salts[lang], freq[chunk]
+            stops = data[ends - 1] == 0x0A
+            stops[last[per > 0] - 1] = True  # a chunk's last word ends its piece or its overlap
             valid = passed = np.ones(m, bool)
-            stops = brk
-            for k in range(2, n + 2):  # phrases of k words that may reach the minimum
-                if k > longest:
-                    break
-                valid = valid & ~np.roll(stops, -(k - 2))
-                valid[max(m - k + 1, 0):] = False
-                passed_k = valid & passed & np.roll(passed, -1)
-                at = np.nonzero(passed_k)[0]
-                hk = None
-                if k <= n:
-                    hk = _phrase_hash(h, k)
-                    passed_k[at] = _bits(bitmaps[k - 2], hk[at])
-                    passed = passed_k
-                else:
-                    at = at[eligible[at]]
+            for k in range(1, longest + 1):
+                if k > 1:  # phrases of k words inside a piece that may reach the minimum
+                    valid = valid & ~np.roll(stops, -(k - 2))
+                    valid[max(m - k + 1, 0):] = False
+                    passed = valid & passed & np.roll(passed, -1)
+                if k == hashed:
+                    at = np.nonzero(passed & eligible)[0]
+                    np.add.at(table, (_phrase_hash(h, k)[at] % np.uint64(counters)).astype(np.int64),
+                              np.minimum(freq[at], min_count).astype(np.uint32))
+                    room[0] -= len(at) * min_count
+                    if room[0] < 0:  # before a counter can run over; it only has to tell who reaches the minimum
+                        np.minimum(table, min_count, out=table)
+                        room[0] = 2 ** 31
+                if 2 <= k < len(bitmaps) + 2:
+                    at = np.nonzero(passed)[0]
+                    passed = np.zeros(m, bool)
+                    passed[at[_bits(bitmaps[k - 2], _phrase_hash(h, k)[at])]] = True
+                if k in lengths:
+                    at = np.nonzero(passed & eligible)[0]
                     if len(at):
-                        hk = _phrase_hash(h, k)[at] % np.uint64(counters)
-                        np.add.at(table, hk.astype(np.int64), np.minimum(freq[at], min_count).astype(np.uint32))
-                        np.minimum(table, min_count, out=table)  # a counter only has to tell who reaches the minimum
-            at = np.nonzero(passed & eligible)[0] if n > 1 else np.nonzero(eligible)[0]
-            if not len(at):
-                return None
-            # exact groups: language and word ids, packed pair by pair
+                        yield counts(k, at, names, lang, h, freq, data, begins, ends)
+
+        def counts(n, at, names, lang, h, freq, data, begins, ends):
+            """Exact groups of the phrases of n words at ``at``: by language and word ids, packed pair by pair."""
+            if n == 1:  # all words, each with a blank after it
+                ids = _binary(pa, np.where(data == 0x0A, np.uint8(0x20), data), ends).dictionary_encode().indices.to_numpy().astype(np.int64)[at, None]
+            else:
+                where = (at[:, None] + np.arange(n)).ravel()
+                size = ends[where] - 1 - begins[where]
+                ids = _binary(pa, data[ragged(begins[where], size)], np.cumsum(size)).dictionary_encode()
+                ids = ids.indices.to_numpy().astype(np.int64).reshape(len(at), n)
             group = lang[at]
-            word = _same_word(values)[ids]
             for j in range(n):
-                group = np.unique(group << 32 | word[at + j], return_inverse=True)[1]
+                group = np.unique(group << 32 | ids[:, j], return_inverse=True)[1]
             total = np.zeros(int(group.max()) + 1, np.int64)
             np.add.at(total, group, freq[at])
             one = np.zeros(len(total), np.int64)
             one[group] = at
-            begins = np.concatenate(([0], ends[:-1]))
             size = ends[one + n - 1] - 1 - begins[one]
-            text = data[ragged(begins[one], size)]
-            phrases = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(one), [
-                None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())])
-            full = _phrase_hash(h, n)[one].view(np.int64)
-            return _rows(pa, 0, pa.array(salt).take(pa.array(lang[one])), phrases, full, total, None)
+            return _rows(pa, 0, pa.array(names).take(pa.array(lang[one])), _binary(pa, data[ragged(begins[one], size)], np.cumsum(size)),
+                         _phrase_hash(h, n)[one].view(np.int64), total, None, n)
 
         held, size = [], 0
         for b in batches:
             held.append(b)
             size += b.nbytes
-            if size < SLICE_BYTES:
-                continue
-            out = _slice(held, work)
-            held, size = [], 0
-            if out is not None:
-                yield out
-        out = _slice(held, work)
-        if out is not None:
-            yield out
+            if size >= SLICE_BYTES:
+                yield from _slice(held, work)
+                held, size = [], 0
+        yield from _slice(held, work)
+        np.minimum(table, min_count, out=table)
         width = -(-counters // SLICES)
-        for s in range(SLICES if len(table) else 0):
+        for s in range(SLICES if hashed else 0):
             part = table[s * width:(s + 1) * width]
             nz = np.nonzero(part)[0]
             if len(nz):
-                kind = "<u1" if min_count < 256 else "<u4"
-                data = nz.astype("<u4").tobytes() + part[nz].astype(kind).tobytes()
-                yield _rows(pa, 1, None, None, np.array([s]), np.array([len(nz)]), data)
+                data = nz.astype("<u4").tobytes() + part[nz].astype("<u1" if min_count < 256 else "<u4").tobytes()
+                yield _rows(pa, 1, None, None, np.array([s]), np.array([len(nz)]), data, 0)
     return run
 
 
-def _same_word(values: list) -> np.ndarray:
-    """Ids of words whatever byte follows them."""
-    seen: dict = {}
-    return np.fromiter((seen.setdefault(v[:-1], len(seen)) for v in values), np.int64, len(values))
+def _binary(pa, data: np.ndarray, ends: np.ndarray):
+    """Arrow array of the byte strings that end at ``ends``, one after another."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [
+        None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-COUNTED = "kind int, lang string, phrase binary, h long, f long, data binary"
+COUNTED = "kind int, lang string, phrase binary, h long, f long, data binary, k int"
 
 
-def _rows(pa, kind, langs, phrases, h, f, data):
+def _rows(pa, kind, langs, phrases, h, f, data, k):
     n = len(h)
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.string()) if langs is None else langs.cast(pa.string()),
         pa.nulls(n, pa.binary()) if phrases is None else phrases.cast(pa.binary()), pa.array(h, pa.int64()), pa.array(f, pa.int64()),
-        pa.nulls(n, pa.binary()) if data is None else pa.array([data], pa.binary())], ["kind", "lang", "phrase", "h", "f", "data"])
+        pa.nulls(n, pa.binary()) if data is None else pa.array([data], pa.binary()), pa.array(np.full(n, k, np.int32))],
+        ["kind", "lang", "phrase", "h", "f", "data", "k"])
 
 
 def _slice(held, work):
@@ -253,10 +261,10 @@ def _slice(held, work):
     import pyarrow as pa
 
     if not sum(b.num_rows for b in held):
-        return None
+        return
     t = pa.Table.from_batches(held).combine_chunks()
     data, offsets = text_buffer(t.column(1))
-    return work(t.column(0).combine_chunks().dictionary_encode(), data, offsets[1:], t.column(2).to_numpy(), t.column(3).to_numpy())
+    yield from work(t.column(0).combine_chunks().dictionary_encode(), data, offsets[1:], t.column(2).to_numpy(), t.column(3).to_numpy())
 
 
 def _add_up(counters: int, min_count: int):
@@ -279,41 +287,47 @@ def _add_up(counters: int, min_count: int):
 
 
 def _phrase_counts(spark, chunks: DataFrame, words: int, max_words: int, min_count: int) -> list[DataFrame]:
-    """Exact counts ``lang, phrase, f`` of the lengths 1 .. max_words; of the
-    phrases that reach ``min_count`` only, but of all words."""
-    counters = 1 << int(np.clip(words // 2, 1, FILTER[1]) - 1).bit_length()
-    counters = int(np.clip(counters, *FILTER))
+    """Exact counts ``lang, phrase, h, k, f`` by length of 1, of 2 and of more
+    words; of the phrases that reach ``min_count`` only, but of all words."""
+    counters = int(np.clip(1 << max(words // 2 - 1, 1).bit_length(), *FILTER))
+    passes = [([1], 2), ([2], 3 if max_words > 2 else None), (list(range(3, max_words + 1)), None)]
     filters: list[bytes] = []
     out = []
-    for n in range(1, max_words + 1):
+    for no, (lengths, hashed) in enumerate(passes):
+        if not lengths:
+            break
         shipped = spark.sparkContext.broadcast(filters)
         rows, _ = materialize(chunks.select("lang", "chunk", "counted", "freq").mapInArrow(
-            _count(n, max_words, shipped, counters, min_count), COUNTED), f"collocations-rows{n}")
-        counts = rows.where("kind = 0").groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f"))
-        if n > 1:
-            counts = counts.where(F.col("f") >= min_count)
-        counts, got = materialize(counts, f"collocations-counts{n}", F.count(F.lit(1)).alias("n"))
+            _count(lengths, hashed, shipped, counters, min_count), COUNTED), f"collocations-rows{no}")
+        counts = rows.where("kind = 0").groupBy("lang", "phrase", "h", "k").agg(F.sum("f").alias("f"))
+        counts, got = materialize(counts if no == 0 else counts.where(F.col("f") >= min_count), f"collocations-counts{no}",
+                                  F.count(F.lit(1)).alias("n"))
         out.append(counts)
-        if n == max_words or (n > 1 and not got["n"]):
+        if not got["n"] or hashed is None:
             break
-        if n > 1:  # the exact set takes the place of the counters
-            bits = (counts.select(F.expr(f"h & {counters - 1}L").alias("bit"))
-                    .groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("s"))
-                    .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits")).collect())
-            exact = np.zeros(max(counters // 8, 4096), np.uint8)  # counters / 32768 rows of 4 kB each
-            for r in bits:
-                exact[(r["s"] - 1) * 4096:r["s"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-            filters[-1] = exact[:counters // 8].tobytes()
-        width = -(-counters // SLICES)
-        marks = np.zeros(width * SLICES // 8, np.uint8)
+        if no:  # the exact set takes the place of the counters
+            filters[-1] = _exact_bits(counts, counters)
+        width = counters // SLICES
+        marks = np.zeros(counters // 8, np.uint8)
         slices = rows.where("kind = 1").select("h", "f", "data").repartition(SLICES, "h").mapInArrow(
             _add_up(counters, min_count), "s long, bits binary")
         for r in slices.collect():  # SLICES rows, counters / 8 bytes together
             marks[r["s"] * width // 8:(r["s"] + 1) * width // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        filters.append(marks[:counters // 8].tobytes())
+        filters.append(marks.tobytes())
     return out
 
 
+def _exact_bits(counts: DataFrame, counters: int) -> bytes:
+    """Bitmap of the counters of the phrases in ``counts``: counters / 32768 rows of 4 kB."""
+    bits = (counts.select(F.expr(f"(h & {counters - 1}L) + 1").alias("p")).groupBy(F.expr("bitmap_bucket_number(p) - 1").alias("s"))
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect())
+    out = np.zeros(counters // 8, np.uint8)
+    for r in bits:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)[:len(out)]
+        out[r["s"] * 4096:r["s"] * 4096 + len(part)] = part
+    return out.tobytes()
+
+
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS,
                  min_count: int = MIN_COUNT, top: int = TOP, longer_percent: int = 100) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: per language the ``top``
@@ -341,9 +355,9 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
                                 F.coalesce(F.sum(F.col("counted") * F.col("freq")), F.lit(0)).alias("words"))
         counts = _phrase_counts(spark, chunks, m["words"], max_words, min_count)
         sizes = counts[0].groupBy("lang").agg(F.sum("f").alias("n"))
-        known = counts[0].where(F.col("f") >= min_count).withColumn("k", F.lit(1))
-        for i, c in enumerate(counts[1:], 2):
-            known = known.unionByName(c.withColumn("k", F.lit(i)))
+        known = counts[0].where(F.col("f") >= min_count)
+        for c in counts[1:]:
+            known = known.unionByName(c)
         known = known.select("lang", F.col("phrase").cast("string").alias("phrase"), F.col("f"), "k")
         phrases = known.where("k > 1").withColumn("w", F.split("phrase", " "))
         cuts = phrases.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.expr("sequence(1, k - 1)")).alias("cut"), "w", "k").select(
