@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import col, default_partitions, freeing_shuffles, materialize
 
-BLOCK_ROWS = (1024, 65536)  # smallest and largest candidate block
+BLOCK_ROWS = (8192, 65536)  # smallest and largest candidate block
 ANCHOR_ROWS = 1024  # anchors of a block
 GROUP_ROWS = 256  # anchors that walk the lists together
 FIRST_DEPTH = 16
