@@ -10,7 +10,7 @@ from __future__ import annotations
 import logging
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.errors import PySparkException
@@ -23,10 +23,11 @@ from ..functions.fixed import (
     RULE_NAME_PREFIX_LENGTH,
     TYPE_CHECK_SUFFIX,
 )
-from ..functions.grammar import UNIQUE_REF, RuleSyntaxError, has_unique, parse_rule, to_sql
-from ..functions.sql import quote_ident
+from ..functions.grammar import UNIQUE_REF, Columns, RuleSyntaxError, exists_parts, exists_ref, has_unique, parse_rule, to_sql
+from ..functions.sql import bind_time, quote_ident
 from ..functions.types import normalize_type
 from ..sources.rules_io import collect_rules
+from .references import Reference, exists_flags
 from .unique import unique_flags
 
 log = logging.getLogger("rowgate")
@@ -37,7 +38,7 @@ Translator = Callable[[str, str, str], str]
 @dataclass(frozen=True)
 class Check:
     name: str
-    kind: str  # "type" | "rule" | "unique"
+    kind: str  # "type" | "rule" | "unique" | "exists"
     column_name: str
     data_type: str
     rule: str | None
@@ -46,6 +47,8 @@ class Check:
     index: int = -1
     run_sql: str | None = None  # what is executed, when simpler than ``expression``
     unique_part: bool = False  # the expression refers to the column's uniqueness flag
+    references: tuple = field(default=(), compare=False)  # what its "must exist in" parts are looked up in
+    clock: bool = False  # the expression still depends on when its job runs
 
     @property
     def ok(self) -> bool:
@@ -55,6 +58,11 @@ class Check:
     def sql(self) -> str | None:
         return self.run_sql or self.expression
 
+    @property
+    def whole_table(self) -> bool:
+        """Whether the check needs more than its row."""
+        return self.unique_part or bool(self.references)
+
     @property
     def column(self) -> Column:
         """The boolean column of an already-applied check."""
@@ -96,88 +104,121 @@ def unique_check_sql(column: str) -> str:
     return f"({c} IS NULL) OR (COUNT(*) OVER (PARTITION BY {c}) = 1)"
 
 
-def _refusal(analyzed, dt: T.DataType) -> str | None:
+def _plan(df: DataFrame):
+    """The analysed plan; None where the client has none (Spark Connect)."""
+    try:
+        return df._jdf.queryExecution().analyzed()
+    except AttributeError:
+        return None
+
+
+def _seq(s) -> list:
+    return [s.apply(i) for i in range(s.size())]
+
+
+def _added(plan, source) -> list:
+    """Nodes of ``plan`` above ``source``, the plan it was derived from: what
+    the expressions of a projection turned into. Whatever the source itself is
+    made of (aggregates, generators, windows) is not among them."""
+    out = []
+    while not plan.fastEquals(source):
+        out.append(plan)
+        children = _seq(plan.children())
+        if len(children) != 1:
+            break
+        plan = children[0]
+    return out
+
+
+def _refusal(added: list, dt: T.DataType) -> str | None:
     """Why an expression that resolves is still no row-level check."""
     if not isinstance(dt, (T.BooleanType, T.NullType)):
         return f"expression is {dt.simpleString()}, not boolean"
-    if analyzed is None:
-        return None
-    text = analyzed.toString()
-    if re.search(r"^\W*Generate ", text, re.M):
-        return "expression makes rows (a generator); a check needs one value per row"
-    if re.search(r"^\W*Aggregate ", text, re.M):
-        return "expression aggregates; a check needs one value per row"
-    for m in re.finditer(r"windowspecdefinition\(", text):
-        if not _partitioned(text[m.end():]):
+    for node in added:
+        name = node.nodeName()
+        if name == "Generate":
+            return "expression makes rows (a generator); a check needs one value per row"
+        if name == "Aggregate":
+            return "expression aggregates; a check needs one value per row"
+        if name == "Window" and node.partitionSpec().isEmpty():
             return "window without PARTITION BY (all rows in one task)"
-    out = analyzed.expressions()
-    if any(not out.apply(i).deterministic() for i in range(out.size())):
-        return "expression is not deterministic; each row must be judged alike whenever it is read"
+        if not all(e.deterministic() for e in _seq(node.expressions())):
+            return "expression is not deterministic; each row must be judged alike whenever it is read"
     return None
 
 
-def _partitioned(spec: str) -> bool:
-    """Whether the text after ``windowspecdefinition(`` starts with a partition
-    key: keys come before ``x ASC ...`` orders and the frame."""
-    depth, first = 0, ""
-    for ch in spec:
-        if depth == 0 and ch in ",)":
-            break
-        depth += (ch == "(") - (ch == ")")
-        first += ch
-    return not (first.strip().startswith("specifiedwindowframe") or re.search(r"\b(ASC|DESC) NULLS\b", first))
+def _reads_clock(added: list) -> bool:
+    """Whether an expression depends on when its job runs (``current_date``
+    and the like, wherever they come from: functions, views' defaults, UDFs)."""
+    def clock(e) -> bool:
+        name = e.getClass().getSimpleName()
+        if name in CLOCK_NODES:
+            return True
+        return any(clock(c) for c in _seq(e.children()))
+    return any(clock(e) for node in added for e in _seq(node.expressions()))
 
 
-def _plan(df: DataFrame):
-    """The analysed plan; None where the client has none (Spark Connect)."""
-    try:
-        return df._jdf.queryExecution().analyzed()
-    except AttributeError:
-        return None
+#: Expressions that Spark replaces by the time at which a query starts.
+CLOCK_NODES = {"CurrentTimestamp", "Now", "CurrentDate", "CurDateExpressionBuilder", "LocalTimestamp", "CurrentTime"}
+
+
+def _beside(df: DataFrame) -> list[str]:
+    """A plain source column analysed beside an expression, so that an
+    aggregate cannot pass as a query of its own."""
+    return [f"{quote_ident(df.columns[0])} AS __rg_row"] if df.columns else []
+
+
+def _projected(df: DataFrame, sqls: list[str]) -> tuple[DataFrame, list[str]]:
+    # newline before ")": a trailing "-- comment" in user SQL cannot swallow it
+    names = [f"__rg_{i}" for i in range(len(sqls))]
+    return df.selectExpr(*_beside(df), *[f"({q}\n) AS {n}" for q, n in zip(sqls, names)]), names
 
 
-def _analyze(df: DataFrame, sql: str) -> str | None:
-    """Resolve ``sql`` against ``df`` without running a job; the error text
-    when it does not parse or resolve or is no deterministic boolean per row.
-    It is analysed beside a plain source column, so an aggregate cannot pass
-    as a query of its own."""
-    beside = [f"{quote_ident(df.columns[0])} AS __rg_row"] if df.columns else []
+def _analyze(df: DataFrame, sql: str) -> tuple[str | None, bool]:
+    """Resolve ``sql`` against ``df`` without running a job: the error text
+    when it does not parse or resolve or is no deterministic boolean per row,
+    and whether its value depends on when the job runs."""
     try:
-        # newline before ")": a trailing "-- comment" in user SQL cannot swallow it
-        alone = df.selectExpr(*beside, f"({sql}\n) AS __rg_check")
-        if alone.columns != [*["__rg_row"][:len(beside)], "__rg_check"]:
-            return "expression gives more than one column"
-        return _refusal(_plan(alone), alone.schema["__rg_check"].dataType)
+        alone, names = _projected(df, [sql])
+        if alone.columns[len(_beside(df)):] != names:
+            return "expression gives more than one column", False
+        plan, source = _plan(alone), _plan(df)
+        added = _added(plan, source) if plan is not None else []
+        return _refusal(added, alone.schema[names[0]].dataType), _reads_clock(added)
     except PySparkException as e:  # parse and analysis errors
         lines = [ln.strip() for ln in str(e).splitlines() if ln.strip()]
-        return lines[0] if lines else type(e).__name__
+        return (lines[0] if lines else type(e).__name__), False
 
 
-def _analyze_all(df: DataFrame, sqls: list[str]) -> list[str | None]:
+def _analyze_all(df: DataFrame, sqls: list[str]) -> list[tuple[str | None, bool]]:
     """Analyse all expressions in one projection; only when that finds a fault
-    are they analysed one by one (analysis only, no job)."""
+    or a clock are they analysed one by one (analysis only, no job)."""
     if not sqls:
         return []
-    names = [f"__rg_{i}" for i in range(len(sqls))]
     try:
-        beside = [f"{quote_ident(df.columns[0])} AS __rg_row"] if df.columns else []
-        together = df.selectExpr(*beside, *[f"({q}\n) AS {n}" for q, n in zip(sqls, names)])
-        if together.columns[len(beside):] == names:
+        together, names = _projected(df, sqls)
+        if together.columns[len(_beside(df)):] == names:
             plan, schema = _plan(together), together.schema
-            if not any(_refusal(plan, schema[n].dataType) for n in names):
-                return [None] * len(sqls)
+            added = _added(plan, _plan(df)) if plan is not None else []
+            if not any(_refusal(added, schema[n].dataType) for n in names) and not _reads_clock(added):
+                return [(None, False)] * len(sqls)
     except PySparkException:
         pass
     return [_analyze(df, q) for q in sqls]
 
 
 def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
-                  on_error: str = "skip", type_checks: bool = True, run_time: datetime | None = None) -> list[Check]:
+                  on_error: str = "skip", type_checks: bool = True, run_time: datetime | None = None,
+                  references: dict[str, DataFrame] | None = None, fixed_time: bool = True) -> list[Check]:
     """Rule rows -> ordered checks for ``df``.
 
-    Time rules ("not in the future") compare with ``run_time``, one moment
-    bound here (now, if not given), so every job that applies the checks
-    judges a row alike. Column names take the spelling of ``df``'s schema.
+    Time rules ("not in the future") and calls for the current time in free SQL
+    compare with ``run_time``, one moment bound here (now, if not given), so
+    every job that applies the checks judges a row alike. With ``fixed_time``
+    false they stay functions of the time at which a job (or a micro-batch)
+    runs. Column names take the spelling of ``df``'s schema; rules may name the
+    other columns of ``df``. "Must exist in <table>.<column>" looks the table
+    up in ``references`` (name -> frame), else in the catalog.
 
     A rule that cannot be parsed, translated, resolved against ``df`` or that
     needs an illegal cast is kept with its ``error`` set (``on_error="skip"``)
@@ -187,7 +228,8 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
     case_sensitive = str(df.sparkSession.conf.get("spark.sql.caseSensitive", "false")).lower() == "true"
     schema = _SchemaLookup(df.schema, case_sensitive)
     when = (run_time or datetime.now(timezone.utc)).astimezone(timezone.utc)
-    now = f"TIMESTAMP '{when:%Y-%m-%d %H:%M:%S.%f} UTC'"
+    now = f"TIMESTAMP '{when:%Y-%m-%d %H:%M:%S.%f} UTC'" if fixed_time else "current_timestamp()"
+    columns = Columns({f.name: f.dataType.simpleString() for f in df.schema.fields})
     fold = (lambda n: n) if case_sensitive else str.lower
     taken = {fold(c) for c in df.columns}
     type_checks_out: list[Check] = []
@@ -226,37 +268,50 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
                                          column, data_type, None, sql, None, i, run))
 
         name = unique_name(f"{_sanitize(column)}_{_sanitize(text or '')[:RULE_NAME_PREFIX_LENGTH]}_{i}{RULE_CHECK_SUFFIX}")
-        kind, sql, err, run, part = "rule", None, None, None, False
+        kind, sql, err, run, part, found = "rule", None, None, None, False, []
         try:
-            spec = parse_rule(text or "")
+            spec = parse_rule(text or "", columns)
             part = has_unique(spec)
+            if spec.kind == "unique":
+                kind, sql = "unique", unique_check_sql(column)
+            else:
+                sql = to_sql(spec, col_sql, data_type, col_type, now, columns.types)
             if part:
-                if spec.kind == "unique":
-                    kind, sql = "unique", unique_check_sql(column)
-                else:
-                    run = to_sql(spec, col_sql, data_type, col_type, now)
-                    sql = run.replace(UNIQUE_REF, unique_check_sql(column))
                 if column not in schema:
                     err = f"column {column!r} not found"
                 elif isinstance(schema[column], T.MapType):
                     err = "uniqueness of a map column cannot be checked (maps are not comparable)"
-            else:
-                sql = to_sql(spec, col_sql, data_type, col_type, now)
+            for where, table, key in [] if err else exists_parts(spec, column):
+                if spec.kind == "exists":
+                    kind = "exists"
+                found.append(Reference(df, schema.spelling.get(schema._k(where), where), table, key, references))
+                err = err or found[-1].error
+            if kind == "rule" and (part or found):
+                run = sql
+            if found:
+                run = sql
+                for r, (where, table, key) in zip(found, exists_parts(spec, column)):
+                    sql = sql.replace(exists_ref(quote_ident(where), table, key), r.sql)
+            if part and kind != "unique":
+                sql = sql.replace(UNIQUE_REF, unique_check_sql(column))
+            if spec.kind == "sql":
+                run = _bound(sql, now, columns, fixed_time)
         except RuleSyntaxError as e:
             if translator is not None:
                 try:
                     sql = translator(column, data_type, text or "")
+                    run = _bound(sql, now, columns, fixed_time)
                 except Exception as te:  # translator is user code
                     err = f"translator failed: {te}"
             else:
                 err = str(e)
-        rule_checks.append(Check(name, kind, column, data_type, text, sql, err, i, run, part))
+        rule_checks.append(Check(name, kind, column, data_type, text, sql, err, i, run, part, tuple(found)))
 
     out = type_checks_out + rule_checks
-    pending = [k for k, c in enumerate(out) if c.error is None and c.kind != "unique" and c.expression]
-    for k, err in zip(pending, _analyze_all(df, [out[k].sql.replace(UNIQUE_REF, "true") for k in pending])):
-        if err:
-            out[k] = replace(out[k], error=err)
+    pending = [k for k, c in enumerate(out) if c.error is None and c.kind not in ("unique", "exists") and c.expression]
+    for k, (err, clock) in zip(pending, _analyze_all(df, [_run_text(out[k], lambda _: "true") for k in pending])):
+        if err or clock:
+            out[k] = replace(out[k], error=err, clock=clock)
     for c in out:
         if c.error:
             log.warning("check %s (%r, %r) skipped: %s", c.name, c.column_name, c.rule, c.error)
@@ -267,6 +322,25 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
     return out
 
 
+def _bound(sql: str, now: str, columns: Columns, fixed_time: bool) -> str | None:
+    """Free SQL with the run's moment in place of the current time; None when
+    nothing changes."""
+    bound = bind_time(sql, now, columns.types) if fixed_time else sql
+    return bound if bound != sql else None
+
+
+def _run_text(check: Check, flag) -> str:
+    """What is executed for a check, with ``flag(key)`` for the flag columns of
+    its plan-level parts: the key is the column of a uniqueness part, or the
+    ``Reference`` of an existence part."""
+    text = check.sql
+    if check.unique_part:
+        text = text.replace(UNIQUE_REF, flag(check.column_name))
+    for r in check.references:
+        text = text.replace(r.placeholder, flag(r))
+    return text
+
+
 def active(checks: list[Check]) -> list[Check]:
     return [c for c in checks if c.ok]
 
@@ -275,15 +349,23 @@ def apply_checks(df: DataFrame, checks: list[Check], **unique_options) -> DataFr
     """``df`` plus one boolean column per usable check, in check order,
     built by a single projection (uniqueness flags first come from joins)."""
     checks = active(checks)
-    flag_of: dict[str, str] = {}  # one uniqueness computation per column
+    flag_of: dict = {}  # one computation per column or reference
     for c in checks:
-        if c.unique_part and c.column_name not in flag_of:
-            flag_of[c.column_name] = f"__rg_unique_{len(flag_of)}"
-    out = unique_flags(df, flag_of, **unique_options) if flag_of else df
+        for key in ([c.column_name] if c.unique_part else []) + list(c.references):
+            flag_of.setdefault(key, f"__rg_flag_{len(flag_of)}")
+    out = df
+    unique = {k: v for k, v in flag_of.items() if isinstance(k, str)}
+    known = {k: v for k, v in flag_of.items() if not isinstance(k, str)}
+    if unique:
+        out = unique_flags(df, unique, **unique_options)
+    if known:
+        out = exists_flags(df, known, onto=out, **unique_options)
     cols = [quote_ident(c) for c in df.columns]
     for c in checks:
-        flag = quote_ident(flag_of[c.column_name]) if c.unique_part else ""
-        sql = flag if c.kind == "unique" else c.sql.replace(UNIQUE_REF, flag)
+        if c.kind == "unique":
+            sql = quote_ident(flag_of[c.column_name])
+        else:
+            sql = _run_text(c, lambda k: quote_ident(flag_of[k]))
         cols.append(f"({sql}\n) AS {quote_ident(c.name)}")
     return out.selectExpr(*cols)
 

@@ -227,6 +227,139 @@ def q_unique_custkey_orders(spark, sf):
     return unique_flag(o, "o_custkey", "o_custkey_unique")
 
 
+# --- rules over other columns, conditions, other tables, any source ------------
+
+def _numbered(df: DataFrame, rules, keep: list[str], references=None) -> DataFrame:
+    """``keep`` columns plus the checks of the rules as ``r0``, ``r1``, ..."""
+    checks = compile_rules(rules, df, type_checks=False, references=references)
+    faulty = [c for c in checks if c.error]
+    if faulty:
+        raise ValueError(f"{faulty[0].rule!r}: {faulty[0].error}")
+    return apply_checks(df, checks).select(*keep, *[c.column.alias(f"r{c.index}") for c in checks])
+
+
+def received_lines(spark, sf):
+    """Line items with a receipt date, some before the shipment, some missing."""
+    return table(spark, sf, "lineitem").withColumn(
+        "l_receiptdate", F.expr("CASE WHEN l_partkey % 11 <> 0 THEN l_shipdate + make_dt_interval(l_linenumber * 5 - 10) END"))
+
+
+CROSS_COLUMN_RULES = [
+    ("l_receiptdate", "timestamp_ntz", "must be after l_shipdate"),
+    ("l_receiptdate", "timestamp_ntz", "within 10 days after l_shipdate"),
+    ("l_receiptdate", "timestamp_ntz", "at least 3 days after the l shipdate and not null"),
+    ("l_receiptdate", "date", "not before l_shipdate"),
+    ("l_extendedprice", "double", "greater than l_quantity * 1500"),
+    ("l_discount", "double", "at most l_tax"),
+    ("l_tax", "double", "between l_discount and 0.06"),
+    ("l_discount", "double", "no more than 50% of l_tax"),
+    ("l_suppkey", "bigint", "different from l_partkey"),
+    ("l_linenumber", "int", "l_quantity must be at least l_linenumber and l_discount must not be negative"),
+]
+
+
+def q_rule_cross_column(spark, sf):
+    return _numbered(received_lines(spark, sf), CROSS_COLUMN_RULES, ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+CONDITIONAL_RULES = [
+    ("o_totalprice", "double", "if o_orderstatus is 'F' then must be greater than 100000"),
+    ("o_orderpriority", "string", "if o_totalprice is greater than 200000 and o_orderstatus is not 'P' then one of ['1-URGENT', '2-HIGH']"),
+    ("note", "string", "required if o_orderstatus is P or o_orderpriority starts with '1'"),
+    ("note", "string", "must be null unless o_orderstatus is 'P'"),
+    ("o_totalprice", "double", "if note is missing then must be at least 50000, otherwise must be at most 300000"),
+    ("o_orderkey", "bigint", "when note is 'y', o_totalprice must be less than 250000"),
+    ("o_totalprice", "double", "if note is not 'x' then must be positive else must be greater than 1e5"),
+]
+
+
+def q_rule_conditional(spark, sf):
+    """Implications; a condition about a NULL makes the rule not applicable."""
+    o = table(spark, sf, "orders").withColumn("note", F.expr(
+        "CASE WHEN o_orderstatus = 'P' AND o_orderkey % 5 <> 0 THEN 'x' WHEN o_orderkey % 7 = 0 THEN 'y' END"))
+    return _numbered(o, CONDITIONAL_RULES, ["o_orderkey", "note"])
+
+
+def q_rule_exists(spark, sf):
+    """Orders whose customer is not in ``customer`` (planted), NULL keys, and suppliers' nations by catalog name."""
+    customers, nations = table(spark, sf, "customer"), table(spark, sf, "nation")
+    o = table(spark, sf, "orders").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderkey % 89 = 0 THEN NULL WHEN o_orderkey % 97 = 0 THEN -o_orderkey "
+        "WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS o_custkey", "o_orderstatus")
+    return _numbered(o, [("o_custkey", "bigint", "must exist in customer.c_custkey"),
+                         ("o_custkey", "bigint", "not null and references customer(c_custkey)"),
+                         ("o_custkey", "bigint", "if o_orderstatus is 'F' then must exist in customer.c_custkey"),
+                         ("o_orderkey", "bigint", "must not exist in nation.n_nationkey")],
+                     ["o_orderkey", "o_custkey"], references={"customer": customers, "nation": nations})
+
+
+def q_rule_exists_shuffled(spark, sf):
+    """The same beyond the broadcast bounds: bitmap, hot keys, shuffled join."""
+    li = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CASE WHEN l_linenumber = 3 THEN -7 "
+                                                 "WHEN l_orderkey % 4 = 0 THEN l_partkey + 1000000000 ELSE l_partkey END AS part")
+    checks = compile_rules([("part", "bigint", "must exist in part.p_partkey")], li, type_checks=False,
+                           references={"part": table(spark, sf, "part")})
+    return apply_checks(li, checks, broadcast_max_keys=0, rows_per_hot=100).select(
+        "l_orderkey", "l_linenumber", "part", checks[0].column.alias("known"))
+
+
+def q_rule_wordings(spark, sf):
+    """Lists of bare words, classes of characters, a value by itself."""
+    p = table(spark, sf, "part")
+    return _numbered(p, [("p_type", "string", "should be ECONOMY, STANDARD or PROMO"), ("p_type", "string", "either ECONOMY or LARGE"),
+                         ("p_name", "string", "must not contain special characters"), ("p_name", "string", "must not contain spaces"),
+                         ("p_brand", "string", "contains only letters and digits"), ("p_brand", "string", "ends with a digit"),
+                         ("p_type", "string", "must not be 'PROMO'"), ("p_name", "string", "either starts with 'red' or contains 'g'")], ["p_partkey"])
+
+
+def q_checks_on_aggregated_source(spark, sf):
+    """Rules over a GROUP BY; what the source is made of refuses no rule."""
+    per_order = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"), F.max("l_shipdate").alias("last_ship"))
+    return _numbered(per_order, [("quantity", "double", "between 10 and 150"), ("lines", "bigint", "at most 6"),
+                                 ("quantity", "double", "sql: quantity >= lines * 20"), ("l_orderkey", "bigint", "Must be unique"),
+                                 ("last_ship", "timestamp_ntz", "after '1995-06-01'")], ["l_orderkey", "lines"])
+
+
+def q_checks_on_exploded_source(spark, sf):
+    """Rules over exploded rows of a view."""
+    table(spark, sf, "orders").createOrReplaceTempView("rowgate_orders")
+    parts = spark.sql("SELECT o_orderkey, pos, part FROM rowgate_orders LATERAL VIEW posexplode(split(o_orderpriority, '-')) t AS pos, part")
+    return _numbered(parts, [("part", "string", "if pos is 0 then must match pattern '^[1-3]$'"), ("part", "string", "length at most 6"),
+                             ("o_orderkey", "bigint", "Must be unique")], ["o_orderkey", "pos"])
+
+
+def q_checks_on_windowed_source(spark, sf):
+    """Rules over a source with a window without partitions in it."""
+    table(spark, sf, "supplier").createOrReplaceTempView("rowgate_supplier")
+    ranked = spark.sql("SELECT s_suppkey, s_acctbal, rank() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place FROM rowgate_supplier")
+    return _numbered(ranked, [("place", "int", "at most 50"), ("place", "int", "unique and not null"),
+                              ("s_acctbal", "double", "sql: s_acctbal > 0 OR place > 10")], ["s_suppkey", "place"])
+
+
+def q_run_validation_aggregated(spark, sf):
+    """F9 over a GROUP BY: both outputs, read back."""
+    base = scratch_path(spark, "run-aggregated")
+    per_order = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+    run_validation(per_order, [("lines", "bigint", "at most 4"), ("l_orderkey", "bigint", "not null")], f"{base}/valid", f"{base}/invalid")
+    return (spark.read.parquet(f"{base}/valid").select(F.lit("valid").alias("split"), "l_orderkey", "lines")
+            .unionByName(spark.read.parquet(f"{base}/invalid").select(F.lit("invalid").alias("split"), "l_orderkey", "lines")))
+
+
+def q_run_validation_sql_time(spark, sf):
+    """F9 with the current time in free SQL, over timestamps that the clock
+    passes while the run takes place: every row is in exactly one output."""
+    base = scratch_path(spark, "run-sql-time")
+    start = spark.sql("SELECT unix_millis(current_timestamp())").first()[0]
+    li = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                 f"timestamp_millis({start} + pmod(l_partkey * 37 + l_suppkey, 9000)) AS ts")
+    res = run_validation(li, [("ts", "timestamp", "sql: ts <= current_timestamp()"), ("ts", "timestamp", "sql: ts <= now() OR ts > current_date")],
+                         f"{base}/valid", f"{base}/invalid")
+    v, i = spark.read.parquet(f"{base}/valid"), spark.read.parquet(f"{base}/invalid")
+    rows = v.unionByName(i.select(*v.columns)).groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("copies"))
+    return rows.withColumn("total", F.lit(res.total).cast("long"))
+
+
 # --- results (F1-F9) --------------------------------------------------------
 
 def _dirty_checked(spark, sf):
@@ -594,6 +727,16 @@ QUERIES: dict[str, Query] = {
     "recheck_tables": q_recheck_tables,
     "review_notebooks": q_review_notebooks,
     "sample_rows_types": q_sample_rows_types,
+    "rule_cross_column": q_rule_cross_column,
+    "rule_conditional": q_rule_conditional,
+    "rule_exists": q_rule_exists,
+    "rule_exists_shuffled": q_rule_exists_shuffled,
+    "rule_wordings": q_rule_wordings,
+    "checks_on_aggregated_source": q_checks_on_aggregated_source,
+    "checks_on_exploded_source": q_checks_on_exploded_source,
+    "checks_on_windowed_source": q_checks_on_windowed_source,
+    "run_validation_aggregated": q_run_validation_aggregated,
+    "run_validation_sql_time": q_run_validation_sql_time,
     "stream_split_counts": q_stream_split_counts,
     "stream_failure_summary": q_stream_failure_summary,
 }

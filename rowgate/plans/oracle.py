@@ -326,9 +326,64 @@ def secrets_sql() -> str:
     return f"SELECT path, line_no, line FROM ({lines}) l WHERE regexp_matches(line, {s(SECRET_RE)})"
 
 
+# --------------------------------------------------------------------------- #
+# rules over other columns, conditions, other tables, any source
+
+def _r(keep: str, checks: list[str], source: str) -> str:
+    return f"SELECT {keep}, " + ", ".join(f"({c}) AS r{i}" for i, c in enumerate(checks)) + f" FROM {source}"
+
+
+RECEIVED = """(SELECT *, CASE WHEN l_partkey % 11 <> 0 THEN l_shipdate + to_days(CAST(l_linenumber * 5 - 10 AS INTEGER)) END AS l_receiptdate
+               FROM lineitem) l"""
+CROSS_COLUMN = _r("l_orderkey, l_linenumber, l_partkey", [
+    "l_receiptdate IS NULL OR l_receiptdate > l_shipdate",
+    "l_receiptdate IS NULL OR (l_receiptdate >= l_shipdate AND l_receiptdate <= l_shipdate + INTERVAL 10 DAY)",
+    "l_receiptdate IS NOT NULL AND l_receiptdate >= l_shipdate + INTERVAL 3 DAY",
+    "l_receiptdate IS NULL OR CAST(l_receiptdate AS DATE) >= CAST(l_shipdate AS DATE)",
+    "l_extendedprice > l_quantity * 1500", "l_discount <= l_tax", "l_tax >= l_discount AND l_tax <= 0.06",
+    "l_discount <= 50 * l_tax / 100", "l_suppkey <> l_partkey", "l_quantity >= l_linenumber AND l_discount >= 0"], RECEIVED)
+NOTED = """(SELECT *, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 5 <> 0 THEN 'x' WHEN o_orderkey % 7 = 0 THEN 'y' END AS note FROM orders) o"""
+CONDITIONAL = _r("o_orderkey, note", [
+    "o_orderstatus IS DISTINCT FROM 'F' OR o_totalprice > 100000",
+    "NOT (o_totalprice > 200000 AND o_orderstatus <> 'P') OR o_orderpriority IN ('1-URGENT', '2-HIGH')",
+    "NOT (o_orderstatus = 'P' OR o_orderpriority LIKE '1%') OR note IS NOT NULL",
+    "o_orderstatus = 'P' OR note IS NULL",
+    "CASE WHEN note IS NULL THEN o_totalprice >= 50000 ELSE o_totalprice <= 300000 END",
+    "note IS DISTINCT FROM 'y' OR o_totalprice < 250000",
+    "CASE WHEN note <> 'x' THEN o_totalprice > 0 WHEN note = 'x' THEN o_totalprice > 100000 ELSE true END"], NOTED)
+LINKED = """(SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 89 = 0 THEN NULL WHEN o_orderkey % 97 = 0 THEN -o_orderkey
+                  WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS o_custkey FROM orders) o"""
+_KNOWN = "o_custkey IN (SELECT c_custkey FROM customer)"
+EXISTS = _r("o_orderkey, o_custkey", [
+    f"o_custkey IS NULL OR {_KNOWN}", f"o_custkey IS NOT NULL AND {_KNOWN}", f"o_orderstatus <> 'F' OR o_custkey IS NULL OR {_KNOWN}",
+    "o_orderkey NOT IN (SELECT n_nationkey FROM nation)"], LINKED)
+WORDINGS = _r("p_partkey", [
+    "p_type IN ('ECONOMY', 'STANDARD', 'PROMO')", "p_type IN ('ECONOMY', 'LARGE')", "NOT regexp_matches(p_name, '[^A-Za-z0-9 ]')",
+    "NOT contains(p_name, ' ')", "regexp_full_match(p_brand, '[A-Za-z0-9]*')", "regexp_matches(p_brand, '[0-9]$')", "p_type <> 'PROMO'",
+    "p_name LIKE 'red%' OR p_name LIKE '%g%'"], "part")
+PER_ORDER = "(SELECT l_orderkey, sum(l_quantity) AS quantity, count(*) AS lines, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_orderkey) l"
+
+
 # --------------------------------------------------------------------------- #
 
 ORACLE: dict[str, str] = {
+    "rule_cross_column": CROSS_COLUMN,
+    "rule_conditional": CONDITIONAL,
+    "rule_exists": EXISTS,
+    "rule_exists_shuffled": "SELECT *, part IN (SELECT p_partkey FROM part) AS known FROM (SELECT l_orderkey, l_linenumber, CASE "
+                            "WHEN l_linenumber = 3 THEN -7 WHEN l_orderkey % 4 = 0 THEN l_partkey + 1000000000 ELSE l_partkey END AS part FROM lineitem) l",
+    "rule_wordings": WORDINGS,
+    "checks_on_aggregated_source": _r("l_orderkey, lines", ["quantity BETWEEN 10 AND 150", "lines <= 6", "quantity >= lines * 20", "true",
+                                                            "last_ship > TIMESTAMP '1995-06-01'"], PER_ORDER),
+    "checks_on_exploded_source": _r("o_orderkey, pos", ["pos <> 0 OR regexp_matches(part, '^[1-3]$')", "length(part) <= 6", "false"],
+                                    "(SELECT o_orderkey, unnest(range(0, len(ps))) AS pos, unnest(ps) AS part "
+                                    "FROM (SELECT o_orderkey, string_split(o_orderpriority, '-') AS ps FROM orders)) o"),
+    "checks_on_windowed_source": _r("s_suppkey, place", ["place <= 50", "true", "s_acctbal > 0 OR place > 10"],
+                                    "(SELECT s_suppkey, s_acctbal, CAST(rank() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS INTEGER) AS place FROM supplier) s"),
+    "run_validation_aggregated": "SELECT CASE WHEN count(*) <= 4 THEN 'valid' ELSE 'invalid' END AS split, l_orderkey, count(*) AS lines "
+                                 "FROM lineitem GROUP BY l_orderkey",
+    "run_validation_sql_time": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS copies, "
+                               "(SELECT count(*) FROM lineitem) AS total FROM lineitem GROUP BY ALL",
     "failure_summary": FAILURE_SUMMARY,
     "run_validation": FAILURE_SUMMARY,
     "validation_summary": FAILURE_SUMMARY,

@@ -1,10 +1,15 @@
 """End-to-end runs: ``run_validation`` (F9) and ``checked_frame``.
 
-Every row's split is decided once. Time rules compare with one moment bound
-when the rules are compiled. A source that two jobs provably read alike (files
-through projections and filters) is read once per output write; any other
-source is checked once into a staging table partitioned by ``split``, from
-which both outputs are written. So no row can be in neither output or in both.
+Every row's split is decided once. Time rules and calls for the current time
+compare with one moment bound when the rules are compiled. A source that two
+jobs provably read alike (files through projections and filters), under checks
+that two jobs judge alike, is read once per output write; any other is checked
+once into a staging table partitioned by ``split``, from which both outputs
+are written. So no row can be in neither output or in both.
+
+When rules are given and every single one is refused, nothing is written and
+``RulesRefused`` names the reasons: "no usable check, all rows valid" is for
+tables that have no rules.
 The failure summary needs no pass of its own: per-check failure counts are
 observed (``Observation``) during the write.
 ``run_validation_single_pass`` always reads the source once, writing one table
@@ -21,6 +26,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from ..functions.sql import quote_ident
 from ..operators.checks import Check, Translator, active, apply_checks, compile_rules
 from ..operators.prepare import prepare
+from ..operators.references import missing_row_count
 from ..operators.report import SUMMARY_SCHEMA, failure_counts, is_invalid, summary_from_totals
 from ..operators.split import invalid_split, valid_split
 from ..operators.unique import duplicated_row_count
@@ -42,34 +48,53 @@ class ValidationResult:
         return self.valid_count + self.invalid_count
 
 
+class RulesRefused(ValueError):
+    """Every rule of a run was refused; ``checks`` has the reasons."""
+
+    def __init__(self, checks: list[Check]):
+        self.checks = checks
+        reasons = "; ".join(f"{c.column_name}, {c.rule!r}: {c.error}" for c in checks if c.error)
+        super().__init__(f"none of the given rules can be checked: {reasons}")
+
+
+def _compiled(rules, prepared: DataFrame, translator, references) -> list[Check]:
+    checks = compile_rules(rules, prepared, translator=translator, references=references)
+    given = [c for c in checks if c.kind != "type"]
+    if given and not active(given):
+        raise RulesRefused(checks)
+    return checks
+
+
 def checked_frame(df: DataFrame, rules, translator: Translator | None = None, strip: bool = True,
-                  trim: bool = True, **unique_options) -> tuple[DataFrame, list[Check]]:
+                  trim: bool = True, references: dict[str, DataFrame] | None = None, **unique_options) -> tuple[DataFrame, list[Check]]:
     """C1 -> C2 -> E1 -> E2..E9: the prepared frame plus its check columns."""
     prepared = prepare(df, strip=strip, trim=trim)
-    checks = compile_rules(rules, prepared, translator=translator)
+    checks = compile_rules(rules, prepared, translator=translator, references=references)
     return apply_checks(prepared, checks, **unique_options), checks
 
 
 def validation_summary(df: DataFrame, rules, translator: Translator | None = None, strip: bool = True,
-                       trim: bool = True) -> DataFrame:
+                       trim: bool = True, references: dict[str, DataFrame] | None = None) -> DataFrame:
     """F4 without writing anything and without joining rows back for
     uniqueness: row-level checks are counted in one aggregation pass, and a
     uniqueness check's failures are the rows of its duplicated keys, counted
-    by one partially aggregated pass over the key column. No shuffle of rows,
-    however many duplicates there are. Runs its jobs now; the result is a
+    by one partially aggregated pass over the key column; so are those of an
+    existence check. No shuffle of rows, however many duplicates there are. Runs its jobs now; the result is a
     small local table (one row per failing check)."""
     require_batch(df, "validation_summary")
     prepared = prepare(df, strip=strip, trim=trim)
-    checks = compile_rules(rules, prepared, translator=translator)
+    checks = compile_rules(rules, prepared, translator=translator, references=references)
     usable = active(checks)
-    rows = [c for c in usable if c.kind != "unique"]
-    counts = failure_counts(apply_checks(prepared, rows), rows).first()
-    dup_rows: dict[str, int] = {}
+    rows = [c for c in usable if c.kind not in ("unique", "exists")]
+    by_key: dict = {}
     with scratch_scope(df.sparkSession):
+        counts = failure_counts(apply_checks(prepared, rows), rows).first()
         for c in usable:
-            if c.kind == "unique" and c.column_name not in dup_rows:
-                dup_rows[c.column_name] = duplicated_row_count(prepared, c.column_name)
-    failed = [dup_rows[c.column_name] if c.kind == "unique" else int(counts[c.name]) for c in usable]
+            key = c.column_name if c.kind == "unique" else c.references[0] if c.kind == "exists" else None
+            if key is not None and key not in by_key:
+                by_key[key] = duplicated_row_count(prepared, key) if c.kind == "unique" else missing_row_count(prepared, key)
+    failed = [by_key[c.column_name] if c.kind == "unique" else by_key[c.references[0]] if c.kind == "exists" else int(counts[c.name])
+              for c in usable]
     return summary_from_totals(df.sparkSession, usable, int(counts["total_records"]), failed)
 
 
@@ -113,14 +138,14 @@ def reads_alike(df: DataFrame) -> bool:
 
 def _run_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
                      translator: Translator | None = None, strip: bool = True, trim: bool = True,
-                     split_column: str = "split", **unique_options) -> ValidationResult:
+                     split_column: str = "split", references: dict[str, DataFrame] | None = None, **unique_options) -> ValidationResult:
     """F9 in one scan and one write job: every row is written once under
     ``output_path/split=valid`` or ``output_path/split=invalid`` (original
     columns plus all check columns; on valid rows the checks are true or
     NULL and compress to almost nothing). Counts and per-check failures are
     observed during that write."""
     prepared = prepare(df, strip=strip, trim=trim)
-    checks = compile_rules(rules, prepared, translator=translator)
+    checks = _compiled(rules, prepared, translator, references)
     usable = active(checks)
     spark = df.sparkSession
     if split_column in prepared.columns:
@@ -143,7 +168,7 @@ def _run_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet
 
 def _run_two_outputs(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt: str = "parquet",
                      translator: Translator | None = None, strip: bool = True, trim: bool = True,
-                     rebalance_invalid: bool = True, **unique_options) -> ValidationResult:
+                     rebalance_invalid: bool = True, references: dict[str, DataFrame] | None = None, **unique_options) -> ValidationResult:
     """prepare, check, summarise, split and write; each row goes to exactly
     one output (see the module's first lines).
 
@@ -157,7 +182,7 @@ def _run_two_outputs(df: DataFrame, rules, valid_path: str, invalid_path: str, f
     so the invalid output is a few well-sized files, not one per split.
     """
     prepared = prepare(df, strip=strip, trim=trim)
-    checks = compile_rules(rules, prepared, translator=translator)
+    checks = _compiled(rules, prepared, translator, references)
     usable = active(checks)
     orig = [F.col(quote_ident(c)) for c in prepared.columns]
     spark = df.sparkSession
@@ -169,7 +194,7 @@ def _run_two_outputs(df: DataFrame, rules, valid_path: str, invalid_path: str, f
         summary = spark.createDataFrame([], SUMMARY_SCHEMA)
         return ValidationResult(checks, summary, int(obs.get["rows"]), 0, valid_path, invalid_path)
 
-    if not reads_alike(prepared):
+    if not reads_alike(prepared) or any(c.clock for c in usable):
         return _run_staged(prepared, checks, valid_path, invalid_path, fmt, rebalance_invalid, **unique_options)
     checked = apply_checks(prepared, usable, **unique_options)
     obs_valid = Observation("rowgate_valid")
@@ -196,7 +221,7 @@ def _run_staged(prepared: DataFrame, checks: list[Check], valid_path: str, inval
     """F9 over a source that may give other rows when read again: rows are
     checked and split in one job, into a staging table in the shared folder."""
     usable, spark = active(checks), prepared.sparkSession
-    base, _ = materialize(prepared, "source") if any(c.unique_part for c in usable) else (prepared, {})
+    base, _ = materialize(prepared, "source") if any(c.whole_table for c in usable) else (prepared, {})
     checked = apply_checks(base, usable, **unique_options)
     names = [f"c{i}" for i in range(len(checked.columns))]
     obs, path = Observation("rowgate_staged"), scratch_path(spark, "staged")
@@ -222,20 +247,21 @@ def _run_staged(prepared: DataFrame, checks: list[Check], valid_path: str, inval
 
 def run_validation_single_pass(df: DataFrame, rules, output_path: str, fmt: str = "parquet",
                                translator: Translator | None = None, strip: bool = True, trim: bool = True,
-                               split_column: str = "split", **unique_options) -> ValidationResult:
+                               split_column: str = "split", references: dict[str, DataFrame] | None = None,
+                               **unique_options) -> ValidationResult:
     require_batch(df, "run_validation_single_pass")
     with scratch_scope(df.sparkSession):
-        return _run_single_pass(df, rules, output_path, fmt, translator, strip, trim, split_column,
+        return _run_single_pass(df, rules, output_path, fmt, translator, strip, trim, split_column, references,
                                 **unique_options)
 
 
 def run_validation(df: DataFrame, rules, valid_path: str, invalid_path: str, fmt: str = "parquet",
                    translator: Translator | None = None, strip: bool = True, trim: bool = True,
-                   rebalance_invalid: bool = True, **unique_options) -> ValidationResult:
+                   rebalance_invalid: bool = True, references: dict[str, DataFrame] | None = None, **unique_options) -> ValidationResult:
     require_batch(df, "run_validation")
     with scratch_scope(df.sparkSession):
         return _run_two_outputs(df, rules, valid_path, invalid_path, fmt, translator, strip, trim,
-                                rebalance_invalid, **unique_options)
+                                rebalance_invalid, references, **unique_options)
 
 
 run_validation_single_pass.__doc__ = _run_single_pass.__doc__

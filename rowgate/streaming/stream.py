@@ -21,11 +21,13 @@ FILES_PER_TRIGGER = 1000  # bounds the first micro-batch over a backlog
 
 def stream_checks(stream: DataFrame, rules, translator=None, strip: bool = True,
                   trim: bool = True) -> tuple[DataFrame, list[Check]]:
-    """Checked streaming frame. Raises on rules that need the whole table."""
+    """Checked streaming frame. Raises on rules that need the whole table.
+    Time rules compare with the time of each micro-batch, not with the moment
+    at which the stream was started."""
     prepared = prepare(stream, strip=strip, trim=trim)
-    checks = compile_rules(rules, prepared, translator=translator)
-    if any(c.unique_part for c in active(checks)):
-        raise ValueError("uniqueness rules need the whole table; run them in batch")
+    checks = compile_rules(rules, prepared, translator=translator, fixed_time=False)
+    if any(c.whole_table for c in active(checks)):
+        raise ValueError("uniqueness and existence rules need the whole table; run them in batch")
     return apply_checks(prepared, checks), checks
 
 

@@ -4,6 +4,7 @@ from rowgate.functions.fixed import EMAIL_REGEX
 from rowgate.functions.grammar import (
     UNIQUE_REF,
     RuleSyntaxError,
+    exists_parts,
     format_value_list,
     has_unique,
     parse_list,
@@ -220,3 +221,100 @@ def test_list_values_are_verbatim():
     odd = ["a\\b", "ends\\", "O'B", "''", "\\'", "x, y", "two  spaces", "[z]", 'say "x"', ""]
     assert [v for _, v in parse_list(format_value_list(odd))] == odd
     assert sql("one of [01, 02]") == "(`c` IS NULL) OR (`c` IN ('01', '02'))"
+
+
+# --- other columns, conditions, other tables ------------------------------------
+
+COLS = {"status": "string", "price": "double", "min_price": "double", "max_price": "double", "quantity": "int", "total": "double",
+        "start_date": "date", "end_date": "date", "shipped": "timestamp", "value": "double", "age": "string", "odd name": "int"}
+
+
+def rel(text, col="price", dtype="double"):
+    return to_sql(parse_rule(text, COLS), f"`{col}`", dtype, COLS[col], "NOW", COLS)
+
+
+@pytest.mark.parametrize("text,col,want", [
+    ("must be before end_date", "start_date", "`start_date` < `end_date`"),
+    ("not before the start date", "end_date", "`end_date` >= `start_date`"),
+    ("no later than end_date", "start_date", "`start_date` <= `end_date`"),
+    ("greater than min_price", "price", "`price` > `min_price`"),
+    ("must be at least the value of the min_price column", "price", "`price` >= `min_price`"),
+    ("between min_price and max_price", "price", "`price` BETWEEN `min_price` AND `max_price`"),
+    ("between 1 and max_price", "price", "`price` BETWEEN 1 AND `max_price`"),
+    ("equal to quantity * price", "total", "`total` = try_multiply(`quantity`, `price`)"),
+    ("at most twice the min price", "price", "`price` <= try_multiply(2, `min_price`)"),
+    ("less than (price + min_price) / 2", "total", "`total` < try_divide(try_add(`price`, `min_price`), 2)"),
+    ("at most 10% of total", "price", "`price` <= try_divide(try_multiply(10, `total`), 100)"),
+    ("the same as `odd name`", "quantity", "`quantity` = `odd name`"),
+    ("at least 3 days after start_date", "end_date", "`end_date` >= try_add(`start_date`, INTERVAL '3' DAY)"),
+    ("more than 2 weeks before end_date", "start_date", "`start_date` < try_subtract(`end_date`, INTERVAL '2' WEEK)"),
+    ("within a month after start_date", "end_date", "`end_date` BETWEEN `start_date` AND try_add(`start_date`, INTERVAL '1' MONTH)"),
+    ("within 2 days of start_date", "end_date",
+     "`end_date` BETWEEN try_subtract(`start_date`, INTERVAL '2' DAY) AND try_add(`start_date`, INTERVAL '2' DAY)"),
+    ("after start_date", "shipped", "`shipped` > TRY_CAST(`start_date` AS TIMESTAMP)"),
+    ("greater than quantity", "age", "TRY_CAST(`age` AS INT) > `quantity`"),
+])
+def test_other_columns(text, col, want):
+    dtype = "int" if col == "age" else COLS[col]
+    assert rel(text, col, dtype) == f"(`{col}` IS NULL) OR ({want})"
+
+
+def test_subjects():
+    own, other = "(`price` IS NULL) OR (`price` > 0)", "(`status` IS NULL) OR (`status` IN ('A', 'B'))"
+    assert rel("price must be positive") == rel("value must be positive") == rel("it must be positive") == own
+    assert rel("status must be 'A' or 'B'") == other
+    assert rel("status must be one of ['A', 'B'] and price must be positive") == f"({other}) AND ({own})"
+    for text in ("status must look nice", "status must be 'A' and must glow", "`status` must be shiny"):
+        with pytest.raises(RuleSyntaxError):
+            rel(text)  # a column is never dropped as filler
+
+
+def when(column, rule):
+    return f"CASE WHEN `{column}` IS NOT NULL THEN ({rule}) END"
+
+
+def test_conditions():
+    is_a = when("status", "(`status` IS NULL) OR (`status` IN ('A'))")
+    positive = "(`price` IS NULL) OR (`price` > 0)"
+    for text in ("if status is 'A' then must be positive", "if status is A, must be positive", "must be positive if status = 'A'",
+                 "when status equals 'A' then price must be positive", "must be positive whenever status is 'A'"):
+        assert rel(text) == f"CASE WHEN {is_a} THEN ({positive}) ELSE true END", text
+    assert rel("must be positive unless status is 'A'") == f"CASE WHEN {is_a} THEN true ELSE ({positive}) END"
+    assert rel("if status is 'A' then must be positive otherwise must be null") == \
+        f"CASE WHEN {is_a} THEN ({positive}) WHEN NOT ({is_a}) THEN (`price` IS NULL) ELSE true END"
+    assert rel("required if status is missing or quantity is greater than 5") == \
+        f"CASE WHEN (`status` IS NULL) OR ({when('quantity', '(`quantity` IS NULL) OR (`quantity` > 5)')}) THEN (`price` IS NOT NULL) ELSE true END"
+    assert rel("if the value is not null then min_price must not be null").startswith("CASE WHEN `price` IS NOT NULL THEN (`min_price`")
+    for text in ("must be positive only if status is 'A'", "if status is 'A'", "unique if status is 'A'", "if it glows then not null",
+                 "if nonsense is 'A' then not null", "if status is 'A' then must look nice"):
+        with pytest.raises(RuleSyntaxError):
+            rel(text)
+
+
+def test_existence_texts():
+    for text in ("must exist in shop.customers.id", "references shop.customers(id)", "must be present in the id column of shop.customers",
+                 "should be a valid foreign key to shop.customers(id)"):
+        assert exists_parts(parse_rule(text, COLS), "price") == [("price", "shop.customers", "id")], text
+    both = parse_rule("if status is 'A' then quantity must exist in `odd t`.`k y`", COLS)
+    assert exists_parts(both, "price") == [("quantity", "`odd t`", "k y")]
+
+
+def test_unquoted_texts_fail_loudly_and_classes_are_understood():
+    for text in ("contains foo", "must not contain bad words", "starts with abc", "ends with .com"):
+        with pytest.raises(RuleSyntaxError, match="quote"):
+            parse_rule(text)
+    assert sql("must not contain special characters") == "(`c` IS NULL) OR (NOT ((`c` IS NULL) OR (`c` RLIKE '[^A-Za-z0-9\\\\s]')))"
+    assert sql("contains at least one digit") == "(`c` IS NULL) OR (`c` RLIKE '[0-9]')"
+    assert sql("contains only letters, digits and underscores") == "(`c` IS NULL) OR (`c` RLIKE '^[A-Za-z0-9_]*$')"
+    assert sql("starts with a letter") == "(`c` IS NULL) OR (`c` RLIKE '^(?:[A-Za-z])')"
+
+
+def test_lists_of_bare_words():
+    for text in ("should be A, B or C", "must be either A, B, or C", "either A, B or C"):
+        assert sql(text) == "(`c` IS NULL) OR (`c` IN ('A', 'B', 'C'))", text
+    assert sql("either A or B") == "(`c` IS NULL) OR (`c` IN ('A', 'B'))"
+    assert sql("must be 'x'") == "(`c` IS NULL) OR (`c` IN ('x'))"
+    assert sql("either positive or null", "x", "int") == "((`x` IS NULL) OR (`x` > 0)) OR (`x` IS NULL)"
+    for text in ("must look nice, or good", "should be positive, shiny or null", "A, B or C"):
+        with pytest.raises(RuleSyntaxError):
+            parse_rule(text)

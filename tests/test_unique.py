@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rowgate.operators.unique import unique_flag
+from rowgate.operators.unique import unique_flag, unique_flags
 
 
 def brute(rows):
@@ -92,8 +92,32 @@ def test_several_columns_read_the_bare_source_and_nan_is_missing(spark):
         assert sorted(map(repr, ((r.ui, r.ux, r.us) for r in out.collect()))) == sorted(map(repr, want))
 
 
-def test_documented_broadcast_bound_lowers_the_hash_pass_too(spark):
-    from rowgate.operators.unique import _hashed_candidates
-
-    df = spark.createDataFrame([(f"k{i % 5}",) for i in range(20)], "k string")
-    assert _hashed_candidates(df, "k", 4) is None and _hashed_candidates(df, "k", 5) is not None
+def test_beyond_the_broadcast_bound_only_possible_matches_are_shuffled(spark):
+    """Rows whose hash is in no listed bucket never reach the exchange of the join."""
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    df = spark.range(n).select(F.when(F.col("id") < 200, F.col("id") % 100).otherwise(F.col("id")).alias("k"), F.lit("x").alias("v"))
+    for col in ("k", "s"):
+        src = df.withColumn("s", F.concat(F.lit("key "), F.col("k").cast("string")))
+        out = unique_flags(src, {col: "u"}, broadcast_max_keys=0, rows_per_hot=10)
+        assert out.where("NOT u").count() == 200 and out.count() == n
+        assert out.where("NOT u").agg(F.max("k")).first()[0] == 99
+        from rowgate.operators.unique import duplicate_table, hash_bitmap, in_bitmap
+        listed, stats = duplicate_table(src, col, None, 0)
+        bitmap, size = hash_bitmap(listed.select(F.xxhash64("__rg_k")), stats["keys"])
+        hits = in_bitmap(src, f"xxhash64({col})", bitmap, size, "hit").where("hit").count()
+        assert 200 <= hits < 400  # of 20,000: what the join moves
+
+
+def test_bitmap_has_exactly_the_bits_of_its_hashes(spark):
+    from rowgate.operators.unique import hash_bitmap, in_bitmap
+
+    values = [0, 1, 7, 8, 31, 32, 63, 64, 32767, 32768, 40000, 65535, -1, -2, 2 ** 62]
+    hashes = spark.createDataFrame([(v,) for v in values], "h long")
+    bitmap, size = hash_bitmap(hashes, 3000)
+    assert size == 65536
+    probe = spark.createDataFrame([(v,) for v in [*values, 2, 9, 30, 33, 32766, 32769, -3, None]], "h long")
+    got = {r.h: r.hit for r in in_bitmap(probe, "h", bitmap, size, "hit").collect()}
+    marked = {v % 65536 for v in values}
+    assert got == {r: (r is not None and r % 65536 in marked) for r in got}
