@@ -8,6 +8,13 @@ shuffle and no sort, so it scales with the number of files and never moves
 lines between tasks. The report has one row per file and standard with a
 PASS/FAIL verdict, the number of offending lines, and all of them as
 evidence (``array<struct<line_no, line>>``).
+
+Whether a read or write is guarded follows from the blocks of the file: a
+fold over its lines keeps the stack of ``try:`` lines whose block is open
+(those with less indentation than every line since), so ``except`` and
+``finally`` blocks, other functions and code after the block do not count as
+guarded. Blank lines and comments neither open nor close a block and hold no
+read or write; a tab counts as 8 columns.
 """
 
 from __future__ import annotations
@@ -40,7 +47,7 @@ ACTION_RE = r"\.collect\(\)|(^|[^A-Za-z0-9_.])display\(|\.toPandas\(\)"
 LIMITED_RE = r"\.limit\(|\.take\(|\.head\("
 IO_RE = r"spark\.read|\.write\.|\.save\(|\.saveAsTable\(|spark\.table\(|\.load\(|\.insertInto\("
 TRY_RE = r"^\s*try\s*:"
-TOP_LEVEL_RE = r"^[^\s#]"
+NO_CODE_RE = r"^\s*(#|$)"
 
 
 def source_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -56,7 +63,8 @@ SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_k
 ACTION_WORDS = (".collect()", "display(", ".toPandas()")
 IO_WORDS = ("spark.read", ".write.", ".save(", ".saveAsTable(", "spark.table(", ".load(", ".insertInto(")
 
-FLAGS = ("secret", "literal_path", "markdown", "comment", "full_action", "io", "unguarded_io", "try")
+FLAGS = ("secret", "literal_path", "markdown", "comment", "full_action")
+BLOCK_FLAG = "unguarded_io"  # needs the lines before
 
 
 def _any(col: str, words) -> str:
@@ -70,7 +78,6 @@ def _rx(pattern: str, var: str = "line") -> str:
 def flag_sql(var: str = "line") -> dict[str, str]:
     """Per-line flags as SQL text over the line ``var`` (a column or a lambda
     variable), one boolean expression per flag."""
-    io = _any(var, IO_WORDS)
     return {
         "secret": f"(contains({var}, '=') OR contains({var}, ':')) AND {_any(f'lower({var})', SECRET_WORDS)} "
                   f"AND {_rx(SECRET_RE, var)}",
@@ -79,12 +86,23 @@ def flag_sql(var: str = "line") -> dict[str, str]:
         "markdown": f"contains({var}, '# MAGIC %md') AND {_rx(MARKDOWN_RE, var)}",
         "comment": f"contains({var}, '#') AND {_rx(COMMENT_RE, var)} AND NOT {_rx(NOT_COMMENT_RE, var)}",
         "full_action": f"{_any(var, ACTION_WORDS)} AND {_rx(ACTION_RE, var)} AND NOT {_rx(LIMITED_RE, var)}",
-        "io": io,
-        "unguarded_io": f"{io} AND {_rx(TOP_LEVEL_RE, var)}",
-        "try": f"contains({var}, 'try') AND {_rx(TRY_RE, var)}",
     }
 
 
+def unguarded_io_sql(lines: str = "lines") -> str:
+    """Positions (from 0) of the lines that read or write outside the block of
+    any ``try:``, as SQL over the array column ``lines``: one pass, whose state
+    is the stack of the indentations of open ``try:`` lines and the hits."""
+    lead = "left(l, length(l) - length(ltrim(' \t', l)))"
+    code = (f"filter(transform({lines}, (l, i) -> named_struct('i', i, 'code', NOT {_rx(NO_CODE_RE, 'l')}, "
+            f"'d', length({lead}) + 7 * (length({lead}) - length(replace({lead}, '\t', ''))), "
+            f"'t', contains(l, 'try') AND {_rx(TRY_RE, 'l')}, 'io', {_any('l', IO_WORDS)})), x -> x.code)")
+    return (f"aggregate({code}, named_struct('open', CAST(array() AS ARRAY<INT>), 'hits', CAST(array() AS ARRAY<INT>)), "
+            "(a, x) -> named_struct("
+            "'open', concat(filter(a.open, d -> d < x.d), IF(x.t, array(x.d), CAST(array() AS ARRAY<INT>))), "
+            "'hits', IF(x.io AND NOT x.t AND NOT exists(a.open, d -> d < x.d), concat(a.hits, array(x.i)), a.hits)), a -> a.hits)")
+
+
 def flag_lines(lines: DataFrame) -> DataFrame:
     return lines.selectExpr("path", "line_no", "line", *[f"{e} AS is_{k}" for k, e in flag_sql().items()])
 
@@ -98,16 +116,13 @@ def _doc_guards(var: str) -> dict[str, str]:
     """Per flag, literal prerequisites tested once on the whole text: when a
     document fails its guard no line can be flagged, so the per-line pass is
     skipped (same result, less work)."""
-    io = _any(var, IO_WORDS)
     return {
         "secret": f"(contains({var}, '=') OR contains({var}, ':')) AND {_any(f'lower({var})', SECRET_WORDS)}",
         "literal_path": f"(contains({var}, '\"') OR contains({var}, '\\'')) AND contains({var}, '/')",
         "markdown": f"contains({var}, '# MAGIC %md')",
         "comment": f"contains({var}, '#')",
         "full_action": _any(var, ACTION_WORDS),
-        "io": io,
-        "unguarded_io": io,
-        "try": f"contains({var}, 'try')",
+        BLOCK_FLAG: _any(var, IO_WORDS),
     }
 
 
@@ -123,13 +138,17 @@ def file_stats(files: DataFrame, path: str = "path", text: str = "text") -> Data
     arrays = files.selectExpr(f"{quote_ident(path)} AS path", f"{quote_ident(text)} AS text",
                               f"split({quote_ident(text)}, '\\n', -1) AS lines")
     arrays = arrays.selectExpr("path", "lines", *[f"CASE WHEN {guards[k]} THEN transform(lines, l -> {flags[k]}) "
-                                                  f"END AS f_{k}" for k in FLAGS])
+                                                  f"END AS f_{k}" for k in FLAGS],
+                               f"CASE WHEN {guards[BLOCK_FLAG]} THEN {unguarded_io_sql()} END AS at_{BLOCK_FLAG}")
     stats = []
     for k in FLAGS:
         stats += [f"coalesce(size(filter(f_{k}, x -> x)), 0) AS n_{k}",
                   f"CAST(nullif(array_position(f_{k}, true), 0) AS INT) AS l_{k}",
                   f"coalesce(filter(transform(lines, (l, i) -> IF(f_{k}[i], named_struct('line_no', i + 1, 'line', l), NULL)), "
                   f"x -> x IS NOT NULL), {NO_EVIDENCE}) AS e_{k}"]
+    k = BLOCK_FLAG
+    stats += [f"coalesce(size(at_{k}), 0) AS n_{k}", f"CAST(element_at(at_{k}, IF(size(at_{k}) > 0, 1, NULL)) + 1 AS INT) AS l_{k}",
+              f"coalesce(transform(at_{k}, i -> named_struct('line_no', i + 1, 'line', lines[i])), {NO_EVIDENCE}) AS e_{k}"]
     return arrays.selectExpr("path", *stats)
 
 
@@ -152,17 +171,14 @@ def review_sources(files: DataFrame, path: str = "path", text: str = "text") ->
     parameters      FAIL when a line holds a literal storage path (use widgets instead)
     documentation   PASS only with a ``# MAGIC %md`` cell and a ``#`` comment
     performance     FAIL on ``.collect()``/``display()``/``.toPandas()`` without ``.limit``/``take``/``head``
-    error_handling  FAIL when reads/writes exist and no ``try:`` exists, or one sits at top level
+    error_handling  FAIL when a read or write sits outside the block of every ``try:``
     """
-    io_fail = "(n_io > 0 AND (n_try = 0 OR n_unguarded_io > 0))"
     rows = [
         _report_row("secrets", "n_secret > 0", "n_secret", "l_secret", "e_secret"),
         _report_row("parameters", "n_literal_path > 0", "n_literal_path", "l_literal_path", "e_literal_path"),
         _report_row("documentation", "NOT (n_markdown > 0 AND n_comment > 0)", "n_markdown + n_comment",
                     "NULL", NO_EVIDENCE),
         _report_row("performance", "n_full_action > 0", "n_full_action", "l_full_action", "e_full_action"),
-        _report_row("error_handling", io_fail, f"CASE WHEN {io_fail} THEN n_io ELSE 0 END",
-                    f"CASE WHEN {io_fail} THEN coalesce(l_unguarded_io, l_io) END",
-                    f"CASE WHEN NOT {io_fail} THEN {NO_EVIDENCE} WHEN size(e_unguarded_io) > 0 THEN e_unguarded_io ELSE e_io END"),
+        _report_row("error_handling", "n_unguarded_io > 0", "n_unguarded_io", "l_unguarded_io", "e_unguarded_io"),
     ]
     return file_stats(files, path, text).selectExpr("path", f"inline(array({', '.join(rows)}))")

@@ -618,6 +618,8 @@ NOTEBOOK_CELLS = [
     (7, 0, "rows = df.collect()\nmore = df.toPandas()\n"),
     (7, 1, "rows = df.limit(5).collect()\n"),
     (11, 0, "password = 'x1'\n"),
+    (4, 1, "def load():\n    return spark.read.table('t')\ntry:\n    if x:\n\n# try:\n\ty = spark.read.table('u')\n"
+           "except Exception:\n    y.write.save(out)\n"),
 ]
 
 

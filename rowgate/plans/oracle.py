@@ -289,18 +289,24 @@ def review_sql(path: str, text: str, source: str) -> str:
         "comment": f"(starts_with({stripped}, '#') AND NOT starts_with({stripped}, '# MAGIC') AND NOT starts_with({stripped}, "
                    f"'# COMMAND') AND NOT starts_with({stripped}, '# Databricks notebook source'))",
         "full_action": f"({hit(ACTIONS)} AND NOT {hit(LIMITS)})",
-        "io": io,
-        "unguarded_io": f"({io} AND line <> '' AND left(line, 1) NOT IN (' ', '#', chr(9), chr(10), chr(12), chr(13)))",
-        "try": hit(["^" + BLANK + "try" + BLANK + ":"]),
     }
+    # a line is guarded when some try line above it has less indentation than every line of code from there on
+    lead = "regexp_extract(line, '^[ \\t]*')"
+    code = (f"SELECT path, line_no, line, length({lead}) + 7 * (length({lead}) - length(replace({lead}, chr(9), ''))) AS d, {io} AS is_io, "
+            f"regexp_matches(line, {s('^' + BLANK + 'try' + BLANK + ':')}) AS is_try FROM l WHERE {stripped} <> '' AND NOT starts_with({stripped}, '#')")
     fl = ", ".join(f"{e} AS f_{k}" for k, e in flags.items())
     aggs = ", ".join(
         f"count_if(f_{k}) AS n_{k}, min(line_no) FILTER (WHERE f_{k}) AS l_{k}, "
-        f"coalesce(string_agg(line_no || ':' || line, chr(10) ORDER BY line_no) FILTER (WHERE f_{k}), '') AS e_{k}" for k in flags)
+        f"coalesce(string_agg(line_no || ':' || line, chr(10) ORDER BY line_no) FILTER (WHERE f_{k}), '') AS e_{k}" for k in [*flags, "unguarded_io"])
     return f"""
-WITH l AS ({lines}), f AS (SELECT path, line_no, line, {fl} FROM l),
-st AS (SELECT path, {aggs} FROM f GROUP BY path),
-io AS (SELECT *, (n_io > 0 AND (n_try = 0 OR n_unguarded_io > 0)) AS io_fail FROM st)
+WITH l AS MATERIALIZED ({lines}), c AS MATERIALIZED ({code}),
+p AS (SELECT i.path, i.line_no, t.line_no AS try_no, t.d FROM c AS i JOIN c AS t ON i.is_io AND NOT i.is_try AND t.is_try
+      AND t.path = i.path AND t.line_no < i.line_no),
+g AS MATERIALIZED (SELECT p.path, p.line_no FROM p JOIN c ON c.path = p.path AND c.line_no > p.try_no AND c.line_no <= p.line_no
+      GROUP BY p.path, p.line_no, p.try_no, p.d HAVING min(c.d) > p.d),
+u AS MATERIALIZED (SELECT path, line_no FROM c WHERE is_io AND NOT is_try EXCEPT SELECT path, line_no FROM g),
+f AS (SELECT l.path, l.line_no, line, {fl}, u.line_no IS NOT NULL AS f_unguarded_io FROM l LEFT JOIN u ON u.path = l.path AND u.line_no = l.line_no),
+io AS (SELECT path, {aggs} FROM f GROUP BY path)
 SELECT path, 'secrets' AS standard, CASE WHEN n_secret > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict,
        n_secret AS hits, l_secret AS first_line, e_secret AS evidence,
        {_explain("secrets", "n_secret > 0", "l_secret")} AS explanation FROM io
@@ -313,11 +319,9 @@ UNION ALL SELECT path, 'documentation', CASE WHEN n_markdown > 0 AND n_comment >
 UNION ALL SELECT path, 'performance', CASE WHEN n_full_action > 0 THEN 'FAIL' ELSE 'PASS' END,
        n_full_action, l_full_action, e_full_action,
        {_explain("performance", "n_full_action > 0", "l_full_action")} FROM io
-UNION ALL SELECT path, 'error_handling', CASE WHEN io_fail THEN 'FAIL' ELSE 'PASS' END,
-       CASE WHEN io_fail THEN n_io ELSE 0 END,
-       CASE WHEN io_fail THEN coalesce(l_unguarded_io, l_io) END,
-       CASE WHEN NOT io_fail THEN '' WHEN n_unguarded_io > 0 THEN e_unguarded_io ELSE e_io END,
-       {_explain("error_handling", "io_fail", "coalesce(l_unguarded_io, l_io)")} FROM io
+UNION ALL SELECT path, 'error_handling', CASE WHEN n_unguarded_io > 0 THEN 'FAIL' ELSE 'PASS' END,
+       n_unguarded_io, l_unguarded_io, e_unguarded_io,
+       {_explain("error_handling", "n_unguarded_io > 0", "l_unguarded_io")} FROM io
 """
 
 
@@ -560,7 +564,10 @@ NOTEBOOKS = """
            || '    raise' || chr(10) ELSE '' END
    || CASE WHEN doc_id % 7 = 0 THEN 'rows = df.collect()' || chr(10) || 'more = df.toPandas()' || chr(10) ELSE '' END
    || CASE WHEN doc_id % 7 = 1 THEN 'rows = df.limit(5).collect()' || chr(10) ELSE '' END
-   || CASE WHEN doc_id % 11 = 0 THEN 'password = ''x1''' || chr(10) ELSE '' END || text AS text FROM documents)
+   || CASE WHEN doc_id % 11 = 0 THEN 'password = ''x1''' || chr(10) ELSE '' END
+   || CASE WHEN doc_id % 4 = 1 THEN 'def load():' || chr(10) || '    return spark.read.table(''t'')' || chr(10) || 'try:' || chr(10)
+           || '    if x:' || chr(10) || chr(10) || '# try:' || chr(10) || chr(9) || 'y = spark.read.table(''u'')' || chr(10)
+           || 'except Exception:' || chr(10) || '    y.write.save(out)' || chr(10) ELSE '' END || text AS text FROM documents)
 """
 
 ORACLE |= {
