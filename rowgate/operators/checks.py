@@ -307,6 +307,8 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
                 err = str(e)
         rule_checks.append(Check(name, kind, column, data_type, text, sql, err, i, run, part, tuple(found)))
 
+    if hasattr(translator, "flush"):  # a cache writes through what it was told
+        translator.flush()
     out = type_checks_out + rule_checks
     pending = [k for k, c in enumerate(out) if c.error is None and c.kind not in ("unique", "exists") and c.expression]
     for k, (err, clock) in zip(pending, _analyze_all(df, [_run_text(out[k], lambda _: "true") for k in pending])):

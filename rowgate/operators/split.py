@@ -31,10 +31,10 @@ def with_errors(checked: DataFrame, checks: list[Check], column: str = "validati
 
 
 def invalid_rows(df: DataFrame, rules, translator: Translator | None = None,
-                 **unique_options) -> DataFrame:
+                 references: dict[str, DataFrame] | None = None, **unique_options) -> DataFrame:
     """F8: business rules only (no trimming, no type checks); rows with at
     least one failed rule, original columns plus ``validation_errors``."""
-    checks = compile_rules(rules, df, translator=translator, type_checks=False)
+    checks = compile_rules(rules, df, translator=translator, type_checks=False, references=references)
     usable = active(checks)
     checked = apply_checks(df, usable, **unique_options)
     out = with_errors(checked, usable).where(F.size("validation_errors") > 0)

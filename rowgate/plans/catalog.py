@@ -16,9 +16,11 @@ from ..operators.review import review_sources, secret_lines
 from ..operators.split import invalid_rows, invalid_split, valid_split
 from ..operators.synth import sample_rows
 from ..operators.unique import unique_flag, unique_flags
+from ..sources.expressions import ExpressionCache
 from ..sources.rules_io import export_rules, load_rules, read_sample, rule_stats, rules_frame
 from ..sources.tables import load_table, preview
 from .fixtures import DIRTY_RULES, dirty_customers
+from .publish import publish_validation, published
 from .runner import checked_frame, run_validation, run_validation_single_pass, validation_summary
 from .shared import scratch_path
 
@@ -483,6 +485,46 @@ def q_run_no_rules(spark, sf):
     return v.withColumn("split", F.lit("valid")).unionByName(i.withColumn("split", F.lit("invalid")))
 
 
+def q_run_validation_republished(spark, sf):
+    """A6/A7 as a pair: a first run, a second one that takes its place, and the
+    second's id once more with other rules, which changes nothing."""
+    base = scratch_path(spark, "published")
+    publish_validation(dirty(spark, sf), [("id", "bigint", "Not Null")], base, "day 1")
+    publish_validation(dirty(spark, sf), DIRTY_RULES, base, "day 2")
+    publish_validation(dirty(spark, sf), [], base, "day 2")
+    last = published(spark, base)
+    v, i = last.valid(spark), last.invalid(spark)
+    flags = [c for c in i.columns if c not in v.columns]
+    return (v.select(F.lit("valid").alias("split"), "*", *[F.lit(None).cast("boolean").alias(c) for c in flags])
+            .unionByName(i.select(F.lit("invalid").alias("split"), "*")))
+
+
+FREE_TEXTS = [("o_orderpriority", "string", "sounds urgent"), ("o_totalprice", "double", "worth a call"), ("o_orderstatus", "string", "sounds urgent"),
+              ("o_totalprice", "double", "worth a call")]
+
+
+def q_compiled_rules_cached(spark, sf):
+    """Texts outside the grammar, translated once per key, read back by a
+    second compilation that has no translator, and one of them overwritten."""
+    path, asked = scratch_path(spark, "expressions"), []
+    known = {"sounds urgent": "`{c}` RLIKE '^[12F]'", "worth a call": "`{c}` > 250000"}
+
+    def translate(column, data_type, rule):
+        asked.append(rule)
+        return known[rule].format(c=column)
+    o = table(spark, sf, "orders")
+    compile_rules(FREE_TEXTS, o, translator=ExpressionCache(spark, path, translate), type_checks=False)
+    compile_rules(FREE_TEXTS, o, translator=ExpressionCache(spark, path, translate), type_checks=False)
+    changed = ExpressionCache(spark, path)
+    changed.put("o_totalprice", "double", "worth a call", "`o_totalprice` > 400000")
+    changed.flush()
+    checks = compile_rules(FREE_TEXTS, o, translator=ExpressionCache(spark, path), type_checks=False)
+    counts = failure_counts(apply_checks(o, checks), checks)
+    rows = [F.struct(F.lit(c.index).alias("rule_index"), F.lit(c.expression).alias("expression"), F.lit(len(asked)).cast("long").alias("asked"),
+                     c.column.cast("long").alias("failed_records")) for c in checks]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 # --- reading and writing (A1-A5) ----------------------------------------------
 
 def q_rules_csv_roundtrip(spark, sf):
@@ -739,6 +781,8 @@ QUERIES: dict[str, Query] = {
     "checks_on_windowed_source": q_checks_on_windowed_source,
     "run_validation_aggregated": q_run_validation_aggregated,
     "run_validation_sql_time": q_run_validation_sql_time,
+    "run_validation_republished": q_run_validation_republished,
+    "compiled_rules_cached": q_compiled_rules_cached,
     "stream_split_counts": q_stream_split_counts,
     "stream_failure_summary": q_stream_failure_summary,
 }

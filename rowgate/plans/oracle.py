@@ -612,3 +612,15 @@ UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
 
 # Sanity: every oracle is plain text without Python formatting leftovers.
 assert all("{" not in re.sub(r"\{\d+,?\d*\}", "", q) for q in ORACLE.values())
+
+ORACLE |= {
+    "run_validation_republished": ORACLE["run_validation_written"],
+    "compiled_rules_cached": """
+SELECT CAST(i AS INTEGER) AS rule_index, e AS expression, CAST(3 AS BIGINT) AS asked,
+       CASE i WHEN 0 THEN (SELECT count(*) FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[12F]'))
+              WHEN 2 THEN (SELECT count(*) FROM orders WHERE NOT regexp_matches(o_orderstatus, '^[12F]'))
+              ELSE (SELECT count(*) FROM orders WHERE NOT o_totalprice > 400000) END AS failed_records
+FROM (VALUES (0, '`o_orderpriority` RLIKE ''^[12F]'''), (1, '`o_totalprice` > 400000'), (2, '`o_orderstatus` RLIKE ''^[12F]'''),
+             (3, '`o_totalprice` > 400000')) t(i, e)
+""",
+}
