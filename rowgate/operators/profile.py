@@ -45,8 +45,8 @@ PROOF_ROWS = 20_000  # rows in which a repeated value is looked for before whole
 PROOF_HASHES = 100  # repeated hashes whose real values are looked at first
 BATCH_COLUMNS = 48
 
-_SIMPLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+SIMPLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("column_position", T.IntegerType(), False),
@@ -61,7 +61,7 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
-def _present(f: T.StructField) -> str:
+def present_sql(f: T.StructField) -> str:
     """The column with NaN as NULL."""
     c = quote_ident(f.name)
     if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -76,9 +76,11 @@ def _pairs(df: DataFrame, cols: list[dict], value: str) -> DataFrame:
     return df.selectExpr(f"inline(array({parts}))").where("nn").select("pos", "v")
 
 
-def _surely_repeated(df: DataFrame, cols: list[dict], rows: int = PROOF_ROWS) -> set[int]:
-    """Columns in which a value repeats within some ``rows`` rows."""
-    sample = df.selectExpr(*[f"md5(CAST(CAST({s['sql']} AS STRING) AS BINARY)) AS c{s['position']}" for s in cols]).limit(rows)
+def surely_repeated(df: DataFrame, cols: list[dict], rows: int = PROOF_ROWS) -> set[int]:
+    """Columns in which a value repeats within some ``rows`` rows, by 128 bits
+    of the typed value (two timestamps may share one text at a clock change)."""
+    sample = df.selectExpr(*[f"CASE WHEN {s['sql']} IS NOT NULL THEN struct(xxhash64({s['sql']}), xxhash64(1, {s['sql']})) END AS c{s['position']}"
+                             for s in cols]).limit(rows)
     lists = [f"collect_list(c{s['position']})" for s in cols]
     row = sample.selectExpr(*[f"size({x}) > size(array_distinct({x})) AS r{s['position']}" for x, s in zip(lists, cols)]).first()
     return {s["position"] for s in cols if row[f"r{s['position']}"]}
@@ -122,13 +124,13 @@ def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS
     # SQL text, handed over in one call (same plan as Column objects)
     aggs = ["count(1) AS __rows"]
     for i, f in enumerate(fields):
-        c = _present(f)
+        c = present_sql(f)
         aggs.append(f"count({c}) AS nn{i}")
         if isinstance(f.dataType, T.StringType):
             aggs.append(f"approx_count_distinct({c}, {rsd}) AS ad{i}")
             # the pattern needs an "@": a cheap contains() spares most rows the regex
             aggs.append(f"count_if(contains({c}, '@') AND {c} RLIKE {quote_str(EMAIL_REGEX)}) AS em{i}")
-        if isinstance(f.dataType, _INTEGRAL):
+        if isinstance(f.dataType, INTEGRAL):
             aggs += [f"CAST(min({c}) AS DECIMAL(38,0)) AS mn{i}", f"CAST(max({c}) AS DECIMAL(38,0)) AS mx{i}"]
     wide = df.selectExpr(*aggs).first()
     rows = int(wide["__rows"])
@@ -136,11 +138,11 @@ def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS
     stats = []
     for i, f in enumerate(fields):
         nn = int(wide[f"nn{i}"])
-        st = {"position": i, "name": f.name, "sql": _present(f), "type": type_label(f.dataType), "dtype": f.dataType,
-              "rows": rows, "nulls": rows - nn, "non_null": nn, "unique": nn == 1 and isinstance(f.dataType, _SIMPLE),
+        st = {"position": i, "name": f.name, "sql": present_sql(f), "type": type_label(f.dataType), "dtype": f.dataType,
+              "rows": rows, "nulls": rows - nn, "non_null": nn, "unique": nn == 1 and isinstance(f.dataType, SIMPLE),
               "distinct": None, "email_share": None, "values": None}
-        st["unique_cand"] = isinstance(f.dataType, _SIMPLE) and nn > 1
-        if isinstance(f.dataType, _INTEGRAL) and nn > 1:
+        st["unique_cand"] = isinstance(f.dataType, SIMPLE) and nn > 1
+        if isinstance(f.dataType, INTEGRAL) and nn > 1:
             st["unique_cand"] = nn <= int(wide[f"mx{i}"]) - int(wide[f"mn{i}"]) + 1
         elif isinstance(f.dataType, T.BooleanType):
             st["unique_cand"] = nn == 2
@@ -166,7 +168,7 @@ def _profile(df: DataFrame, rsd: float = RSD, batch_columns: int = BATCH_COLUMNS
                     s["values"] = sorted(r["vs"])
     cand = [s for s in stats if s["unique_cand"]]
     if cand:
-        repeated = _surely_repeated(df, cand)
+        repeated = surely_repeated(df, cand)
         cand = [s for s in cand if s["position"] not in repeated]
     if cand:
         unique = _unique_columns(df, cand)
@@ -203,12 +205,7 @@ def suggestions_from_stats(stats: list[dict]) -> list[tuple[str, str, str]]:
             share = s["email_share"]
             if share is not None and share > EMAIL_SHARE_THRESHOLD:
                 out.append((name, label, RULE_EMAIL))
-    seen, unique_rows = set(), []
-    for r in out:  # D6: drop repeated suggestions, keep the first
-        if r not in seen:
-            seen.add(r)
-            unique_rows.append(r)
-    return unique_rows
+    return out  # D6: names that collide are refused before, so no suggestion arises twice
 
 
 def suggest_rules(df: DataFrame, fraction: float | None = None, seed: int = 42, rsd: float = RSD,

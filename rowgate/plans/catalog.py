@@ -711,6 +711,45 @@ def q_stream_failure_summary(spark, sf):
     return stream_failure_summary(spark, src, table(spark, sf, "orders").schema, rules)
 
 
+def q_stream_failure_windows(spark, sf):
+    """Failures per hour of event time: the older half of the events in one
+    run of the stream, the newer half in a second one that goes on from the
+    first one's checkpoint, and a third one without any new file."""
+    from ..streaming.stream import failure_windows, read_failure_windows, read_file_stream
+    base = scratch_path(spark, "windows")
+    e = table(spark, sf, "events")
+    rules = [("event_type", "string", "Should be one of ['click', 'view', 'purchase']"), ("value", "double", "between 0 and 400")]
+    for condition in ("ts < TIMESTAMP_NTZ '2024-01-15 12:30:00'", "ts >= TIMESTAMP_NTZ '2024-01-15 12:30:00'", None):
+        if condition:
+            e.where(condition).write.mode("append").parquet(f"{base}/in")
+        q = failure_windows(read_file_stream(spark, f"{base}/in", e.schema), rules, "ts", "1 hour", "2 days", f"{base}/out", f"{base}/checkpoint")
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    return read_failure_windows(spark, f"{base}/out").drop("window_end").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
+def _three_parts(spark, sf, name, key):
+    from ..operators.profile_state import add_part
+    path, df = scratch_path(spark, "profile-state"), table(spark, sf, name)
+    for i in (0, 1, 1, 2):  # the second part arrives twice
+        add_part(df.where(F.pmod(F.col(key), F.lit(3)) == i), path, f"day-{i}")
+    return path
+
+
+def q_profile_merged(spark, sf):
+    """D2-D5 from the merged states of three parts of ``lineitem``."""
+    from ..operators.profile_state import merged_profile
+    p = merged_profile(spark, _three_parts(spark, sf, "lineitem", "l_orderkey"))
+    return p.select(*[c for c in p.columns if c != "values"], F.array_join("values", "|").alias("value_list"))
+
+
+def q_suggest_rules_merged(spark, sf):
+    """D7 from the merged states of three parts of ``customer``."""
+    from ..operators.profile_state import merged_suggestions
+    return merged_suggestions(spark, _three_parts(spark, sf, "customer", "c_custkey"))
+
+
 QUERIES: dict[str, Query] = {
     "failure_summary": q_failure_summary,
     "validation_summary": q_validation_summary,
@@ -783,6 +822,9 @@ QUERIES: dict[str, Query] = {
     "run_validation_sql_time": q_run_validation_sql_time,
     "run_validation_republished": q_run_validation_republished,
     "compiled_rules_cached": q_compiled_rules_cached,
+    "stream_failure_windows": q_stream_failure_windows,
+    "profile_merged": q_profile_merged,
+    "suggest_rules_merged": q_suggest_rules_merged,
     "stream_split_counts": q_stream_split_counts,
     "stream_failure_summary": q_stream_failure_summary,
 }

@@ -624,3 +624,17 @@ FROM (VALUES (0, '`o_orderpriority` RLIKE ''^[12F]'''), (1, '`o_totalprice` > 40
              (3, '`o_totalprice` > 400000')) t(i, e)
 """,
 }
+
+ORACLE |= {
+    "profile_merged": profile_sql("lineitem"),
+    "suggest_rules_merged": suggest_sql("customer"),
+    "stream_failure_windows": """
+WITH w AS (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, count(*) AS total_records,
+                  count(*) FILTER (event_type NOT IN ('click', 'view', 'purchase')) AS f0, count(*) FILTER (NOT value BETWEEN 0 AND 400) AS f1
+           FROM events GROUP BY 1),
+l AS (SELECT window_start, total_records, {0} AS check_name, f0 AS failed_records FROM w WHERE f0 > 0
+      UNION ALL SELECT window_start, total_records, {1}, f1 FROM w WHERE f1 > 0
+      UNION ALL SELECT window_start, total_records, NULL, 0 FROM w WHERE f0 = 0 AND f1 = 0)
+SELECT *, round(CAST(failed_records AS DOUBLE) / CAST(total_records AS DOUBLE) * 100, 2) AS failure_rate_pct FROM l
+""".format(s(rn("event_type", "Should be one of ['click', 'view', 'purchase']", 0)), s(rn("value", "between 0 and 400", 1))),
+}

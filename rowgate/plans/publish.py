@@ -24,7 +24,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .runner import run_validation
-from .shared import delete_path
+from .shared import delete_path, path_exists
 
 RECORD = ("number bigint, run_id string, format string, valid_path string, invalid_path string, valid_count bigint, invalid_count bigint, "
           "committed_at timestamp, summary array<struct<check_name: string, failed_records: bigint, failure_rate_pct: double>>, "
@@ -56,12 +56,14 @@ class NothingPublished(LookupError):
 
 def commit_log(spark: SparkSession, base: str) -> DataFrame:
     """All commit records (empty without any)."""
+    path = f"{base.rstrip('/')}/commits"
     try:
-        return spark.read.schema(RECORD).option("recursiveFileLookup", True).json(f"{base.rstrip('/')}/commits")
+        if path_exists(spark, path):
+            return spark.read.schema(RECORD).option("recursiveFileLookup", True).json(path)
     except PySparkException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], RECORD)
+    return spark.createDataFrame([], RECORD)
 
 
 def _last(log: DataFrame) -> Published | None:

@@ -73,6 +73,18 @@ def delete_path(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``, by the Hadoop FileSystem of the
+    session; true where that cannot be told (Spark Connect), so that a read
+    finds out."""
+    try:
+        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # no JVM on the client
+        return True
+    return bool(hpath.getFileSystem(conf).exists(hpath))
+
+
 def is_file(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is one file, by the Hadoop FileSystem of the session."""
     try:

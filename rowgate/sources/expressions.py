@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.grammar import RuleSyntaxError
 from ..functions.types import normalize_type
+from ..plans.shared import path_exists
 
 SCHEMA = T.StructType([
     T.StructField("column_name", T.StringType()), T.StructField("data_type", T.StringType()), T.StructField("rule", T.StringType()),
@@ -33,12 +34,13 @@ def _key(column: str, data_type: str, rule: str) -> tuple[str, str, str]:
 def read_expressions(spark: SparkSession, path: str) -> DataFrame:
     """The cache's present content, one row per key (the last one written);
     empty when nothing was written yet."""
+    rows = spark.createDataFrame([], SCHEMA)
     try:
-        rows = spark.read.schema(SCHEMA).parquet(path)
+        if path_exists(spark, path):
+            rows = spark.read.schema(SCHEMA).parquet(path)
     except PySparkException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], SCHEMA)
     return rows.groupBy(*KEY).agg(F.max_by("expression", F.struct("written_at", "writer", "place")).alias("expression"))
 
 

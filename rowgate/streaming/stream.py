@@ -51,17 +51,19 @@ def split_writer(valid_path: str, invalid_path: str, columns: list[str], checks:
         names = [f"c{i}" for i in range(len(batch.columns))]
         split = F.when(is_invalid(usable), F.lit("invalid")).otherwise(F.lit("valid"))
         path = scratch_path(spark, "stream-batch")
-        staged = batch.withColumn("__rg_split", split).toDF(*names, "split")
-        staged.write.partitionBy("split").parquet(path)
-        read = spark.read.schema(staged.schema).parquet(path)
-        back = [F.col(n).alias(c) for n, c in zip(names, batch.columns)]
-        tag = F.lit(batch_id).cast("long").alias(BATCH_COLUMN)
-        valid = read.where("split = 'valid'").select(*back).select(*orig, tag)
-        invalid = read.where("split = 'invalid'").select(*back).select(*orig, *[c.column for c in usable], tag)
-        for df, target in ((valid, valid_path), (invalid, invalid_path)):
-            (df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy(BATCH_COLUMN).save(target))
-        delete_path(spark, path)
+        try:
+            staged = batch.withColumn("__rg_split", split).toDF(*names, "split")
+            staged.write.partitionBy("split").parquet(path)
+            read = spark.read.schema(staged.schema).parquet(path)
+            back = [F.col(n).alias(c) for n, c in zip(names, batch.columns)]
+            tag = F.lit(batch_id).cast("long").alias(BATCH_COLUMN)
+            valid = read.where("split = 'valid'").select(*back).select(*orig, tag)
+            invalid = read.where("split = 'invalid'").select(*back).select(*orig, *[c.column for c in usable], tag)
+            for df, target in ((valid, valid_path), (invalid, invalid_path)):
+                (df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy(BATCH_COLUMN).save(target))
+        finally:  # also when the batch fails: it is decided again from the start
+            delete_path(spark, path)
 
     return write
 
@@ -120,3 +122,67 @@ def stream_failure_summary(spark: SparkSession, path: str, schema: T.StructType,
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return summary_from_counts(spark.table(name), checks)
+
+
+# --- failures per event-time window ---------------------------------------------
+
+WINDOW_COLUMNS = ["window_start", "window_end"]
+
+
+def window_failure_counts(stream: DataFrame, rules, event_time: str, window: str, watermark: str,
+                          translator=None) -> tuple[DataFrame, list[Check]]:
+    """Streaming aggregate per event-time window: rows and failures per check.
+    Rows that are later than ``watermark`` behind the newest event are left
+    out by Spark, rows without an event time too; a window's state goes once
+    the watermark has passed its end."""
+    checked, checks = stream_checks(stream, rules, translator=translator)
+    at = F.col(quote_ident(event_time)).cast("timestamp")
+    timed = checked.withColumn("__rg_at", at).withWatermark("__rg_at", watermark)
+    return (timed.groupBy(F.window("__rg_at", window).alias("w"))
+            .agg(F.count(F.lit(1)).alias("total_records"),
+                 *[F.count_if(c.column == F.lit(False)).alias(c.name) for c in active(checks)])
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "total_records",
+                    *[c.column for c in active(checks)])), checks
+
+
+def window_writer(path: str, fmt: str = "parquet"):
+    """``foreachBatch`` function: the windows that a micro-batch changed, with
+    their totals so far, as the partition of its id. A replayed batch
+    overwrites its own partition, so the table is the same after a restart."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn(BATCH_COLUMN, F.lit(batch_id).cast("long")).coalesce(1).write.format(fmt).mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(BATCH_COLUMN).save(path))
+    return write
+
+
+def failure_windows(stream: DataFrame, rules, event_time: str, window: str, watermark: str, path: str, checkpoint_location: str,
+                    fmt: str = "parquet", available_now: bool = True, processing_time: str | None = None):
+    """Start the windowed failure counts into the table at ``path``; returns
+    the ``StreamingQuery``. Started again with the same checkpoint it goes on
+    where it was."""
+    counts, _ = window_failure_counts(stream, rules, event_time, window, watermark)
+    writer = (counts.writeStream.outputMode("update").foreachBatch(window_writer(path, fmt))
+              .option("checkpointLocation", checkpoint_location))
+    if processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    elif available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def read_failure_windows(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The table's present content: per window the totals of the last
+    micro-batch that changed it, in the long form of the summary
+    ``(window_start, window_end, check_name, failed_records, total_records,
+    failure_rate_pct)`` for checks with a failure, plus a row with check name
+    NULL for windows without any."""
+    rows = spark.read.format(fmt).load(path)
+    checks = [c for c in rows.columns if c not in [*WINDOW_COLUMNS, "total_records", BATCH_COLUMN]]
+    values = F.struct(F.col(BATCH_COLUMN), F.col("total_records"), *[F.col(quote_ident(c)).alias(f"c{i}") for i, c in enumerate(checks)])
+    last = rows.groupBy(*WINDOW_COLUMNS).agg(F.max_by(values, F.col(BATCH_COLUMN)).alias("x"))
+    entries = [F.struct(F.lit(c).alias("check_name"), F.col(f"x.c{i}").alias("failed_records")) for i, c in enumerate(checks)]
+    failed = F.filter(F.array(*entries), lambda e: e["failed_records"] > 0) if entries else F.array().cast(
+        "array<struct<check_name: string, failed_records: bigint>>")
+    long = last.select(*WINDOW_COLUMNS, F.col("x.total_records").alias("total_records"), F.inline_outer(failed))
+    return long.withColumn("failed_records", F.coalesce("failed_records", F.lit(0).cast("long"))).withColumn(
+        "failure_rate_pct", F.expr("CAST(round(failed_records / total_records * 100, 2) AS DOUBLE)"))

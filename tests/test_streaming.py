@@ -59,3 +59,78 @@ def test_batch_only_operators_reject_streams(spark):
                  lambda: run_validation(stream, rules, "/nonexistent/v", "/nonexistent/i")):
         with pytest.raises(ValueError):
             call()
+
+
+def _run(query):
+    query.awaitTermination()
+    assert query.exception() is None
+
+
+def test_time_rules_of_a_stream_follow_its_batches(spark, tmp_path):
+    """Events that happen after the stream was started are not in the future of their batch."""
+    from datetime import datetime, timedelta, timezone
+    import time
+
+    from rowgate.streaming.stream import validate_stream
+
+    src, schema = str(tmp_path / "in"), "id int, ts timestamp"
+    base = datetime.now(timezone.utc)
+    spark.createDataFrame([(1, base - timedelta(hours=1))], schema).write.mode("append").parquet(src)
+    stream = read_file_stream(spark, src, spark.read.parquet(src).schema)
+    rules = [("ts", "timestamp", "not in the future"), ("ts", "timestamp", "sql: ts <= now()")]
+    checked, checks = stream_checks(stream, rules)
+    assert all("current_timestamp()" in c.sql or "now()" in c.sql for c in checks if c.kind == "rule")
+    q = validate_stream(stream, rules, str(tmp_path / "v"), str(tmp_path / "i"), str(tmp_path / "c"), available_now=False,
+                        processing_time="1 second")
+    try:
+        time.sleep(3)
+        late = datetime.now(timezone.utc)  # after the start, before its batch
+        spark.createDataFrame([(2, late), (3, late + timedelta(days=1))], schema).write.mode("append").parquet(src)
+        for _ in range(60):
+            q.processAllAvailable()
+            if spark.read.parquet(str(tmp_path / "v")).count() + spark.read.parquet(str(tmp_path / "i")).count() == 3:
+                break
+    finally:
+        q.stop()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "v")).collect()) == [1, 2]
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "i")).collect()] == [3]
+
+
+WINDOW_RULES = [("v", "int", "at least 5"), ("s", "string", "not null")]
+
+
+def _events(spark, rows):
+    return spark.createDataFrame(rows, "ts string, v int, s string").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "v", "s")
+
+
+def test_failure_windows_go_on_after_a_restart(spark, tmp_path):
+    from rowgate.streaming.stream import failure_windows, read_failure_windows
+
+    src, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    loads = [[("2024-01-01 00:10:00", 1, "a"), ("2024-01-01 00:20:00", 9, None), ("2024-01-01 01:00:00", 7, "b"), (None, 1, "x")],
+             [("2024-01-01 00:50:00", 2, "c"), ("2024-01-01 02:30:00", 9, "d")],
+             [("2023-12-01 00:00:00", 1, "too late"), ("2024-01-01 02:40:00", 3, None)]]
+    seen = []
+    for load in loads:
+        _events(spark, load).write.mode("append").parquet(src)
+        stream = read_file_stream(spark, src, spark.read.parquet(src).schema)
+        _run(failure_windows(stream, WINDOW_RULES, "ts", "1 hour", "3 hours", out, state))
+        seen.append({(str(r.window_start)[11:16], r.check_name and r.check_name[0]): (r.failed_records, r.total_records, r.failure_rate_pct)
+                     for r in read_failure_windows(spark, out).collect()})
+    assert seen[0] == {("00:00", "v"): (1, 2, 50.0), ("00:00", "s"): (1, 2, 50.0), ("01:00", None): (0, 1, 0.0)}
+    assert seen[1] == {("00:00", "v"): (2, 3, 66.67), ("00:00", "s"): (1, 3, 33.33), ("01:00", None): (0, 1, 0.0), ("02:00", None): (0, 1, 0.0)}
+    assert seen[2] == {**{k: v for k, v in seen[1].items() if k[0] != "02:00"}, ("02:00", "v"): (1, 2, 50.0), ("02:00", "s"): (1, 2, 50.0)}
+
+
+def test_a_replayed_window_batch_replaces_its_own_rows(spark, tmp_path):
+    from rowgate.streaming.stream import read_failure_windows, window_writer
+
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([("2024-01-01 00:00:00", "2024-01-01 01:00:00", 4, 1)], "a string, b string, total_records long, c_ok long").selectExpr(
+        "CAST(a AS TIMESTAMP) AS window_start", "CAST(b AS TIMESTAMP) AS window_end", "total_records", "c_ok")
+    write = window_writer(out)
+    write(df, 0)
+    write(df, 1)
+    write(df, 1)
+    assert spark.read.parquet(out).count() == 2
+    assert [(r.check_name, r.failed_records, r.failure_rate_pct) for r in read_failure_windows(spark, out).collect()] == [("c_ok", 1, 25.0)]
