@@ -28,7 +28,15 @@ Hot passages: a task sends a context, or string, once, with the smallest id
 it has seen; the other rows of it in the task are settled there. So a passage
 that a third of all documents hold is one row a task, however many documents.
 
-Equality is decided by pairs of independent 64-bit hashes (128 bits).
+Hot heads: a phrase of 24 to 49 bytes with other neighbours everywhere has a
+context per document. A batch of rows that sees more than ``HOT_CONTEXTS`` of
+them, in several documents, knows already that they have to be compared string
+by string: it says so itself and sends two markers (smallest and largest id) in
+their place, which tell the same to whoever else has the head.
+
+Contexts travel, and are indexed, as one binary block per task and partition,
+not as rows. Equal contexts are told by a 64-bit hash of the head and one of
+the whole context, equal strings by two 64-bit hashes with different bases.
 """
 
 from __future__ import annotations
@@ -41,13 +49,15 @@ from .common import byte_slices, col, default_partitions, delete_path, freeing_s
 
 LENGTH = 50
 HEAD = 24
-BATCHES = 3
+BATCHES = 4
 SHARDS = 2  # shards of head hashes that are indexed one after another
 WINDOW_SHARDS = 2
 SLICE_BYTES = 1 << 20
 CUT_CONTEXTS = 1 << 14  # partly repeated contexts whose strings are laid out at once
 TASK_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1  # a null id: larger than all others
+HOT_CONTEXTS = 16  # contexts of one head, in one batch of rows, beyond which the head is hot
+MARKS = (1, 2)  # context hashes of markers
 HIT, PARTIAL, INDEX = 0, 1, 2
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
@@ -153,9 +163,26 @@ def _first_of(*keys):
     return order, np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else order, new
 
 
-def _records(shard: int, shards: int, length: int):
-    """Task function: (id, text) -> (pk, kind, a, b, id): contexts of one shard,
-    once a batch of rows with the smallest id; other ids that hold it are hits."""
+def _blocks(pa, parts: int, part: np.ndarray, kind: int, *columns: np.ndarray):
+    """Rows of int64 ``columns`` as one binary block per partition: (part, kind, data)."""
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    stacked = np.stack([c[order] for c in columns])
+    some = np.nonzero(np.diff(ends, prepend=0))[0]
+    return pa.RecordBatch.from_pydict({
+        "part": pa.array(some.astype(np.int32)), "kind": pa.array(np.full(len(some), kind, np.int32)),
+        "data": pa.array([np.ascontiguousarray(stacked[:, (ends[p - 1] if p else 0):ends[p]]).tobytes() for p in some], pa.binary())})
+
+
+def _split_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Partition of a 64-bit hash, in the smallest type (which sorts fastest)."""
+    return ((h.view(np.uint64) >> np.uint64(3)) % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.int64)
+
+
+def _records(shard: int, shards: int, length: int, partitions: int):
+    """Task function: (id, text) -> blocks: contexts of one shard (head,
+    context, id), once a batch of rows with the smallest id; other ids that
+    hold it are hits, contexts of hot heads are partial (name, id)."""
     def run(batches):
         import pyarrow as pa
 
@@ -171,95 +198,118 @@ def _records(shard: int, shards: int, length: int):
             if not parts:
                 continue
             h, c, d = np.concatenate(parts, axis=1)
+            if not len(h):
+                continue
             order, start, new = _first_of(h, c, d)
             h, c, d = h[order], c[order], d[order]
-            low = d[start]
-            hit = d > low
+            hit = d > d[start]
             hit[1:] &= (d[1:] != d[:-1]) | new[1:]
-            name = _name(h[hit].view(np.uint64), c[hit].view(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((h[new], name ^ d[hit]))),
-                 pa.array(np.concatenate((np.full(new.sum(), PARTIAL), np.full(hit.sum(), HIT))).astype(np.int32)),
-                 pa.array(np.concatenate((h[new], name))), pa.array(np.concatenate((c[new], np.zeros(hit.sum(), np.int64)))),
-                 pa.array(np.concatenate((d[new], d[hit])))], names=["pk", "kind", "a", "b", "id"])
+            name = _name(h.view(np.uint64), c.view(np.uint64))
+            yield _blocks(pa, partitions, _split_of(name[hit] ^ d[hit], partitions), HIT, name[hit], d[hit])
+            # heads that have many contexts here: their rows of the sort lie side by side
+            begin = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
+            low, high = np.minimum.reduceat(d, begin), np.maximum.reduceat(d, begin)
+            hot = (np.add.reduceat(new, begin, dtype=np.int64) > HOT_CONTEXTS) & (low != high)
+            in_hot = np.repeat(hot, np.diff(np.append(begin, len(h))))
+            told = new & in_hot
+            yield _blocks(pa, partitions, _split_of(name[told] ^ d[told], partitions), PARTIAL, name[told], d[told])
+            sent, marks = new & ~in_hot, h[begin[hot]]
+            h = np.concatenate((h[sent], marks, marks))
+            c = np.concatenate((c[sent], np.full(len(marks), MARKS[0]), np.full(len(marks), MARKS[1])))
+            d = np.concatenate((d[sent], low[hot], high[hot]))
+            yield _blocks(pa, partitions, _split_of(h, partitions), INDEX, h, c, d)
     return run
 
 
+BLOCKS = "part int, kind int, data binary"
+
+
 def _merge_scan(keep_levels: frozenset, insert: bool):
-    """Task function over whole hash partitions of (pk, kind, a, b, id, level):
+    """Task function over whole partitions of blocks (part, kind, data, level):
     level -1 is the new batch, others are index levels; ``keep_levels`` are
-    merged with the batch into the new level."""
+    merged with the batch into the new level. Hits and partial contexts come
+    out as rows, the new level as one sorted block."""
     def run(batches):
         import pyarrow as pa
 
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        kind, a, b, d, level = (t.column(i).to_numpy() for i in range(1, 6))
-        passed = kind == HIT
-        out = [(np.full(passed.sum(), HIT), a[passed], np.zeros(passed.sum(), np.int64), d[passed])]
-        h, c, d, level = a[~passed], b[~passed], d[~passed], level[~passed]
-        order, start, new = _first_of(h, c, d)
-        h, c, d, level = h[order], c[order], d[order], level[order]
-        fresh = level < 0
-        hit = fresh & (d > d[start])
-        name = _name(h.view(np.uint64), c.view(np.uint64))
-        out.append((np.full(hit.sum(), HIT), name[hit], np.zeros(hit.sum(), np.int64), d[hit]))
-        # distinct contexts, their heads, and whether a head has contexts of several ids
-        fh, fc, fd, fl, fn = h[new], c[new], d[new], level[new], name[new]
-        if len(fh):
-            begin = np.nonzero(np.concatenate(([True], fh[1:] != fh[:-1])))[0]
-            group = np.cumsum(np.concatenate(([True], fh[1:] != fh[:-1]))) - 1
-            several = np.minimum.reduceat(fd, begin) != np.maximum.reduceat(fd, begin)
-            touched = np.maximum.reduceat((fl < 0).astype(np.int8), begin) > 0
-            some = (several & touched)[group]
-            out.append((np.full(some.sum(), PARTIAL), fn[some], np.zeros(some.sum(), np.int64), fd[some]))
+        got: dict = {HIT: [], PARTIAL: [], INDEX: []}
+        levels, place = [], 0
+        for batch in batches:
+            for part, kind, data, level in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                place = part
+                x = np.frombuffer(data, np.int64).reshape(3 if kind == INDEX else 2, -1)
+                got[kind].append(x)
+                if kind == INDEX:
+                    levels.append(np.full(x.shape[1], level))
+        out = []  # kind, name, id
+        for kind in (HIT, PARTIAL):
+            out += [(np.full(x.shape[1], kind), x[0], x[1]) for x in got[kind]]
+        put = None
+        if levels:
+            h, c, d = np.concatenate(got.pop(INDEX), axis=1)
+            level = np.concatenate(levels)
+            order, start, new = _first_of(h, c, d)
+            h, c, d, level = h[order], c[order], d[order], level[order]
+            real = (c != MARKS[0]) & (c != MARKS[1])
+            name = _name(h.view(np.uint64), c.view(np.uint64))
+            hit = (level < 0) & (d > d[start]) & real
+            out.append((np.full(hit.sum(), HIT), name[hit], d[hit]))
+            # whether a head has contexts of several ids, one of them new
+            begin = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
+            several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
+            touched = np.logical_or.reduceat(level < 0, begin)
+            some = np.repeat(several & touched, np.diff(np.append(begin, len(h)))) & new & real
+            out.append((np.full(some.sum(), PARTIAL), name[some], d[some]))
             if insert:
-                put = (fl < 0) | np.isin(fl, list(keep_levels))
-                out.append((np.full(put.sum(), INDEX), fh[put], fc[put], fd[put]))
-        cols = [np.concatenate(x) for x in zip(*out)]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int32)), *[pa.array(x) for x in cols[1:]]],
-                                         names=["kind", "a", "b", "id"])
+                # of equal contexts the smallest id stays; of the largest id's markers the largest would do, any other tells the same
+                stays = new & ((level < 0) | np.isin(level, list(keep_levels)))
+                put = np.ascontiguousarray(np.stack([h[stays], c[stays], d[stays]])).tobytes()
+        n = sum(len(x[0]) for x in out)
+        if n:
+            kind, name, d = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(name), pa.array(d), pa.nulls(n, pa.int32()),
+                                              pa.nulls(n, pa.binary())], names=["kind", "a", "id", "part", "data"])
+        if put:
+            yield pa.RecordBatch.from_arrays([pa.array([INDEX], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                                              pa.array([place], pa.int32()), pa.array([put], pa.binary())],
+                                             names=["kind", "a", "id", "part", "data"])
     return run
 
 
-SCANNED = "kind int, a long, b long, id long"
+SCANNED = "kind int, a long, id long, part int, data binary"
 
 
 class SuffixIndexFamily:
     """Levels of one shard; ``add`` scans a batch against all of them and makes
     it a level, merging levels of equal size."""
 
-    def __init__(self, shard: int = 0, shards: int = 1, length: int = LENGTH):
-        self.shard, self.shards, self.length = shard, shards, length
+    def __init__(self, partitions: int, shard: int = 0, shards: int = 1, length: int = LENGTH):
+        self.partitions, self.shard, self.shards, self.length = partitions, shard, shards, length
         self.levels: list[tuple[int, DataFrame, str]] = []  # (size in batches, table, path), larger first
 
-    def add(self, batch: DataFrame, partitions: int, last: bool = False) -> DataFrame:
-        """``kind, a, b, id``: hits (context name a in document id) and contexts
+    def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
+        """``kind, a, id``: hits (context name a in document id) and contexts
         to compare string by string. With ``last`` the batch is not indexed."""
         spark = batch.sparkSession
-        rows = batch.select("id", "text").mapInArrow(_records(self.shard, self.shards, self.length),
-                                                     "pk long, kind int, a long, b long, id long").withColumn(
+        rows = batch.select("id", "text").mapInArrow(_records(self.shard, self.shards, self.length, self.partitions), BLOCKS).withColumn(
             "level", F.lit(-1))
         merged, size = [], 1
         while not last and len(merged) < len(self.levels) and self.levels[-1 - len(merged)][0] == size:
             merged.append(len(self.levels) - 1 - len(merged))
             size *= 2
         for i, (_, t, _) in enumerate(self.levels):
-            rows = rows.unionByName(t.select(F.col("a").alias("pk"), F.lit(PARTIAL).alias("kind"), "a", "b", "id",
-                                             F.lit(i).alias("level")))
+            rows = rows.unionByName(t.select("part", "kind", "data", F.lit(i).alias("level")))
         path = scratch_path(spark, "suffix-level")
-        (rows.repartition(partitions, "pk").mapInArrow(_merge_scan(frozenset(merged), not last), SCANNED)
+        (rows.repartitionById(self.partitions, F.col("part")).mapInArrow(_merge_scan(frozenset(merged), not last), SCANNED)
          .write.option("compression", "zstd").partitionBy("kind").parquet(path))
-        read = spark.read.schema("a long, b long, id long, kind int").parquet(path)
+        read = spark.read.schema("a long, id long, part int, data binary, kind int").parquet(path)
         if not last:
             gone = [self.levels[i] for i in merged]
             self.levels = [x for i, x in enumerate(self.levels) if i not in merged]
             self.levels.append((size, read.where(F.col("kind") == INDEX), path))
             for _, _, old in gone:  # entries of a merged level are in the new one; its findings stay
                 delete_path(spark, f"{old}/kind={INDEX}")
-        return read.where(F.col("kind") != INDEX)
+        return read.where(F.col("kind") != INDEX).select("kind", "a", "id")
 
     def close(self, spark) -> None:
         for _, _, path in self.levels:
@@ -457,16 +507,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bounds = sorted(set(size["cuts"] or []))
         rows_of = (size["bytes"] or 0) // 14 // shards
         found = []
+        parts = max(default_partitions(spark), -(-rows_of // TASK_ROWS))
         for shard in range(shards):
-            family = SuffixIndexFamily(shard, shards, length)
+            family = SuffixIndexFamily(parts, shard, shards, length)
             for i in range(len(bounds) + 1):
                 batch = source
                 if i:
                     batch = batch.where(F.col("id") > bounds[i - 1])
                 if i < len(bounds):
                     batch = batch.where(F.col("id") <= bounds[i])
-                parts = max(default_partitions(spark), -(-rows_of // TASK_ROWS))
-                found.append(family.add(batch, parts, last=i == len(bounds)))
+                found.append(family.add(batch, last=i == len(bounds)))
             family.close(spark)
         findings = found[0]
         for f in found[1:]:

@@ -132,3 +132,61 @@ def test_rolling_hashes_depend_on_bytes_only():
     for size, h in zip((1, 5, 24), rolling(data, (1, 5, 24), np.uint64(0x9E3779B97F4A7C15))):
         assert len(h) == len(data) - size + 1
         assert (h[3:] == h[:-3]).all() and len(set(h.tolist())) == min(3, len(h))
+
+
+def hot_head(n, rng, phrase="all rights reserved by the com"):
+    """One phrase of 30 bytes in every text, between words that differ."""
+    pool = prose(rng, 4000, 4000).split()
+
+    def words():
+        return " ".join(rng.choices(pool, k=6))
+    return [(i, f"{words()} {phrase} {words()}") for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [0, 3, 16])
+def test_hot_head_with_other_neighbours(docs, monkeypatch, hot):
+    from rowgate.llm import repeats
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+    rng = random.Random(8)
+    rows = hot_head(120, rng)
+    passage = rows[3][1]  # a whole text with the phrase in it, again in later documents
+    rows += [(200 + i, prose(rng, 5, 900) + passage[i % 9:] + prose(rng, 5, 900)) for i in range(12)] + [(500, rows[7][1]), (2, rows[9][1])]
+    rng.shuffle(rows)
+    got = remove_repeats(docs(rows, parts=5), batches=3, shards=1).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_a_hot_head_sends_few_contexts():
+    import pyarrow as pa
+
+    from rowgate.llm.repeats import HIT, HOT_CONTEXTS, INDEX, MARKS, PARTIAL, _records
+    rows = hot_head(20_000, random.Random(9))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows[lo:lo + 5000]]), pa.array([t for _, t in rows[lo:lo + 5000]])],
+                                          names=["id", "text"]) for lo in range(0, len(rows), 5000)]
+    sent, told = {}, 0
+    for out in _records(0, 1, LENGTH, 7)(iter(batches)):
+        for kind, data in zip(out.column(1).to_pylist(), out.column(2).to_pylist()):
+            x = np.frombuffer(data, np.int64).reshape(3 if kind == INDEX else 2, -1)
+            told += x.shape[1] if kind == PARTIAL else 0
+            for h, c in x[:2].T.tolist() if kind == INDEX else []:
+                sent.setdefault(h, []).append(c)
+    assert kind in (HIT, PARTIAL, INDEX) and told > 5000  # contexts that would have met in one task
+    most = max(sent.values(), key=len)
+    assert len(most) <= len(batches) * max(HOT_CONTEXTS, 2) and set(most) & set(MARKS)
+
+
+def test_a_kept_index_takes_a_later_batch(spark, docs):
+    from pyspark.sql import functions as F
+
+    from rowgate.llm.repeats import HIT, SuffixIndexFamily
+    rng = random.Random(10)
+    passage = prose(rng, 60, 900)
+    texts = [[f"{prose(rng, 30, 900)} {passage if n in (0, 3) else ''} {prose(rng, 30, 900)}" for _ in range(4)] for n in range(5)]
+    family, sizes = SuffixIndexFamily(4), []
+    for n, batch in enumerate(texts):
+        df = docs([(10 * n + i, t) for i, t in enumerate(batch)]).select(F.col("doc_id").alias("id"), "text")
+        hits = {r.id for r in family.add(df).where(f"kind = {HIT}").select("id").distinct().collect()}
+        sizes.append([s for s, _, _ in family.levels])
+        assert hits == ({1, 2, 3} if n == 0 else {30, 31, 32, 33} if n == 3 else set())
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
+    family.close(spark)
