@@ -28,21 +28,27 @@ FIRST_DEPTH = 16
 DEPTH_GROWTH = 4
 
 
+def _reach(x: np.ndarray) -> int:
+    """Largest absolute value, exactly."""
+    return max(abs(int(x.min())), abs(int(x.max()))) if x.size else 0
+
+
 def threshold_topk(x: np.ndarray, order: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int):
     """Top k rows of ``x`` for every query: (rows, scores), each of shape
     (queries, k), with row -1 where there are fewer. ``order[:, j]`` has the
     rows by ascending component j, ``own`` the range of rows (low, high) that
-    a query must leave out; among equal scores the smaller row wins."""
+    a query must leave out; among equal scores the smaller row wins. Scores
+    beyond a long count as its ends, whatever the number of rows."""
     n, m = len(x), len(queries)
     d = x.shape[1]
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(d, 1)
-    kind = np.float64 if most < 2 ** 53 else np.int64
-    if most * n >= 2 ** 62:
-        raise OverflowError("components are too large for 64-bit scores")
+    most = _reach(x) * _reach(queries) * max(d, 1)
+    kind = np.float64 if most < 2 ** 53 else np.int64 if most < 2 ** 63 else object
     xs, qs = x.astype(kind), queries.astype(kind)
     up, down = np.maximum(qs, 0), np.minimum(qs, 0)
-    low = np.iinfo(np.int64).min
-    best = np.full((m, k), low)  # score * n + (n - 1 - row): larger is better, ties by row
+    # score * n + (n - 1 - row): larger is better, ties by row; in numbers without bound where 64 bits do not hold it
+    packed = np.int64 if most * max(n, 1) < 2 ** 62 else object
+    low = -2 ** 63 * (1 if packed is np.int64 else 2 * n)
+    best = np.full((m, k), low, packed)
     seen = np.zeros(n, bool)
     alive = np.arange(m)
     depth, step = 0, FIRST_DEPTH
@@ -61,20 +67,22 @@ def threshold_topk(x: np.ndarray, order: np.ndarray, queries: np.ndarray, own: n
         rows = np.nonzero(new)[0]
         for lo in range(0, len(rows), 4096):
             part = rows[lo:lo + 4096]
-            score = np.rint(qs[alive] @ xs[part].T).astype(np.int64)
-            key = score * n + (n - 1 - part)
+            score = qs[alive] @ xs[part].T
+            score = np.clip(score, -2 ** 63, 2 ** 63 - 1) if kind is object else score.astype(np.int64)
+            key = score.astype(packed) * n + (n - 1 - part)
             key[(part >= own[alive, :1]) & (part < own[alive, 1:])] = low
             both = np.concatenate((best[alive], key), axis=1)
-            best[alive] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            best[alive] = (np.partition(both, both.shape[1] - k, axis=1) if packed is np.int64 else np.sort(both, axis=1))[:, -k:]
         if seen.all():
             break
         at = np.arange(d)
         bound = up[alive] @ xs[order[n - to], at] + down[alive] @ xs[order[to - 1], at]
         kth = np.where(best[alive].min(axis=1) == low, -np.inf, best[alive].min(axis=1) // n)
-        alive = alive[~(bound < kth)]
+        alive = alive[~(bound < kth).astype(bool)]
         depth, step = to, step * DEPTH_GROWTH
     best = -np.sort(-best, axis=1)
-    return np.where(best == low, -1, n - 1 - best % n), best // n
+    rows = np.where(best == low, -1, n - 1 - best % n)
+    return rows.astype(np.int64), np.where(best == low, 0, best // n).astype(np.int64)
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -147,6 +155,7 @@ def exact_topk(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     nor do rows without an id; vectors are compared with those of equal
     length. A query leaves out every row of its own id. Repeated rows count
     as rows: each is a candidate, and each that is a query gets its results.
+    Components beyond a long count as its ends, and so do scores.
     Fewer than k candidates give fewer rows, an empty table gives none.
     """
     spark = df.sparkSession

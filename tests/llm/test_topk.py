@@ -65,3 +65,24 @@ def test_threshold_algorithm_is_exact_and_stops_early(skew):
         assert rows[i].tolist() == want.tolist() and scores[i].tolist() == all_scores[i, want].tolist()
     if skew:
         assert sum(read) // 2 < 1500  # ranks read of 3000: lists with few large components end early
+
+
+@pytest.mark.parametrize("n", [1024, 65536])
+@pytest.mark.parametrize("size", [4096, 2 ** 28, 2 ** 40])
+def test_large_components_in_small_and_large_blocks(n, size):
+    """The number of rows in a block decides nothing; scores beyond a long are its ends."""
+    rng = np.random.default_rng(1)
+    x = np.floor(256.0 * size * rng.normal(0, 0.4, (n, 8))).astype(np.int64)
+    q = x[:3]
+    own = np.stack([np.arange(3), np.arange(1, 4)], axis=1)
+    rows, scores = threshold_topk(x, np.argsort(x, axis=0, kind="stable"), q, own, 5)
+    for i in range(3):
+        exact = [max(min(sum(int(a) * int(b) for a, b in zip(q[i], v)), 2 ** 63 - 1), -2 ** 63) for v in x]
+        want = sorted((r for r in range(n) if r != i), key=lambda r: (-exact[r], r))[:5]
+        assert rows[i].tolist() == want and scores[i].tolist() == [exact[r] for r in want]
+
+
+def test_one_large_vector_stops_no_query(spark):
+    rows = [(i, [float(np.float32(x)) for x in np.random.default_rng(i).normal(0, 0.2, 4)]) for i in range(40)] + [(50, [4096.0] * 4)]
+    got = exact_topk(frame(spark, rows), F.col("vec_id") % 5 == 0)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
