@@ -31,11 +31,13 @@ that a third of all documents hold is one row a task, however many documents.
 Hot heads: a phrase of 24 to 49 bytes with other neighbours everywhere has a
 context per document. A batch of rows that sees more than ``HOT_CONTEXTS`` of
 them, in several documents, knows already that they have to be compared string
-by string: it says so itself and sends two markers (smallest and largest id) in
-their place, which tell the same to whoever else has the head.
+by string. It sends each under a key of its own, where only equal contexts
+meet, and for the head two markers (smallest and largest id), which tell
+whoever else has the head that it has several contexts.
 
-Contexts travel, and are indexed, as one binary block per task and partition,
-not as rows. Equal contexts are told by a 64-bit hash of the head and one of
+Anchors of all texts are found in one pass. Their contexts travel, and are
+indexed, as one binary block per batch of rows and partition, not as rows.
+Equal contexts are told by a 64-bit hash of the head and one of
 the whole context, equal strings by two 64-bit hashes with different bases.
 """
 
@@ -58,6 +60,7 @@ TASK_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1  # a null id: larger than all others
 HOT_CONTEXTS = 16  # contexts of one head, in one batch of rows, beyond which the head is hot
 MARKS = (1, 2)  # context hashes of markers
+ALONE = 3  # context hash of a hot head's context, whose name is in the head's place
 HIT, PARTIAL, INDEX = 0, 1, 2
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
@@ -163,26 +166,32 @@ def _first_of(*keys):
     return order, np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else order, new
 
 
-def _blocks(pa, parts: int, part: np.ndarray, kind: int, *columns: np.ndarray):
-    """Rows of int64 ``columns`` as one binary block per partition: (part, kind, data)."""
-    order = np.argsort(part, kind="stable")
-    ends = np.cumsum(np.bincount(part, minlength=parts))
+def _split_of(h: np.ndarray, shards: int, parts: int) -> np.ndarray:
+    """Shard and partition of a 64-bit hash as one number, in the smallest type (which sorts fastest)."""
+    u = h.view(np.uint64)
+    at = (u >> np.uint64(40)) % np.uint64(shards) * np.uint64(parts) + (u >> np.uint64(3)) % np.uint64(parts)
+    return at.astype(np.uint16 if shards * parts <= 65536 else np.int64)
+
+
+def _blocks(pa, batch: int, shards: int, parts: int, kind: int, *columns: np.ndarray):
+    """Rows of int64 ``columns``, dealt by the first, as one binary block per shard and partition."""
+    at = _split_of(columns[0], shards, parts)
+    order = np.argsort(at, kind="stable")
+    ends = np.cumsum(np.bincount(at, minlength=shards * parts))
     stacked = np.stack([c[order] for c in columns])
     some = np.nonzero(np.diff(ends, prepend=0))[0]
     return pa.RecordBatch.from_pydict({
-        "part": pa.array(some.astype(np.int32)), "kind": pa.array(np.full(len(some), kind, np.int32)),
-        "data": pa.array([np.ascontiguousarray(stacked[:, (ends[p - 1] if p else 0):ends[p]]).tobytes() for p in some], pa.binary())})
-
+        "part": pa.array((some % parts).astype(np.int32)), "kind": pa.array(np.full(len(some), kind, np.int32)),
+        "data": pa.array([np.ascontiguousarray(stacked[:, (ends[p - 1] if p else 0):ends[p]]).tobytes() for p in some], pa.binary()),
+        "shard": pa.array((some // parts).astype(np.int32)), "batch": pa.array(np.full(len(some), batch, np.int32))})
 
-def _split_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """Partition of a 64-bit hash, in the smallest type (which sorts fastest)."""
-    return ((h.view(np.uint64) >> np.uint64(3)) % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.int64)
 
+def _records(shards: int, length: int, partitions: int, bounds):
+    """Task function: (id, text) -> blocks by shard and batch of ids (batch i
+    reaches up to ``bounds[i]``): contexts (head, context, id), once a batch of
+    rows with the smallest id, and hits (name, id): other ids that hold one."""
+    edges = np.array(list(bounds), np.int64)
 
-def _records(shard: int, shards: int, length: int, partitions: int):
-    """Task function: (id, text) -> blocks: contexts of one shard (head,
-    context, id), once a batch of rows with the smallest id; other ids that
-    hold it are hits, contexts of hot heads are partial (name, id)."""
     def run(batches):
         import pyarrow as pa
 
@@ -193,35 +202,34 @@ def _records(shard: int, shards: int, length: int, partitions: int):
             for lo, hi in byte_slices(off, SLICE_BYTES):
                 part = off[lo:hi + 1]
                 text, _, _, head, context = anchors(data[part[0]:part[-1]], part - part[0], length)
-                own = (head >> np.uint64(40)) % np.uint64(shards) == np.uint64(shard)
-                parts.append(np.stack([head[own].view(np.int64), context[own].view(np.int64), ids[lo:hi][text[own]]]))
+                parts.append(np.stack([head.view(np.int64), context.view(np.int64), ids[lo:hi][text]]))
             if not parts:
                 continue
-            h, c, d = np.concatenate(parts, axis=1)
-            if not len(h):
-                continue
-            order, start, new = _first_of(h, c, d)
-            h, c, d = h[order], c[order], d[order]
-            hit = d > d[start]
-            hit[1:] &= (d[1:] != d[:-1]) | new[1:]
-            name = _name(h.view(np.uint64), c.view(np.uint64))
-            yield _blocks(pa, partitions, _split_of(name[hit] ^ d[hit], partitions), HIT, name[hit], d[hit])
-            # heads that have many contexts here: their rows of the sort lie side by side
-            begin = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
-            low, high = np.minimum.reduceat(d, begin), np.maximum.reduceat(d, begin)
-            hot = (np.add.reduceat(new, begin, dtype=np.int64) > HOT_CONTEXTS) & (low != high)
-            in_hot = np.repeat(hot, np.diff(np.append(begin, len(h))))
-            told = new & in_hot
-            yield _blocks(pa, partitions, _split_of(name[told] ^ d[told], partitions), PARTIAL, name[told], d[told])
-            sent, marks = new & ~in_hot, h[begin[hot]]
-            h = np.concatenate((h[sent], marks, marks))
-            c = np.concatenate((c[sent], np.full(len(marks), MARKS[0]), np.full(len(marks), MARKS[1])))
-            d = np.concatenate((d[sent], low[hot], high[hot]))
-            yield _blocks(pa, partitions, _split_of(h, partitions), INDEX, h, c, d)
+            every = np.concatenate(parts, axis=1)
+            which = np.searchsorted(edges, every[2], side="left")
+            for i in range(len(edges) + 1):
+                h, c, d = every[:, which == i] if len(edges) else every
+                if not len(h):
+                    continue
+                order, start, new = _first_of(h, c, d)
+                h, c, d = h[order], c[order], d[order]
+                hit = d > d[start]
+                hit[1:] &= (d[1:] != d[:-1]) | new[1:]
+                name = _name(h.view(np.uint64), c.view(np.uint64))
+                yield _blocks(pa, i, shards, partitions, HIT, name[hit], d[hit])
+                # heads that have many contexts here: their rows of the sort lie side by side
+                begin = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
+                low, high = np.minimum.reduceat(d, begin), np.maximum.reduceat(d, begin)
+                hot = (np.add.reduceat(new, begin, dtype=np.int64) > HOT_CONTEXTS) & (low != high)
+                in_hot = np.repeat(hot, np.diff(np.append(begin, len(h))))
+                alone, sent, marks = new & in_hot, new & ~in_hot, h[begin[hot]]
+                yield _blocks(pa, i, shards, partitions, INDEX, np.concatenate((h[sent], marks, marks, name[alone])), np.concatenate((
+                    c[sent], np.full(len(marks), MARKS[0]), np.full(len(marks), MARKS[1]), np.full(alone.sum(), ALONE))),
+                    np.concatenate((d[sent], low[hot], high[hot], d[alone])))
     return run
 
 
-BLOCKS = "part int, kind int, data binary"
+BLOCKS = "part int, kind int, data binary, shard int, batch int"
 
 
 def _merge_scan(keep_levels: frozenset, insert: bool):
@@ -229,10 +237,12 @@ def _merge_scan(keep_levels: frozenset, insert: bool):
     level -1 is the new batch, others are index levels; ``keep_levels`` are
     merged with the batch into the new level. Hits and partial contexts come
     out as rows, the new level as one sorted block."""
+    special = [*MARKS, ALONE]
+
     def run(batches):
         import pyarrow as pa
 
-        got: dict = {HIT: [], PARTIAL: [], INDEX: []}
+        got: dict = {HIT: [], INDEX: []}
         levels, place = [], 0
         for batch in batches:
             for part, kind, data, level in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -241,24 +251,23 @@ def _merge_scan(keep_levels: frozenset, insert: bool):
                 got[kind].append(x)
                 if kind == INDEX:
                     levels.append(np.full(x.shape[1], level))
-        out = []  # kind, name, id
-        for kind in (HIT, PARTIAL):
-            out += [(np.full(x.shape[1], kind), x[0], x[1]) for x in got[kind]]
+        out = [(np.full(x.shape[1], HIT), x[0], x[1]) for x in got[HIT]]  # kind, name, id
         put = None
         if levels:
             h, c, d = np.concatenate(got.pop(INDEX), axis=1)
             level = np.concatenate(levels)
             order, start, new = _first_of(h, c, d)
             h, c, d, level = h[order], c[order], d[order], level[order]
-            real = (c != MARKS[0]) & (c != MARKS[1])
-            name = _name(h.view(np.uint64), c.view(np.uint64))
-            hit = (level < 0) & (d > d[start]) & real
+            real, alone = ~np.isin(c, special), c == ALONE
+            name = np.where(alone, h, _name(h.view(np.uint64), c.view(np.uint64)))
+            hit = (level < 0) & (d > d[start]) & (real | alone)
             out.append((np.full(hit.sum(), HIT), name[hit], d[hit]))
             # whether a head has contexts of several ids, one of them new
             begin = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
             several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
             touched = np.logical_or.reduceat(level < 0, begin)
             some = np.repeat(several & touched, np.diff(np.append(begin, len(h)))) & new & real
+            some |= alone & new & (level < 0)  # one that an index level holds was told then
             out.append((np.full(some.sum(), PARTIAL), name[some], d[some]))
             if insert:
                 # of equal contexts the smallest id stays; of the largest id's markers the largest would do, any other tells the same
@@ -279,20 +288,25 @@ def _merge_scan(keep_levels: frozenset, insert: bool):
 SCANNED = "kind int, a long, id long, part int, data binary"
 
 
+def context_blocks(source: DataFrame, partitions: int, shards: int = 1, length: int = LENGTH, bounds=()) -> DataFrame:
+    """Blocks of the contexts of ``source`` (id, text), by shard and batch of ids."""
+    return source.select("id", "text").mapInArrow(_records(shards, length, partitions, bounds), BLOCKS)
+
+
 class SuffixIndexFamily:
     """Levels of one shard; ``add`` scans a batch against all of them and makes
     it a level, merging levels of equal size."""
 
-    def __init__(self, partitions: int, shard: int = 0, shards: int = 1, length: int = LENGTH):
-        self.partitions, self.shard, self.shards, self.length = partitions, shard, shards, length
+    def __init__(self, partitions: int):
+        self.partitions = partitions
         self.levels: list[tuple[int, DataFrame, str]] = []  # (size in batches, table, path), larger first
 
     def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """``kind, a, id``: hits (context name a in document id) and contexts
-        to compare string by string. With ``last`` the batch is not indexed."""
+        to compare string by string, for the blocks ``batch`` of documents
+        with larger ids than all before. With ``last`` they are not indexed."""
         spark = batch.sparkSession
-        rows = batch.select("id", "text").mapInArrow(_records(self.shard, self.shards, self.length, self.partitions), BLOCKS).withColumn(
-            "level", F.lit(-1))
+        rows = batch.select("part", "kind", "data", F.lit(-1).alias("level"))
         merged, size = [], 1
         while not last and len(merged) < len(self.levels) and self.levels[-1 - len(merged)][0] == size:
             merged.append(len(self.levels) - 1 - len(merged))
@@ -508,16 +522,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows_of = (size["bytes"] or 0) // 14 // shards
         found = []
         parts = max(default_partitions(spark), -(-rows_of // TASK_ROWS))
+        path = scratch_path(spark, "suffix-contexts")
+        context_blocks(source, parts, shards, length, bounds).write.partitionBy("shard", "batch").parquet(path)
+        blocks = spark.read.schema(BLOCKS).parquet(path)
         for shard in range(shards):
-            family = SuffixIndexFamily(parts, shard, shards, length)
+            family = SuffixIndexFamily(parts)
             for i in range(len(bounds) + 1):
-                batch = source
-                if i:
-                    batch = batch.where(F.col("id") > bounds[i - 1])
-                if i < len(bounds):
-                    batch = batch.where(F.col("id") <= bounds[i])
-                found.append(family.add(batch, last=i == len(bounds)))
+                found.append(family.add(blocks.where((F.col("shard") == shard) & (F.col("batch") == i)), last=i == len(bounds)))
             family.close(spark)
+            delete_path(spark, f"{path}/shard={shard}")
         findings = found[0]
         for f in found[1:]:
             findings = findings.unionByName(f)

@@ -159,18 +159,20 @@ def test_hot_head_with_other_neighbours(docs, monkeypatch, hot):
 def test_a_hot_head_sends_few_contexts():
     import pyarrow as pa
 
-    from rowgate.llm.repeats import HIT, HOT_CONTEXTS, INDEX, MARKS, PARTIAL, _records
+    from rowgate.llm.repeats import ALONE, HIT, HOT_CONTEXTS, INDEX, MARKS, _records
     rows = hot_head(20_000, random.Random(9))
     batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows[lo:lo + 5000]]), pa.array([t for _, t in rows[lo:lo + 5000]])],
                                           names=["id", "text"]) for lo in range(0, len(rows), 5000)]
-    sent, told = {}, 0
-    for out in _records(0, 1, LENGTH, 7)(iter(batches)):
+    sent, alone = {}, 0
+    for out in _records(1, LENGTH, 7, ())(iter(batches)):
         for kind, data in zip(out.column(1).to_pylist(), out.column(2).to_pylist()):
             x = np.frombuffer(data, np.int64).reshape(3 if kind == INDEX else 2, -1)
-            told += x.shape[1] if kind == PARTIAL else 0
             for h, c in x[:2].T.tolist() if kind == INDEX else []:
-                sent.setdefault(h, []).append(c)
-    assert kind in (HIT, PARTIAL, INDEX) and told > 5000  # contexts that would have met in one task
+                if c == ALONE:
+                    alone += 1
+                else:
+                    sent.setdefault(h, []).append(c)
+    assert kind in (HIT, INDEX) and alone > 5000  # contexts that would have met in one task
     assert max(map(len, sent.values())) <= len(batches) * HOT_CONTEXTS
     marked = [c for c in sent.values() if set(c) & set(MARKS)]
     assert len(marked) >= 3  # the heads inside the phrase
@@ -179,14 +181,14 @@ def test_a_hot_head_sends_few_contexts():
 def test_a_kept_index_takes_a_later_batch(spark, docs):
     from pyspark.sql import functions as F
 
-    from rowgate.llm.repeats import HIT, SuffixIndexFamily
+    from rowgate.llm.repeats import HIT, SuffixIndexFamily, context_blocks
     rng = random.Random(10)
     passage = prose(rng, 60, 900)
     texts = [[f"{prose(rng, 30, 900)} {passage if n in (0, 3) else ''} {prose(rng, 30, 900)}" for _ in range(4)] for n in range(5)]
     family, sizes = SuffixIndexFamily(4), []
     for n, batch in enumerate(texts):
         df = docs([(10 * n + i, t) for i, t in enumerate(batch)]).select(F.col("doc_id").alias("id"), "text")
-        hits = {r.id for r in family.add(df).where(f"kind = {HIT}").select("id").distinct().collect()}
+        hits = {r.id for r in family.add(context_blocks(df, 4)).where(f"kind = {HIT}").select("id").distinct().collect()}
         sizes.append([s for s, _, _ in family.levels])
         assert hits == ({1, 2, 3} if n == 0 else {30, 31, 32, 33} if n == 3 else set())
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
