@@ -58,7 +58,7 @@ SLICE_BYTES = 1 << 20
 CUT_CONTEXTS = 1 << 14  # partly repeated contexts whose strings are laid out at once
 TASK_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1  # a null id: larger than all others
-HOT_CONTEXTS = 16  # contexts of one head, in one batch of rows, beyond which the head is hot
+HOT_CONTEXTS = 512  # contexts of one head, in one batch of rows and ids, beyond which the head is hot
 MARKS = (1, 2)  # context hashes of markers
 ALONE = 3  # context hash of a hot head's context, whose name is in the head's place
 HIT, PARTIAL, INDEX = 0, 1, 2

@@ -143,7 +143,7 @@ def hot_head(n, rng, phrase="all rights reserved by the com"):
     return [(i, f"{words()} {phrase} {words()}") for i in range(n)]
 
 
-@pytest.mark.parametrize("hot", [0, 3, 16])
+@pytest.mark.parametrize("hot", [0, 3, 512])
 def test_hot_head_with_other_neighbours(docs, monkeypatch, hot):
     from rowgate.llm import repeats
     monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
@@ -156,10 +156,13 @@ def test_hot_head_with_other_neighbours(docs, monkeypatch, hot):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
-def test_a_hot_head_sends_few_contexts():
+def test_a_hot_head_sends_few_contexts(monkeypatch):
     import pyarrow as pa
 
-    from rowgate.llm.repeats import ALONE, HIT, HOT_CONTEXTS, INDEX, MARKS, _records
+    from rowgate.llm import repeats
+    from rowgate.llm.repeats import ALONE, HIT, INDEX, MARKS, _records
+    most = 16
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", most)
     rows = hot_head(20_000, random.Random(9))
     batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows[lo:lo + 5000]]), pa.array([t for _, t in rows[lo:lo + 5000]])],
                                           names=["id", "text"]) for lo in range(0, len(rows), 5000)]
@@ -173,7 +176,7 @@ def test_a_hot_head_sends_few_contexts():
                 else:
                     sent.setdefault(h, []).append(c)
     assert kind in (HIT, INDEX) and alone > 5000  # contexts that would have met in one task
-    assert max(map(len, sent.values())) <= len(batches) * HOT_CONTEXTS
+    assert max(map(len, sent.values())) <= len(batches) * most
     marked = [c for c in sent.values() if set(c) & set(MARKS)]
     assert len(marked) >= 3  # the heads inside the phrase
 
