@@ -262,11 +262,14 @@ def _merge_scan(keep_levels: frozenset, insert: bool):
             name = np.where(alone, h, _name(h.view(np.uint64), c.view(np.uint64)))
             hit = (level < 0) & (d > d[start]) & (real | alone)
             out.append((np.full(hit.sum(), HIT), name[hit], d[hit]))
-            # whether a head has contexts of several ids, one of them new
-            begin = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
-            several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-            touched = np.logical_or.reduceat(level < 0, begin)
-            some = np.repeat(several & touched, np.diff(np.append(begin, len(h)))) & new & real
+            # whether a head has several contexts, of several ids, one of them new
+            fh, fd, fl = h[new], d[new], level[new]
+            begin = np.nonzero(np.concatenate(([True], fh[1:] != fh[:-1])))[0]
+            several = np.minimum.reduceat(fd, begin) != np.maximum.reduceat(fd, begin)
+            touched = np.logical_or.reduceat(fl < 0, begin)
+            some = np.zeros(len(h), bool)
+            some[new] = np.repeat(several & touched, np.diff(np.append(begin, len(fh))))
+            some &= real
             some |= alone & new & (level < 0)  # one that an index level holds was told then
             out.append((np.full(some.sum(), PARTIAL), name[some], d[some]))
             if insert:
