@@ -130,10 +130,12 @@ def _added(plan, source) -> list:
     return out
 
 
-def _refusal(added: list, dt: T.DataType) -> str | None:
-    """Why an expression that resolves is still no row-level check."""
-    if not isinstance(dt, (T.BooleanType, T.NullType)):
-        return f"expression is {dt.simpleString()}, not boolean"
+def _type_refusal(dt: T.DataType) -> str | None:
+    return None if isinstance(dt, (T.BooleanType, T.NullType)) else f"expression is {dt.simpleString()}, not boolean"
+
+
+def _refusal(added: list) -> str | None:
+    """Why expressions that resolve are still no row-level checks."""
     for node in added:
         name = node.nodeName()
         if name == "Generate":
@@ -147,19 +149,15 @@ def _refusal(added: list, dt: T.DataType) -> str | None:
     return None
 
 
-def _reads_clock(added: list) -> bool:
-    """Whether an expression depends on when its job runs (``current_date``
-    and the like, wherever they come from: functions, views' defaults, UDFs)."""
-    def clock(e) -> bool:
-        name = e.getClass().getSimpleName()
-        if name in CLOCK_NODES:
-            return True
-        return any(clock(c) for c in _seq(e.children()))
-    return any(clock(e) for node in added for e in _seq(node.expressions()))
+#: Expressions that Spark replaces by the time at which a query starts.
+CLOCK_NODES = re.compile(r'"class":"[\w.]*\.(?:CurrentTimestamp|Now|CurrentDate|LocalTimestamp|CurrentTime)"')
 
 
-#: Expressions that Spark replaces by the time at which a query starts.
-CLOCK_NODES = {"CurrentTimestamp", "Now", "CurrentDate", "CurDateExpressionBuilder", "LocalTimestamp", "CurrentTime"}
+def _reads_clock(added: list) -> bool:
+    """Whether an expression depends on when its job runs (``current_date``
+    and the like, also inside SQL functions): by the classes of its tree, which
+    text in quotes cannot look like."""
+    return any(CLOCK_NODES.search(e.toJSON()) for node in added for e in _seq(node.expressions()))
 
 
 def _beside(df: DataFrame) -> list[str]:
@@ -184,13 +182,18 @@ def _analyze(df: DataFrame, sql: str) -> tuple[str | None, bool]:
             return "expression gives more than one column", False
         plan, source = _plan(alone), _plan(df)
         added = _added(plan, source) if plan is not None else []
-        return _refusal(added, alone.schema[names[0]].dataType), _reads_clock(added)
+        return _type_refusal(alone.schema[names[0]].dataType) or _refusal(added), _reads_clock(added)
     except PySparkException as e:  # parse and analysis errors
         lines = [ln.strip() for ln in str(e).splitlines() if ln.strip()]
         return (lines[0] if lines else type(e).__name__), False
 
 
-def _analyze_all(df: DataFrame, sqls: list[str]) -> list[tuple[str | None, bool]]:
+def _analyze_all(df: DataFrame, sqls: list[str]) -> list[str | None]:
+    """The error texts alone of ``_analyses``."""
+    return [error for error, _ in _analyses(df, sqls)]
+
+
+def _analyses(df: DataFrame, sqls: list[str]) -> list[tuple[str | None, bool]]:
     """Analyse all expressions in one projection; only when that finds a fault
     or a clock are they analysed one by one (analysis only, no job)."""
     if not sqls:
@@ -200,7 +203,7 @@ def _analyze_all(df: DataFrame, sqls: list[str]) -> list[tuple[str | None, bool]
         if together.columns[len(_beside(df)):] == names:
             plan, schema = _plan(together), together.schema
             added = _added(plan, _plan(df)) if plan is not None else []
-            if not any(_refusal(added, schema[n].dataType) for n in names) and not _reads_clock(added):
+            if not any(_type_refusal(schema[n].dataType) for n in names) and not _refusal(added) and not _reads_clock(added):
                 return [(None, False)] * len(sqls)
     except PySparkException:
         pass
@@ -311,7 +314,7 @@ def compile_rules(rules, df: DataFrame, translator: Translator | None = None,
         translator.flush()
     out = type_checks_out + rule_checks
     pending = [k for k, c in enumerate(out) if c.error is None and c.kind not in ("unique", "exists") and c.expression]
-    for k, (err, clock) in zip(pending, _analyze_all(df, [_run_text(out[k], lambda _: "true") for k in pending])):
+    for k, (err, clock) in zip(pending, _analyses(df, [_run_text(out[k], lambda _: "true") for k in pending])):
         if err or clock:
             out[k] = replace(out[k], error=err, clock=clock)
     for c in out:
