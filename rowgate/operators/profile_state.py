@@ -35,7 +35,7 @@ from ..functions.types import type_label
 from ..plans.shared import path_exists, require_batch
 from ..sources.rules_io import RULES_SCHEMA
 from .prepare import prepare
-from .profile import INTEGRAL, LOWCARD_SKETCH_LIMIT, PROFILE_SCHEMA, SIMPLE, present_sql, suggestions_from_stats, surely_repeated
+from .profile import _INTEGRAL, _SIMPLE, LOWCARD_SKETCH_LIMIT, PROFILE_SCHEMA, _present, _surely_repeated, suggestions_from_stats
 
 STATE = T.StructType([
     T.StructField("position", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("data_type", T.StringType()),
@@ -58,12 +58,12 @@ def add_part(df: DataFrame, path: str, part: str) -> None:
     fields = df.schema.fields
     aggs = ["count(1) AS n"]
     for i, f in enumerate(fields):
-        c = present_sql(f)
+        c = _present(f)
         aggs.append(f"count({c}) AS nn{i}")
         if isinstance(f.dataType, T.StringType):
             aggs.append(f"hll_sketch_agg({c}) AS sk{i}")
             aggs.append(f"count_if(contains({c}, '@') AND {c} RLIKE {quote_str(EMAIL_REGEX)}) AS em{i}")
-        if isinstance(f.dataType, INTEGRAL):
+        if isinstance(f.dataType, _INTEGRAL):
             aggs += [f"CAST(min({c}) AS DECIMAL(38,0)) AS mn{i}", f"CAST(max({c}) AS DECIMAL(38,0)) AS mx{i}"]
     wide = df.selectExpr(*aggs)
     wide = wide.selectExpr("*", *[f"hll_sketch_estimate(sk{i}) AS ad{i}" for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]).first()
@@ -71,16 +71,16 @@ def add_part(df: DataFrame, path: str, part: str) -> None:
     stats = []
     for i, f in enumerate(fields):
         text, nn = isinstance(f.dataType, T.StringType), int(wide[f"nn{i}"])
-        s = {"position": i, "name": f.name, "sql": present_sql(f), "data_type": type_label(f.dataType), "spark_type": f.dataType.simpleString(),
+        s = {"position": i, "name": f.name, "sql": _present(f), "data_type": type_label(f.dataType), "spark_type": f.dataType.simpleString(),
              "rows": int(wide["n"]), "non_null": nn, "emails": int(wide[f"em{i}"]) if text else None, "low": None, "high": None,
-             "sketch": wide[f"sk{i}"] if text else None, "unique": isinstance(f.dataType, SIMPLE), "values": None,
+             "sketch": wide[f"sk{i}"] if text else None, "unique": isinstance(f.dataType, _SIMPLE), "values": None,
              "listed": text and int(wide[f"ad{i}"]) <= LOWCARD_SKETCH_LIMIT}
-        if isinstance(f.dataType, INTEGRAL) and nn:
+        if isinstance(f.dataType, _INTEGRAL) and nn:
             s["low"], s["high"] = wide[f"mn{i}"], wide[f"mx{i}"]
             s["unique"] = nn <= int(s["high"]) - int(s["low"]) + 1
         stats.append(s)
     open_ = [s for s in stats if s["unique"] and s["non_null"] > 1]
-    repeated = surely_repeated(df, open_) if open_ else set()
+    repeated = _surely_repeated(df, open_) if open_ else set()
     for s in stats:
         s["unique"] = s["unique"] and s["position"] not in repeated
 
