@@ -55,6 +55,7 @@ BATCHES = 4
 SHARDS = 2  # shards of head hashes that are indexed one after another
 WINDOW_SHARDS = 2
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20  # texts whose contexts are sorted together
 CUT_CONTEXTS = 1 << 14  # partly repeated contexts whose strings are laid out at once
 TASK_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1  # a null id: larger than all others
@@ -198,34 +199,38 @@ def _records(shards: int, length: int, partitions: int, bounds):
         for b in batches:
             ids = _ids(b.column(0))
             data, off = text_buffer(b.column(1))
-            parts = []
-            for lo, hi in byte_slices(off, SLICE_BYTES):
-                part = off[lo:hi + 1]
-                text, _, _, head, context = anchors(data[part[0]:part[-1]], part - part[0], length)
-                parts.append(np.stack([head.view(np.int64), context.view(np.int64), ids[lo:hi][text]]))
-            if not parts:
+            for begin_row, end_row in byte_slices(off, BATCH_BYTES):
+                yield from work(pa, ids[begin_row:end_row], data, off[begin_row:end_row + 1])
+
+    def work(pa, ids, data, off):
+        parts = []
+        for lo, hi in byte_slices(off, SLICE_BYTES):
+            part = off[lo:hi + 1]
+            text, _, _, head, context = anchors(data[part[0]:part[-1]], part - part[0], length)
+            parts.append(np.stack([head.view(np.int64), context.view(np.int64), ids[lo:hi][text]]))
+        if not parts:
+            return
+        every = np.concatenate(parts, axis=1)
+        which = np.searchsorted(edges, every[2], side="left")
+        for i in range(len(edges) + 1):
+            h, c, d = every[:, which == i] if len(edges) else every
+            if not len(h):
                 continue
-            every = np.concatenate(parts, axis=1)
-            which = np.searchsorted(edges, every[2], side="left")
-            for i in range(len(edges) + 1):
-                h, c, d = every[:, which == i] if len(edges) else every
-                if not len(h):
-                    continue
-                order, start, new = _first_of(h, c, d)
-                h, c, d = h[order], c[order], d[order]
-                hit = d > d[start]
-                hit[1:] &= (d[1:] != d[:-1]) | new[1:]
-                name = _name(h.view(np.uint64), c.view(np.uint64))
-                yield _blocks(pa, i, shards, partitions, HIT, name[hit], d[hit])
-                # heads that have many contexts here: their rows of the sort lie side by side
-                begin = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
-                low, high = np.minimum.reduceat(d, begin), np.maximum.reduceat(d, begin)
-                hot = (np.add.reduceat(new, begin, dtype=np.int64) > HOT_CONTEXTS) & (low != high)
-                in_hot = np.repeat(hot, np.diff(np.append(begin, len(h))))
-                alone, sent, marks = new & in_hot, new & ~in_hot, h[begin[hot]]
-                yield _blocks(pa, i, shards, partitions, INDEX, np.concatenate((h[sent], marks, marks, name[alone])), np.concatenate((
-                    c[sent], np.full(len(marks), MARKS[0]), np.full(len(marks), MARKS[1]), np.full(alone.sum(), ALONE))),
-                    np.concatenate((d[sent], low[hot], high[hot], d[alone])))
+            order, start, new = _first_of(h, c, d)
+            h, c, d = h[order], c[order], d[order]
+            hit = d > d[start]
+            hit[1:] &= (d[1:] != d[:-1]) | new[1:]
+            name = _name(h.view(np.uint64), c.view(np.uint64))
+            yield _blocks(pa, i, shards, partitions, HIT, name[hit], d[hit])
+            # heads that have many contexts here: their rows of the sort lie side by side
+            begin = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
+            low, high = np.minimum.reduceat(d, begin), np.maximum.reduceat(d, begin)
+            hot = (np.add.reduceat(new, begin, dtype=np.int64) > HOT_CONTEXTS) & (low != high)
+            in_hot = np.repeat(hot, np.diff(np.append(begin, len(h))))
+            alone, sent, marks = new & in_hot, new & ~in_hot, h[begin[hot]]
+            yield _blocks(pa, i, shards, partitions, INDEX, np.concatenate((h[sent], marks, marks, name[alone])), np.concatenate((
+                c[sent], np.full(len(marks), MARKS[0]), np.full(len(marks), MARKS[1]), np.full(alone.sum(), ALONE))),
+                np.concatenate((d[sent], low[hot], high[hot], d[alone])))
     return run
 
 
