@@ -537,8 +537,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             family = SuffixIndexFamily(parts)
             for i in range(len(bounds) + 1):
                 found.append(family.add(blocks.where((F.col("shard") == shard) & (F.col("batch") == i)), last=i == len(bounds)))
+                delete_path(spark, f"{path}/shard={shard}/batch={i}")  # in the index now, and its findings are written
             family.close(spark)
-            delete_path(spark, f"{path}/shard={shard}")
+        delete_path(spark, path)
         findings = found[0]
         for f in found[1:]:
             findings = findings.unionByName(f)
