@@ -79,7 +79,8 @@ def _pairs(df: DataFrame, cols: list[dict], value: str) -> DataFrame:
 def _surely_repeated(df: DataFrame, cols: list[dict], rows: int = PROOF_ROWS) -> set[int]:
     """Columns in which a value repeats within some ``rows`` rows, by 128 bits
     of the typed value (two timestamps may share one text at a clock change)."""
-    sample = df.selectExpr(*[f"CASE WHEN {s['sql']} IS NOT NULL THEN struct(xxhash64({s['sql']}), xxhash64(1, {s['sql']})) END AS c{s['position']}"
+    sample = df.selectExpr(*[f"CASE WHEN {s['sql']} IS NOT NULL THEN concat(CAST(xxhash64({s['sql']}) AS STRING), ':', "
+                             f"CAST(xxhash64(1, {s['sql']}) AS STRING)) END AS c{s['position']}"
                              for s in cols]).limit(rows)
     lists = [f"collect_list(c{s['position']})" for s in cols]
     row = sample.selectExpr(*[f"size({x}) > size(array_distinct({x})) AS r{s['position']}" for x, s in zip(lists, cols)]).first()
