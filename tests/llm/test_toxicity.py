@@ -75,3 +75,22 @@ def test_word_hashes_see_words_only():
     assert (one[0], two[0]) != (one[1], two[1])
     a, b, n = of("ab", "cd")  # words do not run on into the next text
     assert n.tolist() == [1, 1] and a[0] == of("ab")[0][0]
+
+
+def test_every_labelled_row_teaches(docs, spark):
+    """A word that only stands in toxic rows beyond the first 2000 by hash, which once were the sample."""
+    rng = random.Random(7)
+    ids = [r.id for r in spark.range(12000).orderBy(F.xxhash64("id", F.lit(11)), "id").collect() if not held(r.id)]
+    toxic = {i: int(k < 5000) for k, i in enumerate(ids[:7000])}
+    rows = [(i, prose(rng, 8, 400) + (" ratbag" if k < 2000 else " zorkle" if k < 5000 else "")) for k, i in enumerate(ids[:7000])]
+    rows += [(20000, prose(rng, 8, 400) + " Zorkle!"), (20001, prose(rng, 8, 400) + " ratbag"), (20002, prose(rng, 8, 400))]
+    got = {r.doc_id: r.predicted for r in score_toxicity(docs(rows), labels_of(spark, toxic)).where("doc_id >= 20000").collect()}
+    assert got == {20000: 1, 20001: 1, 20002: 0}
+
+
+def test_weights_do_not_depend_on_how_rows_are_dealt(docs, spark, monkeypatch):
+    monkeypatch.setattr("rowgate.llm.toxicity.BLOCK_ROWS", 60)
+    rows, toxic = corpus(300)
+    one, two = (train_toxicity(docs(rows, parts=p), labels_of(spark, toxic)) for p in (1, 5))
+    assert (one.first == two.first).all() and (one.weight == two.weight).all() and one.thresholds == two.thresholds
+    assert train_toxicity(docs(rows), labels_of(spark, {k: v for k, v in toxic.items() if k > 10 ** 6})) is None
