@@ -127,6 +127,7 @@ def stream_failure_summary(spark: SparkSession, path: str, schema: T.StructType,
 # --- failures per event-time window ---------------------------------------------
 
 WINDOW_COLUMNS = ["window_start", "window_end"]
+STATE_PARTS_PER_FILE = 16  # state partitions whose changed windows are written as one file
 
 
 def window_failure_counts(stream: DataFrame, rules, event_time: str, window: str, watermark: str,
@@ -148,10 +149,15 @@ def window_failure_counts(stream: DataFrame, rules, event_time: str, window: str
 def window_writer(path: str, fmt: str = "parquet"):
     """``foreachBatch`` function: the windows that a micro-batch changed, with
     their totals so far, as the partition of its id. A replayed batch
-    overwrites its own partition, so the table is the same after a restart."""
+    overwrites its own partition, so the table is the same after a restart.
+
+    The windows are dealt to fewer tasks that write, so that files stay few;
+    the counting itself keeps a task per state partition (with ``coalesce``
+    one task would hold the state and the buffers of all partitions)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn(BATCH_COLUMN, F.lit(batch_id).cast("long")).coalesce(1).write.format(fmt).mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(BATCH_COLUMN).save(path))
+        parts = -(-int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")) // STATE_PARTS_PER_FILE)
+        (batch.withColumn(BATCH_COLUMN, F.lit(batch_id).cast("long")).repartition(parts, *WINDOW_COLUMNS).write.format(fmt)
+         .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH_COLUMN).save(path))
     return write
 
 

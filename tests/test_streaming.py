@@ -134,3 +134,26 @@ def test_a_replayed_window_batch_replaces_its_own_rows(spark, tmp_path):
     write(df, 1)
     assert spark.read.parquet(out).count() == 2
     assert [(r.check_name, r.failed_records, r.failure_rate_pct) for r in read_failure_windows(spark, out).collect()] == [("c_ok", 1, 25.0)]
+
+
+def test_windows_of_many_state_partitions_are_not_counted_in_one_task(spark, tmp_path):
+    """Each partition of a micro-batch stays a task of its own; the files are fewer."""
+    from pyspark import TaskContext
+    from pyspark.sql import functions as F
+
+    from rowgate.streaming.stream import window_writer
+
+    def task(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([TaskContext.get().taskAttemptId()] * b.num_rows)], names=["id", "task"])
+
+    out = str(tmp_path / "out")
+    df = spark.range(0, 40, 1, 40).mapInArrow(task, "id long, task long").select(
+        F.timestamp_seconds(F.col("id") * 3600).alias("window_start"), F.timestamp_seconds(F.col("id") * 3600 + 3600).alias("window_end"),
+        F.lit(1).cast("long").alias("total_records"), "task")
+    window_writer(out)(df, 0)
+    got = spark.read.parquet(out)
+    assert got.count() == 40 and got.select("task").distinct().count() == 40
+    assert len(list((tmp_path / "out").rglob("part-*.parquet"))) <= max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16 + 1)
