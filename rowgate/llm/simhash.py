@@ -34,6 +34,7 @@ BITS = 64
 BUCKET = 1024  # distinct fingerprints of a bucket that are compared in one task
 TASK_ROWS = 200_000
 CHUNK_ROWS = 1 << 16  # rows that a task compares at a time
+HIT_BLOCKS = 1 << 11  # blocks of 64 lanes whose pairs are laid out at a time
 BROADCAST_ROWS = 1_000_000  # large buckets whose list is broadcast
 
 
@@ -147,8 +148,9 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int, chunk: int = 1
                     if not len(q):
                         break
         hit = ~over
-        some = np.nonzero(hit)[0]
-        if len(some):
+        found = np.nonzero(hit)[0]
+        for at in range(0, len(found), HIT_BLOCKS):  # among near copies every lane of every block is a pair
+            some = found[at:at + HIT_BLOCKS]
             lane = np.unpackbits(hit[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             r, t = np.nonzero(lane)
             yield q[some[r]], k[some[r]] * 64 + t

@@ -76,6 +76,13 @@ def test_bit_sliced_pairs_are_all_close_pairs(radius):
     assert got == want
 
 
+def test_pairs_of_near_copies_come_in_bounded_runs():
+    """All pairs of a group of near copies are links; a task holds some of them at a time."""
+    fps = np.arange(1500, dtype=np.uint64) << np.uint64(1)
+    sizes = [len(i) for i, _ in close_pairs(fps, np.zeros(1500, np.int64), 11)]
+    assert sum(sizes) == 1500 * 1499 // 2 and max(sizes) <= 64 * simhash.HIT_BLOCKS <= 1 << 18
+
+
 @pytest.mark.parametrize("bucket, blocks", [(1024, None), (8, None), (1024, 6)])
 def test_buckets_and_tiles_lose_no_link(spark, bucket, blocks):
     """Small buckets force tiles, more blocks force wider keys."""
