@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import col, freeing_shuffles, scratch_path, text_buffer
-from .wordtokens import WordTokenizer
+from .wordtokens import word_tokenizer
 
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
@@ -42,9 +42,8 @@ def write_token_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc
     def encode(batches):
         import pyarrow as pa
 
-        tok, pos = None, 0
+        tok, pos = word_tokenizer(tokenizer), 0
         for b in batches:
-            tok = tok or WordTokenizer(tokenizer)
             data, off = text_buffer(b.column(1))
             for lo, hi, ids, count in tok.encode_slices(data, off):
                 ends = np.cumsum(count + 1)

@@ -43,6 +43,24 @@ def test_batches_equal_the_library_text_by_text(library):
         assert ids[at[i]:at[i + 1]].tolist() == library(t), t
 
 
+def test_plain_words_take_the_short_way_and_equal_the_library(library):
+    """Letters of ASCII and Latin-1 are cut from signs and encoded without normaliser and regex."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdeßéöüÀÖÞ×÷ÿñ", k=rng.randint(1, 12))) + rng.choice(["", ".", ",", "'s", "!(", "\u0301", "\u0338.", "9"])
+             + "".join(rng.choices("éxö .(", k=3)) for _ in range(3000)]
+    tok = WordTokenizer(WORDS)
+    slow, seen = tok._ids, []
+    tok._ids = lambda items: (seen.extend(items), slow(items))[1]
+    ids, count = tok.encode(*batch(texts))
+    at = np.concatenate(([0], np.cumsum(count)))
+    for i, t in enumerate(texts):
+        assert ids[at[i]:at[i + 1]].tolist() == library(t), t
+    words = ["wort", "größe", "été"]
+    seen.clear()
+    assert tok.encode(*batch([" ".join(words) + "."]))[0].tolist() == library("wort größe été.")
+    assert not any(w in t for w in words for t in seen)
+
+
 def test_index_equals_brute_force(docs, library, tricky_texts):
     rows = list(enumerate([*tricky_texts, *HARD])) + [(3, "repeated id"), (3, "repeated id"), (None, "no id")]
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_output(docs(rows, clashes=True), WORDS).collect())
